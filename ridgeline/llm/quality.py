@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import small_side, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
@@ -101,9 +101,13 @@ def _distance() -> Column:
 
 
 def _joined(rows: DataFrame, estimates: DataFrame, by: list[str]) -> DataFrame:
-    """rows with the estimate of their group; null keys match null keys."""
+    """rows with the estimate of their group; null keys match null keys. Without keys the one row comes as constants."""
+    if not by:
+        row = estimates.first()
+        return rows.withColumns({c: F.lit(row[c]) for c in estimates.columns})
+    estimates = small_side(estimates, row_bytes=256)
     renamed = estimates.select(*[F.col(k).alias(f"_{k}") for k in by], *[c for c in estimates.columns if c not in by])
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by], F.lit(True))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by])
     return rows.join(renamed, on, "left").drop(*[f"_{k}" for k in by])
 
 
@@ -147,11 +151,9 @@ def quality_verdicts(docs: DataFrame, *keep: str, cutoff: float = CUTOFF, min_gr
     sizes = vectors.groupBy(*by).agg(F.count(F.lit(1)).alias("n_group"))
     usable = _joined(vectors, sizes, by).filter(F.col("n_group") >= min_group).drop("n_group")
     grouped = mcd_estimates(usable, by, "mcd-group")
-    everywhere = mcd_estimates(vectors.select(F.lit(0).alias("_all"), *[f"x{i}" for i in range(len(FEATURES))]), ["_all"], "mcd-all")
     names = [c for c in grouped.columns if c not in by]
-    own = _joined(stats, grouped, by).withColumn("_all", F.lit(0))
-    both = own.join(everywhere.select("_all", *[F.col(c).alias(f"a_{c}") for c in names]), "_all", "left")
-    both = both.select(*[c for c in both.columns if c not in names and not c.startswith("a_")], *[F.coalesce(c, f"a_{c}").alias(c) for c in names])
+    everywhere = mcd_estimates(vectors, [], "mcd-all").first() or dict.fromkeys(names)
+    both = _joined(stats, grouped, by).withColumns({c: F.coalesce(F.col(c), F.lit(everywhere[c]).cast("double")) for c in names})
     judged = both.withColumn("distance", _distance())
     return judged.select(
         "_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -7,17 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import op10
+from .decontaminate import contamination
+from .neardup import near_duplicates
 from .quality import quality_verdicts
 from .tables import table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark windows that occur in every document."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id")
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     return quality_verdicts(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every document and of the bytes decoded from them."""
+    return op10(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
+    "op10_byte_level_bpe": op10_byte_level_bpe,
 }
 
 ORACLES: dict[str, str] = {}

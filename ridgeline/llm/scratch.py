@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -31,3 +32,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A side is broadcast up to this many rows and bytes, counted before; beyond it is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
+
+
+def small_side(df: DataFrame, text: str | None = None, row_bytes: int = 64) -> DataFrame:
+    """df with a broadcast hint if it is within the bounds, as counted here; df itself otherwise.
+
+    A row counts ``row_bytes`` and the length of its column ``text``.
+    """
+    extra = F.octet_length(text) if text else F.lit(0)
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(extra + row_bytes), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
