@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import op10
 from .decontaminate import contamination
 from .neardup import near_duplicates
+from .pii import replaced
 from .quality import quality_verdicts
 from .tables import table
 
@@ -24,6 +25,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates for its entities, and how many there were."""
+    return replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     return quality_verdicts(table(spark, sf_dir, "documents"), "doc_id")
@@ -37,6 +43,7 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_level_bpe": op10_byte_level_bpe,
 }
