@@ -13,6 +13,7 @@ from .neardup import near_duplicates
 from .pii import replaced
 from .quality import quality_verdicts
 from .tables import table
+from .token_files import round_trip
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's token ids, read back from the files."""
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with surrogates for its entities, and how many there were."""
     return replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
@@ -43,6 +49,7 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_token_id_files": op4_token_id_files,
     "op7_pii_surrogates": op7_pii_surrogates,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_level_bpe": op10_byte_level_bpe,
