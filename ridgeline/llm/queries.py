@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import op10
 from .decontaminate import contamination
+from .language import identified
 from .neardup import near_duplicates
 from .pii import replaced
 from .quality import quality_verdicts
@@ -26,6 +27,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    return identified(table(spark, sf_dir, "documents"))
+
+
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's token ids, read back from the files."""
     return round_trip(table(spark, sf_dir, "documents"))
@@ -49,6 +55,7 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_language_id": op3_language_id,
     "op4_token_id_files": op4_token_id_files,
     "op7_pii_surrogates": op7_pii_surrogates,
     "op9_quality_rules": op9_quality_rules,
