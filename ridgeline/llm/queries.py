@@ -15,6 +15,7 @@ from .pii import replaced
 from .quality import quality_verdicts
 from .tables import table
 from .token_files import round_trip
+from .toxicity import toxicity
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,11 @@ def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with surrogates for its entities, and how many there were."""
     return replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_language_id": op3_language_id,
     "op4_token_id_files": op4_token_id_files,
+    "op6_toxicity": op6_toxicity,
     "op7_pii_surrogates": op7_pii_surrogates,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_level_bpe": op10_byte_level_bpe,
