@@ -21,8 +21,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +38,8 @@ LONGS = 16
 FREQUENT, MOST_FREQUENT = 24, 1 << 18
 #: Trees of at most this many classes are one leaf.
 LEAF = 64
-#: Bits of the filter that says which documents' sets are wanted; a false hit costs a set that no pair asks for.
-FILTER_BITS = 1 << 25
+#: Bits of the filters that say which tokens are shared and which documents are wanted.
+FILTER_BITS = 1 << 26
 BITS = [f"b{i}" for i in range(LONGS)]
 
 
@@ -86,32 +86,69 @@ def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("k"), "text").mapInArrow(run, schema)
 
 
-def frequent_tokens(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> pd.DataFrame:
-    """The tokens to order last, with the numbers of documents that hold them near the front, counted over all documents.
+def front_size(n: int, percent: int = PERCENT) -> int:
+    """How many tokens in order of hash are counted: the first ones, and a quarter more for those that give way to them."""
+    return (5 * prefix_size(n, percent) + 3) // 4
 
-    Any order of tokens gives the same links; the list is cut at MOST_FREQUENT tokens, the most frequent ones.
-    """
+
+def shared_tokens(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(token, n) of the tokens near the front of two documents or more, counted over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.chunks(batch):
-                front = [found[: (5 * prefix_size(len(found), percent) + 3) // 4] for found in shingle_sets(part.column("text"), width)]
+                front = [found[: front_size(len(found), percent)] for found in shingle_sets(part.column("text"), width)]
                 tokens, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *front]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens)), pa.array(n.astype(np.int64))], ["token", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens)), pa.array(n.astype(np.int32))], ["token", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return counted.filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
+    counted = docs.select("text").mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n"))
+    return written(counted.filter("n > 1"), "shared-tokens")
 
 
-def prefixes(docs: DataFrame, late: pd.DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(token, c): the first tokens of every document's set, rare ones first."""
-    late = late.sort_values("token")
-    at = docs.sparkSession.sparkContext.broadcast((late["token"].to_numpy(np.int64).view(np.uint64), late["n"].to_numpy(np.int64)))
+def bit_filter(values: DataFrame, column: str) -> np.ndarray:
+    """FILTER_BITS bits with those set that a value of ``column`` falls on; its size is fixed, false hits only cost work."""
+    place = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1
+    rows = values.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in rows.collect():  # 4 KB a row, FILTER_BITS / 8 bytes in all
+        out[(row["k"] - 1) * 4096 : row["k"] * 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = at.value
-        order = np.argsort(tokens)
-        tokens, counts = tokens[order], counts[order]
+
+def hits(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the values fall on a bit that is set."""
+    at = np.mod(values.view(np.int64), FILTER_BITS)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def ordered_last(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens and their counts, sorted by token; at most MOST_FREQUENT."""
+    late = shared.filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token", "n").toPandas()
+    tokens = late["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], late["n"].to_numpy(np.int64)[order]
+
+
+def first_tokens(found: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Places of a set's first tokens: those not in ``tokens`` by hash, then the others by count."""
+    ranked = np.arange(len(found))
+    if len(tokens):
+        where = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
+        n = np.where(tokens[where] == found, counts[where], 0)
+        often = np.flatnonzero(n)
+        ranked = np.concatenate((np.flatnonzero(n == 0), often[np.lexsort((found[often], n[often]))]))
+    return ranked[: prefix_size(len(found), percent)]
+
+
+def prefixes(docs: DataFrame, shared: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(token, c): the first tokens of every document's set, rare ones first, without those that no other document has.
+
+    Any order of tokens gives the same links. A token is left out only where it was counted once and no document reaches
+    it beyond what was counted; the documents with many frequent tokens that do reach further are looked through before.
+    """
+    late = docs.sparkSession.sparkContext.broadcast(ordered_last(shared))
+
+    def rows(batches: Iterator[pa.RecordBatch], choose) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.chunks(batch):
                 first, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
@@ -121,16 +158,19 @@ def prefixes(docs: DataFrame, late: pd.DataFrame, width: int = SHINGLE, percent:
                     if not len(found) or int(c) in seen:  # an exact copy nearby adds nothing
                         continue
                     seen.add(int(c))
-                    size = prefix_size(len(found), percent)
-                    if len(tokens):
-                        where = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
-                        n = np.where(tokens[where] == found, counts[where], 0)
-                        found = np.concatenate((found[n == 0], found[n > 0][np.lexsort((found[n > 0], n[n > 0]))]))
-                    first.append(found[:size])
-                    ids.append(np.full(min(size, len(found)), c, np.uint64))
+                    ranked = first_tokens(found, *late.value, percent)
+                    ranked = ranked[choose(found, ranked)]
+                    first.append(found[ranked])
+                    ids.append(np.full(len(ranked), c, np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(first))), pa.array(_signed(np.concatenate(ids)))], ["token", "c"])
 
-    return docs.select("text").mapInArrow(run, "token long, c long")
+    def beyond(found: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+        return ranked >= front_size(len(found), percent)
+
+    texts = docs.select("text")
+    far = written(texts.mapInArrow(lambda x: rows(x, beyond), "token long, c long").select("token"), "far-tokens")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(shared, "token") | bit_filter(far, "token"))
+    return texts.mapInArrow(lambda x: rows(x, lambda found, ranked: hits(bits.value, found[ranked])), "token long, c long")
 
 
 def near_enough(a: Column, b: Column, percent: int) -> Column:
@@ -207,29 +247,44 @@ def roomy(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, docs: DataFrame, info: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) of classes that are similar enough, compared set by set."""
+    """The pairs (a, b, na, nb) of classes that are similar enough, compared set by set.
+
+    The texts of one document of each class travel compressed, which is less than their sets would take.
+    """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    wanted = ends.join(info.select("c", "k"), "c").select(F.pmod("k", F.lit(FILTER_BITS)).alias("bit"))
-    bits = wanted.groupBy(F.floor(F.col("bit") / 32).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(bit, 32) as int)))").alias("v")).toPandas()
-    filter_ = np.zeros(FILTER_BITS // 32, np.uint32)
-    filter_[bits["at"].to_numpy(np.int64)] = bits["v"].to_numpy(np.int64).astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(filter_)
+    wanted = written(ends.join(info.select("c", "k"), "c"), "wanted")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "k"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.mod(batch.column("k").to_numpy(), FILTER_BITS)
-            batch = batch.filter(pa.array((shared.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1))
-            for part in kernels.chunks(batch):
-                sets = [_signed(x) for x in shingle_sets(part.column("text"), width)]
-                ids = [int(_signed(kernels.mixed(x.view(np.uint64) * np.uint64(3)).sum(dtype=np.uint64).reshape(1))[0]) for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), part.column("k"), pa.array(sets, pa.list_(pa.int64()))], ["c", "k", "tokens"])
+            own = batch.filter(pa.array(hits(bits.value, batch.column("k").to_numpy(zero_copy_only=False))))
+            packed = [pa.compress(x.encode(), codec="zstd", asbytes=True) for x in own.column("text").to_pylist()]
+            sizes = pc.binary_length(own.column("text")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([own.column("k"), pa.array(packed, pa.binary()), sizes], ["k", "packed", "size"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
 
-    sets = docs.select(F.xxhash64("doc_id", "text").alias("k"), "text").mapInArrow(run, "c long, k long, tokens array<long>")
-    sets = written(sets.join(info.select("c", "k"), ["c", "k"], "left_semi").dropDuplicates(["c"]), "sets")
-    one = pairs.join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = one.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.filter((100 + percent) * common >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+        def tokens(c: int, packed: bytes, size: int) -> np.ndarray:
+            return next(shingle_sets(pa.array([pa.decompress(packed, size, codec="zstd", asbytes=True).decode()], pa.large_string()), width))
+
+        for batch in batches:
+            out = []
+            for a, b, pa_, pb, sa, sb in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "pa", "pb", "sa", "sb")], strict=True):
+                if a not in held:  # rows come sorted by a
+                    held = {a: tokens(a, pa_, sa)}
+                x, y = held[a], tokens(b, pb, sb)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    texts = docs.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("k"), "text").mapInArrow(carried, "k long, packed binary, size long")
+    texts = texts.join(wanted, "k").dropDuplicates(["c"])
+    texts = written(texts.select("c", "packed", "size"), "texts")
+    one = pairs.join(texts.select(F.col("c").alias("b"), F.col("packed").alias("pb"), F.col("size").alias("sb")), "b")
+    both = one.join(texts.select(F.col("c").alias("a"), F.col("packed").alias("pa"), F.col("size").alias("sa")), "a")
+    return both.select("a", "b", "pa", "pb", "sa", "sb").mapInArrow(compared, "a long, b long")
 
 
 def similarity_classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -239,10 +294,11 @@ def similarity_classes(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     info = written(info, "classes")
     if not info.filter("c2 <> d2").isEmpty():
         raise ValueError("two different sets of shingles have one 64-bit digest; change kernels.SEED")
-    roots = written(prefixes(docs, frequent_tokens(docs, width, percent), width, percent), "prefixes")
+    roots = written(prefixes(docs, shared_tokens(docs, width, percent), width, percent), "prefixes")
     shared = roots.groupBy("token").agg(F.min("c").alias("hub"), F.max("c").alias("last")).filter("hub <> last").select("token", "hub")
     members = written(roots.join(shared, "token").select("token", "c", "hub").distinct(), "members")
-    spokes = members.filter("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
+    common = members.filter("c <> hub").groupBy("c", "hub").agg(F.count(F.lit(1)).alias("m"))
+    spokes = common.groupBy("c").agg(F.max(F.struct("m", "hub"))["hub"].alias("a")).select("a", F.col("c").alias("b"))
     first = written(linked(written(roomy(spokes, info, percent), "spokes"), docs, info, width, percent), "spoke-links")
     labels = components(first)
     named = members.join(labels.withColumnRenamed("node", "c"), "c", "left").select("token", "c", F.coalesce("comp", "c").alias("comp"))
