@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm.quality import accepted
+from ridgeline.llm import byte_bpe, decontaminate, neardup, pii, quality
 from ridgeline.llm.scratch import written
+from ridgeline.llm.tables import table
 
 #: Byte-level BPE is not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
@@ -15,17 +16,41 @@ ORACLE_SQL: str | None = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the base rules and the robust outlier test accept."""
-    return accepted(docs)
+    return quality.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest id: shingles of five words, similarity 0.8."""
+    return neardup.one_of_each(docs, width=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which no window of the benchmark occurs."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with surrogates for their entities."""
+    return pii.replaced(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document's text and the digest of the bytes decoded from them."""
+    return byte_bpe.digests(docs, *byte_bpe.vocabulary())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii_surrogates", pii_surrogates),
+    ("byte_level_bpe", tokens),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each is written as Parquet and read again by the next one."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
