@@ -13,9 +13,11 @@ from .language import identified
 from .neardup import near_duplicates
 from .pii import replaced
 from .quality import quality_verdicts
+from .repeats import repeats
 from .tables import table
 from .token_files import round_trip
 from .toxicity import toxicity
+from .urls import judged
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +40,11 @@ def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return judged(table(spark, sf_dir, "pages"), "page_id")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -48,6 +55,11 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of every document that repeat across documents."""
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     return quality_verdicts(table(spark, sf_dir, "documents"), "doc_id")
@@ -63,8 +75,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_language_id": op3_language_id,
     "op4_token_id_files": op4_token_id_files,
+    "op5_url_filters": op5_url_filters,
     "op6_toxicity": op6_toxicity,
     "op7_pii_surrogates": op7_pii_surrogates,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_level_bpe": op10_byte_level_bpe,
 }
