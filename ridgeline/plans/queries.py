@@ -1,15 +1,336 @@
-"""The registered queries of the trail operators."""
+"""The registered queries of the trail operators, over tables derived from the star schema."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geo, numbers, text
+from ..operators import assembly, checks, graph, nearest, routing, search, store
+from ..sources import documents, osm
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lat(key: Column) -> Column:
+    return F.lit(49.15) + (key * 37 % 1000) * 0.00021
+
+
+def _lng(key: Column) -> Column:
+    return F.lit(19.70) + (key * 91 % 1000) * 0.00045
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    return _table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("n"), key).alias("id"), F.col("n_name").alias("name"), F.lit("waypoint").alias("type"), _lat(key).alias("lat"), _lng(key).alias("lng"),
+        (key * 10).cast("double").alias("elevation"), key.cast("long").alias("ord"),
+    )
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's three rarest trade partners as edges."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    buyers = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("a"))
+    sellers = _table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("b"))
+    n = lines.join(sellers, F.col("l_suppkey") == F.col("s_suppkey")).join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    few = n.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("n", "b"))).filter("r <= 3")
+    geometry = F.when(F.col("n") % 2 == 1, F.array(F.array(_lat(F.col("a")), _lng(F.col("a"))), F.array(_lat(F.col("a") + F.col("b")), _lng(F.col("a") + F.col("b"))), F.array(_lat(F.col("b")), _lng(F.col("b")))))
+    return few.select(
+        F.concat(F.lit("n"), "a").alias("src"), F.concat(F.lit("n"), "b").alias("dst"), ((F.col("n") % 17 + 1) / 2.0).cast("string").alias("distance_km"),
+        (F.col("n") % 23 + 5).cast("string").alias("time_min"), (F.col("n") % 7 * 10).cast("string").alias("elevation_gain_m"),
+        F.when(F.col("n") % 5 == 0, "unknown").otherwise((F.col("n") % 6 + 1).cast("string")).alias("difficulty"), geometry.alias("geometry"), (F.col("a") * 25 + F.col("b")).cast("long").alias("ord"),
+    )
+
+
+def _requests(spark: SparkSession, sf_dir: str, criterion: str | None = None) -> DataFrame:
+    a, b = (_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias(x)) for x in "ab")
+    kinds = F.array(*map(F.lit, numbers.CRITERIA))
+    pick = F.lit(criterion) if criterion else F.element_at(kinds, ((F.col("a") + F.col("b")) % 4 + 1).cast("int"))
+    ends = a.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(24))))
+    return ends.join(b, "b", "left_semi").select((F.col("a") * 100 + F.col("b")).cast("long").alias("req_id"), F.concat(F.lit("n"), "a").alias("start"), F.concat(F.lit("n"), "b").alias("end"), pick.alias("criterion"))
+
+
+def _answers(spark: SparkSession, sf_dir: str, criterion: str | None = None) -> DataFrame:
+    out = routing.solve(_requests(spark, sf_dir, criterion), _links(spark, sf_dir))
+    return out.withColumn("path", F.array_join("path", ","))
 
 
 def route_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch of route requests."""
-    raise NotImplementedError
+    """Every pair of nations as a route request, under four criteria in turn."""
+    return _answers(spark, sf_dir)
+
+
+def _by_criterion(criterion: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _answers(spark, sf_dir, criterion).select("req_id", "status", "route_weight", "path")
+
+
+def weights_by_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").withColumns({
+        "distance_km": F.col("l_quantity").cast("string"), "time_min": F.concat(F.lit(" "), F.col("l_linenumber") * 10), "elevation_gain_m": (F.col("l_tax") * 100).cast("string"),
+        "difficulty": F.when(F.col("l_linenumber") % 4 == 0, "unknown").otherwise(F.col("l_linenumber").cast("string")),
+    })
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(w, 6).alias(f"w_{k}") for k, w in numbers.edge_weights().items()])
+
+
+def dirty_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
+    dirty = F.when(kind == "signup", F.lit(None).cast("string")).when(kind == "error", " Unknown ").when(kind == "click", F.concat(F.lit(" \t"), k, F.lit(" "))).when(kind == "view", F.concat(F.lit("1_"), k, F.lit(".5"))).otherwise(F.concat(k, F.lit("d")))
+    return _table(spark, sf_dir, "events").select("event_id", numbers.as_number(dirty, 7).alias("n"))
+
+
+def scalar_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    scale = F.element_at(F.array(*map(F.lit, (*numbers.SAC_SCALE, "other"))), (key % 7 + 1).cast("int"))
+    preference = F.element_at(F.array(*map(F.lit, ("shortest", "fastest", "easy", "balanced", ""))), (key % 5 + 1).cast("int"))
+    criterion = F.element_at(F.array(*map(F.lit, numbers.CRITERIA)), (key % 4 + 1).cast("int"))
+    return _table(spark, sf_dir, "part").select(
+        "p_partkey", numbers.sac_difficulty(scale).alias("difficulty"), text.preferred_criterion(preference, F.lit("elevation")).alias("preferred"), text.criterion_label(criterion).alias("label"),
+        text.minutes_text(size * 7).alias("minutes"), numbers.walking_minutes(size * 250, key % 900 - 100).alias("walking"), numbers.flat_minutes(size / 8.0).alias("flat"),
+        numbers.ascent(F.lit(10.0), size / 2.0).alias("ascent"), text.shown_elevation(size % 3).alias("elevation"), text.shown_type(F.when(key % 2 == 0, "").otherwise(F.col("p_type"))).alias("kind"),
+        text.one_decimal(F.col("p_retailprice")).alias("price"), numbers.height_or_null(F.when(key % 3 == 0, "").otherwise(size.cast("string"))).alias("height"),
+        text.joined_names(F.split("p_name", " ")).alias("arrows"), text.osm_id(F.lit("node"), key).alias("node"),
+        text.point_name(F.when(key % 2 == 0, "").otherwise(F.col("p_name")), F.lit(None), F.when(key % 4 == 0, F.col("p_brand")), key.cast("string")).alias("name"),
+        text.is_generic(F.when(key % 3 == 0, F.concat(F.lit(" punkt "), key)).otherwise(F.col("p_name"))).alias("generic"),
+    )
+
+
+def folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents without accents, counted."""
+    lines = _table(spark, sf_dir, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    return lines.select(text.fold_text(F.col("line")).alias("folded")).groupBy("folded").agg(F.count(F.lit(1)).alias("n"))
+
+
+def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    lat, latitude = F.when(key % 3 == 0, "0").when(key % 3 == 1, _lat(key).cast("string")), F.when(key % 2 == 0, _lat(key).cast("string"))
+    lng = F.when(key % 7 == 0, "x").otherwise(_lng(key).cast("string"))
+    server, client = geo.server_position([lat, latitude], [lng]), geo.client_position([lat, latitude], [lng])
+    listed = geo.list_position(F.when(key % 5 == 0, F.array(lat)).otherwise(F.array(lat, lng)))
+    r = lambda c: F.round(c, 6)
+    return _table(spark, sf_dir, "customer").select("c_custkey", r(server["lat"]).alias("s_lat"), r(server["lng"]).alias("s_lng"), r(client["lat"]).alias("c_lat"), r(client["lng"]).alias("c_lng"), r(listed["lat"]).alias("l_lat"), r(listed["lng"]).alias("l_lng"))
+
+
+def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "supplier").join(_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    s, n = F.col("s_suppkey"), F.col("n_nationkey")
+    return rows.select("s_suppkey", F.round(geo.haversine_km(_lat(s), _lng(s), _lat(n), _lng(n)), 6).alias("km"))
+
+
+def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    points = _table(spark, sf_dir, "customer").select(c.cast("string").alias("id"), _lat(c).alias("lat"), _lng(c).alias("lng"), F.when(c % 3 == 0, F.concat(F.lit("s"), c % 100)).otherwise("").alias("nearest_routing_node_id"))
+    nodes = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), s).alias("id"), _lat(s + 5).alias("lat"), _lng(s * 3).alias("lng"), s.alias("ord"))
+    return points, nodes
+
+
+def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, nodes = _places(spark, sf_dir)
+    return nearest.nearest(points, nodes).select("id", "node_id", F.round("km", 6).alias("km"))
+
+
+def resolve_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, nodes = _places(spark, sf_dir)
+    return nearest.resolved(points.withColumn("key", F.col("id")).drop("id"), nodes, "key")
+
+
+def relinked_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, nodes = _places(spark, sf_dir)
+    return nearest.relinked(points, nodes).select("id", "nearest_routing_node_id", "distance_to_trail_m")
+
+
+def _ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as ways through their parts."""
+    line = F.struct("l_linenumber", "l_partkey")
+    return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("way")).agg(F.sort_array(F.collect_list(line))["l_partkey"].alias("nodes"))
+
+
+def way_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return osm.way_segments(_ways(spark, sf_dir)).select("way", "seg", "a", "b")
+
+
+def undirected_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = osm.way_segments(_ways(spark, sf_dir)).select("way", "seg", F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"))
+    return graph.first_edges(found, "way", "seg").select("lo", "hi", "way", "seg")
+
+
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as nodes and orders as ways of a map extract; every tenth part's position is unknown to it."""
+    key, order = F.col("p_partkey"), F.col("way")
+    kinds = lambda k: F.element_at(F.array(*map(F.lit, ("path", "footway", "road", "track", "motorway"))), (k % 5 + 1).cast("int"))
+    nodes = _table(spark, sf_dir, "part").withColumn("known", key % 10 != 3).select(F.when(F.col("known"), "node").otherwise("relation").alias("type"), key.alias("id"), _lat(key).alias("lat"), _lng(key).alias("lon"), F.lit(None).cast("array<bigint>").alias("nodes"), F.create_map(F.lit("name"), F.col("p_name"), F.lit("ele"), F.concat(F.col("p_size"), F.lit(".5"))).alias("tags"), key.alias("ord"))
+    tags = F.create_map(F.lit("highway"), kinds(order), F.lit("sac_scale"), F.element_at(F.array(*map(F.lit, (*numbers.SAC_SCALE, "x"))), (order % 7 + 1).cast("int")))
+    ways = _ways(spark, sf_dir).select(F.lit("way").alias("type"), order.alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), "nodes", tags.alias("tags"), (order + 100_000_000).alias("ord"))
+    return nodes.unionByName(ways)
+
+
+def full_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges = osm.full_map(_elements(spark, sf_dir))
+    return edges.select("src", "dst", F.col("distance_km").alias("km"), F.col("time_min").alias("minutes"), "elevation_gain_m", "difficulty", "osm_way_id", F.size("geometry").alias("n_positions"))
+
+
+def full_map_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _ = osm.full_map(_elements(spark, sf_dir))
+    return nodes.select("id", "name", "type", F.round("lat", 6).alias("lat"), "elevation")
+
+
+def walk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges = osm.walk_map(_elements(spark, sf_dir))
+    return edges.select(F.col("ord.way_ord").alias("way"), F.col("ord.seg").alias("seg"), "src", "dst", F.col("distance_km").alias("km"), "elevation_gain_m", "difficulty")
+
+
+def bbox_tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    highway = F.element_at(F.array(*map(F.lit, ("path", "footway", "road", "tracks", "motorway"))), (key % 5 + 1).cast("int"))
+    access = F.when(F.col("p_size") % 4 == 0, "private").when(F.col("p_size") % 4 == 1, "yes").when(F.col("p_size") % 4 == 2, "no")
+    kept = osm.in_box(_lat(key) + 0.05, _lng(key)) & osm.trail_tags(highway, access, F.when(key % 7 == 0, "hiking"))
+    return _table(spark, sf_dir, "part").select("p_partkey", kept.alias("trail"), osm.walk_tags(highway, access).alias("walk"))
+
+
+def _buying(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes = _table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name"), _lat(F.col("c_custkey")).alias("lat"), _lng(F.col("c_custkey")).alias("lng"), F.col("c_custkey").alias("ord"))
+    edges = _table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("c"), F.col("o_orderkey") % 3000).alias("dst"), F.col("o_orderkey").alias("ord"))
+    return nodes, edges
+
+
+def used_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.used_nodes(*_buying(spark, sf_dir)).select("id").orderBy("id")
+
+
+def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.isolated_nodes(*_buying(spark, sf_dir)).select("id")
+
+
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.graph_counts(*_buying(spark, sf_dir))
+
+
+def drawn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _buying(spark, sf_dir)
+    r = lambda c: F.round(c, 6).alias(c)
+    return graph.drawn_edges(edges, nodes).select("ord", "src", "dst", r("src_lat"), r("src_lng"), r("dst_lat"), r("dst_lng"))
+
+
+def adjacency_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.adjacency(_buying(spark, sf_dir)[1]).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as routes through parts, with an end point before and behind."""
+    routes = _ways(spark, sf_dir).select(F.col("way").alias("req_id"), F.col("nodes").cast("array<string>").alias("path"))
+    key = F.col("p_partkey")
+    nodes = _table(spark, sf_dir, "part").filter("p_size > 5").select(key.cast("string").alias("id"), F.col("p_name").alias("name"), F.lit("waypoint").alias("type"), _lat(key).alias("lat"), _lng(key).alias("lng"), F.lit(0.0).alias("elevation"), key.alias("ord"))
+    ends = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("req_id"), F.inline(F.array(F.struct(F.lit(False).alias("last"), F.lit("a").alias("id")), F.struct(F.lit(True).alias("last"), F.lit("z").alias("id")))))
+    ends = ends.withColumns({"name": F.lit("end"), "type": F.lit("poi"), "lat": F.lit(0.0), "lng": F.lit(0.0), "elevation": F.lit(0.0)})
+    return assembly.route_points(routes, ends, nodes).select("req_id", "place", "id", "name")
+
+
+def route_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks over each nation and the next two, along the links there are."""
+    key = F.col("n_nationkey")
+    step = lambda k: F.concat(F.lit("n"), (key + k) % 25)
+    routes = _table(spark, sf_dir, "nation").select(key.alias("req_id"), F.array(step(0), step(1), step(2), step(7)).alias("path"))
+    found = assembly.route_positions(routes, _links(spark, sf_dir), _nations(spark, sf_dir))
+    return found.select("req_id", "place", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
+def consecutive_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
+    return assembly.without_repeats(rows, "user_id", "at", F.col("event_type")).select("event_id", "user_id", "event_type")
+
+
+def characteristic_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("event_type") == "view", F.concat(F.lit("Punkt "), F.get_json_object("props", "$.k"))).when(F.col("event_type") == "click", " ").otherwise(F.concat("event_type", F.lit(" "), F.floor(F.col("value") / 20)))
+    rows = _table(spark, sf_dir, "events").withColumns({"name": name, "place": F.struct("ts", "event_id")})
+    return assembly.characteristic_points(rows, "user_id", "place").select("user_id", "event_id", "name")
+
+
+def path_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the parts and suppliers on every line."""
+    path = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("req_id"), F.col("l_linenumber").alias("place"), F.col("l_partkey").alias("id"))
+    points = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("ord"))
+    nodes = _table(spark, sf_dir, "part").filter("p_size > 10").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
+    return assembly.path_points(path, points, nodes).select("req_id", "place", "id", "name")
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select((F.col("p_partkey") % 1500).cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_partkey").alias("ord"))
+
+
+def unique_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.unique_points(_points(spark, sf_dir)).select("id", "name", "ord")
+
+
+def search_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.suggestions(_points(spark, sf_dir), " Réd ").select("id", "name", "type")
+
+
+def route_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _buying(spark, sf_dir)
+    requests = edges.select(F.col("ord").alias("req_id"), F.when(F.col("ord") % 11 == 0, "").otherwise(F.col("src")).alias("start"), F.col("dst").alias("end"))
+    return checks.route_status(requests, nodes, nodes).select("req_id", "code")
+
+
+def unique_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.concat_ws("@", "c_mktsegment", "c_nationkey").alias("email"))
+    users = _table(spark, sf_dir, "nation").select(F.concat(F.lit("BUILDING@"), "n_nationkey").alias("email"), F.col("n_nationkey").cast("long").alias("id")).filter("id < 5")
+    return store.insert_users(users, batch).select("id", "email", "ord")
+
+
+def verified_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("email"), F.sha2(F.concat("c_name", F.lit("!")), 256).alias("password_hash"))
+    tries = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Customer#"), F.lpad((F.col("o_custkey") * 2).cast("string"), 9, "0")).alias("email"), F.col("o_orderstatus").alias("s"))
+    tries = tries.withColumn("password", F.when(F.col("s") == "F", "bad").otherwise(F.concat("email", F.lit("!"))))
+    return store.verified(users, tries, F.col("password_hash") == F.sha2("password", 256)).select("o_orderkey", "user_id", "ok")
+
+
+def favorites_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("route_name"), F.col("o_totalprice").alias("distance_km"), F.col("o_orderdate").alias("created_at"))
+    return store.favourites_of(rows, 7).select("id", "user_id", "route_name", "distance_km", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    height = F.when(F.col("event_type") == "error", "").otherwise(F.get_json_object("props", "$.k"))
+    return store.profile_updates(_table(spark, sf_dir, "events").select("user_id", height.alias("height_cm"), F.nullif("event_type", F.lit("view")).alias("experience_level"), F.lit("easy").alias("route_preference"), F.struct("ts", "event_id").alias("updated_at")))
+
+
+def profile_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.latest(_profiles(spark, sf_dir), "user_id", "updated_at").select("user_id", "height_cm", "experience_level", "route_preference")
+
+
+def profile_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return store.profiles_of(users, _profiles(spark, sf_dir))
+
+
+def orphan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    return store.without_orphans(_table(spark, sf_dir, "events").select("event_id", "user_id"), users)
+
+
+def normalize_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as JSON in five shapes of container."""
+    key = F.col("n_nationkey")
+    item = F.to_json(F.struct(F.col("n_name").alias("name"), key.cast("double").alias("lat")))
+    own = F.to_json(F.struct(F.lit("own").alias("id"), F.col("n_name").alias("name"), key.cast("double").alias("lat")))
+    shapes = F.element_at(F.array(
+        F.concat(F.lit("["), own, F.lit(","), item, F.lit(",3]")), F.concat(F.lit('{"points":['), own, F.lit("]}")), F.concat(F.lit('{"nodes":{"k":'), item, F.lit(',"l":'), own, F.lit("}}")),
+        F.concat(F.lit('{"k":'), item, F.lit(',"v":3}')), F.lit('"text"'),
+    ), (key % 5 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "nation").select("n_nationkey", shapes.alias("value"))
+    return documents.collection(rows, "value", "id STRING, name STRING, lat DOUBLE", "points", "nodes").select("n_nationkey", "ord", "id", "name", "lat")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "route_batch": route_batch,
+    **{f"shortest_path_{c}": _by_criterion(c) for c in numbers.CRITERIA},
+    **{f.__name__: f for f in (
+        weights_by_criterion, dirty_number, scalar_expressions, folded_words, coordinates, haversine_pairs, nearest_node, resolve_node, relinked_points, way_segments, undirected_dedup, full_map, full_map_nodes, walk_map,
+        bbox_tag_filter, used_nodes, isolated_nodes, graph_counts, drawn_edges, adjacency_degree, route_points, route_positions, consecutive_runs, characteristic_points, path_points, unique_points, search_points,
+        route_status, unique_insert, verified_logins, favorites_by_user, profile_upsert, profile_view, orphan_rows, normalize_collection,
+    )},
+}
