@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .byte_bpe import op10
 from .decontaminate import contamination
 from .language import identified
 from .neardup import near_duplicates
+from .oracles import ORACLES
 from .pii import replaced
 from .quality import quality_verdicts
 from .repeats import repeats
@@ -19,6 +19,8 @@ from .token_files import round_trip
 from .toxicity import toxicity
 from .urls import judged
 
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark windows that occur in every document."""
@@ -82,5 +84,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_level_bpe": op10_byte_level_bpe,
 }
-
-ORACLES: dict[str, str] = {}
