@@ -229,6 +229,8 @@ def write_files(docs: DataFrame, path: str, folder: str) -> list[tuple[int, int,
 
 def read_files(spark: SparkSession, folder: str, parts: list[tuple[int, int, int]]) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in the token files of ``folder``; ids as little-endian unsigned 32-bit integers."""
+    if not parts:
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
     starts, total = [], 0
     for part, _, n in sorted(parts):
         starts.append((part, total))
