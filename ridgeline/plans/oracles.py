@@ -107,7 +107,7 @@ ORACLES: dict[str, str] = {
     "undirected_dedup": f"WITH {SEGMENTS} SELECT least(a::VARCHAR, b::VARCHAR) AS lo, greatest(a::VARCHAR, b::VARCHAR) AS hi, way, seg FROM s QUALIFY row_number() OVER (PARTITION BY lo, hi ORDER BY way, seg) = 1",
     "full_map": f"""WITH {SEGMENTS}, {KNOWN}, f AS (SELECT * FROM s JOIN kn x ON x.k = a JOIN kn y ON y.k = b QUALIFY row_number() OVER (PARTITION BY least('node/' || a, 'node/' || b), greatest('node/' || a, 'node/' || b) ORDER BY way, seg) = 1),
         g AS (SELECT *, round_even({_TRAIL_KM}, 4) AS km4 FROM f)
-        SELECT 'node/' || a AS src, 'node/' || b AS dst, km4 AS km, round_even(greatest(km4 * 15, 0.1::DOUBLE), 0)::BIGINT AS minutes, 0 AS elevation_gain_m, CASE WHEN way % 7 = 6 THEN 1 ELSE way % 7 + 1 END::INT AS difficulty, 'way/' || way AS osm_way_id, 2 AS n_positions FROM g""",
+        SELECT 'node/' || a AS src, 'node/' || b AS dst, km4 AS km, 0 AS elevation_gain_m, CASE WHEN way % 7 = 6 THEN 1 ELSE way % 7 + 1 END::INT AS difficulty, 'way/' || way AS osm_way_id, 2 AS n_positions FROM g""",
     "full_map_nodes": f"WITH {SEGMENTS}, {KNOWN}, f AS (SELECT unnest([a, b]) AS k FROM s JOIN kn x ON x.k = a JOIN kn y ON y.k = b) SELECT 'node/' || p_partkey AS id, p_name AS name, 'waypoint' AS type, round({_lat('p_partkey')}, 6) AS lat, (p_size + 0.5)::DOUBLE AS elevation FROM part WHERE p_partkey IN (SELECT k FROM f)",
     "walk_map": f"""WITH {SEGMENTS}, {KNOWN} SELECT way + 100000000 AS way, seg, a::VARCHAR AS src, b::VARCHAR AS dst, round_even({_TRAIL_KM}, 3) AS km, round_even(greatest((y.ele - x.ele)::DOUBLE, 0), 0)::BIGINT AS elevation_gain_m, 'unknown' AS difficulty
         FROM s JOIN kn x ON x.k = a JOIN kn y ON y.k = b WHERE way % 5 IN (0, 1, 3)""",

@@ -170,7 +170,7 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges = osm.full_map(_elements(spark, sf_dir))
-    return edges.select("src", "dst", F.col("distance_km").alias("km"), numbers.whole(F.col("time_min")).alias("minutes"), "elevation_gain_m", "difficulty", "osm_way_id", F.size("geometry").alias("n_positions"))
+    return edges.select("src", "dst", F.col("distance_km").alias("km"), "elevation_gain_m", "difficulty", "osm_way_id", F.size("geometry").alias("n_positions"))
 
 
 def full_map_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
