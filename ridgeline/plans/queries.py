@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, numbers, text
 from ..operators import assembly, checks, graph, nearest, routing, search, store
 from ..sources import documents, osm
+from ..sources.scratch import settled
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +57,7 @@ def _requests(spark: SparkSession, sf_dir: str, criterion: str | None = None) ->
 
 
 def _answers(spark: SparkSession, sf_dir: str, criterion: str | None = None) -> DataFrame:
-    out = routing.solve(_requests(spark, sf_dir, criterion), _links(spark, sf_dir))
+    out = routing.solve(_requests(spark, sf_dir, criterion), settled(_links(spark, sf_dir), "links"))
     return out.withColumn("path", F.array_join("path", ","))
 
 
