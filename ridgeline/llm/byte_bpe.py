@@ -28,7 +28,7 @@ from . import kernels
 from .pretokens import byte_level_spans, code_points, strings
 
 #: Bytes of text in a block.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -96,7 +96,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
     done, block = 0, Block()
     place = np.uint64(TaskContext.get().partitionId() << 24)
     for batch in batches:
-        for part in kernels.chunks(batch):
+        for part in kernels.chunks(batch, limit=1 << 20):
             block.add(part)
             if block.size >= BLOCK:
                 yield int(kernels.mixed((block.key + place + np.uint64(done)).reshape(1)).view(np.int64)[0]), block
@@ -105,16 +105,39 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
         yield int(kernels.mixed((block.key + place + np.uint64(done)).reshape(1)).view(np.int64)[0]), block
 
 
-def block_words(docs: DataFrame) -> DataFrame:
-    """(word, block, number): the distinct words of every block."""
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit values, byte plane by byte plane, compressed."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    """The n values of ``packed``."""
+    planes = pa.decompress(data, 4 * n, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def block_words(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, n, numbers, lengths, size, words): the distinct words of every block, dealt to buckets by their hash.
+
+    The words of a bucket travel as one compressed text with the lengths of the words and their numbers in the block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, block in blocks(batches):
-            for begin in range(0, len(block.words), 100_000):
-                words = block.words[begin : begin + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.full(len(words), key)), pa.array(np.arange(begin, begin + len(words), dtype=np.int32))], ["word", "block", "number"])
-
-    return docs.mapInArrow(run, "word string, block long, number int")
+            where = np.fromiter(block.numbers, np.uint64, len(block.numbers)) % np.uint64(buckets)
+            order = np.argsort(where, kind="stable")
+            edges = np.searchsorted(where[order], np.arange(buckets + 1))
+            rows = []
+            for bucket in np.flatnonzero(np.diff(edges)).tolist():
+                own = order[edges[bucket] : edges[bucket + 1]]
+                words = [block.words[i].encode() for i in own.tolist()]
+                text = b"".join(words)
+                gaps = packed(np.diff(own, prepend=0))
+                rows.append((bucket, key, len(own), gaps, packed(np.array([len(w) for w in words])), len(text), pa.compress(text, codec="zstd", asbytes=True)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["bucket", "block", "n", "numbers", "lengths", "size", "words"])
+
+    return docs.mapInArrow(run, "bucket long, block long, n long, numbers binary, lengths binary, size long, words binary")
 
 
 def block_places(docs: DataFrame) -> DataFrame:
@@ -125,43 +148,38 @@ def block_places(docs: DataFrame) -> DataFrame:
         for key, block in blocks(batches):
             rows = pa.concat_arrays(block.rows)
             places = np.concatenate(block.places).astype(np.uint32)
-            packed = pa.compress(np.ascontiguousarray(places.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
-            row = [pa.array([key], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([np.concatenate(block.counts)], pa.list_(pa.int64())), pa.array([packed], pa.binary())]
+            row = [pa.array([key], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([np.concatenate(block.counts)], pa.list_(pa.int64())), pa.array([packed(places)], pa.binary())]
             yield pa.RecordBatch.from_arrays(row, ["block", "ids", "counts", "places"])
 
     return docs.mapInArrow(run, f"block long, ids array<{kind}>, counts array<long>, places binary")
 
 
 def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(block, numbers, sizes, tokens): the ids of the words, packed by block; each distinct word is encoded once.
+    """(block, n, numbers, sizes, tokens): the ids of the words of every block, each distinct word encoded once.
 
-    The rows come sorted by word, so a task holds one word at a time beside what it packs.
+    A word's bucket goes to one task, which keeps the ids of the words it has met; its share of the distinct words shrinks
+    with the number of shuffle partitions.
     """
 
-    def packed(key: int, held: tuple[list[int], list[int], list[int]]) -> pa.RecordBatch:
-        row = [pa.array([key], pa.int64()), *[pa.array([np.array(x, kind).tobytes()], pa.binary()) for x, kind in zip(held, (np.int32, np.uint16 if max(held[1]) < 65536 else np.uint32, np.uint32), strict=True)]]
-        row[3] = pa.array([pa.compress(np.ascontiguousarray(np.array(held[2], np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)], pa.binary())
-        return pa.RecordBatch.from_arrays(row, ["block", "numbers", "sizes", "tokens"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path, pattern)._encode_single_piece
-        held: dict[int, tuple[list[int], list[int], list[int]]] = {}
-        word, ids, n = None, [], 0
+        piece = _encoder(path, pattern)._encode_single_piece
+        known: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            for now, key, number in zip(batch.column("word").to_pylist(), batch.column("block").to_pylist(), batch.column("number").to_pylist(), strict=True):
-                if now != word:
-                    word, ids = now, encode(now)
-                numbers, sizes, tokens = held.setdefault(key, ([], [], []))
-                numbers.append(number)
-                sizes.append(len(ids))
-                tokens.extend(ids)
-            n += batch.num_rows
-            if n > 500_000:
-                yield from (packed(k, x) for k, x in held.items())
-                held, n = {}, 0
-        yield from (packed(k, x) for k, x in held.items())
-
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, numbers binary, sizes binary, tokens binary")
+            for row in batch.to_pylist():
+                text, ends = pa.decompress(row["words"], row["size"], codec="zstd", asbytes=True) if row["size"] else b"", np.cumsum(unpacked(row["lengths"], row["n"]))
+                ids, at = [], 0
+                for end in ends.tolist():
+                    word = text[at:end]
+                    found = known.get(word)
+                    if found is None:
+                        found = known[word] = np.array(piece(word), np.uint32)
+                    ids.append(found)
+                    at = end
+                sizes, tokens = np.array([len(x) for x in ids]), np.concatenate(ids)
+                columns = [pa.array([row["block"]], pa.int64()), pa.array([row["n"]], pa.int64()), *[pa.array([x], pa.binary()) for x in (row["numbers"], packed(sizes), packed(tokens))]]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "n", "numbers", "sizes", "tokens"])
+
+    return words.repartition("bucket").mapInArrow(run, "block long, n long, numbers binary, sizes binary, tokens binary")
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -173,17 +191,14 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def together(places: pa.Table, words: pa.Table) -> pa.Table:
         if places.num_rows != 1:
             raise ValueError("the two passes over the input saw different rows")
-        planes = pa.decompress(places.column("places")[0].as_buffer(), int(sum(places.column("counts")[0].as_py())) * 4, codec="zstd") if sum(places.column("counts")[0].as_py()) else b""
-        which = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
-        counts = np.array(places.column("counts")[0].as_py(), np.int64)
-        numbers, sizes, tokens = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-        for row in words.select(["numbers", "sizes", "tokens"]).to_pylist():
-            n = np.frombuffer(row["numbers"], np.int32)
-            size = np.frombuffer(row["sizes"], np.uint16 if len(row["sizes"]) == 2 * len(n) else np.uint32).astype(np.int64)
-            planes = pa.decompress(row["tokens"], int(size.sum()) * 4, codec="zstd")
-            numbers.append(n)
-            sizes.append(size)
-            tokens.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1))
+        counts = places.column("counts").combine_chunks().flatten().to_numpy()
+        which = unpacked(places.column("places")[0].as_py(), int(counts.sum()))
+        numbers, sizes, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for i in range(words.num_rows):
+            n, gaps, size, token = (words.column(c)[i].as_py() for c in ("n", "numbers", "sizes", "tokens"))
+            numbers.append(np.cumsum(unpacked(gaps, n), dtype=np.int64))
+            sizes.append(unpacked(size, n).astype(np.int64))
+            tokens.append(unpacked(token, int(sizes[-1].sum())))
         numbers, sizes, tokens = np.concatenate(numbers), np.concatenate(sizes), np.concatenate(tokens)
         if len(numbers) != (int(which.max()) + 1 if len(which) else 0):
             raise ValueError("the two passes over the input saw different words")
@@ -200,7 +215,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             out.append(ids.astype("<u4").tobytes())
         return pa.table([places.column("ids").combine_chunks().flatten(), pa.array(n_tokens, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    words = encoded_words(block_words(rows), path, pattern)
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = encoded_words(block_words(rows, buckets), path, pattern)
     return block_places(rows).groupBy("block").cogroup(words.groupBy("block")).applyInArrow(together, schema)
 
 

@@ -61,7 +61,7 @@ def span_hashes(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.n
     """A 64-bit hash of codes[begin:end] for each span; equal spans have equal hashes wherever they are."""
     n = len(codes)
     if len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK * 2)
+        size = max(n + 1, CHUNK)
         _powers[:] = [np.concatenate(([np.uint64(1)], np.full(size, f))).cumprod(dtype=np.uint64) for f in (_MUL, _INV)]
     values = _BYTE[codes] if codes.dtype == np.uint8 else mixed(codes.astype(np.uint64) + np.uint64(SEED))
     sums = np.concatenate(([np.uint64(0)], np.cumsum(values * _powers[0][:n], dtype=np.uint64)))
