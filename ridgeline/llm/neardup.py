@@ -8,8 +8,8 @@ from the root down, both sides at once, and a pair is dropped when the largest p
 sizes are too far apart, or when all of it is one component already. What is left is compared exactly, set by set.
 
 The order takes rare tokens first (frequent ones, counted over all documents, come last), so tokens of passages that many
-documents share root no large trees; and a first round of links to one hub of each tree leaves large groups of near copies
-as one component, which the walk then skips. No link between different components is lost.
+documents share root no large trees; and rounds of links to one hub of each tree leave large groups of near copies as
+one component, which the walk then skips (three rounds, each with other hubs). No link between different components is lost.
 
 Edge cases: null and empty texts, and texts of blanks, have the empty set and no links; repeated rows are one class; a row
 without an id never names a component if another row of it has an id; an empty table gives an empty result; further
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -36,6 +36,8 @@ PERCENT = 85
 LONGS = 16
 #: Tokens that more documents than this hold are ordered last, the most frequent at the end; at most so many are told apart.
 FREQUENT, MOST_FREQUENT = 24, 1 << 18
+#: Rounds of links to hubs before the trees are walked.
+HUB_ROUNDS = 3
 #: Trees of at most this many classes are one leaf.
 LEAF = 64
 #: Bits of the filters that say which tokens are shared and which documents are wanted.
@@ -246,13 +248,9 @@ def roomy(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return both.select("x.a", "x.b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
 
 
-def linked(pairs: DataFrame, docs: DataFrame, info: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) of classes that are similar enough, compared set by set.
-
-    The texts of one document of each class travel compressed, which is less than their sets would take.
-    """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    wanted = written(ends.join(info.select("c", "k"), "c"), "wanted")
+def packed_texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(c, packed, size): the compressed text of one document of each of ``classes`` (c, k)."""
+    wanted = written(classes, "wanted")
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "k"))
 
     def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,31 +260,54 @@ def linked(pairs: DataFrame, docs: DataFrame, info: DataFrame, width: int, perce
             sizes = pc.binary_length(own.column("text")).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([own.column("k"), pa.array(packed, pa.binary()), sizes], ["k", "packed", "size"])
 
+    texts = docs.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("k"), "text").mapInArrow(carried, "k long, packed binary, size long")
+    return written(texts.join(wanted, "k").dropDuplicates(["c"]).select("c", "packed", "size"), "texts")
+
+
+def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are similar enough, compared set by set; the sets are made from the texts."""
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
 
-        def tokens(c: int, packed: bytes, size: int) -> np.ndarray:
+        def tokens(packed: bytes, size: int) -> np.ndarray:
             return next(shingle_sets(pa.array([pa.decompress(packed, size, codec="zstd", asbytes=True).decode()], pa.large_string()), width))
 
         for batch in batches:
             out = []
             for a, b, pa_, pb, sa, sb in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "pa", "pb", "sa", "sb")], strict=True):
                 if a not in held:  # rows come sorted by a
-                    held = {a: tokens(a, pa_, sa)}
-                x, y = held[a], tokens(b, pb, sb)
+                    held = {a: tokens(pa_, sa)}
+                x, y = held[a], tokens(pb, sb)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    texts = docs.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("k"), "text").mapInArrow(carried, "k long, packed binary, size long")
-    texts = texts.join(wanted, "k").dropDuplicates(["c"])
-    texts = written(texts.select("c", "packed", "size"), "texts")
+    bits = texts.sparkSession.sparkContext.broadcast(bit_filter(pairs.select(F.explode(F.array("a", "b")).alias("c")), "c"))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(hits(bits.value, batch.column("c").to_numpy(zero_copy_only=False))))
+
+    texts = texts.mapInArrow(asked, texts.schema)  # of the texts only those of the pairs are shuffled
     one = pairs.join(texts.select(F.col("c").alias("b"), F.col("packed").alias("pb"), F.col("size").alias("sb")), "b")
     both = one.join(texts.select(F.col("c").alias("a"), F.col("packed").alias("pa"), F.col("size").alias("sa")), "a")
     return both.select("a", "b", "pa", "pb", "sa", "sb").mapInArrow(compared, "a long, b long")
 
 
+def spokes(members: DataFrame, salt: int) -> DataFrame:
+    """(a, b): one pair for each class b that shares a tree with a hub of another component.
+
+    The hub of a tree is the class of which most first tokens are shared, as the original of edited copies is; in later
+    rounds a class of its largest component, another one each time. A class takes the hub with which it shares most trees.
+    """
+    rank = F.struct("share", "c") if not salt else F.struct("weight", F.xxhash64("c", F.lit(salt)), "c")
+    hubs = members.groupBy("token").agg(F.max(F.struct(rank.alias("r"), F.col("c").alias("hub"), F.col("comp").alias("other"))).alias("x")).select("token", "x.hub", "x.other")
+    common = members.join(hubs, "token").filter("comp <> other").groupBy("c", "hub").agg(F.count(F.lit(1)).alias("m"))
+    return common.groupBy("c").agg(F.max(F.struct("m", "hub"))["hub"].alias("a")).select("a", F.col("c").alias("b"))
+
+
 def similarity_classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The signatures of all documents, and (node, comp) of the classes that have links."""
     signed = written(signatures(docs, width), "signatures")
@@ -295,17 +316,26 @@ def similarity_classes(docs: DataFrame, width: int = SHINGLE, percent: int = PER
     if not info.filter("c2 <> d2").isEmpty():
         raise ValueError("two different sets of shingles have one 64-bit digest; change kernels.SEED")
     roots = written(prefixes(docs, shared_tokens(docs, width, percent), width, percent), "prefixes")
-    shared = roots.groupBy("token").agg(F.min("c").alias("hub"), F.max("c").alias("last")).filter("hub <> last").select("token", "hub")
-    members = written(roots.join(shared, "token").select("token", "c", "hub").distinct(), "members")
-    common = members.filter("c <> hub").groupBy("c", "hub").agg(F.count(F.lit(1)).alias("m"))
-    spokes = common.groupBy("c").agg(F.max(F.struct("m", "hub"))["hub"].alias("a")).select("a", F.col("c").alias("b"))
-    first = written(linked(written(roomy(spokes, info, percent), "spokes"), docs, info, width, percent), "spoke-links")
-    labels = components(first)
+    shared = roots.groupBy("token").agg(F.min("c").alias("first"), F.max("c").alias("last")).filter("first <> last").select("token")
+    members = written(roots.join(shared, "token").distinct(), "members")
+    first = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    shares = members.groupBy("c").agg(F.count(F.lit(1)).alias("m")).join(info.select("c", "k", "n"), "c").select("c", "k", (F.col("m") / first).alias("share"))
+    shares = written(shares, "shares")
+    texts = packed_texts(shares.select("c", "k"), docs)
+    links = labels = None
+    for round_ in range(HUB_ROUNDS):
+        names = shares.select("c", "share", F.col("c").alias("comp"), F.lit(1).cast("long").alias("weight"))
+        if labels is not None:
+            sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
+            found = labels.join(sizes, "comp").select(F.col("node").alias("c"), F.col("comp").alias("_comp"), F.col("weight").alias("_weight"))
+            names = names.join(found, "c", "left").select("c", "share", F.coalesce("_comp", "comp").alias("comp"), F.coalesce("_weight", "weight").alias("weight"))
+        tried = roomy(spokes(written(members.join(names, "c"), "named"), round_), info, percent)
+        new = written(linked(written(tried, "spokes"), texts, width, percent), "spoke-links")
+        links = new if links is None else links.unionByName(new)
+        labels = components(links)
     named = members.join(labels.withColumnRenamed("node", "c"), "c", "left").select("token", "c", F.coalesce("comp", "c").alias("comp"))
     rest = written(roomy(tree_pairs(written(named, "named"), info, percent), info, percent), "pairs")
-    second = linked(rest, docs, info, width, percent)
-    more = written(first.unionByName(second), "all-links")
-    return signed, components(more)
+    return signed, components(links.unionByName(linked(rest, texts, width, percent)))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -330,7 +360,5 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
     stay = written(stay.unionByName(found.filter("n_shingles = 0").select("k")).distinct(), "survivors").withColumnRenamed("k", "_k")
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("_key"), F.struct(*docs.columns).alias("_row"))
     kept = keyed.join(stay, F.col("_key") == F.col("_k"), "left_semi")
-    from pyspark.sql import Window
-
     first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
     return kept.withColumn("_n", first).filter("_n = 1").select("_row.*")
