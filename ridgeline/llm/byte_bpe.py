@@ -182,11 +182,15 @@ def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
     return words.repartition("bucket").mapInArrow(run, "block long, n long, numbers binary, sizes binary, tokens binary")
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): the ids of every text of docs (doc_id, text), as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids): the ids of every text of docs (doc_id, text), as little-endian unsigned 32-bit integers.
+
+    With ``decoded`` also the bytes that the ids stand for, looked up in the same step: a second one would keep another
+    Python worker beside each of these.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_k"), "text")
-    schema = f"doc_id {kind}, n_tokens long, ids binary"
+    schema = f"doc_id {kind}, n_tokens long, ids binary" + (", decoded binary" if decoded else "")
 
     def together(places: pa.Table, words: pa.Table) -> pa.Table:
         if places.num_rows != 1:
@@ -208,12 +212,15 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         flat = gathered(tokens, begins, order)
         offsets = np.concatenate(([0], np.cumsum(size_of)))
         edges = np.concatenate(([0], np.cumsum(counts)))
-        out, n_tokens = [], []
+        out, n_tokens, back = [], [], []
         for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             ids = gathered(flat, offsets, which[begin:end])
             n_tokens.append(len(ids))
             out.append(ids.astype("<u4").tobytes())
-        return pa.table([places.column("ids").combine_chunks().flatten(), pa.array(n_tokens, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            if decoded:
+                back.append(gathered(*_token_bytes(path), np.frombuffer(out[-1], "<u4")).tobytes())
+        columns = {"doc_id": places.column("ids").combine_chunks().flatten(), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(out, pa.binary())}
+        return pa.table(columns | ({"decoded": pa.array(back, pa.binary())} if decoded else {}))
 
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = encoded_words(block_words(rows, buckets), path, pattern)
@@ -229,15 +236,17 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, offsets = _token_bytes(path)
         for batch in batches:
-            out = [gathered(flat, offsets, np.frombuffer(x or b"", "<u4")).tobytes() for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                out = [gathered(flat, offsets, np.frombuffer(x or b"", "<u4")).tobytes() for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the sha256 digests of the ids and of the bytes decoded from them."""
-    back = decode(encode(docs, path, pattern), path)
+    back = encode(docs, path, pattern, decoded=True)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

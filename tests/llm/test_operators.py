@@ -244,6 +244,8 @@ def test_byte_bpe(docs, empty):
     want = [(i, len(encode(t or "")), sha(np.array(encode(t or ""), "<u4").tobytes()), sha((t or "").encode())) for i, t in DOCS]
     assert rows(byte_bpe.digests(docs.select("doc_id", "text"), path, pattern), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
     assert byte_bpe.digests(empty, path, pattern).count() == 0
+    back = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path)
+    assert sorted(bytes(r.decoded).decode() for r in back.collect()) == sorted(t or "" for _, t in DOCS)
 
 
 def test_pretokens():
