@@ -3,8 +3,10 @@
 Of each run of ``WINDOW`` word positions the one with the least hash of its words is kept (content decides, so equal
 passages keep the same positions); the suffixes at these positions are sorted over the whole corpus and each is compared
 with its neighbours. A passage of ``LEAST`` words always holds a kept position with ``DEPTH`` words of the passage to its
-right, so equal passages meet under one key. Neighbours are taken in the order of what follows and in that of what comes
-before the key, and every match is extended word by word to both sides in the texts themselves.
+right, so equal passages meet under one key. Neighbours are taken in the order of the words that follow and in that of the
+words that come before the key, one word after another, and every match is extended word by word to both sides in the texts
+themselves. Under a key of more than two suffixes equal passages need not be neighbours on either side, so there all
+windows of ``LEAST`` words that the kept positions stand for are joined by a 64-bit hash of their words.
 
 Equal texts are one class and travel once. Edge cases: null and empty texts and texts of fewer than ``LEAST`` words repeat
 nothing; equal rows repeat each other whole; a row without an id is reported without one; empty tables give no rows;
@@ -29,17 +31,20 @@ from .scratch import written
 LEAST, WINDOW = 50, 25
 DEPTH = LEAST - WINDOW + 1
 GRAM = 8
-#: Words behind the key, and before the position, whose hashes order the suffixes.
-STEPS = (6, 12, 24)
+#: Words behind the key, and before the position, that order the suffixes, by a byte of hash for each.
+AROUND = LEAST - DEPTH
 _INDEX = 24
 
 
-def kept_positions(words: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, text): the positions that are least in a window, of all texts whose words are on end."""
+def kept_positions(words: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(position, text, start, windows): the positions that are least in a window, of all texts whose words are on end.
+
+    Each stands for ``windows`` consecutive windows of LEAST words, the first of which begins at ``start``.
+    """
     sizes = np.diff(texts)
     n_windows = np.maximum(sizes - LEAST + 1, 0)
     if not n_windows.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     at = np.arange(len(words) - GRAM + 1)
     grams = kernels.span_hashes(words, at, at + GRAM)
     ranked = (grams >> np.uint64(_INDEX) << np.uint64(_INDEX)) | (at.astype(np.uint64) & np.uint64((1 << _INDEX) - 1))
@@ -52,24 +57,33 @@ def kept_positions(words: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np
     starts = texts[:-1][text_of] + np.arange(len(text_of)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
     found = least[starts]
     begin = np.concatenate(([True], (found[1:] != found[:-1]) | (text_of[1:] != text_of[:-1])))
+    stands = np.diff(np.append(np.flatnonzero(begin), len(found)))
     found, text_of, starts = found[begin], text_of[begin], starts[begin]
     low = (found & np.uint64((1 << _INDEX) - 1)).astype(np.int64)
     position = (starts >> _INDEX << _INDEX) | low
-    return np.where(position < starts, position + (1 << _INDEX), position), text_of
+    return np.where(position < starts, position + (1 << _INDEX), position), text_of, starts, stands
+
+
+def words_in_order(words: np.ndarray, first: np.ndarray, step: int, inside: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+    """A byte for each of the AROUND words from ``first`` on, by ``step``; 0 outside of the text from ``inside[0]`` to ``inside[1]``."""
+    at = first[:, None] + step * np.arange(AROUND)
+    fits = (at >= inside[0][:, None]) & (at < inside[1][:, None])
+    signs = np.where(fits, (words >> np.uint64(56)).astype(np.uint8)[np.clip(at, 0, len(words) - 1)] | 1, 0).astype(np.uint8) if len(first) else np.zeros(0, np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.arange(len(first) + 1, dtype=np.int32) * AROUND), pa.py_buffer(np.ascontiguousarray(signs))])
 
 
-def suffix_rows(part: pa.RecordBatch, bits: np.ndarray | None) -> dict[str, np.ndarray]:
-    """The kept suffixes of a chunk of texts: key, class of the text, place, and the hashes that order them."""
+def suffix_rows(part: pa.RecordBatch, bits: np.ndarray | None) -> dict[str, np.ndarray | pa.Array]:
+    """The kept suffixes of a chunk of texts: key, class of the text, place, and the words that order them."""
     words, texts = kernels.spaced_words(part.column("text"), lower=True)
-    at, text = kept_positions(words, texts)
+    at, text, _, _ = kept_positions(words, texts)
     key = kernels.span_hashes(words, at, at + DEPTH)
     if bits is not None and len(at):
         chosen = hits(bits, key)
         at, text, key = at[chosen], text[chosen], key[chosen]
     rows = {"key": key.view(np.int64), "c": part.column("c").to_numpy(zero_copy_only=False)[text] if len(at) else np.zeros(0, np.int64), "pos": at - texts[:-1][text]}
-    for n in STEPS:
-        rows[f"r{n}"] = kernels.span_hashes(words, at + DEPTH, np.minimum(at + DEPTH + n, texts[1:][text])).astype(np.uint32).view(np.int32)
-        rows[f"l{n}"] = kernels.span_hashes(words, np.maximum(at - n, texts[:-1][text]), at).astype(np.uint32).view(np.int32)
+    if bits is not None:
+        inside = texts[:-1][text], texts[1:][text]
+        rows |= {"r": words_in_order(words, at + DEPTH, 1, inside), "l": words_in_order(words, at - 1, -1, inside)}
     return rows
 
 
@@ -85,7 +99,7 @@ def shared_suffixes(docs: DataFrame) -> DataFrame:
 
     counted = docs.mapInArrow(keys, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(written(counted, "shared-keys"), "key"))
-    names = ["key", "c", "pos", *[f"{s}{n}" for s in "rl" for n in STEPS]]
+    names = ["key", "c", "pos", "r", "l"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,8 +107,41 @@ def shared_suffixes(docs: DataFrame) -> DataFrame:
                 rows = suffix_rows(part, bits.value)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[x]) for x in names], names)
 
-    schema = "key long, c long, pos long, " + ", ".join(f"{x} int" for x in names[3:])
-    return written(docs.mapInArrow(run, schema).distinct(), "suffixes")
+    return written(docs.mapInArrow(run, "key long, c long, pos long, r binary, l binary").distinct(), "suffixes")
+
+
+def shared_windows(docs: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(c, begin, words, other): the passages that repeat under keys of more than two suffixes, by an exact join on windows; docs: (c, text)."""
+    frequent = suffixes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").select("key")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(frequent, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in kernels.chunks(batch):
+                words, texts = kernels.spaced_words(part.column("text"), lower=True)
+                at, text, start, stands = kept_positions(words, texts)
+                if not len(at):
+                    continue
+                chosen = hits(bits.value, kernels.span_hashes(words, at, at + DEPTH))
+                text, start, stands = text[chosen], start[chosen], stands[chosen]
+                begin = np.repeat(start - (np.cumsum(stands) - stands), stands) + np.arange(stands.sum())
+                text = np.repeat(text, stands)
+                c = part.column("c").to_numpy(zero_copy_only=False)[text]
+                yield pa.RecordBatch.from_arrays([pa.array(kernels.span_hashes(words, begin, begin + LEAST).view(np.int64)), pa.array(c), pa.array(begin - texts[:-1][text])], ["h", "c", "begin"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, other, begin = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("c", "other", "begin"))
+            if not len(c):
+                continue
+            first = np.concatenate(([True], (c[1:] != c[:-1]) | (other[1:] != other[:-1]) | (begin[1:] > begin[:-1] + 1)))
+            last = np.concatenate((first[1:], [True]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[first], begin[first], begin[last] - begin[first] + LEAST, other[first])], ["c", "begin", "words", "other"])
+
+    rows = written(docs.mapInArrow(run, "h long, c long, begin long"), "windows")
+    shared = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    met = rows.join(shared, "h").select("c", "begin", F.when(F.col("c") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
+    return met.repartition("c").sortWithinPartitions("c", "other", "begin").mapInArrow(joined, "c long, begin long, words long, other long")
 
 
 def neighbours(suffixes: DataFrame, side: str) -> DataFrame:
@@ -102,7 +149,7 @@ def neighbours(suffixes: DataFrame, side: str) -> DataFrame:
 
     The sorted suffixes are dealt by ranges; the first and last of each range are compared in a second, small step.
     """
-    order = ["key", *[f"{side}{n}" for n in STEPS], "c", "pos"]
+    order = ["key", side, "c", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, first = TaskContext.get().partitionId(), None, None
@@ -194,7 +241,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     one = pairs.join(texts.select(F.col("c").alias("b"), F.col("packed").alias("tb"), F.col("size").alias("sb")), "b")
     both = one.join(texts.select(F.col("c").alias("a"), F.col("packed").alias("ta"), F.col("size").alias("sa")), "a")
-    return both.select("a", "b", "ta", "tb", "sa", "sb", "places").mapInArrow(compared, "c long, begin long, words long, other long")
+    found = both.select("a", "b", "ta", "tb", "sa", "sb", "places").mapInArrow(compared, "c long, begin long, words long, other long")
+    return found.unionByName(shared_windows(docs, suffixes))
 
 
 def repeats(docs: DataFrame) -> DataFrame:

@@ -220,6 +220,26 @@ def test_repeats(docs, empty):
     assert repeats.repeats(empty).count() == 0
 
 
+def test_repeats_around_a_frequent_passage(spark):
+    """Pairs share little more than a passage that all documents hold; edited copies share stretches between the edits."""
+    rng = random.Random(5)
+    own = lambda n: [f"u{rng.random()}" for _ in range(n)]
+    common, base = own(48), own(400)
+    ends = [(own(2), own(2)) for _ in range(60)]
+    texts = [own(40) + a + common + b + own(40) for a, b in ends * 2] + [own(40) + common + own(40) for _ in range(80)]
+    texts += [own(40) + common[:k] + own(40) for k in (40, 45)]
+    for _ in range(40):
+        copy = list(base)
+        for k in rng.sample(range(400), 5):
+            copy[k] = own(1)[0]
+        texts.append(copy)
+    data = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    covered = {}
+    for r in repeats.repeats(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.begin, r.begin + r.words))
+    assert covered == brute.repeated(data)
+
+
 def test_quality(docs, empty):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     got = sorted((repr(r[0]), *r[1:]) for r in rows(quality.quality_verdicts(docs, "doc_id"), "doc_id", *names))
