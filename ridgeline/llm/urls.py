@@ -1,8 +1,9 @@
 """Operator 5, URL filters: host and path rules, and gradient-boosted trees on lexical features where no rule fits.
 
 The trees learn from the URLs that a rule judges. Features are lengths, depth, shares of digits, entropy, numbers of
-parameters, and how often the URLs of a host suffix were blocked among those learned from. All of it is DataFrame functions
-and Spark's own tree learner. At most about TRAIN_ROWS labelled rows are used, picked by a hash of the URL.
+parameters, and how often the URLs of a host suffix are blocked. All of it is DataFrame functions
+and Spark's own tree learner. The blocked shares are counted over all rows that a rule judges; the trees alone learn from at
+most about TRAIN_ROWS of their distinct URLs, frequent ones first, weighted so that they stand for all rows.
 
 Edge cases: a null URL, and one without ``://``, has an empty host and path and is judged by its features; repeated rows
 are judged alike; where the rules label nothing, or all alike, that verdict (allow, if none) holds for the rest; an empty
@@ -76,6 +77,17 @@ def suffix_statistics(labelled: DataFrame, suffix: str, name: str) -> DataFrame:
     return labelled.groupBy(suffix).agg(((F.sum("label") + 1.0) / (n + 2.0)).alias(f"{name}_rate"), F.log1p(n.cast("double")).alias(f"{name}_known"))
 
 
+def training_urls(labelled: DataFrame, n: int) -> DataFrame:
+    """The distinct URLs of the ``n`` labelled rows to learn from, about TRAIN_ROWS at most, with their features and a ``weight``.
+
+    A URL is taken with a chance in proportion to its rows, and weighs its rows over that chance.
+    """
+    same = ["label", "_suffix", "_domain", *[f for f in FEATURES if not f.endswith(("_rate", "_known"))]]
+    urls = labelled.groupBy("_url").agg(F.count(F.lit(1)).cast("double").alias("weight"), *[F.first(x).alias(x) for x in same])
+    chance = F.least(F.lit(1.0), F.col("weight") * (TRAIN_ROWS / n))
+    return urls.filter(F.pmod(F.xxhash64("_url"), F.lit(1 << 30)) < chance * (1 << 30)).withColumn("weight", F.col("weight") / chance)
+
+
 def judged(pages: DataFrame, *keep: str, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """host, path, rule and verdict of every row of pages (url), beside the columns ``keep``."""
     rows = lexical(pages.select(F.struct(*[F.col(k) for k in keep]).alias("_row"), "url"))
@@ -85,15 +97,14 @@ def judged(pages: DataFrame, *keep: str, rules: tuple[tuple[str, str, str], ...]
     n, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if blocked in (0, n):
         return _result(rows, F.lit("block" if n and blocked else "allow"))
-    if n > TRAIN_ROWS:
-        labelled = labelled.filter(F.pmod(F.xxhash64("_url"), F.lit(1 << 30)) < int((1 << 30) * TRAIN_ROWS / n))
+    learned = training_urls(labelled, n)
     for suffix, name in (("_suffix", "suffix"), ("_domain", "domain")):
         known = small_side(written(suffix_statistics(labelled, suffix, name), "suffixes"), suffix)
-        rows, labelled = rows.join(known, suffix, "left"), labelled.join(known, suffix, "left")
+        rows, learned = rows.join(known, suffix, "left"), learned.join(known, suffix, "left")
     fill = {f"{name}_rate": 0.5 for name in ("suffix", "domain")} | {f"{name}_known": 0.0 for name in ("suffix", "domain")}
     together = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = together.transform(written(labelled.fillna(fill).select("label", *FEATURES), "url-train"))
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=10, maxDepth=4, seed=7, cacheNodeIds=False).fit(train)
+    train = together.transform(written(learned.fillna(fill).select("label", "weight", *FEATURES), "url-train"))
+    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=10, maxDepth=4, seed=7, cacheNodeIds=False).fit(train)
     found = model.transform(together.transform(rows.fillna(fill)))
     return _result(found, F.when(F.col("prediction") == 1.0, "block").otherwise("allow"))
 

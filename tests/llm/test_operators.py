@@ -165,6 +165,25 @@ def test_urls(spark):
     assert [r.verdict for r in urls.judged(pages.filter("page_id in (2, 5)"), "page_id").collect()] == ["block", "block"]
 
 
+def test_url_statistics_cover_all_rows(spark, monkeypatch):
+    """Shares of blocked URLs are counted over all rows; a URL that holds a third of them counts once among those learned from."""
+    counted, learned, plain = [], [], urls.suffix_statistics
+
+    class Recorded(urls.GBTClassifier):
+        def fit(self, dataset, params=None):
+            learned.extend(dataset.select("label", "weight").collect())
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(urls, "TRAIN_ROWS", 60)
+    monkeypatch.setattr(urls, "GBTClassifier", Recorded)
+    monkeypatch.setattr(urls, "suffix_statistics", lambda labelled, *a: counted.append(labelled.count()) or plain(labelled, *a))
+    names = [f"http://h{i}.site{i % 40}.{('com', 'net')[i % 2]}/es/{i}" for i in range(400)] + ["http://hot.com/x"] * 200 + [f"http://other{i}.org/" for i in range(5)]
+    assert urls.judged(spark.createDataFrame(list(enumerate(names)), "page_id bigint, url string"), "page_id").count() == len(names)
+    assert counted == [600, 600]
+    assert 20 < len(learned) < 120
+    assert [r.weight for r in learned if r.weight > 100] == [200.0]
+
+
 def test_toxicity(spark, docs, empty):
     bad = ["you are a gromblat fool " + prose(30) for _ in range(40)]
     data = [(100 + i, t, 1) for i, t in enumerate(bad)] + [(200 + i, prose(40), 0) for i in range(60)]
