@@ -6,7 +6,8 @@ Viterbi decoding under a character trigram model picks the likeliest reading. A
 beginnings that its plain and restored words share with the training texts: each known one has a precision, and the score
 is the chance that at least one of them tells the truth.
 
-Learning takes a sample of at most about TRAIN_ROWS labelled rows, picked by a hash of doc_id.
+The character model counts the texts of all documents. The features alone are learned from a sample of at most about
+TRAIN_ROWS labelled rows, picked by a hash of doc_id.
 
 Edge cases: null and empty texts get the base rate; rows without an id are never held out and have no label; repeated
 labels count once; without labels of either kind every score is the base rate; empty tables give empty results; further
@@ -28,8 +29,10 @@ from . import kernels
 from .language import held_out
 from .pretokens import LETTER, class_table, code_points, strings
 
-#: Bound of the training sample, of the model's features and of the trigram model.
-TRAIN_ROWS, FEATURES, TRIGRAMS = 20_000, 5_000, 200_000
+#: Bound of the training sample and of the model's features.
+TRAIN_ROWS, FEATURES = 20_000, 5_000
+#: Trigrams that a task counts before it hands them on.
+HELD_GRAMS = 200_000
 #: Lengths of the word beginnings that count as features; 0 is the whole word.
 BEGINNINGS = (0, 4, 5, 6)
 LEAST_TEXTS, LEAST_PRECISION = 4, 0.9
@@ -134,6 +137,17 @@ def feature_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def word_counts(texts: list[str]) -> Iterator[tuple[str, int]]:
+    """Every word of the lower-case texts, and the number of texts that hold it."""
+    joined, codes, offsets = code_points([x + "\n" for x in texts])
+    begins, ends, counts = kernels.runs(class_table()[codes] == LETTER, offsets)
+    hashes, text_of = kernels.span_hashes(codes, begins, ends), np.repeat(np.arange(len(texts)), np.diff(counts))
+    _, once = np.unique(kernels.mixed(hashes + kernels.mixed(text_of.astype(np.uint64))), return_index=True)
+    _, first, n = np.unique(hashes[once], return_index=True, return_counts=True)
+    for at, k in zip(once[first].tolist(), n.tolist(), strict=True):
+        yield joined[begins[at] : ends[at]], k
+
+
 class Model:
     """Sorted feature hashes with their precisions, the base rate and the character model."""
 
@@ -166,20 +180,23 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn the trigrams and the features from the sample."""
+    """Learn the trigrams from all documents and the features from the sample."""
     rows = sample(docs, labels)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
         for batch in batches:
-            words = Counter(w for x in strings(batch.column("text")) for w in set(re.findall(r"[^\W\d_]+", x.lower())))
-            for w, n in words.items():
-                spread = "  " + w + " "
-                for i in range(len(spread) - 2):
-                    held[spread[i : i + 3]] += n
+            for part in kernels.chunks(batch):
+                for w, n in word_counts([x.lower() for x in strings(part.column("text"))]):
+                    spread = "  " + w + " "
+                    for i in range(len(spread) - 2):
+                        held[spread[i : i + 3]] += n
+                if len(held) > HELD_GRAMS:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["gram", "n"])
+                    held.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["gram", "n"])
 
-    table = rows.select("text").mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(TRIGRAMS).toPandas()
+    table = docs.select("text").mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     letters = Letters(dict(zip(table["gram"], table["n"].astype(int), strict=True)))
     held = docs.sparkSession.sparkContext.broadcast(letters)
 

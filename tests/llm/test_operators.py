@@ -196,6 +196,15 @@ def test_toxicity(spark, docs, empty):
     assert {r.predicted for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0}
 
 
+def test_trigrams_of_all_documents(spark):
+    """The character model knows the words of documents without a label, whatever the labels."""
+    table = spark.createDataFrame([(i, f"labelled {i}") for i in range(4)] + [(9, "Жуткий wörd жуткий"), (10, None), (11, "ЖУТКИЙ")], "doc_id bigint, text string").repartition(2)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id bigint, toxic int")
+    for known in (labels, labels.limit(0)):
+        found = toxicity.train(table, known).letters.tri
+        assert (found["жут"], found["wör"], found["lab"]) == (2, 1, 4)
+
+
 def test_pii(docs, empty):
     out = {r.doc_id: r for r in pii.replaced(docs, counts=True).collect()}
     assert pii.replaced(docs).columns == docs.columns
