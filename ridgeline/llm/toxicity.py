@@ -1,7 +1,8 @@
 """Operator 6, toxicity: noisy-channel restoration of disguised words, then a score of the restored text.
 
-Words that look disguised (figures or signs among letters, letters in a row of three, single letters set apart) become
-lattices: each character may stand for itself, for the letters it imitates, or for nothing where it repeats or separates.
+Words that look disguised (figures or signs among letters, doubled letters, single letters set apart) become lattices:
+each character may stand for itself, for the letters it imitates, or for nothing where it repeats or separates; up to
+MASKS stars between letters may stand for any letter that the model knows behind the one before.
 Viterbi decoding under a character trigram model picks the likeliest reading. A text is then scored by the words and word
 beginnings that its plain and restored words share with the training texts: each known one has a precision, and the score
 is the chance that at least one of them tells the truth.
@@ -11,11 +12,12 @@ TRAIN_ROWS labelled rows, picked by a hash of doc_id.
 
 Edge cases: null and empty texts get the base rate; rows without an id are never held out and have no label; repeated
 labels count once; without labels of either kind every score is the base rate; empty tables give empty results; further
-columns are ignored; a text of any length is read whole, only a single disguised word is read up to WORD characters.
+columns are ignored; a text of any length and every disguised stretch in it are read whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, OrderedDict
 from collections.abc import Iterator
@@ -38,14 +40,17 @@ BEGINNINGS = (0, 4, 5, 6)
 LEAST_TEXTS, LEAST_PRECISION = 4, 0.9
 #: A feature's counts must be as unlikely as this by chance (minus the logarithm of the likelihood ratio to the base rate).
 SURPRISE = 14.0
-WORD = 64
+#: Stars in a row that may mask letters; more of them are a rule or a mark.
+MASKS = 3
+#: Readings of stretches up to this length are remembered.
+KEPT_LENGTH = 256
 # The letters that figures and signs imitate.
 IMITATES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "{": "c",
 }
 SEPARATORS = " .-_*·~"
-_DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+€£({]+[^\W\d_]|(?<!\S)[0-9@$|+€£][^\W\d_]|[^\W\d_][0-9](?![\w])|([^\W\d_])\1\1|(?<!\w)[\w@$!|+](?:[ .\-_*·~][\w@$!|+](?!\w)){2,}")
+_DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+€£({]+[^\W\d_]|(?<!\S)[0-9@$!|+€£][^\W\d_]|[^\W\d_][0-9](?![\w])|([^\W\d_])\1|[^\W\d_]\*{1,3}[^\W\d_]|(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*·~]+(?:[^\W_]|[@$!|+])(?![^\W_])){2,}")
 
 
 def disguised(text: str) -> Iterator[str]:
@@ -55,12 +60,12 @@ def disguised(text: str) -> Iterator[str]:
         begin, end = found.span()
         if begin < done:
             continue
-        while begin and begin > found.start() - WORD and not text[begin - 1].isspace():
+        while begin > done and not text[begin - 1].isspace():
             begin -= 1
-        while end < len(text) and end < found.end() + WORD and not text[end].isspace():
+        while end < len(text) and not text[end].isspace():
             end += 1
         done = end
-        yield text[begin:end][: 2 * WORD].strip(".,;:?\"'#%&*)")
+        yield text[begin:end].strip(".,;:?\"'#%&*)")
 
 
 class Letters:
@@ -74,36 +79,47 @@ class Letters:
         self.after = Counter()
         for gram, n in self.pair.items():
             self.after[gram[0]] += n
+        self.behind: dict[str, list[str]] = {}
+        for gram in self.pair:
+            if gram[1].isalpha():
+                self.behind.setdefault(gram[0], []).append(gram[1])
 
     def cost(self, two: str, c: str) -> float:
         """Minus the log-probability of c after two characters."""
         low = (self.pair.get(two[1] + c, 0) + 0.05) / (self.after.get(two[1], 0) + 2.0)
-        return -float(np.log((self.tri.get(two + c, 0) + 4 * low) / (self.bi.get(two, 0) + 4)))
+        return -math.log((self.tri.get(two + c, 0) + 4 * low) / (self.bi.get(two, 0) + 4))
 
 
 def restored(token: str, model: Letters) -> str:
     """The likeliest reading of a disguised stretch; words in it are parted by a blank."""
-    paths: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
+    paths: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}  # the reading as links, last character first
     spaced = sum(c in SEPARATORS for c in token) * 2 >= len(token) - 2
+    runs = [len(r) for found in re.finditer(r"(?s)(.)\1*", token) for r in [found.group()] for _ in r]
+    masks = {at for found in re.finditer(r"(?<=[^\W\d_])\*{1,%d}(?=[^\W\d_])" % MASKS, token) for at in range(*found.span())}
     before = ""
     for at, ch in enumerate(token):
-        run = len(token[at:]) - len(token[at:].lstrip(ch)) + (len(token[:at]) - len(token[:at].rstrip(ch)))
+        run = runs[at]
         options: list[tuple[str, float]] = []
         if ch in SEPARATORS:
-            options = [("", 0.0), (" ", 4.0)] if spaced else [("", 2.0), (" ", 0.5)]
+            options = [("", 0.0), (" ", 1.0 if ch == before else 4.0)] if spaced else [("", 2.0), (" ", 0.5)]
         elif ch.isalpha():
             options = [(ch, 0.0)] + ([("", 0.2 if run > 2 else 5.0)] if ch == before else [])
         else:
             options = [(c, 0.4) for c in IMITATES.get(ch, "")] + [("", 9.0), (" ", 6.0)] + ([("", 0.2)] if ch == before else [])
-        best: dict[str, tuple[float, str]] = {}
+        best: dict[str, tuple[float, tuple | None]] = {}
         for two, (cost, out) in paths.items():
-            for c, extra in options:
+            for c, extra in options + [(c, 0.4) for c in model.behind.get(two[1], ())] if at in masks else options:
                 state = two if not c or (c == " " and two[1] == " ") else two[1] + c
                 price = cost + extra + (model.cost(two, c) if state is not two else 0.0)
                 if state not in best or price < best[state][0]:
-                    best[state] = (price, out if state is two else out + c)
+                    best[state] = (price, out if state is two else (out, c))
         paths, before = best, ch
-    return min((cost + (model.cost(two, " ") if two[1] != " " else 0), out) for two, (cost, out) in paths.items())[1].strip()
+    link = min(((cost + (model.cost(two, " ") if two[1] != " " else 0), out) for two, (cost, out) in paths.items()), key=lambda x: x[0])[1]
+    letters = []
+    while link:
+        link, c = link
+        letters.append(c)
+    return "".join(reversed(letters)).strip()
 
 
 class Restorer:
@@ -113,14 +129,18 @@ class Restorer:
         self.model, self.kept, self.known = model, kept, OrderedDict()
 
     def words(self, text: str) -> str:
-        """The readings of all disguised stretches of a text, as one string."""
+        """The readings of all disguised stretches of a text that differ from what is written, as one string."""
         out = []
         for token in disguised(text):
-            if token not in self.known:
-                if len(self.known) >= self.kept:
-                    self.known.popitem(last=False)
-                self.known[token] = restored(token[:WORD], self.model) if sum(map(str.isalpha, token)) >= 2 else ""
-            out.append(self.known[token])
+            read = self.known.get(token)
+            if read is None:
+                read = restored(token, self.model) if sum(map(str.isalpha, token)) >= 2 else ""
+                if len(token) <= KEPT_LENGTH:
+                    if len(self.known) >= self.kept:
+                        self.known.popitem(last=False)
+                    self.known[token] = read
+            if read != token:
+                out.append(read)
         return " ".join(out)
 
 

@@ -205,6 +205,30 @@ def test_trigrams_of_all_documents(spark):
         assert (found["жут"], found["wör"], found["lab"]) == (2, 1, 4)
 
 
+@pytest.fixture(scope="module")
+def letters():
+    held = {}
+    for w in ["this", "is", "a", "long", "line", "of", "plain", "words", "and", "then", "idiot", "good"] * 50:
+        for i in range(len(w) + 1):
+            gram = ("  " + w + " ")[i : i + 3]
+            held[gram] = held.get(gram, 0) + 1
+    return toxicity.Letters(held)
+
+
+@pytest.mark.parametrize("text", ["idioot", "idiiot", "i_d_i_o_t", "i  d  i  o  t", "i..d..i..o..t", "!diot", "id*ot", "i**ot", "i" + "d" * 90 + "iot"])
+def test_disguises(letters, text):
+    assert "idiot" in toxicity.Restorer(letters).words("and then " + text + " and").split()
+
+
+@pytest.mark.parametrize(("between", "apart"), [(" ", "  "), (".", "..")])
+def test_long_stretch_is_read_whole(letters, between, apart):
+    plain = "this is a long line of plain words and then " * 9 + "idiot"
+    text = apart.join(between.join(w) for w in plain.split())
+    assert len(text) > 600
+    assert toxicity.Restorer(letters).words(text).split()[-1] == "idiot"
+    assert toxicity.Restorer(letters).words("good words") == ""
+
+
 def test_pii(docs, empty):
     out = {r.doc_id: r for r in pii.replaced(docs, counts=True).collect()}
     assert pii.replaced(docs).columns == docs.columns
