@@ -7,7 +7,7 @@ and lengths, then a footer. Files are written under a temporary name and renamed
 the same one; they go to the shared folder and are read back by Spark's binary file source.
 
 Word ids are looked up word by word: each task keeps the ids of words it has met, up to a bound, and encodes the words
-that are new to a batch together.
+that are new to a batch together. Texts that hold one of the vocabulary's added tokens are encoded whole by the library.
 
 Edge cases: null and empty texts have the end id alone; repeated rows are written each, in the order of their texts; a row
 without an id comes first; an empty table writes no ids; further columns are ignored; very long texts run over blocks.
@@ -149,6 +149,13 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _added(path: str) -> tuple[str, ...]:
+    """The added tokens, as they are and normalised: the library finds them before it cuts a text into words."""
+    held = [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
+    return tuple({x for t in held for x in (t, normalized(t)) if x})
+
+
 _KNOWN: dict[str, dict[str, tuple[int, ...]]] = {}
 
 
@@ -175,7 +182,16 @@ def normalized(text: str) -> str:
 
 def text_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts on end, each text closed by END, and the lengths."""
-    joined, codes, offsets = code_points([normalized(x) for x in texts])
+    plain = [normalized(x) for x in texts]
+    marked = [i for i, (x, y) in enumerate(zip(texts, plain, strict=True)) if any(t in x or t in y for t in _added(path))]
+    if marked:
+        at = set(marked)
+        ids, sizes = text_ids(["" if i in at else x for i, x in enumerate(texts)], path)
+        pieces = np.split(ids, np.cumsum(sizes)[:-1])
+        for i in marked:
+            pieces[i] = np.array([*_tokenizer(path).encode(texts[i], add_special_tokens=False).ids, END], np.uint32)
+        return np.concatenate(pieces), np.array([len(x) for x in pieces])
+    joined, codes, offsets = code_points(plain)
     begins, ends = word_end_spans(codes, offsets)
     found, first, inverse = np.unique(kernels.span_hashes(codes, begins, ends), return_index=True, return_inverse=True)
     ids = _word_ids([joined[b:e] for b, e in zip(begins[first].tolist(), ends[first].tolist(), strict=True)], path)

@@ -139,6 +139,19 @@ def test_token_files(docs, empty):
     assert token_files.round_trip(empty).count() == 0
 
 
+def test_added_tokens(spark):
+    """Markers of the vocabulary in raw text have the library's ids, and so have the texts beside them."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_files.vocabulary())
+    texts = ["plain", "hello <|endoftext|> world", "<|startoftext|>", "a<|endoftext|>B <|startoftext|>c", "<|EndOfText|> É", "<|endoftext|>\u0338 x", "", "after <| endoftext |>"]
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert 49407 in want[1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.round_trip(docs).collect()}
+    assert got == {i: (len(x), brute.crc(x)) for i, x in enumerate(want)}
+
+
 @pytest.mark.parametrize("ids", [[5], [0, 2**32 - 1], [7] * 9000, list(range(9000)), [1] * 5000 + [10**9] + [2] * 5000])
 def test_blocks(ids):
     import io
