@@ -2,14 +2,18 @@
 
 A document is the set of its distinct word shingles. Equal sets form a class at once. Two classes whose similarity reaches
 the threshold share a token among their first ones in any common order of tokens, so each such token roots a tree of the
-classes that have it: below the root are nodes by range of size, below these nodes by least hash, and every node holds the
-OR of the token bitmaps, the range of sizes and the range of components of what lies under it. Pairs of nodes are walked
-from the root down, both sides at once, and a pair is dropped when the largest possible overlap is too small, when the
-sizes are too far apart, or when all of it is one component already. What is left is compared exactly, set by set.
-
-The order takes rare tokens first (frequent ones, counted over all documents, come last), so tokens of passages that many
-documents share root no large trees; and rounds of links to one hub of each tree leave large groups of near copies as
-one component, which the walk then skips (three rounds, each with other hubs). No link between different components is lost.
+classes that have it; and at the first token that they share, at places i and j of that order, no more than the lesser of
+n - i and m - j tokens can be common. Trees of at most LEAF classes are one leaf: their pairs are joined under these bounds.
+
+The classes of larger trees, which large groups of near copies make, get a second forest of their own. Its order is by how
+many of these classes hold a token, counted over their whole sets and rarest first, so what an edit has brought into a copy
+comes before what all copies share, and the bound above tells copies apart that are too far from each other. Each class is
+compared with one hub, the most central class of the trees it is in, which makes most of a group one component. Then the
+trees are walked: below a root are nodes by range of size, below these nodes by finer range of size, room and component,
+and every node holds the OR of the token bitmaps, the range of sizes, the most room and the range of components of what lies
+under it. Pairs of nodes are walked from the root down, both sides at once, and a pair is dropped when the largest possible
+overlap is too small, when the sizes are too far apart, or when all of it is one component already. What is left is compared
+exactly, set by set. No link between different components is lost.
 
 Edge cases: null and empty texts, and texts of blanks, have the empty set and no links; repeated rows are one class; a row
 without an id never names a component if another row of it has an id; an empty table gives an empty result; further
@@ -28,18 +32,18 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .components import components
-from .scratch import written
+from .scratch import dropped, written
 
 SHINGLE = 4
 PERCENT = 85
 #: Longs of a bitmap.
 LONGS = 16
-#: Tokens that more documents than this hold are ordered last, the most frequent at the end; at most so many are told apart.
+#: Tokens that more classes than this hold are ordered last, the most frequent at the end; at most so many are told apart.
 FREQUENT, MOST_FREQUENT = 24, 1 << 18
-#: Rounds of links to hubs before the trees are walked.
-HUB_ROUNDS = 3
 #: Trees of at most this many classes are one leaf.
 LEAF = 64
+#: Ratio of two neighbouring steps of size and of room in the lower nodes of a tree.
+STEP = 1.02
 #: Bits of the filters that say which tokens are shared and which documents are wanted.
 FILTER_BITS = 1 << 26
 BITS = [f"b{i}" for i in range(LONGS)]
@@ -57,53 +61,70 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> Iterator[np.ndarray]:
             yield kernels.windows(words[begin:end], end - begin) + np.uint64(end - begin) if end > begin else np.zeros(0, np.uint64)
 
 
-def prefix_size(n: int, percent: int = PERCENT) -> int:
-    """How many first tokens of a set of n must hold one of each partner's first tokens."""
-    return n - (percent * n + 99) // 100 + 1 if n else 0
+def prefix_size(n, percent: int = PERCENT):
+    """How many first tokens of a set of n (a number or an array) must hold one of each partner's first tokens; n is over 0."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def front_size(n, percent: int = PERCENT):
+    """How many tokens in order of hash are counted: the first ones, and a quarter more for those that give way to them."""
+    return (5 * prefix_size(n, percent) + 3) // 4
+
+
+def blobs(parts: list[np.ndarray]) -> pa.Array:
+    """One binary value for each array."""
+    return pa.array([x.tobytes() for x in parts], pa.binary())
+
 
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The unsigned 64-bit integers of all binary values on end, and the n + 1 offsets of the values in them."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64), np.concatenate(([0], np.cumsum(sizes)))
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
 
+def row_keys() -> list[Column]:
+    """128 bits that stand for a row's id and text."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id").alias("k2")]
 
-def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(_id, k, n, c, c2, least, b0..): of every document a key, the size of its set, two digests, its least hash and its bitmap."""
-    schema = f"_id {docs.schema['doc_id'].dataType.simpleString()}, k long, n long, c long, c2 long, least long, " + ", ".join(f"{b} long" for b in BITS)
+
+def signatures(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(_id, k1, k2, n, digest, front, b0..): of every document a key, the size of its set, 128 bits that stand for the set, its front tokens and its bitmap."""
+    schema = f"_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n long, digest binary, front binary, " + ", ".join(f"{b} long" for b in BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.chunks(batch):
-                n, digests, maps = [], [], []
+                n, digests, fronts, maps = [], [], [], []
                 for found in shingle_sets(part.column("text"), width):
                     n.append(len(found))
-                    digests.append((kernels.mixed(found * np.uint64(3)).sum(dtype=np.uint64), kernels.mixed(found + np.uint64(kernels.SEED)).sum(dtype=np.uint64), found[0] if len(found) else 0))
+                    digests.append(np.array([kernels.mixed(found * np.uint64(3)).sum(dtype=np.uint64), kernels.mixed(found + np.uint64(kernels.SEED)).sum(dtype=np.uint64)]))
+                    fronts.append(found[: front_size(len(found), percent)] if len(found) else found)
                     bits = np.zeros(LONGS * 64, bool)
                     bits[(found & np.uint64(LONGS * 64 - 1)).astype(np.int64)] = True
                     maps.append(np.packbits(bits).view(np.int64))
-                digests = np.array(digests, np.uint64).reshape(-1, 3)
                 maps = np.array(maps, np.int64).reshape(-1, LONGS)
-                columns = [part.column("_id"), part.column("k"), pa.array(n, pa.int64()), *[pa.array(_signed(digests[:, i])) for i in range(3)], *[pa.array(maps[:, i]) for i in range(LONGS)]]
-                yield pa.RecordBatch.from_arrays(columns, ["_id", "k", "n", "c", "c2", "least", *BITS])
+                columns = [*(part.column(x) for x in ("_id", "k1", "k2")), pa.array(n, pa.int64()), blobs(digests), blobs(fronts), *[pa.array(maps[:, i]) for i in range(LONGS)]]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "k1", "k2", "n", "digest", "front", *BITS])
 
-    return docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("k"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").alias("_id"), *row_keys(), "text").mapInArrow(run, schema)
 
 
-def front_size(n: int, percent: int = PERCENT) -> int:
-    """How many tokens in order of hash are counted: the first ones, and a quarter more for those that give way to them."""
-    return (5 * prefix_size(n, percent) + 3) // 4
+def classes_of(signed: DataFrame) -> DataFrame:
+    """One row for each set that is not empty, numbered by ``c``, with the key of a document that has it."""
+    first = signed.filter("n > 0").select("digest", "k1", "k2", "n", "front", *BITS).dropDuplicates(["digest"])
+    return written(first.withColumn("c", F.monotonically_increasing_id()), "classes")
 
 
-def shared_tokens(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(token, n) of the tokens near the front of two documents or more, counted over all documents."""
+def shared_tokens(classes: DataFrame) -> DataFrame:
+    """(token, n) of the tokens near the front of two classes or more, counted over all classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.chunks(batch):
-                front = [found[: front_size(len(found), percent)] for found in shingle_sets(part.column("text"), width)]
-                tokens, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *front]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens)), pa.array(n.astype(np.int32))], ["token", "n"])
+            for part in kernels.chunks(batch, "front"):
+                tokens, n = np.unique(unpacked(part.column("front"))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int32))], ["token", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = classes.select("front").mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n"))
     return written(counted.filter("n > 1"), "shared-tokens")
 
 
@@ -112,7 +133,7 @@ def bit_filter(values: DataFrame, column: str) -> np.ndarray:
     place = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1
     rows = values.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in rows.collect():  # 4 KB a row, FILTER_BITS / 8 bytes in all
+    for row in rows.toLocalIterator():  # 4 KB a row, FILTER_BITS / 8 bytes in all
         out[(row["k"] - 1) * 4096 : row["k"] * 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
     return out
 
@@ -131,48 +152,98 @@ def ordered_last(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], late["n"].to_numpy(np.int64)[order]
 
 
-def first_tokens(found: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """Places of a set's first tokens: those not in ``tokens`` by hash, then the others by count."""
-    ranked = np.arange(len(found))
-    if len(tokens):
-        where = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
-        n = np.where(tokens[where] == found, counts[where], 0)
-        often = np.flatnonzero(n)
-        ranked = np.concatenate((np.flatnonzero(n == 0), often[np.lexsort((found[often], n[often]))]))
-    return ranked[: prefix_size(len(found), percent)]
+def counts_of(found: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The count of each token that is to be ordered last, 0 for the others."""
+    if not len(tokens) or not len(found):
+        return np.zeros(len(found), np.int64)
+    where = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
+    return np.where(tokens[where] == found, counts[where], 0)
 
 
-def prefixes(docs: DataFrame, shared: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(token, c): the first tokens of every document's set, rare ones first, without those that no other document has.
+def first_tokens(found: np.ndarray, edges: np.ndarray, n: np.ndarray, late: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, set, place) of the first tokens of many sets on end: those not ordered last by hash, then the others by count.
 
-    Any order of tokens gives the same links. A token is left out only where it was counted once and no document reaches
-    it beyond what was counted; the documents with many frequent tokens that do reach further are looked through before.
+    The tokens of set i, sorted, are found[edges[i]:edges[i + 1]]; n is the size of the whole set.
     """
-    late = docs.sparkSession.sparkContext.broadcast(ordered_last(shared))
+    own = np.repeat(np.arange(len(n)), np.diff(edges))
+    ranked = np.lexsort((counts_of(found, *late), own))  # stable: by hash among equals
+    place = np.arange(len(found)) - edges[:-1][own]
+    first = place < prefix_size(n, percent)[own]
+    return ranked[first], own[first], place[first]
 
-    def rows(batches: Iterator[pa.RecordBatch], choose) -> Iterator[pa.RecordBatch]:
+
+def beyond_front(classes: DataFrame, late, percent: int) -> DataFrame:
+    """(c, k1, k2) of the classes with so many tokens ordered last that their first tokens reach beyond their front."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.chunks(batch):
-                first, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-                seen: set[int] = set()
-                for found in shingle_sets(part.column("text"), width):
-                    c = kernels.mixed(found * np.uint64(3)).sum(dtype=np.uint64)
-                    if not len(found) or int(c) in seen:  # an exact copy nearby adds nothing
-                        continue
-                    seen.add(int(c))
-                    ranked = first_tokens(found, *late.value, percent)
-                    ranked = ranked[choose(found, ranked)]
-                    first.append(found[ranked])
-                    ids.append(np.full(len(ranked), c, np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(first))), pa.array(_signed(np.concatenate(ids)))], ["token", "c"])
+            for part in kernels.chunks(batch, "front"):
+                found, edges = unpacked(part.column("front"))
+                n = part.column("n").to_numpy(zero_copy_only=False)
+                early = np.concatenate(([0], np.cumsum(counts_of(found, *late.value) == 0)))[edges]
+                reach = (np.diff(early) < prefix_size(n, percent)) & (np.diff(edges) < n)
+                yield part.select(["c", "k1", "k2"]).filter(pa.array(reach))
+
+    return written(classes.select("c", "k1", "k2", "n", "front").mapInArrow(run, "c long, k1 long, k2 long"), "beyond")
+
+
+def whole_first_tokens(docs: DataFrame, wanted: DataFrame, late, width: int, percent: int) -> DataFrame:
+    """(c, n, tokens, places): the first tokens of the classes ``wanted`` (c, k1, k2), from their whole texts."""
+    chosen = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "k1"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in kernels.chunks(batch.filter(pa.array(hits(chosen.value, batch.column("k1").to_numpy(zero_copy_only=False))))):
+                sets = list(shingle_sets(part.column("text"), width))
+                n, rows = np.array([len(x) for x in sets]), []
+                for found in sets:
+                    index, _, place = first_tokens(found, np.array([0, len(found)]), np.array([len(found)]), late.value, percent)
+                    rows.append((found[index].view(np.int64), place))
+                yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(n), *[pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (0, 1)]], ["k1", "k2", "n", "tokens", "places"])
+
+    rows = docs.select(*row_keys(), "text").mapInArrow(run, "k1 long, k2 long, n long, tokens array<long>, places array<long>")
+    out = written(rows.join(wanted, ["k1", "k2"]).dropDuplicates(["c"]).select("c", "n", "tokens", "places"), "whole-first-tokens")
+    chosen.destroy()
+    return out
 
-    def beyond(found: np.ndarray, ranked: np.ndarray) -> np.ndarray:
-        return ranked >= front_size(len(found), percent)
 
-    texts = docs.select("text")
-    far = written(texts.mapInArrow(lambda x: rows(x, beyond), "token long, c long").select("token"), "far-tokens")
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(shared, "token") | bit_filter(far, "token"))
-    return texts.mapInArrow(lambda x: rows(x, lambda found, ranked: hits(bits.value, found[ranked])), "token long, c long")
+def forest(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(token, c, n, room, size): the trees, a row for each class of each; ``room`` is the most overlap left from the token on.
+
+    Any order of tokens gives the same links. A token is left out only where no other class has it among its first ones: the
+    classes that reach beyond what was counted are looked through before.
+    """
+    spark = docs.sparkSession
+    shared = shared_tokens(classes)
+    late = spark.sparkContext.broadcast(ordered_last(shared))
+    beyond = beyond_front(classes, late, percent)
+    far = whole_first_tokens(docs, beyond, late, width, percent)
+    far_rows = far.select("c", "n", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select(F.col("x.tokens").alias("token"), "c", "n", (F.col("n") - F.col("x.places")).alias("room"))
+    bits = spark.sparkContext.broadcast(bit_filter(shared.select("token").unionByName(far_rows.select("token")), "token"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in kernels.chunks(batch, "front"):
+                found, edges = unpacked(part.column("front"))
+                n, c = (part.column(x).to_numpy(zero_copy_only=False) for x in ("n", "c"))
+                index, own, place = first_tokens(found, edges, n, late.value, percent)
+                tokens = found[index]
+                keep = hits(bits.value, tokens)
+                tokens, own, place = tokens[keep], own[keep], place[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens.view(np.int64), c[own], n[own], n[own] - place)], ["token", "c", "n", "room"])
+
+    within = classes.select("c", "n", "front").join(beyond.select("c"), "c", "left_anti").mapInArrow(run, "token long, c long, n long, room long")
+    roots = written(within.unionByName(far_rows), "first-tokens")
+    late.destroy()
+    bits.destroy()
+    trees = written(grown(roots), "trees")
+    dropped(shared, beyond, far, roots)
+    return trees
+
+
+def grown(roots: DataFrame) -> DataFrame:
+    """The rows of roots (token, c and others) under tokens of two classes or more, with the ``size`` of the tree."""
+    return roots.join(roots.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "token")
 
 
 def near_enough(a: Column, b: Column, percent: int) -> Column:
@@ -180,88 +251,58 @@ def near_enough(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def has_room(most: Column, sizes: Column, percent: int) -> Column:
+    """Whether an overlap of ``most`` is enough for two sets of ``sizes`` together."""
+    return (100 + percent) * most >= percent * sizes
+
+
 def can_overlap(x: str, y: str, percent: int) -> Column:
     """Whether the bitmaps under aliases x and y leave room for a link: common bits, and tokens that share a bit with another.
 
     ``low`` and ``high`` are the range of sizes, ``slack`` the most tokens of one set that share a bit with another.
     """
     common = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseAND(F.col(f"{y}.{b}"))) for b in BITS[1:]), F.bit_count(F.col(f"{x}.b0").bitwiseAND(F.col(f"{y}.b0"))))
-    most = common + F.least(f"{x}.slack", f"{y}.slack")
-    return (100 + percent) * most >= percent * (F.col(f"{x}.low") + F.col(f"{y}.low"))
-
-
-def tree_nodes(members: DataFrame, *by: str) -> DataFrame:
-    """The nodes of one level: OR of bitmaps, range of sizes and of components."""
-    return members.groupBy(*by).agg(*[F.bit_or(b).alias(b) for b in BITS], F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack"), F.min("comp0").alias("comp0"), F.max("comp1").alias("comp1"))
+    return has_room(common + F.least(f"{x}.slack", f"{y}.slack"), F.col(f"{x}.low") + F.col(f"{y}.low"), percent)
 
 
-def walked(left: DataFrame, keys: list[str], percent: int, ordered: Column) -> DataFrame:
-    """Pairs of nodes under equal ``keys`` that may hold a link between components."""
-    x, y = left.alias("x"), left.alias("y")
-    on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
-    near = (100 * F.col("x.low") <= 100 * F.col("y.high")) & (100 * F.col("y.high") >= percent * F.col("x.low")) & (100 * F.col("x.high") >= percent * F.col("y.low"))
-    mixed = ~((F.col("x.comp0") == F.col("y.comp1")) & (F.col("x.comp1") == F.col("y.comp0")))
-    return x.join(y, [*on, ordered, near, mixed, can_overlap("x", "y", percent)])
+def leaves(classes: DataFrame) -> DataFrame:
+    """(c, b0.., low, high, slack): a class as a leaf of a tree."""
+    pop = sum((F.bit_count(b) for b in BITS[1:]), F.bit_count("b0"))
+    return classes.select("c", *BITS, F.col("n").alias("low"), F.col("n").alias("high"), (F.col("n") - pop).alias("slack"))
 
 
-def tree_pairs(members: DataFrame, info: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): pairs of classes in different components that the dual walk of every tree leaves over.
-
-    members: (token, c, comp); info: (c, n, least, bitmaps).
-    """
-    lists = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("token", "size")
-    held = written(members.join(lists, "token").join(info.select("c", "n"), "c").withColumn("cell", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")), "tree-members")
-    pop = sum((F.bit_count(b) for b in BITS[1:]), F.bit_count("b0"))
-    leaf = info.withColumn("low", F.col("n")).withColumn("high", F.col("n")).withColumn("slack", F.col("n") - pop)
-    # small trees: one leaf each; sizes a cell apart at most can be linked
-    small = held.filter(F.col("size") <= LEAF)
-    right = small.select("token", F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"), F.col("cell").alias("own"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    pairs = small.join(right, ["token", "cell"]).filter((F.col("comp") != F.col("other")) & near_enough(F.col("n"), F.col("m"), percent) & ((F.col("own") < F.col("cell")) | (F.col("c") < F.col("d"))))
-    pairs = pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
-    # large trees: token > cell of size > least hash > class
-    big = held.filter(F.col("size") > LEAF).join(leaf, "c").select("token", "cell", "least", "c", *BITS, "low", "high", "slack", F.col("comp").alias("comp0"), F.col("comp").alias("comp1"))
-    big = written(big, "tree-leaves")
-    if not big.isEmpty():
-        cells = tree_nodes(big, "token", "cell")
-        upper = walked(cells, ["token"], percent, F.col("y.cell").isin(F.col("x.cell"), F.col("x.cell") + 1)).select("x.token", F.col("x.cell").alias("cell"), F.col("y.cell").alias("next"))
-        groups = written(tree_nodes(big, "token", "cell", "least").withColumn("node", F.xxhash64("token", "cell", "least")), "tree-nodes")
-        opened = groups.join(upper, ["token", "cell"]).withColumn("pair", F.xxhash64("token", "next"))
-        below = groups.withColumn("pair", F.xxhash64("token", "cell"))
-        x, y = opened.alias("x"), below.alias("y")
-        mixed = ~((F.col("x.comp0") == F.col("y.comp1")) & (F.col("x.comp1") == F.col("y.comp0")))
-        near = (100 * F.col("y.high") >= percent * F.col("x.low")) & (100 * F.col("x.high") >= percent * F.col("y.low"))
-        order = (F.col("x.cell") < F.col("y.cell")) | (F.col("x.least") <= F.col("y.least"))
-        middle = x.join(y, [F.col("x.pair") == F.col("y.pair"), order, near, mixed, can_overlap("x", "y", percent)]).select(F.col("x.node").alias("from"), F.col("y.node").alias("to"))
-        ends = big.withColumn("node", F.xxhash64("token", "cell", "least"))
-        x, y = ends.withColumnRenamed("node", "from").join(middle, "from").alias("x"), ends.withColumnRenamed("node", "to").alias("y")
-        found = x.join(y, [F.col("x.to") == F.col("y.to"), F.col("x.comp0") != F.col("y.comp0"), near_enough(F.col("x.low"), F.col("y.low"), percent), can_overlap("x", "y", percent)])
-        pairs = pairs.unionByName(found.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")))
-    return pairs.distinct()
-
-
-def roomy(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and bitmaps leave room for a link."""
-    pop = sum((F.bit_count(b) for b in BITS[1:]), F.bit_count("b0"))
-    leaf = info.select("c", "n", *BITS, F.col("n").alias("low"), (F.col("n") - pop).alias("slack"))
-    one = pairs.join(leaf.withColumnRenamed("c", "a"), "a").alias("x")
-    both = one.join(leaf.withColumnRenamed("c", "b").alias("y"), [F.col("x.b") == F.col("y.b"), near_enough(F.col("x.n"), F.col("y.n"), percent), can_overlap("x", "y", percent)])
-    return both.select("x.a", "x.b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+def leaf_pairs(trees: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of classes in trees of one leaf that may be linked."""
+    small = trees.filter(F.col("size") <= LEAF).select("token", "c", "n", "room")
+    x, y = small.alias("x"), small.alias("y")
+    on = [F.col("x.token") == F.col("y.token"), F.col("x.c") < F.col("y.c"), near_enough(F.col("x.n"), F.col("y.n"), percent), has_room(F.least("x.room", "y.room"), F.col("x.n") + F.col("y.n"), percent)]
+    pairs = x.join(y, on).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    ends = leaves(classes)
+    one = pairs.join(ends.withColumnRenamed("c", "a"), "a").alias("x")
+    both = one.join(ends.withColumnRenamed("c", "b").alias("y"), [F.col("x.b") == F.col("y.b"), can_overlap("x", "y", percent)])
+    return both.select("x.a", "x.b")
 
 
-def packed_texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(c, packed, size): the compressed text of one document of each of ``classes`` (c, k)."""
-    wanted = written(classes, "wanted")
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "k"))
+def packed_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(c, packed, size): the compressed text of one document of each of the classes ``wanted`` (c, k1, k2)."""
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "k1"))
 
     def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.filter(pa.array(hits(bits.value, batch.column("k").to_numpy(zero_copy_only=False))))
+            own = batch.filter(pa.array(hits(bits.value, batch.column("k1").to_numpy(zero_copy_only=False))))
             packed = [pa.compress(x.encode(), codec="zstd", asbytes=True) for x in own.column("text").to_pylist()]
             sizes = pc.binary_length(own.column("text")).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([own.column("k"), pa.array(packed, pa.binary()), sizes], ["k", "packed", "size"])
+            yield pa.RecordBatch.from_arrays([own.column("k1"), own.column("k2"), pa.array(packed, pa.binary()), sizes], ["k1", "k2", "packed", "size"])
+
+    texts = docs.filter("text is not null").select(*row_keys(), "text").mapInArrow(carried, "k1 long, k2 long, packed binary, size long")
+    out = written(texts.join(wanted, ["k1", "k2"]).dropDuplicates(["c"]).select("c", "packed", "size"), "texts")
+    bits.destroy()
+    return out
+
 
-    texts = docs.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("k"), "text").mapInArrow(carried, "k long, packed binary, size long")
-    return written(texts.join(wanted, "k").dropDuplicates(["c"]).select("c", "packed", "size"), "texts")
+def text_of(packed: bytes, size: int) -> pa.Array:
+    """A packed text as an array of one."""
+    return pa.array([pa.decompress(packed, size, codec="zstd", asbytes=True).decode()], pa.large_string())
 
 
 def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -269,16 +310,12 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-
-        def tokens(packed: bytes, size: int) -> np.ndarray:
-            return next(shingle_sets(pa.array([pa.decompress(packed, size, codec="zstd", asbytes=True).decode()], pa.large_string()), width))
-
         for batch in batches:
             out = []
             for a, b, pa_, pb, sa, sb in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "pa", "pb", "sa", "sb")], strict=True):
-                if a not in held:  # rows come sorted by a
-                    held = {a: tokens(pa_, sa)}
-                x, y = held[a], tokens(pb, sb)
+                if a not in held:  # rows mostly come sorted by a
+                    held = {a: next(shingle_sets(text_of(pa_, sa), width))}
+                x, y = held[a], next(shingle_sets(text_of(pb, sb), width))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     out.append((a, b))
@@ -290,62 +327,118 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
         for batch in batches:
             yield batch.filter(pa.array(hits(bits.value, batch.column("c").to_numpy(zero_copy_only=False))))
 
-    texts = texts.mapInArrow(asked, texts.schema)  # of the texts only those of the pairs are shuffled
-    one = pairs.join(texts.select(F.col("c").alias("b"), F.col("packed").alias("pb"), F.col("size").alias("sb")), "b")
-    both = one.join(texts.select(F.col("c").alias("a"), F.col("packed").alias("pa"), F.col("size").alias("sa")), "a")
-    return both.select("a", "b", "pa", "pb", "sa", "sb").mapInArrow(compared, "a long, b long")
+    own = texts.mapInArrow(asked, texts.schema)  # of the texts only those of the pairs are shuffled
+    one = pairs.join(own.select(F.col("c").alias("b"), F.col("packed").alias("pb"), F.col("size").alias("sb")), "b")
+    both = one.join(own.select(F.col("c").alias("a"), F.col("packed").alias("pa"), F.col("size").alias("sa")), "a")
+    out = written(both.select("a", "b", "pa", "pb", "sa", "sb").mapInArrow(compared, "a long, b long"), "class-links")
+    bits.destroy()
+    return out
+
+
+def second_forest(texts: DataFrame, crowded: DataFrame, width: int, percent: int) -> DataFrame:
+    """(token, c, n, room, share, size): the trees of the classes ``crowded`` (c), their tokens ordered by exact counts, rarest first.
 
+    ``share`` is the part of a class's tokens that others of them have.
+    """
 
-def spokes(members: DataFrame, salt: int) -> DataFrame:
-    """(a, b): one pair for each class b that shares a tree with a hub of another component.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, packed, size in zip(*[batch.column(x).to_pylist() for x in ("c", "packed", "size")], strict=True):
+                found = next(shingle_sets(text_of(packed, size), width))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), c)), pa.array(np.full(len(found), len(found)))], ["token", "c", "n"])
+
+    tokens = written(texts.join(crowded, "c").mapInArrow(run, "token long, c long, n long"), "crowded-tokens")
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    shared = tokens.join(counted, "token").groupBy("c").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("m", "token"))).alias("held"))
+    alone = F.col("n") - F.size("held")
+    shared = shared.withColumn("prefix", F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1)
+    first = F.slice("held", F.lit(1), F.greatest(F.col("prefix") - alone, F.lit(0)).cast("int"))
+    rows = shared.select("c", "n", alone.alias("alone"), (F.size("held") / F.col("n")).alias("share"), F.posexplode(first).alias("at", "x"))
+    rows = written(rows.select("x.token", "c", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("room"), "share"), "crowded-first-tokens")
+    trees = written(grown(rows), "crowded-trees")
+    dropped(tokens, rows)
+    return trees
+
+
+def spokes(trees: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class b and the hub a of most trees that it is in; the hub of a tree is the class of which others share most."""
+    hubs = trees.groupBy("token").agg(F.max(F.struct("share", F.col("c").alias("hub"), F.col("n").alias("m"))).alias("x")).select("token", "x.hub", "x.m")
+    common = trees.join(hubs, "token").filter(F.col("c") != F.col("hub")).groupBy("c", "hub").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
+    best = common.filter(near_enough(F.col("n"), F.col("m"), percent)).groupBy("c").agg(F.max(F.struct("k", "hub"))["hub"].alias("hub"))
+    return best.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
+
+
+def nodes_of(members: DataFrame, *by: str) -> DataFrame:
+    """The nodes of one level: OR of bitmaps, range of sizes and of components, most room."""
+    return members.groupBy(*by).agg(*[F.bit_or(b).alias(b) for b in BITS], F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack"), F.max("room").alias("room"), F.min("comp0").alias("comp0"), F.max("comp1").alias("comp1"))
+
+
+def may_link(percent: int) -> list[Column]:
+    """Whether two nodes, aliases x and y, may hold a link between different components."""
+    near = (100 * F.col("y.high") >= percent * F.col("x.low")) & (100 * F.col("x.high") >= percent * F.col("y.low"))
+    mixed = ~((F.col("x.comp0") == F.col("y.comp1")) & (F.col("x.comp1") == F.col("y.comp0")))
+    return [near, mixed, has_room(F.least("x.room", "y.room"), F.col("x.low") + F.col("y.low"), percent), can_overlap("x", "y", percent)]
 
-    The hub of a tree is the class of which most first tokens are shared, as the original of edited copies is; in later
-    rounds a class of its largest component, another one each time. A class takes the hub with which it shares most trees.
+
+def walked(trees: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of classes in different components that the dual walk of every tree leaves over.
+
+    Levels: token, range of size, finer range of size and of room with the component (those of one class together), class.
     """
-    rank = F.struct("share", "c") if not salt else F.struct("weight", F.xxhash64("c", F.lit(salt)), "c")
-    hubs = members.groupBy("token").agg(F.max(F.struct(rank.alias("r"), F.col("c").alias("hub"), F.col("comp").alias("other"))).alias("x")).select("token", "x.hub", "x.other")
-    common = members.join(hubs, "token").filter("comp <> other").groupBy("c", "hub").agg(F.count(F.lit(1)).alias("m"))
-    return common.groupBy("c").agg(F.max(F.struct("m", "hub"))["hub"].alias("a")).select("a", F.col("c").alias("b"))
+    sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
+    named = trees.join(labels.join(sizes, "comp").select(F.col("node").alias("c"), "comp"), "c", "left").select("token", "c", "n", "room", F.coalesce("comp", "c").alias("comp"), F.coalesce("comp", F.lit(-1)).alias("own"))
+    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    step = lambda x, ratio: F.floor(F.log(x.cast("double")) / F.log(F.lit(ratio))).cast("int")
+    held = named.join(mixed, "token").join(leaves(classes), "c").select(
+        "token", "c", *BITS, "low", "high", "slack", "room", F.col("comp").alias("comp0"), F.col("comp").alias("comp1"), "own",
+        step(F.col("n"), 100.0 / percent).alias("cell"), step(F.col("n"), STEP).alias("fine"), step(F.greatest("room", F.lit(1)), STEP).alias("left"),
+    )
+    held = written(held.withColumn("node", F.xxhash64("token", "cell", "fine", "left", "own")), "tree-leaves")
+    cells = nodes_of(held, "token", "cell").alias("x")
+    upper = cells.join(cells.alias("y"), [F.col("x.token") == F.col("y.token"), F.col("y.cell").isin(F.col("x.cell"), F.col("x.cell") + 1), *may_link(percent)])
+    upper = upper.select("x.token", F.col("x.cell").alias("cell"), F.col("y.cell").alias("next"))
+    groups = written(nodes_of(held, "token", "cell", "node"), "tree-nodes")
+    x, y = groups.join(upper, ["token", "cell"]).alias("x"), groups.alias("y")
+    on = [F.col("x.token") == F.col("y.token"), F.col("x.next") == F.col("y.cell"), (F.col("x.cell") < F.col("y.cell")) | (F.col("x.node") <= F.col("y.node")), *may_link(percent)]
+    middle = x.join(y, on).select("x.token", F.col("x.node").alias("from"), F.col("y.node").alias("to"))
+    left = held.withColumnRenamed("node", "from").join(middle, ["token", "from"]).alias("x")
+    found = left.join(held.alias("y"), [F.col("x.token") == F.col("y.token"), F.col("x.to") == F.col("y.node"), F.col("x.c") != F.col("y.c"), *may_link(percent)])
+    out = written(found.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct(), "pairs")
+    dropped(held, groups)
+    return out
 
 
 def similarity_classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The signatures of all documents, and (node, comp) of the classes that have links."""
-    signed = written(signatures(docs, width), "signatures")
-    info = signed.filter("n > 0").groupBy("c").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("least").alias("least"), *[F.first(b).alias(b) for b in BITS], F.min("c2").alias("c2"), F.max("c2").alias("d2"))
-    info = written(info, "classes")
-    if not info.filter("c2 <> d2").isEmpty():
-        raise ValueError("two different sets of shingles have one 64-bit digest; change kernels.SEED")
-    roots = written(prefixes(docs, shared_tokens(docs, width, percent), width, percent), "prefixes")
-    shared = roots.groupBy("token").agg(F.min("c").alias("first"), F.max("c").alias("last")).filter("first <> last").select("token")
-    members = written(roots.join(shared, "token").distinct(), "members")
-    first = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    shares = members.groupBy("c").agg(F.count(F.lit(1)).alias("m")).join(info.select("c", "k", "n"), "c").select("c", "k", (F.col("m") / first).alias("share"))
-    shares = written(shares, "shares")
-    texts = packed_texts(shares.select("c", "k"), docs)
-    links = labels = None
-    for round_ in range(HUB_ROUNDS):
-        names = shares.select("c", "share", F.col("c").alias("comp"), F.lit(1).cast("long").alias("weight"))
-        if labels is not None:
-            sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
-            found = labels.join(sizes, "comp").select(F.col("node").alias("c"), F.col("comp").alias("_comp"), F.col("weight").alias("_weight"))
-            names = names.join(found, "c", "left").select("c", "share", F.coalesce("_comp", "comp").alias("comp"), F.coalesce("_weight", "weight").alias("weight"))
-        tried = roomy(spokes(written(members.join(names, "c"), "named"), round_), info, percent)
-        new = written(linked(written(tried, "spokes"), texts, width, percent), "spoke-links")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
-    named = members.join(labels.withColumnRenamed("node", "c"), "c", "left").select("token", "c", F.coalesce("comp", "c").alias("comp"))
-    rest = written(roomy(tree_pairs(written(named, "named"), info, percent), info, percent), "pairs")
-    return signed, components(links.unionByName(linked(rest, texts, width, percent)))
+    """(_id, k1, k2, n, c) of all documents, and (node, comp) of the classes that have links."""
+    signed = written(signatures(docs, width, percent), "signatures")
+    classes = classes_of(signed)
+    rows = written(signed.select("_id", "k1", "k2", "n", "digest").join(classes.select("digest", "c"), "digest", "left").drop("digest"), "rows")
+    dropped(signed)
+    trees = forest(docs, classes, width, percent)
+    near = written(leaf_pairs(trees, classes, percent), "leaf-pairs")
+    crowded = written(trees.filter(F.col("size") > LEAF).select("c").distinct(), "crowded")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("c")).unionByName(crowded).distinct()
+    wanted = written(classes.select("c", "k1", "k2").join(wanted, "c"), "wanted")
+    texts = packed_texts(wanted, docs)
+    deep = second_forest(texts, crowded, width, percent)
+    tried = written(near.unionByName(spokes(deep, percent)).distinct(), "tried")
+    links = linked(tried, texts, width, percent)
+    labels = components(links)
+    dropped(trees, near, crowded, wanted, tried)
+    rest = walked(deep, labels, classes, percent)
+    more = linked(rest, texts, width, percent)
+    found = components(links.unionByName(more), labels)
+    dropped(deep, texts, classes, rest, links, more, labels)
+    return rows, found
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, k, n_shingles, component_id) of every row of docs (doc_id, text)."""
+    """(doc_id, k1, k2, n_shingles, component_id) of every row of docs (doc_id, text)."""
     signed, labels = similarity_classes(docs, width, percent)
-    rows = signed.select("_id", "k", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(labels.withColumnRenamed("node", "c"), "c", "left")
-    rows = rows.select("_id", "k", "n", F.coalesce("comp", "c").alias("comp"))
+    rows = signed.join(labels.select(F.col("node").alias("c"), "comp"), "c", "left").select("_id", "k1", "k2", "n", F.coalesce("comp", "c").alias("comp"))
     least = rows.filter("comp is not null").groupBy("comp").agg(F.min("_id").alias("component_id"))
     named = rows.join(least, "comp", "left")
-    return named.select(F.col("_id").alias("doc_id"), "k", F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
+    return named.select(F.col("_id").alias("doc_id"), "k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"), "comp")
 
 
 def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -354,11 +447,10 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
     Documents without shingles all stay; of rows that are equal in id and text, one stays.
     """
     found = near_duplicates(docs, width, percent)
-    grouped = found.filter("n_shingles > 0").withColumn("_rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k"))
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("k"), F.col("k").cast("string")))
-    stay = grouped.groupBy(group.alias("_group")).agg(F.min("_rank").alias("_rank")).select(F.col("_rank.k").alias("k"))
-    stay = written(stay.unionByName(found.filter("n_shingles = 0").select("k")).distinct(), "survivors").withColumnRenamed("k", "_k")
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("_key"), F.struct(*docs.columns).alias("_row"))
-    kept = keyed.join(stay, F.col("_key") == F.col("_k"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("_rank")
+    stay = found.filter("n_shingles > 0").groupBy("comp").agg(F.min(rank).alias("_rank")).select("_rank.k1", "_rank.k2")
+    stay = written(stay.unionByName(found.filter("n_shingles = 0").select("k1", "k2")).distinct(), "survivors").withColumnsRenamed({"k1": "_1", "k2": "_2"})
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), *[k.alias(f"_k{i}") for i, k in enumerate(row_keys())])
+    kept = keyed.join(stay, (F.col("_k0") == F.col("_1")) & (F.col("_k1") == F.col("_2")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("_k0", "_k1").orderBy(F.lit(0)))
     return kept.withColumn("_n", first).filter("_n = 1").select("_row.*")

@@ -1,7 +1,13 @@
-"""Written tables that cut lineage, in the folder that the cluster shares."""
+"""Written tables that cut lineage, in the folder that the cluster shares.
+
+Tables that only serve others are deleted by ``dropped`` as soon as those are written; what a result still reads stays
+until the driver ends.
+"""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -9,13 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Paths of tables that were not dropped yet, by application.
+_KEPT: dict[str, set[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests on one machine), one temporary folder."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a temporary folder if all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-ridgeline-")
@@ -29,9 +39,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and safe from lost executors."""
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _KEPT.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _KEPT.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.scratch_path)
+
+
+@atexit.register
+def _end() -> None:
+    """Delete what results have read, if the session still runs."""
+    with contextlib.suppress(Exception):
+        spark = SparkSession.getActiveSession()
+        for path in list(_KEPT.get(spark.sparkContext.applicationId, ())) if spark is not None else ():
+            _delete(spark, path)
 
 
 #: A side is broadcast up to this many rows and bytes, counted before; beyond it is joined by a shuffle.
