@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import point_name
+
 EARTH_KM = 6371.0
 
 
@@ -49,3 +51,11 @@ def named_position(lat: list[Column], lng: list[Column]) -> Column:
     """As server_position, null unless both are finite."""
     p = server_position(lat, lng)
     return F.when(finite(p["lat"]) & finite(p["lng"]), p)
+
+
+def client_points(rows: DataFrame) -> DataFrame:
+    """rows (id, name, label, title, and the aliases of positions) as the client lists them: id, name, lat, lng; without id, name or a finite position a row is dropped."""
+    at = client_position([F.col("lat"), F.col("latitude")], [F.col("lng"), F.col("lon"), F.col("longitude")])
+    named = rows.select("*", point_name(F.col("name"), F.col("label"), F.col("title"), F.col("id")).alias("_name"), at.alias("_at"))
+    kept = named.filter((F.coalesce("id", F.lit("")) != "") & (F.col("_name") != "") & finite(F.col("_at.lat")) & finite(F.col("_at.lng")))
+    return kept.select(*[c for c in rows.columns if c in ("ord",)], "id", F.col("_name").alias("name"), "_at.lat", "_at.lng")

@@ -98,8 +98,13 @@ def joined_names(names: Column) -> Column:
 
 
 def node_name(tags: Column, id_: Column) -> Column:
-    """name:pl, name or alt_name, else a placeholder with the id."""
-    return F.coalesce(tags["name:pl"], tags["name"], tags["alt_name"], F.concat(F.lit("Punkt "), id_.cast("string")))
+    """name:pl, name or alt_name, the first that is filled, else a placeholder with the id."""
+    return F.coalesce(first_filled(tags["name:pl"], tags["name"], tags["alt_name"]), F.concat(F.lit("Punkt "), id_.cast("string")))
+
+
+def waypoint_name(tags: Column, id_: Column) -> Column:
+    """The name alone, empty or not, else a placeholder with the id."""
+    return F.coalesce(tags["name"], F.concat(F.lit("Punkt "), id_.cast("string")))
 
 
 def poi_name(tags: Column) -> Column:
@@ -108,8 +113,8 @@ def poi_name(tags: Column) -> Column:
 
 
 def node_type(tags: Column) -> Column:
-    """The first tag that tells a node's type, else waypoint."""
-    return F.coalesce(*[tags[t] for t in NODE_TYPES], F.lit("waypoint"))
+    """The first filled tag that tells a node's type, else waypoint."""
+    return F.coalesce(first_filled(*[tags[t] for t in NODE_TYPES]), F.lit("waypoint"))
 
 
 def poi_type(tags: Column) -> Column:

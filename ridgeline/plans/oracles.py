@@ -74,7 +74,11 @@ near AS MATERIALIZED (SELECT id, node_id, km FROM (SELECT id, node_id, {_km("lat
 
 WAYS = "w AS (SELECT l_orderkey AS way, l_partkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i FROM lineitem)"
 SEGMENTS = WAYS + ", s AS (SELECT * FROM (SELECT way, i::INT AS seg, k AS a, lead(k) OVER (PARTITION BY way ORDER BY i) AS b FROM w) WHERE b IS NOT NULL)"
-KNOWN = "kn AS (SELECT p_partkey AS k, p_size + 0.5 AS ele FROM part WHERE p_partkey % 10 <> 3)"
+_TAG_COLUMNS = """p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_size + 0.5 END::DOUBLE AS ele, CASE WHEN p_partkey % 4 <> 0 THEN CASE WHEN p_partkey % 13 = 1 THEN '' ELSE p_name END END AS name,
+  CASE WHEN p_partkey % 9 = 2 THEN p_brand END AS name_pl, CASE WHEN p_partkey % 8 = 0 THEN p_type END AS alt_name, (['peak', 'saddle', 'water', 'tree', ''])[p_size % 5 + 1] AS "natural",
+  CASE WHEN p_partkey % 3 = 1 THEN 'viewpoint' END AS tourism, CASE WHEN p_partkey % 6 = 2 THEN 'waterfall' END AS waterway"""
+TAGS = f"tg AS (SELECT {_TAG_COLUMNS} FROM part)"
+KNOWN = f"kn AS (SELECT {_TAG_COLUMNS} FROM part WHERE p_partkey % 10 <> 3)"
 BUYING = "e AS (SELECT 'c' || o_custkey AS src, 'c' || (o_orderkey % 3000) AS dst, o_orderkey AS ord FROM orders)"
 _TRAIL_KM = _km(_lat("a"), _lng("a"), _lat("b"), _lng("b"))
 PROFILES = "pr AS (SELECT user_id, try_cast(CASE WHEN event_type = 'error' THEN NULL ELSE json_extract_string(props, '$.k') END AS INT) AS height_cm, nullif(event_type, 'view') AS experience_level, 'easy' AS route_preference FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"
@@ -95,7 +99,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN p_partkey % 2 <> 0 THEN p_name WHEN p_partkey % 4 = 0 THEN p_brand ELSE p_partkey::VARCHAR END AS name, p_partkey % 3 = 0 AS generic
         FROM (SELECT *, p_size * 7 AS m FROM part)""",
     "folded_words": "SELECT strip_accents(lower(line)) AS folded, count(*) AS n FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) GROUP BY ALL",
-    "coordinates": f"""SELECT c_custkey, round(CASE WHEN ok THEN s END, 6) AS s_lat, round(CASE WHEN ok THEN lng END, 6) AS s_lng, round(coalesce(lat, latitude), 6) AS c_lat, round(lng, 6) AS c_lng,
+    "coordinates": f"""SELECT c_custkey, round(CASE WHEN s IS NOT NULL AND lng IS NOT NULL AND k % 11 <> 1 THEN s END, 6) AS d_lat, round(CASE WHEN s IS NOT NULL AND lng IS NOT NULL AND k % 11 <> 1 THEN lng END, 6) AS d_lng, round(CASE WHEN ok THEN s END, 6) AS s_lat, round(CASE WHEN ok THEN lng END, 6) AS s_lng, round(coalesce(lat, latitude), 6) AS c_lat, round(lng, 6) AS c_lng,
         round(CASE WHEN k % 5 <> 0 AND lat IS NOT NULL AND lng IS NOT NULL THEN lat END, 6) AS l_lat, round(CASE WHEN k % 5 <> 0 AND lat IS NOT NULL AND lng IS NOT NULL THEN lng END, 6) AS l_lng
         FROM (SELECT *, s IS NOT NULL AND lng IS NOT NULL AS ok FROM (SELECT *, coalesce(nullif(lat, 0), latitude) AS s FROM (SELECT c_custkey, c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN {_lat("c_custkey")} END AS lat,
         CASE WHEN c_custkey % 2 = 0 THEN {_lat("c_custkey")} END AS latitude, CASE WHEN c_custkey % 7 <> 0 THEN {_lng("c_custkey")} END AS lng FROM customer)))""",
@@ -106,15 +110,25 @@ ORACLES: dict[str, str] = {
     "way_segments": f"WITH {SEGMENTS} SELECT way, seg, a, b FROM s",
     "undirected_dedup": f"WITH {SEGMENTS} SELECT least(a::VARCHAR, b::VARCHAR) AS lo, greatest(a::VARCHAR, b::VARCHAR) AS hi, way, seg FROM s QUALIFY row_number() OVER (PARTITION BY lo, hi ORDER BY way, seg) = 1",
     "full_map": f"""WITH {SEGMENTS}, {KNOWN}, f AS (SELECT * FROM s JOIN kn x ON x.k = a JOIN kn y ON y.k = b QUALIFY row_number() OVER (PARTITION BY least('node/' || a, 'node/' || b), greatest('node/' || a, 'node/' || b) ORDER BY way, seg) = 1),
-        g AS (SELECT *, round_even({_TRAIL_KM}, 4) AS km4 FROM f)
-        SELECT 'node/' || a AS src, 'node/' || b AS dst, km4 AS km, 0 AS elevation_gain_m, CASE WHEN way % 7 = 6 THEN 1 ELSE way % 7 + 1 END::INT AS difficulty, 'way/' || way AS osm_way_id, 2 AS n_positions FROM g""",
-    "full_map_nodes": f"WITH {SEGMENTS}, {KNOWN}, f AS (SELECT unnest([a, b]) AS k FROM s JOIN kn x ON x.k = a JOIN kn y ON y.k = b) SELECT 'node/' || p_partkey AS id, p_name AS name, 'waypoint' AS type, round({_lat('p_partkey')}, 6) AS lat, (p_size + 0.5)::DOUBLE AS elevation FROM part WHERE p_partkey IN (SELECT k FROM f)",
-    "walk_map": f"""WITH {SEGMENTS}, {KNOWN} SELECT way + 100000000 AS way, seg, a::VARCHAR AS src, b::VARCHAR AS dst, round_even({_TRAIL_KM}, 3) AS km, round_even(greatest((y.ele - x.ele)::DOUBLE, 0), 0)::BIGINT AS elevation_gain_m, 'unknown' AS difficulty
-        FROM s JOIN kn x ON x.k = a JOIN kn y ON y.k = b WHERE way % 5 IN (0, 1, 3)""",
+        g AS (SELECT *, {_TRAIL_KM} AS d FROM f)
+        SELECT 'node/' || a AS src, 'node/' || b AS dst, round_even(d, 4) AS km, round_even(greatest(d * 15, 0.1::DOUBLE), 2) AS minutes, 0 AS elevation_gain_m, CASE WHEN way % 4 = 0 OR way % 7 = 6 THEN 1 ELSE way % 7 + 1 END::INT AS difficulty,
+        'way/' || way AS osm_way_id, '' AS trail_name, 2 AS n_positions FROM g""",
+    "full_map_nodes": f"""WITH {SEGMENTS}, {KNOWN}, f AS (SELECT unnest([a, b]) AS k FROM s JOIN kn x ON x.k = a JOIN kn y ON y.k = b)
+        SELECT 'node/' || k AS id, coalesce(name, 'Punkt ' || k) AS name, 'waypoint' AS type, round({_lat("k")}, 6) AS lat, 0.0::DOUBLE AS elevation FROM kn WHERE k IN (SELECT k FROM f)""",
+    "walk_map": f"""WITH {SEGMENTS}, {KNOWN}, g AS (SELECT *, {_TRAIL_KM} * 1000 AS m, greatest(y.ele - x.ele, 0.0::DOUBLE) AS up FROM s JOIN kn x ON x.k = a JOIN kn y ON y.k = b WHERE way % 5 IN (0, 1, 3))
+        SELECT way + 100000000 AS way, seg, 'node/' || a AS src, 'node/' || b AS dst, round_even(m / 1000, 3) AS km, round_even(m / 5000 * 60 + up / 600 * 60, 0)::BIGINT AS minutes, round_even(up, 0)::BIGINT AS elevation_gain_m, 'unknown' AS difficulty FROM g""",
+    "walk_map_nodes": f"""WITH {KNOWN} SELECT 'node/' || k AS id, coalesce(nullif(name_pl, ''), nullif(name, ''), nullif(alt_name, ''), 'Punkt ' || k) AS name, coalesce(tourism, nullif("natural", ''), waterway, 'waypoint') AS type, round({_lng("k")}, 6) AS lng, ele AS elevation FROM kn""",
+    "selected_elements": f"""WITH {WAYS}, {KNOWN}, t AS (SELECT DISTINCT way FROM w WHERE (way % 5 IN (0, 1, 3) AND way % 6 <> 0) OR way % 4 <> 0),
+        near AS (SELECT DISTINCT way FROM w JOIN kn USING (k) WHERE way IN (SELECT way FROM t) AND {_lat("k")} BETWEEN 49.20 AND 49.22 AND {_lng("k")} BETWEEN 19.80 AND 19.90)
+        SELECT 'way' AS type, way AS id FROM near UNION ALL SELECT 'node', k FROM kn WHERE k IN (SELECT k FROM w WHERE way IN (SELECT way FROM near))""",
+    "built_points": f"""WITH {TAGS}, {PLACES}, p3 AS (SELECT *, CASE k % 3 WHEN 0 THEN [0] WHEN 1 THEN [0, 7] ELSE [0, 7, 20] END AS steps FROM tg WHERE "natural" IN ('peak', 'saddle', 'water') OR tourism IS NOT NULL OR waterway IS NOT NULL),
+        c AS (SELECT * REPLACE (round(list_sum([{_lat("k + x")} FOR x IN steps]) / len(steps), 6) AS lat, round(list_sum([{_lng("k + x")} FOR x IN steps]) / len(steps), 6) AS lng) FROM (SELECT *, 0.0::DOUBLE AS lat, 0.0::DOUBLE AS lng FROM p3) WHERE coalesce(name_pl, name, alt_name) IS NOT NULL),
+        d AS (SELECT c.*, node_id, {_km("c.lat", "c.lng", "nlat", "nlng")} AS km, ord FROM c, n QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(km, 9), ord) = 1)
+        SELECT CASE WHEN k % 3 = 0 THEN 'node/' ELSE 'way/' END || k AS id, coalesce(name_pl, name, alt_name) AS name, coalesce("natural", tourism, waterway, 'poi') AS type, lat, lng, ele AS elevation, node_id AS nearest_routing_node_id, round_even(km * 1000, 0)::BIGINT AS distance_to_trail_m FROM d""",
     "bbox_tag_filter": f"""SELECT p_partkey, {_lat("p_partkey")} + 0.05 BETWEEN 49.15 AND 49.36 AND {_lng("p_partkey")} BETWEEN 19.70 AND 20.15 AND ((p_partkey % 5 IN (0, 1, 3) AND p_size % 4 NOT IN (0, 2)) OR p_partkey % 7 = 0) AS trail,
         p_partkey % 5 IN (0, 1, 3) AND p_size % 4 <> 2 AS walk FROM part""",
     "used_nodes": f"WITH {BUYING} SELECT 'c' || c_custkey AS id FROM customer WHERE 'c' || c_custkey IN (SELECT src FROM e UNION SELECT dst FROM e)",
-    "isolated_nodes": f"WITH {BUYING} SELECT 'c' || c_custkey AS id FROM customer WHERE 'c' || c_custkey NOT IN (SELECT src FROM e UNION SELECT dst FROM e)",
+    "isolated_nodes": "WITH o AS (SELECT * FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM o UNION SELECT o_orderkey % 3000 FROM o)",
     "graph_counts": "SELECT (SELECT count(*) FROM customer) AS n_nodes, (SELECT count(*) FROM orders) AS n_edges",
     "drawn_edges": f"WITH {BUYING}, c AS (SELECT 'c' || c_custkey AS id, round({_lat('c_custkey')}, 6) AS lat, round({_lng('c_custkey')}, 6) AS lng FROM customer) SELECT ord, src, dst, x.lat AS src_lat, x.lng AS src_lng, y.lat AS dst_lat, y.lng AS dst_lng FROM e JOIN c x ON x.id = src JOIN c y ON y.id = dst",
     "adjacency_degree": f"WITH {BUYING} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node",
@@ -131,6 +145,15 @@ ORACLES: dict[str, str] = {
     "unique_points": f"WITH {POINTS} SELECT id, name, first AS ord FROM u WHERE r = 1",
     "search_points": f"WITH {POINTS} SELECT id, name, type FROM u WHERE r = 1 AND (contains(lower(name), 'red') OR contains(lower(id), 'red') OR contains(lower(type), 'red')) ORDER BY name, first LIMIT 8",
     "route_status": f"WITH {BUYING}, c AS (SELECT 'c' || c_custkey AS id FROM customer) SELECT ord AS req_id, (CASE WHEN ord % 11 = 0 OR src = dst THEN 400 WHEN src NOT IN (SELECT id FROM c) OR dst NOT IN (SELECT id FROM c) THEN 404 ELSE 200 END)::INT AS code FROM e",
+    "route_reasons": f"""WITH {BUYING}, c AS (SELECT 'c' || c_custkey AS id FROM customer), r AS (SELECT ord AS req_id, CASE WHEN ord % 11 = 0 THEN 'missing' WHEN src = dst THEN 'equal' WHEN src NOT IN (SELECT id FROM c) OR dst NOT IN (SELECT id FROM c) THEN 'unknown'
+        WHEN ord % 3 = 0 THEN 'unmatched' WHEN ord % 5 = 0 THEN 'unreachable' ELSE 'ok' END AS reason FROM e) SELECT req_id, CASE WHEN reason IN ('missing', 'equal') THEN 400 WHEN reason = 'ok' THEN 200 ELSE 404 END::INT AS code, reason FROM r""",
+    "form_checks": "SELECT c_custkey, c_custkey % 4 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 9 >= 6 AS registration, c_custkey % 5 <> 0 AND c_custkey % 6 <> 0 AS favourite FROM customer",
+    "favourite_rows": """SELECT l_orderkey AS user_id, '["' || string_agg(l_partkey::VARCHAR, '","' ORDER BY l_linenumber, l_partkey) || '"]' AS path FROM lineitem GROUP BY l_orderkey""",
+    "response_positions": f"""WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN [c_custkey + 5, c_custkey + 6] ELSE [c_custkey, c_custkey + 1, c_custkey + 2] END AS ks FROM customer), x AS (SELECT c_custkey, unnest([y FOR y IN ks IF y % 9 > 1]) AS k FROM r)
+        SELECT c_custkey, (row_number() OVER (PARTITION BY c_custkey ORDER BY k) - 1)::INT AS place, round({_lat("k")}, 6) AS lat, round({_lng("k")}, 6) AS lng FROM x""",
+    "client_points": """SELECT k::VARCHAR AS id, name, lat, lng FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 <> 0 THEN c_name WHEN c_custkey % 6 = 0 THEN c_mktsegment ELSE c_custkey::VARCHAR END AS name,
+        CASE c_custkey % 4 WHEN 0 THEN 0.0 WHEN 1 THEN c_custkey / 8.0 END::DOUBLE AS lat, (c_custkey / 16.0)::DOUBLE AS lng FROM customer) WHERE k % 10 <> 0 AND lat IS NOT NULL""",
+    "map_scan": "SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, n_name AS name, (n_nationkey / 4.0)::DOUBLE AS lat, CASE WHEN n_nationkey % 2 = 0 THEN 'unknown' ELSE n_nationkey::VARCHAR END AS difficulty, (n_nationkey / 2.0)::DOUBLE AS \"first\" FROM nation",
     "unique_insert": "SELECT 4 + row_number() OVER (ORDER BY ord) AS id, email, ord FROM (SELECT c_custkey AS ord, c_mktsegment || '@' || c_nationkey AS email FROM customer QUALIFY row_number() OVER (PARTITION BY email ORDER BY c_custkey) = 1) WHERE email NOT IN (SELECT 'BUILDING@' || n_nationkey FROM nation WHERE n_nationkey < 5)",
     "verified_logins": "SELECT o_orderkey, c_custkey AS user_id, coalesce(o_orderstatus <> 'F' AND c_custkey IS NOT NULL, false) AS ok FROM orders LEFT JOIN customer ON c_custkey = o_custkey * 2",
     "favorites_by_user": "SELECT o_orderkey AS id, o_custkey AS user_id, o_orderpriority AS route_name, o_totalprice AS distance_km, strftime(o_orderdate, '%Y-%m-%d') AS created FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate DESC, o_orderkey DESC",

@@ -112,8 +112,10 @@ def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     lng = F.when(key % 7 == 0, "x").otherwise(_lng(key).cast("string"))
     server, client = geo.server_position([lat, latitude], [lng]), geo.client_position([lat, latitude], [lng])
     listed = geo.list_position(F.when(key % 5 == 0, F.array(lat)).otherwise(F.array(lat, lng)))
+    far = F.when(key % 11 == 1, "Infinity").otherwise(lng)
+    named = geo.named_position([lat, latitude], [F.lit(None).cast("string"), far])
     r = lambda c: F.round(c, 6)
-    return _table(spark, sf_dir, "customer").select("c_custkey", r(server["lat"]).alias("s_lat"), r(server["lng"]).alias("s_lng"), r(client["lat"]).alias("c_lat"), r(client["lng"]).alias("c_lng"), r(listed["lat"]).alias("l_lat"), r(listed["lng"]).alias("l_lng"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", r(named["lat"]).alias("d_lat"), r(named["lng"]).alias("d_lng"), r(server["lat"]).alias("s_lat"), r(server["lng"]).alias("s_lng"), r(client["lat"]).alias("c_lat"), r(client["lng"]).alias("c_lng"), r(listed["lat"]).alias("l_lat"), r(listed["lng"]).alias("l_lng"))
 
 
 def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,19 +161,29 @@ def undirected_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.first_edges(found, "way", "seg").select("lo", "hi", "way", "seg")
 
 
+def _tags(key: Column) -> Column:
+    """Tags of parts as nodes: names under one key or another or none, empty ones, kinds, elevations."""
+    text_of = lambda k, n, value: F.when(key % n == k, value)
+    return F.create_map(
+        F.lit("name"), F.when(key % 4 != 0, F.when(key % 13 == 1, "").otherwise(F.col("p_name"))), F.lit("name:pl"), text_of(2, 9, F.col("p_brand")), F.lit("alt_name"), text_of(0, 8, F.col("p_type")),
+        F.lit("ele"), F.when(key % 5 == 0, "high").otherwise(F.concat(F.col("p_size"), F.lit(".5"))), F.lit("natural"), F.element_at(F.array(*map(F.lit, ("peak", "saddle", "water", "tree", ""))), (F.col("p_size") % 5 + 1).cast("int")),
+        F.lit("tourism"), text_of(1, 3, F.lit("viewpoint")), F.lit("waterway"), text_of(2, 6, F.lit("waterfall")),
+    )
+
+
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as nodes and orders as ways of a map extract; every tenth part's position is unknown to it."""
     key, order = F.col("p_partkey"), F.col("way")
     kinds = lambda k: F.element_at(F.array(*map(F.lit, ("path", "footway", "road", "track", "motorway"))), (k % 5 + 1).cast("int"))
-    nodes = _table(spark, sf_dir, "part").withColumn("known", key % 10 != 3).select(F.when(F.col("known"), "node").otherwise("relation").alias("type"), key.alias("id"), _lat(key).alias("lat"), _lng(key).alias("lon"), F.lit(None).cast("array<bigint>").alias("nodes"), F.create_map(F.lit("name"), F.col("p_name"), F.lit("ele"), F.concat(F.col("p_size"), F.lit(".5"))).alias("tags"), key.alias("ord"))
-    tags = F.create_map(F.lit("highway"), kinds(order), F.lit("sac_scale"), F.element_at(F.array(*map(F.lit, (*numbers.SAC_SCALE, "x"))), (order % 7 + 1).cast("int")))
+    nodes = _table(spark, sf_dir, "part").withColumn("known", key % 10 != 3).select(F.when(F.col("known"), "node").otherwise("relation").alias("type"), key.alias("id"), _lat(key).alias("lat"), _lng(key).alias("lon"), F.lit(None).cast("array<bigint>").alias("nodes"), _tags(key).alias("tags"), key.alias("ord"))
+    tags = F.create_map(F.lit("access"), F.when(order % 6 == 0, "private"), F.lit("highway"), kinds(order), F.lit("sac_scale"), F.when(order % 4 != 0, F.element_at(F.array(*map(F.lit, (*numbers.SAC_SCALE, "x"))), (order % 7 + 1).cast("int"))))
     ways = _ways(spark, sf_dir).select(F.lit("way").alias("type"), order.alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), "nodes", tags.alias("tags"), (order + 100_000_000).alias("ord"))
     return nodes.unionByName(ways)
 
 
 def full_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges = osm.full_map(_elements(spark, sf_dir))
-    return edges.select("src", "dst", F.col("distance_km").alias("km"), "elevation_gain_m", "difficulty", "osm_way_id", F.size("geometry").alias("n_positions"))
+    return edges.select("src", "dst", F.col("distance_km").alias("km"), F.col("time_min").alias("minutes"), "elevation_gain_m", "difficulty", "osm_way_id", "trail_name", F.size("geometry").alias("n_positions"))
 
 
 def full_map_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +193,27 @@ def full_map_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def walk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges = osm.walk_map(_elements(spark, sf_dir))
-    return edges.select(F.col("ord.way_ord").alias("way"), F.col("ord.seg").alias("seg"), "src", "dst", F.col("distance_km").alias("km"), "elevation_gain_m", "difficulty")
+    return edges.select(F.col("ord.way_ord").alias("way"), F.col("ord.seg").alias("seg"), "src", "dst", F.col("distance_km").alias("km"), F.col("time_min").alias("minutes"), "elevation_gain_m", "difficulty")
+
+
+def walk_map_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _ = osm.walk_map(_elements(spark, sf_dir))
+    return nodes.select("id", "name", "type", F.round("lng", 6).alias("lng"), "elevation")
+
+
+def selected_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trails with a node in a smaller box, and all nodes that they go through."""
+    return osm.selected(_elements(spark, sf_dir), (49.20, 19.80, 49.22, 19.90)).select("type", "id")
+
+
+def built_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as features of one to three positions, linked to suppliers as nodes."""
+    key = F.col("p_partkey")
+    at = lambda k: F.struct(_lat(key + k).alias("lat"), _lng(key + k).alias("lng"))
+    positions = F.when(key % 3 == 0, F.array(at(0))).when(key % 3 == 1, F.array(at(0), at(7))).otherwise(F.array(at(0), at(7), at(20)))
+    features = _table(spark, sf_dir, "part").select(F.when(key % 3 == 0, "node").otherwise("way").alias("type"), key.alias("id"), positions.alias("positions"), _tags(key).alias("tags"), key.alias("ord"))
+    _, nodes = _places(spark, sf_dir)
+    return osm.points_of_interest(features, nodes).select("id", "name", "type", "lat", "lng", "elevation", "nearest_routing_node_id", "distance_to_trail_m")
 
 
 def bbox_tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +235,11 @@ def used_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.isolated_nodes(*_buying(spark, sf_dir)).select("id")
+    """Customers that no urgent order under way leads from or to."""
+    nodes, _ = _buying(spark, sf_dir)
+    orders = _table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'")
+    edges = orders.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("c"), F.col("o_orderkey") % 3000).alias("dst"))
+    return graph.isolated_nodes(nodes, edges).select("id")
 
 
 def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,6 +312,65 @@ def route_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.route_status(requests, nodes, nodes).select("req_id", "code")
 
 
+def route_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final status of requests, some of them without a matching node or a connection."""
+    nodes, edges = _buying(spark, sf_dir)
+    key = F.col("ord")
+    requests = edges.select(key.alias("req_id"), F.when(key % 11 == 0, "").otherwise(F.col("src")).alias("start"), F.col("dst").alias("end"))
+    routes = edges.select(key.alias("req_id"), F.when(key % 3 != 0, F.col("src")).alias("routing_start"), F.col("dst").alias("routing_end"), F.when(key % 5 == 0, "no route").otherwise("ok").alias("status"))
+    return checks.route_reasons(checks.route_status(requests, nodes, nodes), routes)
+
+
+def form_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    rows = _table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(key % 4 != 0, F.col("c_name")).alias("name"), F.when(key % 7 == 0, "").otherwise(F.col("c_mktsegment")).alias("email"), F.expr("left(c_name, int(c_custkey % 9))").alias("password"),
+        F.when(key % 5 != 0, key).alias("user_id"), F.when(key % 6 == 0, "").otherwise(F.col("c_mktsegment")).alias("route_name"),
+    )
+    return rows.select("c_custkey", checks.registration_ok().alias("registration"), checks.favourite_ok().alias("favourite"))
+
+
+def favourite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as favourites, their parts as the path."""
+    rows = _ways(spark, sf_dir).select(F.col("way").alias("user_id"), F.col("nodes").cast("array<string>").alias("path"))
+    return store.favourite_rows(rows)
+
+
+def response_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the client draws: the line of an answer, or its points where there is no line."""
+    key = F.col("c_custkey")
+    at = lambda k: F.struct(F.when((key + k) % 9 == 0, float("nan")).when((key + k) % 9 == 1, float("inf")).otherwise(_lat(key + k)).alias("lat"), _lng(key + k).alias("lng"))
+    none = F.array().cast("array<struct<lat:double,lng:double>>")
+    line, points = F.when(key % 4 == 0, none).otherwise(F.array(at(0), at(1), at(2))), F.array(at(5), at(6))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(assembly.line_or_points(line, points)).alias("place", "p"))
+    return rows.select("c_custkey", "place", F.round("p.lat", 6).alias("lat"), F.round("p.lng", 6).alias("lng"))
+
+
+def client_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of each nation as a document of points, as the client reads it."""
+    key = F.col("c_custkey")
+    item = F.to_json(F.struct(
+        F.when(key % 10 != 0, key.cast("string")).alias("id"), F.when(key % 3 == 0, "").otherwise(F.col("c_name")).alias("name"), F.when(key % 6 == 0, F.col("c_mktsegment")).alias("title"),
+        F.when(key % 4 == 0, F.lit(0.0)).when(key % 4 == 1, key / 8.0).alias("lat"), F.when(key % 4 == 2, "x").when(key % 2 == 0, key.cast("string")).alias("latitude"), (key / 16.0).alias("lon"),
+    ))
+    pair = F.struct(key.alias("k"), F.concat(F.when(F.col("c_nationkey") % 2 == 1, F.concat(F.lit('"'), key, F.lit('":'))).otherwise(""), item).alias("item"))
+    listed = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(F.sort_array(F.collect_list(pair))["item"], ",").alias("items"))
+    odd = F.col("c_nationkey") % 2 == 1
+    value = F.concat(F.lit('{"points":'), F.when(odd, "{").otherwise("["), F.col("items"), F.when(odd, "}").otherwise("]"), F.lit("}"))
+    rows = documents.collection(listed.select("c_nationkey", value.alias("value")), "value", "id STRING, name STRING, label STRING, title STRING, lat STRING, latitude STRING, lng STRING, lon STRING, longitude STRING", "points", "nodes", promote=False)
+    return geo.client_points(rows).select("id", "name", "lat", "lng")
+
+
+def map_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map document for each region: nations as nodes under their ids, edges to the region."""
+    key = F.col("n_nationkey")
+    node = F.concat(F.lit('"n'), key, F.lit('":'), F.to_json(F.struct(F.col("n_name").alias("name"), (key / 4.0).alias("lat"))))
+    edge = F.to_json(F.struct(F.concat(F.lit("n"), key).alias("from"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("to"), F.when(key % 2 == 0, "unknown").otherwise(key.cast("string")).alias("difficulty"), F.array(F.array(key / 2.0, key / 4.0)).alias("geometry")))
+    docs = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.collect_list(node), ",").alias("nodes"), F.array_join(F.collect_list(edge), ",").alias("edges"))
+    nodes, edges = documents.map_rows(docs.select(F.concat(F.lit('{"nodes":{'), "nodes", F.lit('},"edges":['), "edges", F.lit("]}")).alias("value")))
+    return edges.join(nodes.select(F.col("id").alias("src"), "name", "lat"), "src").select("src", "dst", "name", "lat", "difficulty", F.col("geometry")[0][0].alias("first"))
+
+
 def unique_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.concat_ws("@", "c_mktsegment", "c_nationkey").alias("email"))
     users = _table(spark, sf_dir, "nation").select(F.concat(F.lit("BUILDING@"), "n_nationkey").alias("email"), F.col("n_nationkey").cast("long").alias("id")).filter("id < 5")
@@ -330,8 +425,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "route_batch": route_batch,
     **{f"shortest_path_{c}": _by_criterion(c) for c in numbers.CRITERIA},
     **{f.__name__: f for f in (
-        weights_by_criterion, dirty_number, scalar_expressions, folded_words, coordinates, haversine_pairs, nearest_node, resolve_node, relinked_points, way_segments, undirected_dedup, full_map, full_map_nodes, walk_map,
+        weights_by_criterion, dirty_number, scalar_expressions, folded_words, coordinates, haversine_pairs, nearest_node, resolve_node, relinked_points, way_segments, undirected_dedup, full_map, full_map_nodes, walk_map, walk_map_nodes, selected_elements, built_points,
         bbox_tag_filter, used_nodes, isolated_nodes, graph_counts, drawn_edges, adjacency_degree, route_points, route_positions, consecutive_runs, characteristic_points, path_points, unique_points, search_points,
-        route_status, unique_insert, verified_logins, favorites_by_user, profile_upsert, profile_view, orphan_rows, normalize_collection,
+        route_status, route_reasons, form_checks, favourite_rows, response_positions, client_points, map_scan, unique_insert, verified_logins, favorites_by_user, profile_upsert, profile_view, orphan_rows, normalize_collection,
     )},
 }

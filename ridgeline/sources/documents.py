@@ -66,15 +66,19 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return collection(read_text(spark, path), "value", schemas.POIS, "points", "nodes")
 
 
-def read_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a map file; the edges' ends are src and dst."""
-    text = read_text(spark, path)
+def map_rows(text: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of map documents (value); the edges' ends are src and dst."""
     nodes = collection(text.select(F.get_json_object("value", "$.nodes").alias("value")), "value", schemas.NODES, "points", "nodes")
     edge_schema = schemas.EDGES + ", id STRING"
     edges = collection(text.select(F.get_json_object("value", "$.edges").alias("value")), "value", edge_schema, "edges")
     return nodes, edges.drop("id").withColumnsRenamed({"from": "src", "to": "dst"})
 
 
+def read_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a map file."""
+    return map_rows(read_text(spark, path))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """Rows as JSON lines, UTF-8, over what was there."""
     df.write.mode("overwrite").json(path)

@@ -5,14 +5,16 @@ osm: (type, id, lat, lon, nodes, tags, ord), the elements of an extract in order
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
 from ..functions.numbers import ascent, elevation_or_zero, flat_minutes, sac_difficulty, walking_minutes
-from ..functions.text import node_name, node_type, osm_id, poi_name, poi_type
+from ..functions.text import node_name, node_type, osm_id, poi_name, poi_type, waypoint_name
 from ..operators.graph import first_edges, used_nodes
-from ..operators.nearest import nearest
+from ..operators.nearest import nearest, relinked
+from . import schemas
+from .documents import collection, read_points, read_text, write_json
 
 #: The box of the map (south, west, north, east) and the tags of trails and of points of interest.
 BOX = (49.15, 19.70, 49.36, 20.15)
@@ -56,6 +58,30 @@ def selected(osm: DataFrame, box: tuple[float, float, float, float] = BOX) -> Da
     return nodes.join(through, "id", "left_semi").unionByName(ways)
 
 
+def read_extract(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The elements of an extract in order: one JSON document with a list under ``elements``, or with ``lines`` an element a line.
+
+    Lines are read in parallel, whatever their number; a document is one row until its elements are taken apart.
+    """
+    if lines:
+        return spark.read.schema(schemas.OSM).json(path).withColumn("ord", F.monotonically_increasing_id())
+    return collection(read_text(spark, path), "value", schemas.OSM, "elements", promote=False)
+
+
+def build_map(spark: SparkSession, extract: str, map_folder: str, points: str | None = None, points_folder: str | None = None, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The map job: read an extract, build the whole map, write nodes and edges, and link the points of a file anew.
+
+    Without ``points`` the last step is left out. Returns the nodes and edges as written.
+    """
+    nodes, edges = full_map(selected(read_extract(spark, extract, lines)))
+    write_json(nodes.drop("ord").orderBy("id"), f"{map_folder}/nodes")
+    write_json(edges.orderBy("ord").drop("ord"), f"{map_folder}/edges")
+    nodes = spark.read.schema(schemas.NODES).json(f"{map_folder}/nodes")
+    if points is not None and points_folder is not None:
+        write_json(relinked(read_points(spark, points), nodes.withColumn("ord", F.monotonically_increasing_id())).drop("ord"), points_folder)
+    return nodes, spark.read.json(f"{map_folder}/edges")
+
+
 def way_segments(ways: DataFrame) -> DataFrame:
     """(way columns, seg, a, b): consecutive nodes of every way."""
     n = F.greatest(F.size("nodes") - 1, F.lit(0))
@@ -77,20 +103,21 @@ def _joined_ends(segments: DataFrame, nodes: DataFrame) -> DataFrame:
 def full_map(osm: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the whole map: segments with unknown ends are skipped, the first way of a pair wins.
 
-    Gain is 0 and time is flat here; of nodes with one id the last counts; only nodes that an edge touches stay.
+    Gain and elevations are 0 here, and time is that of the unrounded distance on the flat; of nodes with one id the last
+    counts; only nodes that an edge touches stay.
     """
     nodes = _last_nodes(osm)
     ways = osm.filter("type = 'way'").select(F.col("id").alias("way"), "nodes", "tags", F.col("ord").alias("way_ord"))
     found = _joined_ends(way_segments(ways), nodes)
     found = found.withColumns({"src": osm_id(F.lit("node"), F.col("a")), "dst": osm_id(F.lit("node"), F.col("b"))})
     kept = first_edges(found, "way_ord", "seg").drop("lo", "hi")
-    km = F.bround(haversine_km(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")), 4)
+    km = haversine_km(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))
     edges = kept.select(
-        "src", "dst", km.alias("distance_km"), flat_minutes(km).alias("time_min"), F.lit(0).alias("elevation_gain_m"), sac_difficulty(F.col("tags")["sac_scale"]).alias("difficulty"),
+        "src", "dst", F.bround(km, 4).alias("distance_km"), flat_minutes(km).alias("time_min"), F.lit(0).alias("elevation_gain_m"), sac_difficulty(F.col("tags")["sac_scale"]).alias("difficulty"),
         osm_id(F.lit("way"), F.col("way")).alias("osm_way_id"), F.coalesce(F.col("tags")["name"], F.lit("")).alias("trail_name"),
         F.array(F.array("a_lat", "a_lng"), F.array("b_lat", "b_lng")).alias("geometry"), F.struct("way_ord", "seg").alias("ord"),
     )
-    points = nodes.select(osm_id(F.lit("node"), F.col("id")).alias("id"), node_name(F.col("tags"), F.col("id")).alias("name"), F.lit("waypoint").alias("type"), "lat", F.col("lon").alias("lng"), elevation_or_zero(F.col("tags")["ele"]).alias("elevation"), "ord")
+    points = nodes.select(osm_id(F.lit("node"), F.col("id")).alias("id"), waypoint_name(F.col("tags"), F.col("id")).alias("name"), F.lit("waypoint").alias("type"), "lat", F.col("lon").alias("lng"), F.lit(0.0).alias("elevation"), "ord")
     return used_nodes(points, edges), edges
 
 
@@ -101,11 +128,11 @@ def walk_map(osm: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = _joined_ends(way_segments(ways), nodes)
     metres = haversine_km(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")) * 1000
     edges = found.select(
-        F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"), F.bround(metres / 1000, 3).alias("distance_km"),
+        osm_id(F.lit("node"), F.col("a")).alias("src"), osm_id(F.lit("node"), F.col("b")).alias("dst"), F.bround(metres / 1000, 3).alias("distance_km"),
         walking_minutes(metres, F.greatest(F.col("b_ele") - F.col("a_ele"), F.lit(0.0))).alias("time_min"), ascent(F.col("a_ele"), F.col("b_ele")).alias("elevation_gain_m"), F.lit("unknown").alias("difficulty"),
         F.struct("way_ord", "seg").alias("ord"),
     )
-    points = nodes.select(F.col("id").cast("string").alias("id"), node_name(tags, F.col("id")).alias("name"), node_type(tags).alias("type"), "lat", F.col("lon").alias("lng"), elevation_or_zero(tags["ele"]).alias("elevation"), "ord")
+    points = nodes.select(osm_id(F.lit("node"), F.col("id")).alias("id"), node_name(tags, F.col("id")).alias("name"), node_type(tags).alias("type"), "lat", F.col("lon").alias("lng"), elevation_or_zero(tags["ele"]).alias("elevation"), "ord")
     return points, edges
 
 

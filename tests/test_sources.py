@@ -75,3 +75,27 @@ def test_stream(spark, tmp_path):
     assert sorted((r.user_id, r.id) for r in spark.table("stream_log").collect()) == [(0, 2), (1, 3)]
     counts = changes.counts_by_window(stream.withColumn("kind", F.lit("x")), "at", "kind")
     assert counts.isStreaming
+
+
+def test_map_job(spark, tmp_path):
+    """From an extract to the written map and the points linked to it, by document and by lines."""
+    node = lambda i, **tags: {"type": "node", "id": i, "lat": 49.2 + i / 100, "lon": 20.0, "tags": tags}
+    elements = [node(1, ele="900"), node(2, name=""), node(3, name="C"), {"type": "way", "id": 9, "nodes": [1, 2, 3, 7], "tags": {"highway": "path"}}, {"type": "way", "id": 8, "nodes": [3, 1], "tags": {"highway": "road"}}]
+    (tmp_path / "e.json").write_text(json.dumps({"version": 0.6, "elements": elements}))
+    (tmp_path / "e.jsonl").write_text("\n".join(map(json.dumps, elements)))
+    (tmp_path / "p.json").write_text(json.dumps({"nodes": [{"id": "q", "name": "Q", "lat": 49.2301, "lng": 20.0, "nearest_routing_node_id": "old"}]}))
+    for name, lines in (("e.json", False), ("e.jsonl", True)):
+        out = tmp_path / f"out-{lines}"
+        nodes, edges = osm.build_map(spark, str(tmp_path / name), str(out / "map"), str(tmp_path / "p.json"), str(out / "points"), lines)
+        assert [(r.id, r.name, r.elevation) for r in nodes.orderBy("id").collect()] == [("node/1", "Punkt 1", 0.0), ("node/2", "", 0.0), ("node/3", "C", 0.0)]
+        assert [(r.src, r.dst, r.distance_km, r.time_min) for r in edges.orderBy("src").collect()] == [("node/1", "node/2", 1.1119, 16.68), ("node/2", "node/3", 1.1119, 16.68)]
+        assert [(r.nearest_routing_node_id, r.distance_to_trail_m) for r in spark.read.json(str(out / "points")).collect()] == [("node/3", 11)]
+
+
+def test_tables(spark):
+    for _ in range(2):
+        documents.create_tables(spark)
+    documents.append(spark.sql("SELECT 1L AS user_id, 180 AS height_cm, '' AS experience_level, 'easy' AS route_preference, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS updated_at"), "user_profiles")
+    documents.create_tables(spark)
+    assert spark.table("user_profiles").count() == 1
+    assert {"user_id", "path", "criterion"} <= set(spark.table("favorite_routes").columns)
