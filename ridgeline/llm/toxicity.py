@@ -8,11 +8,14 @@ beginnings that its plain and restored words share with the training texts: each
 is the chance that at least one of them tells the truth.
 
 The character model counts the texts of all documents. The features alone are learned from a sample of at most about
-TRAIN_ROWS labelled rows, picked by a hash of doc_id.
+TRAIN_ROWS labelled rows, picked by a hash of doc_id. How far a feature's counts must be beyond chance is chosen by
+cross-validation over FOLDS parts of that sample, so it fits small and large samples; rows that are held out are not looked at.
+When texts are scored, only stretches in which a feature can be read at all are decoded: a reading without one adds nothing.
 
 Edge cases: null and empty texts get the base rate; rows without an id are never held out and have no label; repeated
 labels count once; without labels of either kind every score is the base rate; empty tables give empty results; further
-columns are ignored; a text of any length and every disguised stretch in it are read whole.
+columns are ignored; equal texts with different labels count as toxic; a text of any length and every disguised stretch in
+it are read whole.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import re
 from collections import Counter, OrderedDict
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,16 +34,18 @@ from pyspark.sql import functions as F
 from . import kernels
 from .language import held_out
 from .pretokens import LETTER, class_table, code_points, strings
+from .scratch import dropped, written
 
-#: Bound of the training sample and of the model's features.
-TRAIN_ROWS, FEATURES = 20_000, 5_000
+#: Bound of the training sample.
+TRAIN_ROWS = 20_000
 #: Trigrams that a task counts before it hands them on.
 HELD_GRAMS = 200_000
 #: Lengths of the word beginnings that count as features; 0 is the whole word.
 BEGINNINGS = (0, 4, 5, 6)
-LEAST_TEXTS, LEAST_PRECISION = 4, 0.9
-#: A feature's counts must be as unlikely as this by chance (minus the logarithm of the likelihood ratio to the base rate).
-SURPRISE = 14.0
+LEAST_TEXTS, LEAST_PRECISION = 3, 0.9
+#: A feature's counts must be as unlikely by chance as one of these (minus the logarithm of the likelihood ratio to the base rate).
+SURPRISES = (4.0, 5.0, 6.0, 7.0, 8.0, 10.0, 12.0, 14.0, 18.0)
+FOLDS = 4
 #: Stars in a row that may mask letters; more of them are a rule or a mark.
 MASKS = 3
 #: Readings of stretches up to this length are remembered.
@@ -50,6 +56,8 @@ IMITATES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "{": "c",
 }
 SEPARATORS = " .-_*·~"
+#: Letters that one sign imitates alike.
+_SAME = {"l": "i"}
 _DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+€£({]+[^\W\d_]|(?<!\S)[0-9@$!|+€£][^\W\d_]|[^\W\d_][0-9](?![\w])|([^\W\d_])\1|[^\W\d_]\*{1,3}[^\W\d_]|(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*·~]+(?:[^\W_]|[@$!|+])(?![^\W_])){2,}")
 
 
@@ -122,11 +130,46 @@ def restored(token: str, model: Letters) -> str:
     return "".join(reversed(letters)).strip()
 
 
+def skeletons(text: str) -> list[str] | None:
+    """What every reading of a stretch shares: letters without repeats, with those that one sign imitates made equal.
+
+    A sign counts for its letters or for nothing, each way; None where that would be too many ways, or stars mask letters.
+    """
+    out = [""]
+    for ch in text:
+        if ch == "*" or len(out) > 8:
+            return None
+        if ch in SEPARATORS:
+            continue
+        read = ch if ch.isalpha() else IMITATES.get(ch, "")
+        ways = [_SAME.get(read[0], read[0])] if read else [""]
+        out = [x if w == x[-1:] else x + w for x in out for w in (ways if ch.isalpha() else [*ways, ""])]
+    return out
+
+
+class Gate:
+    """Whether a stretch can hold one of the features, whatever its reading."""
+
+    def __init__(self, features: list[str]) -> None:
+        self.found = ahocorasick.Automaton()
+        for word in features:
+            for skeleton in skeletons(word) or [""]:
+                self.found.add_word(skeleton, skeleton)
+        if features:
+            self.found.make_automaton()
+
+    def passes(self, token: str) -> bool:
+        if not len(self.found):
+            return False
+        forms = skeletons(token)
+        return forms is None or any(next(self.found.iter(x), None) is not None for x in forms)
+
+
 class Restorer:
-    """Readings of disguised stretches, the latest ones remembered."""
+    """Readings of disguised stretches, the latest ones remembered; with a gate, of those alone that pass it."""
 
-    def __init__(self, model: Letters, kept: int = 50_000) -> None:
-        self.model, self.kept, self.known = model, kept, OrderedDict()
+    def __init__(self, model: Letters, gate: Gate | None = None, kept: int = 50_000) -> None:
+        self.model, self.gate, self.kept, self.known = model, gate, kept, OrderedDict()
 
     def words(self, text: str) -> str:
         """The readings of all disguised stretches of a text that differ from what is written, as one string."""
@@ -134,7 +177,8 @@ class Restorer:
         for token in disguised(text):
             read = self.known.get(token)
             if read is None:
-                read = restored(token, self.model) if sum(map(str.isalpha, token)) >= 2 else ""
+                wanted = sum(map(str.isalpha, token)) >= 2 and (self.gate is None or self.gate.passes(token))
+                read = restored(token, self.model) if wanted else ""
                 if len(token) <= KEPT_LENGTH:
                     if len(self.known) >= self.kept:
                         self.known.popitem(last=False)
@@ -169,17 +213,20 @@ def word_counts(texts: list[str]) -> Iterator[tuple[str, int]]:
 
 
 class Model:
-    """Sorted feature hashes with their precisions, the base rate and the character model."""
+    """Sorted feature hashes with their precisions, the features themselves, the base rate and the character model."""
 
-    def __init__(self, hashes: np.ndarray, precision: np.ndarray, base: float, letters: Letters) -> None:
+    def __init__(self, hashes: np.ndarray, precision: np.ndarray, base: float, letters: Letters, words: list[str] | None = None) -> None:
         order = np.argsort(hashes)
-        self.hashes, self.precision, self.base, self.letters = hashes[order], precision[order], base, letters
+        self.hashes, self.precision, self.base, self.letters, self.words = hashes[order], precision[order], base, letters, words or []
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """The score of every lower-case text with its restored words; each word counts once for each text."""
+        return self.of(texts, *feature_hashes(texts)[:3])
+
+    def of(self, texts: list[str], hashes: np.ndarray, text: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The scores from the features of the texts."""
         miss = np.full(len(texts), np.log1p(-self.base))
         if len(self.hashes):
-            hashes, text, begin, _ = feature_hashes(texts)
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             hit = np.flatnonzero(self.hashes[at] == hashes)
             found: dict[tuple[int, int], float] = {}
@@ -196,12 +243,12 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n = known.count()
     if n > TRAIN_ROWS:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * TRAIN_ROWS / n))
-    return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(known), "doc_id").select("text", "toxic").dropDuplicates(["text"])  # bounded by TRAIN_ROWS
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(known), "doc_id")  # bounded by TRAIN_ROWS
+    return rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn the trigrams from all documents and the features from the sample."""
-    rows = sample(docs, labels)
+def letter_model(docs: DataFrame) -> Letters:
+    """The character model, counted over the words of all documents, each once a text."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
@@ -217,30 +264,88 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["gram", "n"])
 
     table = docs.select("text").mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    letters = Letters(dict(zip(table["gram"], table["n"].astype(int), strict=True)))
+    return Letters(dict(zip(table["gram"], table["n"].astype(int), strict=True)))
+
+
+def feature_counts(restored_rows: DataFrame) -> DataFrame:
+    """(feature, word, bad0, every0, ..): in how many toxic texts and in how many texts of each fold a feature is; restored_rows: (text, toxic, fold)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in kernels.chunks(batch):
+                texts = strings(part.column("text"))
+                joined = "".join(x + "\n" for x in texts)
+                toxic, fold = (part.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("toxic", "fold"))
+                hashes, text, begin, end = feature_hashes(texts)
+                _, once = np.unique(np.stack((hashes, text.astype(np.uint64)), 1), axis=0, return_index=True)
+                hashes, text, begin, end = hashes[once], text[once], begin[once], end[once]
+                kinds, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+                counts = [np.bincount(where, weights=(fold[text] == f) * w, minlength=len(kinds)).astype(np.int64) for f in range(FOLDS) for w in (toxic[text], 1)]
+                words = [joined[b:e] for b, e in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(words, pa.string()), *map(pa.array, counts)], ["feature", "word", *names])
+
+    names = [f"{c}{f}" for f in range(FOLDS) for c in ("bad", "every")]
+    counted = restored_rows.mapInArrow(run, "feature long, word string, " + ", ".join(f"{c} long" for c in names))
+    return counted.groupBy("feature").agg(F.min("word").alias("word"), *[F.sum(c).alias(c) for c in names])
+
+
+def surprise_of(bad: np.ndarray, every: np.ndarray, base: float) -> np.ndarray:
+    """Minus the logarithm of the likelihood ratio to the base rate."""
+    share = bad / np.maximum(every, 1)
+    rest = np.where(share < 1, (every - bad) * np.log(np.maximum(1 - share, 1e-9) / (1 - base)), 0.0)
+    return bad * np.log(np.maximum(share, 1e-9) / base) + rest
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learn the trigrams from all documents and the features from the sample."""
+    letters = letter_model(docs)
     held = docs.sparkSession.sparkContext.broadcast(letters)
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = Restorer(held.value)
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Restorer(held.value)
         for batch in batches:
             for part in kernels.chunks(batch):
                 texts = [x.lower() for x in strings(part.column("text"))]
-                toxic = part.column("toxic").to_numpy()
-                hashes, text, _, _ = feature_hashes([x + "\n" + restore.words(x) for x in texts])
-                pairs = np.unique(np.stack((hashes, text.astype(np.uint64)), 1), axis=0)
-                kinds, where = np.unique(pairs[:, 0], return_inverse=True)
-                bad = np.bincount(where, weights=toxic[pairs[:, 1].astype(np.int64)], minlength=len(kinds)).astype(np.int64)
-                every = np.bincount(where, minlength=len(kinds)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(bad), pa.array(every)], ["feature", "bad", "every"])
-
-    counted = rows.mapInArrow(features, "feature long, bad long, every long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("every").alias("every"))
-    n, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    base, share = (bad + 0.5) / (n + 1.0), F.col("bad") / F.col("every")
-    surprise = F.col("bad") * F.log(share / base) + F.when(share < 1, (F.col("every") - F.col("bad")) * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    counted = counted.filter((F.col("bad") >= LEAST_TEXTS) & (share >= LEAST_PRECISION) & (surprise >= SURPRISE))
-    chosen = counted.orderBy(F.desc("bad"), "every", "feature").limit(FEATURES).toPandas()
-    precision = (chosen["bad"].to_numpy(float) + 0.2) / (chosen["every"].to_numpy(float) + 1.0)
-    return Model(chosen["feature"].to_numpy(np.int64).view(np.uint64), precision, min(0.4, 0.1 * base), letters)
+                yield pa.RecordBatch.from_arrays([pa.array([x + "\n" + own.words(x) for x in texts], pa.string()), part.column("toxic"), part.column("fold")], ["text", "toxic", "fold"])
+
+    rows = sample(docs, labels).select("text", F.col("toxic").cast("int"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+    rows = written(rows.mapInArrow(restore, "text string, toxic int, fold int"), "toxic-sample")
+    totals = {r["fold"]: (r["n"], r["bad"]) for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).collect()}
+    total = sum(F.col(f"bad{f}") for f in range(FOLDS)), sum(F.col(f"every{f}") for f in range(FOLDS))
+    likely = feature_counts(rows).filter((total[0] >= LEAST_TEXTS) & (2 * total[0] >= total[1])).toPandas()  # words of the sample
+    bad, every = (likely[[f"{c}{f}" for f in range(FOLDS)]].to_numpy(np.int64) for c in ("bad", "every"))
+    hashes = likely["feature"].to_numpy(np.int64).view(np.uint64)
+
+    def learned(without: int | None, least: float) -> Model:
+        parts = [f for f in range(FOLDS) if f != without]
+        n, toxic = (sum(totals.get(f, (0, 0))[i] for f in parts) for i in (0, 1))
+        base, b, e = (toxic + 0.5) / (n + 1.0), bad[:, parts].sum(1), every[:, parts].sum(1)
+        chosen = np.flatnonzero((b >= LEAST_TEXTS) & (b >= LEAST_PRECISION * e) & (surprise_of(b, e, base) >= least))
+        words = likely["word"].to_numpy()[chosen].tolist() if without is None else None
+        return Model(hashes[chosen], (b[chosen] + 0.2) / (e[chosen] + 1.0), min(0.4, 0.1 * base), letters if without is None else None, words)
+
+    tried = docs.sparkSession.sparkContext.broadcast([[learned(f, x) for x in SURPRISES] for f in range(FOLDS)])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in kernels.chunks(batch):
+                toxic, fold = (part.column(x).to_numpy(zero_copy_only=False) for x in ("toxic", "fold"))
+                for f in np.unique(fold).tolist():
+                    texts = strings(part.column("text").filter(pa.array(fold == f)))
+                    found = feature_hashes(texts)[:3]
+                    called = np.array([m.of(texts, *found) >= 0.5 for m in tried.value[f]])
+                    right = (called & (toxic[fold == f] == 1)).sum(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(range(len(SURPRISES)), pa.int64()), pa.array(right), pa.array(called.sum(1) - right)], ["at", "right", "wrong"])
+
+    outcome = rows.mapInArrow(judged, "at long, right long, wrong long").groupBy("at").agg(F.sum("right").alias("right"), F.sum("wrong").alias("wrong")).collect()
+    toxic = sum(x[1] for x in totals.values())
+    quality = {r["at"]: 2 * r["right"] / max(1, r["right"] + r["wrong"] + toxic) for r in outcome}
+    enough = max(quality.values(), default=0.0) - 1 / max(1, toxic)  # as good as the best, but for one text
+    best = next(i for i in range(len(SURPRISES)) if quality.get(i, 0.0) >= enough)
+    held.destroy()
+    tried.destroy()
+    dropped(rows)
+    return learned(None, SURPRISES[best])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -249,7 +354,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = Restorer(at.value.letters)
+        restore = Restorer(at.value.letters, Gate(at.value.words))
         for batch in batches:
             for part in kernels.chunks(batch):
                 texts = [x.lower() for x in strings(part.column("text"))]
