@@ -49,3 +49,32 @@ def test_run(spark):
         ids = encode(texts[i])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
     assert not decontaminate.contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet"), "doc_id").filter("contaminated").join(spark.createDataFrame([(i,) for i in out], "doc_id bigint"), "doc_id").count()
+
+
+_URL_RULES = """
+SELECT page_id, host, path, CASE WHEN host = 'www.example.com' OR host LIKE '%.www.example.com' THEN CASE WHEN path LIKE '/en/%' THEN 'www.example.com/en/' WHEN path LIKE '/%' THEN 'com/' END
+  WHEN host = 'example.com' OR host LIKE '%.example.com' THEN CASE WHEN path LIKE '/en/%' THEN 'example.com/en/' WHEN path LIKE '/%' THEN 'com/' END
+  WHEN host = 'com' OR host LIKE '%.com' THEN CASE WHEN path LIKE '/%' THEN 'com/' END
+  WHEN host = 'net' OR host LIKE '%.net' THEN CASE WHEN path LIKE '/es/%' THEN 'net/es/' WHEN path LIKE '/fr/%' THEN 'net/fr/' END END AS rule
+FROM (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+"""
+_BASE = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, list_slice(w, i, i + 4) AS g FROM w WHERE len(w) >= 5),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines,
+  coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(w) < 10 OR 100 * coalesce(r.n, 0) > 20 * len(w) AS base_failed
+FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
+
+@pytest.mark.parametrize(("name", "sql", "table"), [("op5_url_filters", _URL_RULES, "pages"), ("op9_quality_rules", _BASE, "documents")])
+def test_columns_that_sql_can_express(spark, name, sql, table):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = con.sql(sql)
+    got = QUERIES[name](spark, SF).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
