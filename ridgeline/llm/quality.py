@@ -1,9 +1,12 @@
 """Operator 9, quality rules: text statistics and robust multivariate outliers, in DataFrame functions only.
 
-Each document becomes a vector of transformed statistics. For every (lang, source) the minimum covariance determinant
-estimate is found by concentration steps: from a median start, keep the half of the documents with the smallest distances,
-estimate mean and covariance from it, and repeat. A document is rejected when its Mahalanobis distance under the estimate
-of its group is beyond ``cutoff``.
+Each document becomes a vector of transformed statistics. For every (lang, source), and for all documents together, the
+minimum covariance determinant estimate is found from several starts: from each, keep the half of the documents with the
+smallest distances, estimate mean and covariance from it, and repeat until the determinant falls no more; the start that ends
+with the least determinant gives the estimate. All groups and starts go through a step together. The starts are fixed, so
+results are too: the medians with the floors as deviations, the medians with the median absolute deviations, and the means and
+covariances of the documents on either side of the median length, and of those with the fewer repeats. A document is rejected
+when its Mahalanobis distance under the estimate of its group is beyond ``cutoff``.
 
 Edge cases: a null or empty text has no words and fails the base rule; null lang or source are groups of their own;
 repeated rows are judged alike; an empty table gives an empty result; further columns are ignored; groups of fewer than
@@ -14,10 +17,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import small_side, written
+from .scratch import BROADCAST_ROWS, small_side, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
@@ -26,10 +29,12 @@ FEATURES = ("len_words", "word_len", "symbol_rate", "line_rate", "repeat_rate")
 FLOOR = (0.5, 0.08, 0.25, 0.4, 0.6)
 #: Square of the distance beyond which a document is rejected: far in the tail of chi-square with 5 degrees of freedom (1e-8).
 CUTOFF = 46.0
-STEPS = 3
+N_STARTS = 5
+#: Steps at most, and the least fall of the logarithm of a determinant that counts as one.
+STEPS, FALL = 8, 0.02
 MIN_GROUP = 50
-#: Distances are binned by this step of their logarithm to find a group's median exactly over all its documents.
-BIN = 0.01
+#: Distances are binned by this step of their logarithm; the sums of a bin go together.
+BIN = 0.02
 
 
 def base_statistics(docs: DataFrame, *keep: str) -> DataFrame:
@@ -73,22 +78,25 @@ def statistic_vector() -> list[Column]:
     ]
 
 
-def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Means and the lower triangle of the covariance of each group, with the floors of the variances added."""
+def _covariances(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Means and the lower triangle of the covariance of each group, with the floors of the variances added; sums: by, k, t0.."""
     d = range(len(FEATURES))
-    sums = [F.count(F.lit(1)).alias("n_half")] + [F.avg(f"x{i}").alias(f"m{i}") for i in d]
-    sums += [F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in d for j in range(i + 1)]
-    cov = [(F.greatest(F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"), F.lit(0.0)) + FLOOR[i] ** 2 if i == j else F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i in d for j in range(i + 1)]
-    return rows.groupBy(*by).agg(*sums).select(*by, "n_half", *[f"m{i}" for i in d], *cov)
+    pairs = [(i, j) for i in d for j in range(i + 1)]
+    mean = lambda i: F.col(f"t{i}") / F.col("k")
+    cov = lambda at, i, j: F.col(f"t{at}") / F.col("k") - mean(i) * mean(j)
+    lower = [(F.greatest(cov(at, i, j), F.lit(0.0)) + FLOOR[i] ** 2 if i == j else cov(at, i, j)).alias(f"c{i}{j}") for at, (i, j) in enumerate(pairs, len(FEATURES))]
+    return sums.select(*by, *[mean(i).alias(f"m{i}") for i in d], *lower)
 
 
 def _factored(moments: DataFrame, by: list[str]) -> DataFrame:
-    """The Cholesky factor of every group's covariance, a column for each entry."""
-    for i in range(len(FEATURES)):
+    """The Cholesky factor of every group's covariance, a column for each entry, and the logarithm of its determinant."""
+    d = range(len(FEATURES))
+    for i in d:
         for j in range(i + 1):
             rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}"))
             moments = moments.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return moments.select(*by, *[f"m{i}" for i in range(len(FEATURES))], *[f"l{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)])
+    logdet = reduce(lambda a, i: a + 2 * F.log(F.col(f"l{i}{i}")), d, F.lit(0.0))
+    return moments.select(*by, *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)], logdet.alias("logdet"))
 
 
 def _distance() -> Column:
@@ -100,40 +108,67 @@ def _distance() -> Column:
     return reduce(lambda a, z: a + z * z, solved, F.lit(0.0))
 
 
-def _joined(rows: DataFrame, estimates: DataFrame, by: list[str]) -> DataFrame:
-    """rows with the estimate of their group; null keys match null keys. Without keys the one row comes as constants."""
-    if not by:
-        row = estimates.first()
-        return rows.withColumns({c: F.lit(row[c]) for c in estimates.columns})
-    estimates = small_side(estimates, row_bytes=256)
+def _joined(rows: DataFrame, estimates: DataFrame, by: list[str], small: bool, how: str = "left") -> DataFrame:
+    """rows with the estimates of their group; null keys match null keys. ``small`` tells that the estimates were found to be few."""
     renamed = estimates.select(*[F.col(k).alias(f"_{k}") for k in by], *[c for c in estimates.columns if c not in by])
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by])
-    return rows.join(renamed, on, "left").drop(*[f"_{k}" for k in by])
-
-
-def _concentrated(rows: DataFrame, estimates: DataFrame, by: list[str]) -> DataFrame:
-    """One concentration step: the moments of the half with the smallest distances in each group."""
-    binned = _joined(rows, estimates, by).withColumn("_d", _distance()).withColumn("_bin", F.floor(F.log(F.col("_d") + 1e-9) / BIN).cast("long"))
-    counts = binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("k"))
-    hist = counts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_bin", "k"))).alias("h"))  # a few thousand bins at most
-    half = F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + x["k"]) / 2
-    walk = F.aggregate(
-        "h", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at")),
-        lambda a, x: F.when(a["at"].isNotNull(), a).otherwise(F.struct((a["seen"] + x["k"]).alias("seen"), F.when(a["seen"] + x["k"] >= half, x["_bin"]).alias("at"))),
-    )
-    limit = hist.select(*by, walk["at"].alias("limit"))
-    kept = _joined(binned.select(*by, *[f"x{i}" for i in range(len(FEATURES))], "_bin"), limit, by).filter(F.col("_bin") <= F.col("limit"))
-    return _factored(_moments(kept, by), by)
+    return rows.join(F.broadcast(renamed) if small else renamed, on, how).drop(*[f"_{k}" for k in by])
+
+
+def _products() -> list[Column]:
+    d = range(len(FEATURES))
+    return [F.col(f"x{i}") for i in d] + [F.col(f"x{i}") * F.col(f"x{j}") for i in d for j in range(i + 1)]
+
+
+def _concentrated(rows: DataFrame, now: DataFrame, by: list[str], small: bool) -> DataFrame:
+    """One concentration step of every start: the estimate from the half of its group with the smallest distances.
+
+    Sums are kept for each bin of the distance, so that one pass over the rows serves; the half ends with the bin that
+    completes it. A group has a few thousand bins at most.
+    """
+    keys, sums = [*by, "_start"], [f"t{k}" for k in range(len(_products()))]
+    rows = _joined(rows, now.drop("logdet"), by, small, "inner")
+    binned = rows.groupBy(*keys, F.floor(F.log(_distance() + 1e-9) / BIN).cast("int").alias("_bin")).agg(F.count(F.lit(1)).alias("k"), *[F.sum(x).alias(t) for x, t in zip(_products(), sums, strict=True)])
+    so_far, whole = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    near = binned.withColumns({"_before": F.coalesce(F.sum("k").over(so_far), F.lit(0)), "_all": F.sum("k").over(whole)}).filter(2 * F.col("_before") < F.col("_all"))
+    return _factored(_covariances(near.groupBy(*keys).agg(F.sum("k").alias("k"), *[F.sum(t).alias(t) for t in sums]), keys), keys)
 
 
-def mcd_estimates(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """The minimum covariance determinant estimate of each group: mean and Cholesky factor."""
+def _starts(rows: DataFrame, by: list[str], small: bool) -> DataFrame:
+    """(by, _start, m, l): the estimates that the steps begin with."""
     d = range(len(FEATURES))
-    middle = rows.groupBy(*by).agg(*[F.percentile_approx(f"x{i}", 0.5, 10000).alias(f"m{i}") for i in d])
-    start = middle.select(*by, *[f"m{i}" for i in d], *[F.lit(FLOOR[i] if i == j else 0.0).alias(f"l{i}{j}") for i in d for j in range(i + 1)])
-    for _ in range(STEPS):
-        start = written(_concentrated(rows, start, by), name)
-    return start
+    middle = written(rows.groupBy(*by).agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in d]), "medians")
+    off = _joined(rows, middle, by, small)
+    spread = off.groupBy(*by).agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i in d])
+    lower = lambda of: [(of(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in d for j in range(i + 1)]
+    means = [f"m{i}" for i in d]
+    plain = middle.select(*by, F.lit(0).alias("_start"), *means, *lower(lambda i: F.lit(FLOOR[i])))
+    wide = _joined(middle, spread, by, False).select(*by, F.lit(1).alias("_start"), *means, *lower(lambda i: F.sqrt((1.4826 * F.col(f"s{i}")) ** 2 + FLOOR[i] ** 2)))
+    sides = F.array(F.when(F.col("x0") <= F.col("m0"), 2).otherwise(3), F.when(F.col("x4") <= F.col("m4"), 4))
+    sided = off.select(*by, F.explode(sides).alias("_start"), *[f"x{i}" for i in d]).filter("_start is not null")
+    keys = [*by, "_start"]
+    summed = sided.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), *[F.sum(x).alias(f"t{k}") for k, x in enumerate(_products())])
+    return plain.unionByName(wide).unionByName(_factored(_covariances(summed, keys), keys).drop("logdet")).withColumn("logdet", F.lit(float("inf")))
+
+
+def mcd_estimates(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The minimum covariance determinant estimate of each group: mean and Cholesky factor. A start whose determinant has settled rests."""
+    keys = [*by, "_start"]
+    small = rows.select(*by).distinct().count() * N_STARTS <= BROADCAST_ROWS // 4  # 25 doubles a row
+    now = written(_starts(rows, by, small), "mcd")
+    settled = None
+    for step in range(STEPS):
+        before = now.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("logdet").alias("_was"))
+        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        new = written(_concentrated(rows, now, by, small).join(before, on).drop(*[f"_{k}" for k in keys]), "mcd")
+        falls = F.col("_was") - F.col("logdet") >= FALL
+        rests = (new if step == STEPS - 1 else new.filter(~falls)).drop("_was")
+        settled = rests if settled is None else settled.unionByName(rests)
+        now = new.filter(falls).drop("_was")
+        if now.isEmpty():
+            break
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("logdet", "_start"))
+    return written(settled.withColumn("_n", first).filter("_n = 1").drop("_n", "_start", "logdet"), "mcd-least")
 
 
 def quality_verdicts(docs: DataFrame, *keep: str, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
@@ -149,11 +184,16 @@ def quality_verdicts(docs: DataFrame, *keep: str, cutoff: float = CUTOFF, min_gr
     stats = written(stats.select("*", *[x.alias(f"x{i}") for i, x in enumerate(statistic_vector())]), "quality")
     vectors = stats.filter(~F.col("base_failed")).select(*by, *[f"x{i}" for i in range(len(FEATURES))])
     sizes = vectors.groupBy(*by).agg(F.count(F.lit(1)).alias("n_group"))
-    usable = _joined(vectors, sizes, by).filter(F.col("n_group") >= min_group).drop("n_group")
-    grouped = mcd_estimates(usable, by, "mcd-group")
-    names = [c for c in grouped.columns if c not in by]
-    everywhere = mcd_estimates(vectors, [], "mcd-all").first() or dict.fromkeys(names)
-    both = _joined(stats, grouped, by).withColumns({c: F.coalesce(F.col(c), F.lit(everywhere[c]).cast("double")) for c in names})
+    usable = _joined(vectors, small_side(sizes), by, False)
+    # every row counts for all documents together, and for its group if that is large enough
+    group = lambda whole, names: F.struct(F.lit(whole).alias("_whole"), *names)
+    none = [F.lit(None).cast(vectors.schema[k].dataType).alias(k) for k in by]
+    either = F.array(group(True, none), F.when(F.col("n_group") >= min_group, group(False, by)))
+    values = [f"x{i}" for i in range(len(FEATURES))]
+    found = mcd_estimates(usable.select(F.explode(either).alias("_g"), *values).filter("_g is not null").select("_g.*", *values), ["_whole", *by])
+    names = [c for c in found.columns if c not in ("_whole", *by)]
+    everywhere = found.filter("_whole").first() or dict.fromkeys(names)
+    both = _joined(stats, small_side(found.filter("not _whole").drop("_whole"), row_bytes=256), by, False).withColumns({c: F.coalesce(F.col(c), F.lit(everywhere[c]).cast("double")) for c in names})
     judged = both.withColumn("distance", _distance())
     return judged.select(
         "_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
