@@ -292,6 +292,44 @@ def test_pii_collisions(spark, monkeypatch):
     assert not {"a1@x.example.org", "b@x.org", "c@x.org"} & set(got)
 
 
+def test_pii_spaces_run_out(spark, monkeypatch):
+    """More entities than one format has surrogates: the rounds end, and surrogates stay distinct and new."""
+    monkeypatch.setattr(pii, "ATTEMPTS", 3)
+    plain = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda kind, value, attempt, key: F.when(kind == "social", F.concat(F.lit("000-00-000"), F.pmod(F.xxhash64(value, attempt), F.lit(10)).cast("string"))).otherwise(plain(kind, value, attempt, key)))
+    values = [f"123-45-{i:04d}" for i in range(40)]
+    got = [r.surrogate for r in pii.surrogates(spark.createDataFrame([("social", v) for v in values], "kind string, value string"), "k").collect()]
+    assert len(set(got)) == 40
+    assert not set(got) & set(values)
+
+
+def test_pii_coreference_and_distinctness(spark, monkeypatch):
+    """Against a plain check: equal parts stay equal, different entities of any type stay different, also behind collisions."""
+    plain = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda kind, value, attempt, key: F.when((attempt == 0) & kind.isin("family", "local"), F.lit("Ada")).otherwise(plain(kind, value, attempt, key)))
+    text = (
+        "Mr John Doe and Mrs Doe met John Roe. My name is Jane Doe. Name: Zoe Wirth; bob@corp.com wrote amy@corp.com, BOB@Corp.com and bob@other.org. "
+        "From 2001:db8::ff00:42:8329 and fe80:0:0:0:1:2:3:4 at 12:30:45 to 10.0.0.7; Mr Иванов met Мария Иванов"
+    )
+    docs_ = spark.createDataFrame([(1, text), (2, "Dr Doe, bob@corp.com. " * 300), (3, text)], "doc_id bigint, text string").repartition(2)
+    out = {r.doc_id: r for r in pii.replaced(docs_, counts=True).collect()}
+    assert out[1].text == out[3].text
+    assert out[1].n_entities == 14
+    assert "12:30:45" in out[1].text
+    words = out[1].text.replace(";", "").replace(",", "").replace(".\x20", " ").split()
+    full, mrs, roe = words[:3], words[4:6], words[7:9]
+    assert (full[0], mrs[0], full[2], full[1]) == ("Mr", "Mrs", mrs[1], roe[0])
+    family = full[2]
+    assert f"My name is" in out[1].text and out[1].text.split("My name is ")[1].split(". ")[0].endswith(family)
+    assert f"Dr {family}," in out[2].text
+    mails = [w.rstrip(".") for w in words if "@" in w]
+    assert (mails[0], mails[0].split("@")[1], mails[0].split("@")[0]) == (mails[2], mails[1].split("@")[1], mails[3].split("@")[0])
+    assert len(set(mails)) == 3
+    for gone in ("Doe", "Roe", "Wirth", "corp.com", "2001:db8", "10.0.0.7", "Иванов"):
+        assert gone not in out[1].text
+    assert out[2].text.count(mails[0]) == 300
+
+
 def test_repeats(docs, empty):
     covered = {}
     for r in repeats.repeats(docs).collect():
