@@ -3,7 +3,8 @@
 Windows of consecutive benchmark words are looked up as phrases: a first pass counts the corpus frequency of every test
 term, a second one stores the postings (document, position) of the rarest terms of the windows, and the offset-adjusted
 lists are intersected from the rarest term on. The postings of the rarest term carry the words around them, so the
-remaining words are compared without going back to the texts.
+remaining words are compared without going back to the texts: in place for phrases, and in any order within the reach of the
+window for proximity matches.
 
 Edge cases: null and empty texts have no words; an item without words has no window, one with fewer than ``width`` words
 has one; repeated items share their windows; an item without an id marks words but is not listed; repeated documents get
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_side, written
+from .scratch import fits, small_side, written
 
 WIDTH = 10
 #: Terms of a window whose lists are intersected.
@@ -50,15 +51,21 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(term, k1, k2, pos, around): the positions of ``terms`` (term, anchor); for anchors, the words up to ``width`` - 1 away.
+    """(term, k1, k2, pos, at, around): the positions of ``terms`` (term, anchor); for anchors, the words up to ``width`` - 1 away.
 
-    ``at`` is the index of the term in ``around``.
+    ``at`` is the index of the term in ``around``. While the terms fit a broadcast, a document's words wait beside its tokens;
+    else tokens are joined alone, and only the documents with anchors are asked for their words.
     """
-    tokens = keyed(docs).select("k1", "k2", "_words", F.posexplode("_words").alias("pos", "term"))
-    held = tokens.join(small_side(terms, "term"), "term")
     first = F.greatest(F.col("pos") - (width - 1), F.lit(0))
     around = F.when(F.col("anchor"), F.slice("_words", first + 1, F.col("pos") - first + width))
-    return held.select("term", "k1", "k2", "pos", (F.col("pos") - first).alias("at"), around.alias("around"))
+    out = ["term", "k1", "k2", "pos", (F.col("pos") - first).alias("at")]
+    if fits(terms, "term"):
+        tokens = keyed(docs).select("k1", "k2", "_words", F.posexplode("_words").alias("pos", "term"))
+        return tokens.join(F.broadcast(terms), "term").select(*out, around.alias("around"))
+    held = written(keyed(docs).select("k1", "k2", F.posexplode("_words").alias("pos", "term")).join(terms, "term"), "held-postings")
+    whole = keyed(docs).dropDuplicates(["k1", "k2"]).select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "_words")
+    anchors = held.filter("anchor").join(whole, (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")))
+    return anchors.select(*out, around.alias("around")).unionByName(held.filter("not anchor").select(*out, F.lit(None).cast("array<string>").alias("around")))
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -68,15 +75,19 @@ def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return ranked.filter(F.size("lists") == F.size("words")).select("window", "words", F.slice("lists", 1, RAREST).alias("lists"))
 
 
-def phrase_matches(docs: DataFrame, windows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(k1, k2, window, start, len): every occurrence of a window in a document."""
+def candidates(docs: DataFrame, windows: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """The postings of the windows' rarest terms, and every posting of a window's rarest one with the window."""
     distinct = windows.select("window", "words").distinct()
     terms = distinct.select(F.explode("words").alias("term")).distinct()
     plans = written(rarest_terms(distinct, term_counts(docs, terms)), "windows")
-    needed = plans.select(F.posexplode("lists").alias("rank", "x")).groupBy("x.term").agg(F.max(F.col("rank") == 0).alias("anchor"))
+    needed = written(plans.select(F.posexplode("lists").alias("rank", "x")).groupBy("x.term").agg(F.max(F.col("rank") == 0).alias("anchor")), "terms")
     index = written(postings(docs, needed, width), "postings")
     first = plans.select("window", "words", "lists", F.col("lists")[0]["term"].alias("term"), F.col("lists")[0]["off"].alias("off"))
-    found = index.filter(F.col("around").isNotNull()).join(first, "term")
+    return index, index.filter(F.col("around").isNotNull()).join(small_side(first, "window", 512), "term")
+
+
+def phrases_among(index: DataFrame, found: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(k1, k2, window, start, len): the candidates where the whole window stands in order."""
     found = found.select("k1", "k2", "window", "words", "lists", (F.col("pos") - F.col("off")).alias("start"), (F.col("at") - F.col("off")).alias("begin"), "around")
     found = found.filter((F.col("start") >= 0) & (F.col("begin") >= 0))
     for rank in range(1, RAREST):
@@ -89,34 +100,37 @@ def phrase_matches(docs: DataFrame, windows: DataFrame, width: int = WIDTH) -> D
     return exact.select("k1", "k2", "window", "start", F.size("words").alias("len")).distinct()
 
 
-def proximity_matches(docs: DataFrame, windows: DataFrame, slop: int = 5, width: int = WIDTH) -> DataFrame:
-    """(k1, k2, window, pos): places of a window's rarest term near which its next rarest ones occur in any order.
+def near_among(found: DataFrame) -> DataFrame:
+    """(k1, k2, window, pos): the candidates with all words of the window, each as often as in it, around the rarest one at ``pos``."""
+    times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
+    near = found.filter(F.size(F.array_except("words", "around")) == 0).filter(F.forall(F.array_distinct("words"), lambda w: times(F.col("around"), w) >= times(F.col("words"), w)))
+    return near.select("k1", "k2", "window", "pos").distinct()
 
-    Near: at most the window's length plus ``slop`` positions away. Positions are dealt into cells of that reach, and each
-    list is looked up in the cell and its two neighbours, so a term that is frequent in a document is not paired with itself.
-    """
-    distinct = windows.select("window", "words").distinct()
-    plans = rarest_terms(distinct, term_counts(docs, distinct.select(F.explode("words").alias("term")).distinct()))
-    needed = plans.select(F.explode("lists.term").alias("term")).distinct().withColumn("anchor", F.lit(False))
-    index = written(postings(docs, needed, width), "near-postings")
-    reach = width + slop
-    found = index.join(plans.select("window", "lists", F.col("lists")[0]["term"].alias("term")), "term").select("k1", "k2", "window", "lists", "pos")
-    for rank in range(1, RAREST):
-        cells = index.select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), F.col("term").alias("_t"), F.col("pos").alias("_p"), F.explode(F.array(*[(F.col("pos") / reach).cast("int") + d for d in (-1, 0, 1)])).alias("_c"))
-        on = (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")) & (F.col("lists")[rank]["term"] == F.col("_t")) & ((F.col("pos") / reach).cast("int") == F.col("_c")) & (F.abs(F.col("pos") - F.col("_p")) < reach)
-        found = found.filter(F.size("lists") > rank).join(cells, on, "left_semi").unionByName(found.filter(F.size("lists") <= rank))
-    return found.select("k1", "k2", "window", "pos").distinct()
+
+def phrase_matches(docs: DataFrame, windows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(k1, k2, window, start, len): every occurrence of a window in a document."""
+    return phrases_among(*candidates(docs, windows, width), width)
+
+
+def proximity_matches(docs: DataFrame, windows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(k1, k2, window, pos): places of a window's rarest term with all its other words, in any order, less than ``width`` words away."""
+    return near_among(candidates(docs, windows, width)[1])
 
 
 def contamination(docs: DataFrame, items: DataFrame, *keep: str, width: int = WIDTH) -> DataFrame:
-    """n_words, n_hit, n_items, items_sha256 and contaminated of every document, beside the columns ``keep``."""
+    """n_words, n_hit, n_items, items_sha256, contaminated and n_near of every document, beside the columns ``keep``.
+
+    ``n_near`` is the number of different windows with a proximity match, those that occur as phrases included.
+    """
     windows = written(windows_of(items, width), "benchmark-windows")
-    hits = written(phrase_matches(docs, windows, width), "hits")
+    index, found = candidates(docs, windows, width)
+    hits = written(phrases_among(index, found, width), "hits")
+    near = near_among(found).select("k1", "k2", "window").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_near"))
     marked = hits.select("k1", "k2", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos")).distinct()
     marked = marked.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_hit"))
     of = hits.select("k1", "k2", "window").distinct().join(windows.select("window", "item").filter("item is not null"), "window")
     listed = of.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    found = marked.join(listed, ["k1", "k2"], "left").withColumnsRenamed({"k1": "_1", "k2": "_2"})
+    found = near.join(marked.join(listed, ["k1", "k2"], "left"), ["k1", "k2"], "left").withColumnsRenamed({"k1": "_1", "k2": "_2"})
     rows = docs.select(
         F.struct(*[F.col(k) for k in keep]).alias("_row"), F.xxhash64("doc_id", "text").alias("_a"), F.xxhash64("text", "doc_id").alias("_b"),
         F.size(words_of(F.col("text"))).cast("long").alias("n_words"),
@@ -126,6 +140,7 @@ def contamination(docs: DataFrame, items: DataFrame, *keep: str, width: int = WI
     return whole.select(
         "_row.*", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 

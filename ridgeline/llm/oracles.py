@@ -14,9 +14,16 @@ sizes AS (SELECT DISTINCT n FROM win),
 runs AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
 hit AS (SELECT doc_id, item, runs.n, i FROM runs JOIN win ON runs.n = win.n AND runs.g = win.g),
 marked AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
-items AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM hit GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM hit GROUP BY doc_id),
+wt AS (SELECT g, ws, unnest(ws) AS term, generate_subscripts(ws, 1) AS off FROM (SELECT DISTINCT g, string_split(g, ' ') AS ws FROM win)),
+pos AS (SELECT doc_id, w, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM dw),
+tc AS (SELECT term, count(*) AS n FROM pos WHERE term IN (SELECT term FROM wt) GROUP BY term),
+rarest AS (SELECT g, ws, term FROM (SELECT g, any_value(ws) AS ws, arg_min(term, n * 100 + off) AS term, count(*) AS k FROM wt JOIN tc USING (term) GROUP BY g) WHERE k = len(ws)),
+around AS (SELECT doc_id, g, ws, list_slice(w, greatest(p - 9, 1), p + 9) AS ar FROM pos JOIN rarest USING (term)),
+near AS (SELECT doc_id, count(DISTINCT g) AS n_near FROM around WHERE len(list_filter(ws, lambda x: len(list_filter(ar, lambda y: y = x)) < len(list_filter(ws, lambda y: y = x)))) = 0 GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near
+FROM dw LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 JACCARD = f"""

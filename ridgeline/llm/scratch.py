@@ -73,11 +73,13 @@ def _end() -> None:
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 
 
-def small_side(df: DataFrame, text: str | None = None, row_bytes: int = 64) -> DataFrame:
-    """df with a broadcast hint if it is within the bounds, as counted here; df itself otherwise.
-
-    A row counts ``row_bytes`` and the length of its column ``text``.
-    """
+def fits(df: DataFrame, text: str | None = None, row_bytes: int = 64) -> bool:
+    """Whether df is within the bounds of a broadcast, counted here. A row counts ``row_bytes`` and the length of its column ``text``."""
     extra = F.octet_length(text) if text else F.lit(0)
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(extra + row_bytes), F.lit(0))).first()
-    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def small_side(df: DataFrame, text: str | None = None, row_bytes: int = 64) -> DataFrame:
+    """df with a broadcast hint if it is within the bounds; df itself otherwise."""
+    return F.broadcast(df) if fits(df, text, row_bytes) else df

@@ -65,10 +65,32 @@ def test_decontamination(docs, empty, items):
 
 
 def test_proximity(spark):
-    near = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "gamma beta alpha"), (3, "alpha " + "z " * 60 + "beta gamma")], "doc_id bigint, text string")
-    windows = decontaminate.windows_of(spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string"))
-    assert decontaminate.proximity_matches(near, windows).select("k1").distinct().count() == 2
-    assert decontaminate.phrase_matches(near, windows).count() == 0
+    """Against a plain check: all words of a window, as often as in it, less than the width away from its rarest one."""
+    from collections import Counter
+
+    rng = random.Random(3)
+    items_ = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(3, 12)))) for i in range(6)] + [(9, "rare a a")]
+    texts = [" ".join(rng.choices("abcdefghxyz", k=60)) for _ in range(40)] + ["a x rare y a", "a rare x", "rare " + "z " * 60 + "a a", "a a rare"]
+    docs_ = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    got = {r.doc_id: r.n_near for r in decontaminate.contamination(docs_, spark.createDataFrame(items_, "item_id bigint, text string"), "doc_id").collect()}
+    counts = Counter(w for t in texts for w in t.split())
+    windows = {tuple(w[i : i + 10]) for _, t in items_ for w in [t.split()] for i in range(max(1, len(w) - 9))}
+    for i, t in enumerate(texts):
+        words, n = t.split(), 0
+        for window in windows:
+            rarest = min(((counts[w], k, w) for k, w in enumerate(window)))[2]
+            near = [Counter(words[max(0, p - 9) : p + 10]) for p, w in enumerate(words) if w == rarest]
+            n += any(all(c[w] >= k for w, k in Counter(window).items()) for c in near)
+        assert got[i] == n
+    assert [got[i] for i in range(40, 44)] == [1, 0, 0, 1]
+
+
+def test_decontamination_beyond_a_broadcast(docs, items, monkeypatch):
+    from ridgeline.llm import scratch
+
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", 0)
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert rows(decontaminate.contamination(docs, items, "doc_id"), *names) == sorted(brute.contamination(DOCS, ITEMS), key=repr)
 
 
 def test_near_duplicates(docs, empty):
