@@ -8,7 +8,8 @@ words that come before the key, one word after another, and every match is exten
 themselves. Under a key of more than two suffixes equal passages need not be neighbours on either side, so there all
 windows of ``LEAST`` words that the kept positions stand for are joined by a 64-bit hash of their words.
 
-Equal texts are one class and travel once. Edge cases: null and empty texts and texts of fewer than ``LEAST`` words repeat
+Equal texts are one class and travel once; a class goes by 64 bits of its text, and texts that meet there by chance, told apart
+by 64 further bits, get numbers of their own. Edge cases: null and empty texts and texts of fewer than ``LEAST`` words repeat
 nothing; equal rows repeat each other whole; a row without an id is reported without one; empty tables give no rows;
 further columns are ignored; there is no limit on the length of a text or of a passage.
 """
@@ -21,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
 from .neardup import bit_filter, hits
-from .scratch import written
+from .scratch import small_side, written
 
 LEAST, WINDOW = 50, 25
 DEPTH = LEAST - WINDOW + 1
@@ -245,16 +246,32 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return found.unionByName(shared_windows(docs, suffixes))
 
 
+def text_keys() -> list[Column]:
+    """128 bits of a text, in two columns."""
+    return [F.xxhash64("text").alias("c"), F.xxhash64(F.lit(1), "text").alias("c2")]
+
+
+def told_apart(ids: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ids and rows (c, c2) with another ``c`` for all but one of different texts under one ``c``; next to never there are any."""
+    meet = ids.groupBy("c").agg(F.min("c2").alias("own"), F.max("c2").alias("other")).filter("own <> other").select("c", "own")
+    moved = written(ids.join(meet, "c").filter("c2 <> own").select("c", "c2").distinct().withColumn("new", F.xxhash64("c", "c2", F.lit("apart"))), "apart")
+    if moved.isEmpty():
+        return ids, rows
+    moved = small_side(moved)
+    return tuple(x.join(moved, ["c", "c2"], "left").withColumn("c", F.coalesce("new", "c")).drop("new") for x in (ids, rows))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, begin, words, shared_with): the maximal stretches of every document that repeat, by word positions.
 
     Overlapping stretches are one; ``shared_with`` is the smallest doc_id met in it (the document's own, if it is
     the first of equal texts). docs: doc_id, text.
     """
-    rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("c"), "text")
-    found = written(repeated_spans(rows.select("c", "text")), "repeat-spans")
     n_words = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
-    ids = written(rows.select("doc_id", "c", n_words.cast("long").alias("n")), "repeat-ids")
+    rows = docs.filter("text is not null").select("doc_id", *text_keys(), "text")
+    ids = written(rows.select("doc_id", "c", "c2", n_words.cast("long").alias("n")), "repeat-ids")
+    ids, rows = told_apart(ids, rows)
+    found = written(repeated_spans(rows.select("c", "text")), "repeat-spans")
     classes = ids.groupBy("c").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
     named = found.join(classes.select(F.col("c").alias("other"), F.col("first").alias("id")), "other").select("c", "begin", (F.col("begin") + F.col("words")).alias("end"), "id")
     whole = classes.filter((F.col("copies") > 1) & (F.col("n") >= LEAST)).select("c", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"), F.col("first").alias("id"))
@@ -262,5 +279,5 @@ def repeats(docs: DataFrame) -> DataFrame:
     spans = named.unionByName(whole).withColumn("_reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     spans = spans.withColumn("_group", F.sum((F.col("_reach").isNull() | (F.col("begin") > F.col("_reach"))).cast("int")).over(w))
     merged = spans.groupBy("c", "_group").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("id").alias("id"))
-    out = ids.select("doc_id", "c").join(merged, "c")
+    out = ids.select("doc_id", "c").join(written(merged, "repeat-merged"), "c")  # two plain sides: a hot class can be split
     return out.select("doc_id", "begin", (F.col("end") - F.col("begin")).alias("words"), F.col("id").alias("shared_with"))

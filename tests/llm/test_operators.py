@@ -381,6 +381,42 @@ def test_repeats_around_a_frequent_passage(spark):
     assert covered == brute.repeated(data)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_overlapping_repeats(spark, seed):
+    """Groups of 3 to 10 documents share overlapping stretches of a passage; whole copies of one text beside them."""
+    rng = random.Random(seed)
+    own = lambda n: [f"u{rng.random()}" for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        passage = own(200)
+        for _ in range(rng.randint(3, 10)):
+            begin = rng.randrange(140)
+            texts.append(own(rng.randrange(60)) + passage[begin : begin + rng.randint(40, 120)] + own(rng.randrange(60)))
+    data = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    data += [(1000 + i, data[0][1]) for i in range(30)]
+    covered = {}
+    for r in repeats.repeats(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.begin, r.begin + r.words))
+        a, b = (brute.words(dict(data)[i]) for i in (r.doc_id, r.shared_with))
+        a = a[r.begin : r.begin + r.words]
+        assert {tuple(a[i : i + 50]) for i in range(len(a) - 49)} & {tuple(b[i : i + 50]) for i in range(len(b) - 49)}
+    assert covered == brute.repeated(data)
+
+
+def test_repeats_of_texts_that_meet(spark, monkeypatch):
+    """Different texts under one 64-bit number stay different."""
+    rng = random.Random(6)
+    own = lambda n: [f"u{rng.random()}" for _ in range(n)]
+    passage = own(70)
+    data = [(i, " ".join(own(30) + (passage if i % 3 == 0 else []) + own(40))) for i in range(20)] + [(50, "few words"), (51, None)]
+    data += [(60 + i, data[i][1]) for i in (1, 2)]
+    monkeypatch.setattr(repeats, "text_keys", lambda: [F.pmod(F.xxhash64("text"), F.lit(3)).alias("c"), F.xxhash64(F.lit(1), "text").alias("c2")])
+    covered = {}
+    for r in repeats.repeats(spark.createDataFrame(data, "doc_id bigint, text string").repartition(2)).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.begin, r.begin + r.words))
+    assert covered == brute.repeated(data)
+
+
 def test_quality(docs, empty):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     got = sorted((repr(r[0]), *r[1:]) for r in rows(quality.quality_verdicts(docs, "doc_id"), "doc_id", *names))
