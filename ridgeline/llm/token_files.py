@@ -1,15 +1,17 @@
 """Operator 4, token ids in files of patched frame-of-reference blocks.
 
-Documents are dealt by ranges of doc_id and sorted; every partition encodes its texts and writes one file. A file holds, in
+Documents are dealt by ranges of doc_id, and of a hash of the text where ids repeat, and sorted; every partition encodes its
+texts and writes files of about FILE_IDS ids, so neither a file nor its index grows with the partition. A file holds, in
 blocks of ``BLOCK`` ids, the block's least id, the other ids' distances from it packed at a width that a percentile of the
 block fits, and the exceptions that don't fit with their places; the begins of all blocks follow, then the documents' ids
 and lengths, then a footer. Files are written under a temporary name and renamed, so a repeated task replaces its file by
-the same one; they go to the shared folder and are read back by Spark's binary file source.
+the same one. They go to the shared folder, on any store that pyarrow opens by its address (file, hdfs, s3, gs, abfs), and are
+read back through their indexes, a few blocks at a time; ``ids_between`` seeks to the blocks of any stretch of ids.
 
 Word ids are looked up word by word: each task keeps the ids of words it has met, up to a bound, and encodes the words
 that are new to a batch together. Texts that hold one of the vocabulary's added tokens are encoded whole by the library.
 
-Edge cases: null and empty texts have the end id alone; repeated rows are written each, in the order of their texts; a row
+Edge cases: null and empty texts have the end id alone; repeated rows are written each, in the order of a hash of their texts; a row
 without an id comes first; an empty table writes no ids; further columns are ignored; very long texts run over blocks.
 """
 
@@ -20,23 +22,25 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
 from .byte_bpe import gathered
 from .pretokens import code_points, strings, word_end_spans
-from .scratch import scratch_path, small_side
+from .scratch import scratch_path, written
 
 BLOCK = 4096
 #: Share of a block's ids that the packed width must fit.
 FIT = 0.98
 MAGIC = b"PFORIDS1"
+#: Ids of a file; the last document of a file may go beyond. Blocks that a reader holds at once.
+FILE_IDS, READ_BLOCKS = 1 << 25, 256
 END = 1
 #: Words whose ids a task keeps.
 KEPT_WORDS = 400_000
@@ -84,61 +88,82 @@ def decode_block(data: memoryview) -> np.ndarray:
     return gaps + np.uint32(low)
 
 
-def encode_file(pieces: Iterator[np.ndarray], doc_ids: list[int | None], lengths: list[int], out) -> None:
-    """Write a file of all ids in ``pieces`` to the open ``out``."""
-    out.write(MAGIC)
-    begins, at, held, n = [], len(MAGIC), [], 0
-
-    def flush(ids: np.ndarray) -> None:
-        nonlocal at
-        begins.append(at)
-        at += out.write(encode_block(ids))
-
-    for piece in pieces:
-        held.append(piece)
-        n += len(piece)
-        if n >= BLOCK * 64:
-            ids = np.concatenate(held)
+class FileWriter:
+    """Writes one file: ids in blocks as they come, then the index."""
+
+    def __init__(self, out) -> None:
+        self.out, self.at, self.begins, self.held, self.n_held = out, len(MAGIC), [], [], 0
+        self.doc_ids: list[int | None] = []
+        self.lengths: list[int] = []
+        self.n_ids = 0
+        out.write(MAGIC)
+
+    def add(self, ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> None:
+        """Append whole documents, whose ids stand on end in ``ids``."""
+        self.doc_ids += doc_ids
+        self.lengths += lengths
+        self.n_ids += len(ids)
+        self.held.append(ids)
+        self.n_held += len(ids)
+        if self.n_held >= BLOCK * 64:
+            ids = np.concatenate(self.held)
             whole = len(ids) // BLOCK * BLOCK
-            for k in range(0, whole, BLOCK):
-                flush(ids[k : k + BLOCK])
-            held, n = [ids[whole:]], len(ids) - whole
-    ids = np.concatenate([np.zeros(0, np.uint32), *held])
-    for k in range(0, len(ids), BLOCK):
-        flush(ids[k : k + BLOCK])
-    known = np.array([x is not None for x in doc_ids], np.uint8)
-    index = np.array(begins, "<u8").tobytes() + np.array([x or 0 for x in doc_ids], "<i8").tobytes() + known.tobytes() + np.array(lengths, "<u8").tobytes()
-    out.write(index)
-    out.write(struct.pack("<QQQ", at, len(begins), len(doc_ids)) + MAGIC)
-
-
-def read_index(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray, int]:
-    """Begins of the blocks, doc_ids, lengths and the end of the last block."""
-    if data[-8:] != MAGIC or data[:8] != MAGIC:
-        raise ValueError("not a token file, or cut short")
-    at, n_blocks, n_docs = struct.unpack_from("<QQQ", data, len(data) - 32)
-    begins = np.frombuffer(data, "<u8", n_blocks, at)
-    ids = np.frombuffer(data, "<i8", n_docs, at + 8 * n_blocks)
-    known = np.frombuffer(data, np.uint8, n_docs, at + 8 * (n_blocks + n_docs))
-    lengths = np.frombuffer(data, "<u8", n_docs, at + 8 * (n_blocks + n_docs) + n_docs).astype(np.int64)
-    return begins, [int(x) if k else None for x, k in zip(ids, known, strict=True)], lengths, at
-
-
-def decode_file(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(doc_id, ids) of every document of a file, its blocks read as they are needed."""
-    begins, doc_ids, lengths, end = read_index(data)
-    view, edges = memoryview(data), [*begins.tolist(), end]
-    held, block = np.zeros(0, np.uint32), 0
-    for doc_id, n in zip(doc_ids, lengths.tolist(), strict=True):
-        more = [held]
-        have = len(held)
-        while have < n:
-            more.append(decode_block(view[edges[block] : edges[block + 1]]))
-            have += len(more[-1])
-            block += 1
-        held = np.concatenate(more) if len(more) > 1 else held
-        yield doc_id, held[:n]
-        held = held[n:]
+            self._blocks(ids[:whole])
+            self.held, self.n_held = [ids[whole:]], len(ids) - whole
+
+    def _blocks(self, ids: np.ndarray) -> None:
+        for k in range(0, len(ids), BLOCK):
+            block = encode_block(ids[k : k + BLOCK])
+            self.begins.append(self.at)
+            self.at += len(block)
+            self.out.write(block)
+
+    def end(self) -> None:
+        """Write what is held, the index and the footer."""
+        self._blocks(np.concatenate([np.zeros(0, np.uint32), *self.held]))
+        known = np.array([x is not None for x in self.doc_ids], np.uint8)
+        index = np.array(self.begins, "<u8").tobytes() + np.array([x or 0 for x in self.doc_ids], "<i8").tobytes() + known.tobytes() + np.array(self.lengths, "<u8").tobytes()
+        self.out.write(index + struct.pack("<QQQ", self.at, len(self.begins), len(self.doc_ids)) + MAGIC)
+
+
+class FileReader:
+    """The index of a file, and its ids by seeking to their blocks."""
+
+    def __init__(self, file, size: int) -> None:
+        foot = len(MAGIC) + 24
+        self.file, tail = file, self._at(file, max(0, size - foot), foot)
+        if size < foot + len(MAGIC) or tail[-8:] != MAGIC or self._at(file, 0, 8) != MAGIC:
+            raise ValueError("not a token file, or cut short")
+        end, n_blocks, n_docs = struct.unpack("<QQQ", tail[:-8])
+        index = self._at(file, end, size - foot - end)
+        self.edges = np.append(np.frombuffer(index, "<u8", n_blocks), np.uint64(end)).astype(np.int64)
+        ids = np.frombuffer(index, "<i8", n_docs, 8 * n_blocks)
+        known = np.frombuffer(index, np.uint8, n_docs, 8 * (n_blocks + n_docs))
+        self.lengths = np.frombuffer(index, "<u8", n_docs, 8 * (n_blocks + n_docs) + n_docs).astype(np.int64)
+        self.doc_ids = [int(x) if k else None for x, k in zip(ids, known, strict=True)]
+
+    @staticmethod
+    def _at(file, begin: int, n: int) -> bytes:
+        file.seek(begin)
+        return file.read(n)
+
+    def ids_between(self, begin: int, end: int) -> np.ndarray:
+        """The ids from place ``begin`` up to ``end`` of the file."""
+        if end <= begin:
+            return np.zeros(0, np.uint32)
+        first, last = begin // BLOCK, (end - 1) // BLOCK + 1
+        data = memoryview(self._at(self.file, int(self.edges[first]), int(self.edges[last] - self.edges[first])))
+        edges = self.edges[first : last + 1] - self.edges[first]
+        return np.concatenate([decode_block(data[b:e]) for b, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)])[begin - first * BLOCK : end - first * BLOCK]
+
+    def documents(self, blocks: int = READ_BLOCKS) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+        """(doc_ids, lengths, ids on end) of the documents, as many at once as so many blocks hold, one at least."""
+        stops = np.cumsum(self.lengths)
+        at, done = 0, 0
+        while at < len(stops):
+            to = max(at + 1, int(np.searchsorted(stops, done + blocks * BLOCK, "right")))
+            yield self.doc_ids[at:to], self.lengths[at:to], self.ids_between(done, int(stops[to - 1]))
+            at, done = to, int(stops[to - 1])
 
 
 @lru_cache(maxsize=2)
@@ -207,73 +232,68 @@ def text_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return gathered(table, edges, which), np.diff(np.concatenate(([0], sums[stops])))
 
 
-def _local(folder: str) -> str:
-    parts = urlparse(folder)
-    if parts.scheme not in ("", "file"):
-        raise ValueError(f"token files are written by the tasks to a folder that all executors mount; {parts.scheme}: is not one")
-    return parts.path
-
-
-def write_files(docs: DataFrame, path: str, folder: str) -> list[tuple[int, int, int]]:
-    """Write docs (doc_id, text) to token files in ``folder`` in ascending order of doc_id; (part, documents, ids) of each file."""
-    place = _local(folder)
+def write_files(docs: DataFrame, path: str, folder: str, file_ids: int = FILE_IDS) -> DataFrame:
+    """Write docs (doc_id, text) to token files in ``folder`` in ascending order of doc_id; (name, part, seq, docs, ids), a row a file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        doc_ids: list[int | None] = []
-        lengths: list[int] = []
-
-        def pieces() -> Iterator[np.ndarray]:
-            for batch in batches:
-                for own in kernels.chunks(batch):
-                    ids, sizes = text_ids(strings(own.column("text")), path)
-                    doc_ids.extend(own.column("doc_id").to_pylist())
-                    lengths.extend(sizes.tolist())
-                    yield ids
-
-        os.makedirs(place, exist_ok=True)
-        name, held = f"{place}/part-{part:06d}.pfor", f"{place}/_part-{part:06d}.{attempt}.tmp"
-        with open(held, "wb") as out:
-            encode_file(pieces(), doc_ids, lengths, out)
-        os.replace(held, name)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([sum(lengths)], pa.int64())], ["part", "docs", "ids"])
+        store, place = fs.FileSystem.from_uri(folder)
+        store.create_dir(place, recursive=True)
+        out, writer, made = None, None, []
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return [tuple(x) for x in ordered.mapInArrow(run, "part long, docs long, ids long").collect()]  # a row a file
-
-
-def read_files(spark: SparkSession, folder: str, parts: list[tuple[int, int, int]]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the token files of ``folder``; ids as little-endian unsigned 32-bit integers."""
-    if not parts:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
-    starts, total = [], 0
-    for part, _, n in sorted(parts):
-        starts.append((part, total))
-        total += n
-    before = small_side(spark.createDataFrame(starts, "part long, before long"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.pfor").load(folder)
-    files = files.select(F.regexp_extract("path", r"part-(\d+)\.pfor$", 1).cast("long").alias("part"), "content").join(before, "part")
+        def closed() -> None:
+            writer.end()
+            out.close()
+            store.move(f"{place}/_{made[-1]}.{attempt}.tmp", f"{place}/{made[-1]}")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.select(["content", "before"]).to_pylist():
-                at, rows, size = row["before"], [], 0
-                for doc_id, ids in decode_file(row["content"]):
-                    rows.append((doc_id, at, len(ids), ids.astype("<u4").tobytes()))
-                    at += len(ids)
-                    size += len(ids)
-                    if size > 1 << 20:
-                        yield _rows(rows)
-                        rows, size = [], 0
-                yield _rows(rows)
+            for own in kernels.chunks(batch, limit=min(kernels.CHUNK, 4 * file_ids)):
+                if writer is None:
+                    made.append(f"part-{part:06d}-{len(made):05d}.pfor")
+                    out = store.open_output_stream(f"{place}/_{made[-1]}.{attempt}.tmp")
+                    writer = FileWriter(out)
+                ids, sizes = text_ids(strings(own.column("text")), path)
+                writer.add(ids, own.column("doc_id").to_pylist(), sizes.tolist())
+                if writer.n_ids >= file_ids:
+                    closed()
+                    yield _made(made[-1], part, len(made) - 1, writer)
+                    writer = None
+        if writer is not None:
+            closed()
+            yield _made(made[-1], part, len(made) - 1, writer)
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["doc_id", "_text"]
+    ordered = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_text"), "text").repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
+    return written(ordered.select("doc_id", "text").mapInArrow(run, "name string, part long, seq long, docs long, ids long"), "token-files")
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "start", "n_tokens", "ids"])
+def _made(name: str, part: int, seq: int, writer: FileWriter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"name": name, "part": part, "seq": seq, "docs": len(writer.doc_ids), "ids": writer.n_ids}])
+
+
+def read_files(folder: str, files: DataFrame, blocks: int = READ_BLOCKS) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document in the token ``files`` of ``folder``; ids as little-endian unsigned 32-bit integers."""
+    before = Window.partitionBy(F.lit(0)).orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    placed = files.select("name", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, place = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = row["before"]
+                with store.open_input_file(f"{place}/{row['name']}") as file:
+                    for doc_ids, lengths, ids in FileReader(file, file.size()).documents(blocks):
+                        stops = np.cumsum(lengths)
+                        data, edges = ids.astype("<u4").tobytes(), np.append(0, stops * 4).tolist()
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(doc_ids, pa.int64()), pa.array(at + stops - lengths, pa.int64()), pa.array(lengths, pa.int64()),
+                            pa.array([data[b:e] for b, e in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
+                        ], ["doc_id", "start", "n_tokens", "ids"])
+                        at += len(ids)
+
+    return placed.repartition(n, "name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def vocabulary() -> str:
@@ -287,5 +307,5 @@ def round_trip(docs: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from files written to the shared folder and read back."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "tokens")
-    parts = write_files(docs, vocabulary(), folder)
-    return read_files(spark, folder, parts).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    files = write_files(docs, vocabulary(), folder)
+    return read_files(folder, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -179,10 +179,34 @@ def test_blocks(ids):
     import io
 
     out = io.BytesIO()
-    token_files.encode_file(iter([np.array(ids, np.uint32)]), [None], [len(ids)], out)
-    [(doc, back)] = token_files.decode_file(out.getvalue())
-    assert doc is None
+    writer = token_files.FileWriter(out)
+    writer.add(np.array(ids, np.uint32), [None], [len(ids)])
+    writer.end()
+    reader = token_files.FileReader(out, len(out.getvalue()))
+    [(docs, lengths, back)] = list(reader.documents())
+    assert (docs, lengths.tolist()) == ([None], [len(ids)])
     assert back.tolist() == ids
+    for begin, end in ((0, 0), (len(ids) // 3, len(ids) // 2 + 1), (len(ids) - 1, len(ids))):
+        assert reader.ids_between(begin, end).tolist() == ids[begin:end]
+
+
+def test_files_roll_by_size(spark, tmp_path):
+    """Several files a partition, a few blocks read at a time, a document over many blocks, one id for a third of the rows."""
+    texts = [prose(RNG.randint(1, 60)) for _ in range(60)] + [prose(3000)]
+    data = [(i if i % 3 else 7, t) for i, t in enumerate(texts)]
+    docs_ = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    folder = f"file://{tmp_path}/f"
+    files = token_files.write_files(docs_, token_files.vocabulary(), folder, 300)
+    assert files.count() > 8
+    assert files.agg(F.sum("docs")).first()[0] == 61
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_files.vocabulary())
+    got = sorted(token_files.read_files(folder, files, 1).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(i for i, _ in data)
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    want = sorted((i, bytes(np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes())) for i, t in data)
+    assert sorted((r.doc_id, bytes(r.ids)) for r in got) == want
 
 
 def test_urls(spark):
