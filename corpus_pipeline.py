@@ -1,4 +1,12 @@
-"""The corpus pipeline: quality rules, one document of each near-duplicate group, decontamination, PII, byte-level BPE."""
+"""The corpus pipeline: quality rules, one document of each near-duplicate group, decontamination, PII, byte-level BPE.
+
+Edge cases: a null or empty text has too few words and goes in the first stage, so later stages see none from it, though each
+of them takes them by itself (kept by the second and third, unchanged by the fourth, no ids in the last); a row without an id is
+a document like others, and of its near duplicates one with an id stays first; of rows that are equal in id and text the second
+stage keeps one, and of equal ids with different texts both; null lang and source are groups of their own; ties go to the
+smallest id; an empty table gives an empty result with the columns of its stage; further columns pass through all but the last
+stage, whatever their names; texts of any length are read whole.
+"""
 
 from __future__ import annotations
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -38,6 +39,48 @@ def test_stages(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.decontamination(spark, single, SF).collect()) == sorted(third)
 
 
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing names and empty tables, stage by stage."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    base, item, long = prose(200), prose(12), prose(25_000)
+    near = base.split()
+    near[100] = "other"
+    texts = [None, "", "  ", "few words", base, base, " ".join(near), long, long + " end", prose(60) + " " + item, prose(90) + " a.b@corp.com Mr Roe", prose(90) + " a.b@corp.com Mr Roe", prose(50)]
+    rows = [(i, t, ("en", None)[i % 2], ("s", None, "t")[i % 3], None if i % 4 == 0 else 5, i, "x", 1.5, "y") for i, t in enumerate(texts)]
+    rows += [rows[6], rows[12], (None, base, None, None, None, 1, "x", None, None), (None, prose(70), "en", "s", 1, 2, None, 2.0, "z"), (12, prose(80), "en", "s", 1, 3, None, 2.0, "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, k1 int, term string, distance double, surrogate string").repartition(4)
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out, stays = docs, list(rows)
+    found = {}
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        out = stage(spark, out, str(tmp_path))
+        assert empty.columns == out.columns
+        assert empty.count() == 0
+        found[name] = out.collect()
+        if name != "byte_level_bpe":
+            assert out.columns == docs.columns
+            rows_ = found[name] if name != "quality_rules" else [r for r in stays if not brute.statistics(r[1])[5]]  # few rows: a long text is an outlier
+            out = spark.createDataFrame(rows_, docs.schema).repartition(3)
+    fit = [repr(r) for r in stays if not brute.statistics(r[1])[5]]
+    assert sorted(repr(tuple(r)) for r in found["quality_rules"] if len(r.text) < 10_000) == sorted(r for r in fit if len(r) < 10_000)
+    assert {repr(tuple(r)) for r in found["quality_rules"]} <= set(fit)
+    kept = [(r.doc_id, r.text) for r in found["near_duplicates"]]
+    assert sorted(map(repr, kept)) == sorted(repr((rows[i][0], rows[i][1])) for i in (4, 7, 9, 10, 11, 12, 16, 17))
+    clean = [x for x in kept if x[0] != 9]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in found["decontamination"]))) == sorted(map(repr, clean))
+    masked = {repr(r.doc_id) + r.text[:20]: r.text for r in found["pii_surrogates"]}
+    for i, t in clean:
+        new = masked[repr(i) + t[:20]]
+        assert (new == t) == ("corp.com" not in t)
+        assert "corp.com" not in new
+    path, pattern = byte_bpe.vocabulary()
+    want = sorted(repr((r.doc_id, len(byte_bpe._encoder(path, pattern).encode_ordinary(r.text)), hashlib.sha256(r.text.encode()).hexdigest())) for r in found["pii_surrogates"])
+    assert sorted(repr((r.doc_id, r.n_tokens, r.decoded_sha256)) for r in found["byte_level_bpe"]) == want
+
+
 def test_run(spark):
     path, pattern = byte_bpe.vocabulary()
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
