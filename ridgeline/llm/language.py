@@ -25,6 +25,8 @@ from .pretokens import LETTER, class_table, code_points, strings
 #: Cells of the trigram table, log cost of a switch, least share of a language's letters that a script must have.
 CELLS, SWITCH, SCRIPT_SHARE = 1 << 16, 8.0, 0.01
 SMOOTH = 0.5
+#: Most languages of a model: its table is held by the driver and every worker, CELLS numbers a language.
+MOST_LANGUAGES = 256
 #: Bytes of text whose words are labelled together.
 GROUP = 12 << 20
 # First and last code points of scripts.
@@ -110,7 +112,10 @@ def best_paths(scores: np.ndarray, texts: np.ndarray, switch: float = SWITCH) ->
 
 
 def train(docs: DataFrame) -> Model:
-    """The model of docs (text, lang); counts cover all of them, the table's size is fixed for each language."""
+    """The model of docs (text, lang); counts cover all of them, the table's size is fixed for each language.
+
+    More languages than MOST_LANGUAGES are refused, before anything is gathered.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -129,7 +134,11 @@ def train(docs: DataFrame) -> Model:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], ["lang", "cell", "n"])
 
-    rows = docs.filter("lang is not null and text is not null").select("text", "lang").mapInArrow(run, "lang string, cell int, n long")
+    known = docs.filter("lang is not null and text is not null")
+    n_langs = known.select("lang").distinct().count()
+    if n_langs > MOST_LANGUAGES:
+        raise ValueError(f"{n_langs} languages: a model is bound to MOST_LANGUAGES, {MOST_LANGUAGES}")
+    rows = known.select("text", "lang").mapInArrow(run, "lang string, cell int, n long")
     table = rows.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows a language
     langs = sorted(table["lang"].unique())
     counts = np.zeros((len(langs), CELLS + OTHER_SCRIPT + 1))

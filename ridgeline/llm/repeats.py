@@ -108,7 +108,9 @@ def shared_suffixes(docs: DataFrame) -> DataFrame:
                 rows = suffix_rows(part, bits.value)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[x]) for x in names], names)
 
-    return written(docs.mapInArrow(run, "key long, c long, pos long, r binary, l binary").distinct(), "suffixes")
+    out = written(docs.mapInArrow(run, "key long, c long, pos long, r binary, l binary").distinct(), "suffixes")
+    bits.destroy()
+    return out
 
 
 def shared_windows(docs: DataFrame, suffixes: DataFrame) -> DataFrame:
@@ -140,6 +142,7 @@ def shared_windows(docs: DataFrame, suffixes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[first], begin[first], begin[last] - begin[first] + LEAST, other[first])], ["c", "begin", "words", "other"])
 
     rows = written(docs.mapInArrow(run, "h long, c long, begin long"), "windows")
+    bits.destroy()
     shared = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
     met = rows.join(shared, "h").select("c", "begin", F.when(F.col("c") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
     return met.repartition("c").sortWithinPartitions("c", "other", "begin").mapInArrow(joined, "c long, begin long, words long, other long")
@@ -224,6 +227,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     texts = docs.mapInArrow(carried, "c long, packed binary, size long").join(ends, "c", "left_semi").dropDuplicates(["c"])
     texts = written(texts, "repeat-texts")
+    bits.destroy()
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}

@@ -129,6 +129,12 @@ def test_language(docs, empty):
     assert {r.lang_pred for r in language.predicted(docs, language.train(empty)).collect()} == {"und"}
 
 
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="2 languages"):
+        language.train(spark.createDataFrame([("a b", "en"), ("c d", "de")], "text string, lang string"))
+
+
 def test_mixed_spans(spark):
     greek, latin = "καλημερα κοσμε αυτο ειναι ενα κειμενο", "good morning world this is a text"
     train = spark.createDataFrame([(greek, "el"), (latin, "en")] * 3, "text string, lang string")
