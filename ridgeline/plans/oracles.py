@@ -26,9 +26,8 @@ LINKS = f"""
 links AS (
   SELECT 'n' || a AS src, 'n' || b AS dst, (n % 17 + 1) / 2.0::DOUBLE AS km, (n % 23 + 5)::DOUBLE AS minutes, (n % 7 * 10)::DOUBLE AS gain,
          CASE WHEN n % 5 = 0 THEN NULL ELSE (n % 6 + 1)::DOUBLE END AS hard, n % 2 = 1 AS drawn, a, b, a * 25 + b AS ord
-  FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n, b) AS r FROM (
-    SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
-    JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> s_nationkey GROUP BY ALL)) WHERE r <= 3),
+  FROM (SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
+    JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> s_nationkey GROUP BY ALL)),
 pairs AS (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, * FROM links QUALIFY row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY ord) = 1)
 """
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, numbers, text
@@ -34,14 +34,13 @@ def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each nation's three rarest trade partners as edges."""
+    """Trade between two nations as an edge, all that there is."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     buyers = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("a"))
     sellers = _table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("b"))
     n = lines.join(sellers, F.col("l_suppkey") == F.col("s_suppkey")).join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    few = n.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("n", "b"))).filter("r <= 3")
     geometry = F.when(F.col("n") % 2 == 1, F.array(F.array(_lat(F.col("a")), _lng(F.col("a"))), F.array(_lat(F.col("a") + F.col("b")), _lng(F.col("a") + F.col("b"))), F.array(_lat(F.col("b")), _lng(F.col("b")))))
-    return few.select(
+    return n.select(
         F.concat(F.lit("n"), "a").alias("src"), F.concat(F.lit("n"), "b").alias("dst"), ((F.col("n") % 17 + 1) / 2.0).cast("string").alias("distance_km"),
         (F.col("n") % 23 + 5).cast("string").alias("time_min"), (F.col("n") % 7 * 10).cast("string").alias("elevation_gain_m"),
         F.when(F.col("n") % 5 == 0, "unknown").otherwise((F.col("n") % 6 + 1).cast("string")).alias("difficulty"), geometry.alias("geometry"), (F.col("a") * 25 + F.col("b")).cast("long").alias("ord"),
