@@ -29,6 +29,10 @@ from .pretokens import byte_level_spans, code_points, strings
 
 #: Bytes of text in a block.
 BLOCK = 8 << 20
+#: Buckets of words at most, so that a block's words go out in rows of some dozens of words on clusters of any size.
+MOST_BUCKETS = 4096
+#: Words whose ids a task keeps; beyond them it starts anew.
+KEPT_WORDS = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -157,8 +161,7 @@ def block_places(docs: DataFrame) -> DataFrame:
 def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
     """(block, n, numbers, sizes, tokens): the ids of the words of every block, each distinct word encoded once.
 
-    A word's bucket goes to one task, which keeps the ids of the words it has met; its share of the distinct words shrinks
-    with the number of shuffle partitions.
+    A word's bucket goes to one task, which keeps the ids of up to KEPT_WORDS words it has met.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +169,8 @@ def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
         known: dict[bytes, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
+                if len(known) > KEPT_WORDS:
+                    known.clear()
                 text, ends = pa.decompress(row["words"], row["size"], codec="zstd", asbytes=True) if row["size"] else b"", np.cumsum(unpacked(row["lengths"], row["n"]))
                 ids, at = [], 0
                 for end in ends.tolist():
@@ -222,7 +227,7 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
         columns = {"doc_id": places.column("ids").combine_chunks().flatten(), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(out, pa.binary())}
         return pa.table(columns | ({"decoded": pa.array(back, pa.binary())} if decoded else {}))
 
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(MOST_BUCKETS, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     words = encoded_words(block_words(rows, buckets), path, pattern)
     return block_places(rows).groupBy("block").cogroup(words.groupBy("block")).applyInArrow(together, schema)
 

@@ -497,3 +497,35 @@ def test_hashes_tell_words_apart():
     assert hashes[1] == hashes[2]
     assert hashes[0] == hashes[4]
     assert len(set(hashes.tolist())) == 3
+
+
+def test_very_long_texts(spark, tmp_path):
+    """What stands at the end of a text of 40,000 words counts in every operator over texts; columns clash with inner names."""
+    head, passage, item = prose(40_000), prose(70), prose(14)
+    tail = f"{item} {passage} write zoe.roe@corp.com you gr0mbl@t"
+    texts = [f"{head} {tail}", f"{head} {tail} end", f"{prose(40)} {passage} {prose(20)}", *[f"you gromblat fool {prose(20)}" for _ in range(12)], *[prose(30) for _ in range(20)]]
+    names = "doc_id bigint, text string, lang string, source string, score double, fold int, toxic int, held_out int, comp long, digest string"
+    docs_ = spark.createDataFrame([(i, t, "en", "s", 0.5, 1, 1, 1, 2, "d") for i, t in enumerate(texts)], names).repartition(3)
+    data = list(enumerate(texts))
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert rows(decontaminate.contamination(docs_, spark.createDataFrame([(1, item)], "item_id bigint, text string"), "doc_id"), *columns) == sorted(brute.contamination(data, [(1, item)]), key=repr)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_).collect()} == {i: min(i, 0) if i == 1 else i for i in range(len(texts))}
+    found = language.identified(docs_).filter("doc_id = 0").first()
+    assert (found.lang_pred, found.score) == ("en", 1.0)
+    labels = spark.createDataFrame([(i, int(3 <= i < 15), "x") for i in range(3, len(texts))], "doc_id bigint, toxic int, text string")
+    assert {r.doc_id for r in toxicity.toxicity(docs_, labels).filter("predicted = 1").collect()} == {0, 1, *range(3, 15)}
+    masked = {r.doc_id: r.text for r in pii.replaced(docs_).collect()}
+    assert masked[0].startswith(head)
+    assert "corp.com" not in masked[0]
+    covered = {}
+    for r in repeats.repeats(docs_).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.begin, r.begin + r.words))
+    assert covered == brute.repeated(data)
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    assert rows(quality.quality_verdicts(docs_, "doc_id"), *columns) == sorted(((i, *brute.statistics(t)) for i, t in data), key=repr)
+    path, pattern = byte_bpe.vocabulary()
+    assert {r.doc_id: r.n_tokens for r in byte_bpe.digests(docs_, path, pattern).collect()} == {i: len(byte_bpe._encoder(path, pattern).encode_ordinary(t)) for i, t in data}
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_files.vocabulary())
+    assert {r.doc_id: r.ids_crc32 for r in token_files.round_trip(docs_).collect()} == {i: brute.crc([*tok.encode(t, add_special_tokens=False).ids, 1]) for i, t in data}
