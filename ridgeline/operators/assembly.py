@@ -68,6 +68,11 @@ def characteristic_points(rows: DataFrame, group: str = "req_id", order: str = "
     return rows.filter(is_characteristic(F.col("name"))).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def ends_of(points: Column) -> Column:
+    """(first, last) of a sequence; both null if it is empty."""
+    return F.struct(F.get(points, 0).alias("first"), F.when(F.size(points) > 0, F.element_at(points, -1)).alias("last"))
+
+
 def line_or_points(positions: Column, points: Column) -> Column:
     """The drawn line if it has positions, else the route's points; what is not finite is left out."""
     return F.filter(F.when(F.size(positions) > 0, positions).otherwise(points), lambda p: finite(p["lat"]) & finite(p["lng"]))

@@ -146,6 +146,7 @@ ORACLES: dict[str, str] = {
     "route_status": f"WITH {BUYING}, c AS (SELECT 'c' || c_custkey AS id FROM customer) SELECT ord AS req_id, (CASE WHEN ord % 11 = 0 OR src = dst THEN 400 WHEN src NOT IN (SELECT id FROM c) OR dst NOT IN (SELECT id FROM c) THEN 404 ELSE 200 END)::INT AS code FROM e",
     "route_reasons": f"""WITH {BUYING}, c AS (SELECT 'c' || c_custkey AS id FROM customer), r AS (SELECT ord AS req_id, CASE WHEN ord % 11 = 0 THEN 'missing' WHEN src = dst THEN 'equal' WHEN src NOT IN (SELECT id FROM c) OR dst NOT IN (SELECT id FROM c) THEN 'unknown'
         WHEN ord % 3 = 0 THEN 'unmatched' WHEN ord % 5 = 0 THEN 'unreachable' ELSE 'ok' END AS reason FROM e) SELECT req_id, CASE WHEN reason IN ('missing', 'equal') THEN 400 WHEN reason = 'ok' THEN 200 ELSE 404 END::INT AS code, reason FROM r""",
+    "route_ends": """SELECT l_orderkey, arg_min(l_partkey, l_linenumber * 100000000 + l_partkey) FILTER (l_discount > 0.05) AS "first", arg_max(l_partkey, l_linenumber * 100000000 + l_partkey) FILTER (l_discount > 0.05) AS "last" FROM lineitem GROUP BY l_orderkey""",
     "form_checks": "SELECT c_custkey, c_custkey % 4 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 9 >= 6 AS registration, c_custkey % 5 <> 0 AND c_custkey % 6 <> 0 AS favourite FROM customer",
     "favourite_rows": """SELECT l_orderkey AS user_id, '["' || string_agg(l_partkey::VARCHAR, '","' ORDER BY l_linenumber, l_partkey) || '"]' AS path FROM lineitem GROUP BY l_orderkey""",
     "response_positions": f"""WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN [c_custkey + 5, c_custkey + 6] ELSE [c_custkey, c_custkey + 1, c_custkey + 2] END AS ks FROM customer), x AS (SELECT c_custkey, unnest([y FOR y IN ks IF y % 9 > 1]) AS k FROM r)

@@ -274,6 +274,13 @@ def route_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("req_id", "place", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
+def route_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last part of every order, of those with a discount alone: some orders have none."""
+    line = F.when(F.col("l_discount") > 0.05, F.struct("l_linenumber", "l_partkey"))
+    routes = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line))["l_partkey"].alias("nodes"))
+    return routes.select("l_orderkey", assembly.ends_of(F.col("nodes")).alias("x")).select("l_orderkey", "x.first", "x.last")
+
+
 def consecutive_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
     return assembly.without_repeats(rows, "user_id", "at", F.col("event_type")).select("event_id", "user_id", "event_type")
@@ -425,7 +432,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"shortest_path_{c}": _by_criterion(c) for c in numbers.CRITERIA},
     **{f.__name__: f for f in (
         weights_by_criterion, dirty_number, scalar_expressions, folded_words, coordinates, haversine_pairs, nearest_node, resolve_node, relinked_points, way_segments, undirected_dedup, full_map, full_map_nodes, walk_map, walk_map_nodes, selected_elements, built_points,
-        bbox_tag_filter, used_nodes, isolated_nodes, graph_counts, drawn_edges, adjacency_degree, route_points, route_positions, consecutive_runs, characteristic_points, path_points, unique_points, search_points,
+        bbox_tag_filter, used_nodes, isolated_nodes, graph_counts, drawn_edges, adjacency_degree, route_points, route_positions, route_ends, consecutive_runs, characteristic_points, path_points, unique_points, search_points,
         route_status, route_reasons, form_checks, favourite_rows, response_positions, client_points, map_scan, unique_insert, verified_logins, favorites_by_user, profile_upsert, profile_view, orphan_rows, normalize_collection,
     )},
 }

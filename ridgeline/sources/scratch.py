@@ -11,8 +11,10 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, or one temporary folder where that is unset (tests on one machine)."""
+    """The folder in ``spark.checkpoint.dir``, or a temporary folder where that is unset and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if not named and app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-ridgeline-")
