@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .language import held_out
-from .pretokens import LETTER, class_table, code_points, strings
+from .pretokens import BLANK, LETTER, NUMBER, class_table, code_points, strings
 from .scratch import dropped, written
 
 #: Bound of the training sample.
 TRAIN_ROWS = 20_000
 #: Trigrams that a task counts before it hands them on.
-HELD_GRAMS = 200_000
+HELD_GRAMS = 1_000_000
 #: Lengths of the word beginnings that count as features; 0 is the whole word.
 BEGINNINGS = (0, 4, 5, 6)
 LEAST_TEXTS, LEAST_PRECISION = 3, 0.9
@@ -58,22 +58,57 @@ IMITATES = {
 SEPARATORS = " .-_*·~"
 #: Letters that one sign imitates alike.
 _SAME = {"l": "i"}
-_DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+€£({]+[^\W\d_]|(?<!\S)[0-9@$!|+€£][^\W\d_]|[^\W\d_][0-9](?![\w])|([^\W\d_])\1|[^\W\d_]\*{1,3}[^\W\d_]|(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*·~]+(?:[^\W_]|[@$!|+])(?![^\W_])){2,}")
+SIGNS = "0123456789@$!|+€£({"
+_SINGLE_SIGNS = "@$!|+"
 
 
-def disguised(text: str) -> Iterator[str]:
-    """The stretches of a lower-case text that look disguised, each up to the blanks around it."""
-    done = 0
-    for found in _DISGUISED.finditer(text):
-        begin, end = found.span()
-        if begin < done:
-            continue
-        while begin > done and not text[begin - 1].isspace():
-            begin -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        done = end
-        yield text[begin:end].strip(".,;:?\"'#%&*)")
+def _among(codes: np.ndarray, chars: str) -> np.ndarray:
+    """Which code points are among ``chars``."""
+    table = np.zeros(0x2100, bool)
+    table[[ord(c) for c in chars]] = True
+    return table[np.minimum(codes, 0x20FF)]
+
+
+def disguised(texts: list[str]) -> list[list[str]]:
+    """The stretches of lower-case texts that look disguised, each up to the blanks around it, found by arrays over all texts.
+
+    Signs or figures between letters, at the start of a word before a letter or behind its last letter; doubled letters; up to
+    MASKS stars between letters; three or more single letters or signs with nothing but separators between them.
+    """
+    joined, codes, offsets = code_points([x + "\n" for x in texts])
+    letter, sign, figure = class_table()[codes] == LETTER, _among(codes, SIGNS), _among(codes, SIGNS[:10])
+    blank = class_table()[codes] == BLANK
+    after = lambda x, k=1: np.concatenate((x[k:], np.zeros(k, x.dtype)))
+    before = lambda x, fill=False: np.concatenate(([fill], x[:-1]))
+    word = letter | (class_table()[codes] == NUMBER)
+    at = [
+        np.flatnonzero(sign & before(blank, True) & after(letter) & ~_among(codes, "({")),
+        np.flatnonzero(letter & after(figure) & ~after(word | _among(codes, "_"), 2)),
+        np.flatnonzero(letter & (codes == after(codes))),
+    ]
+    for inside, most in ((sign, len(codes)), (_among(codes, "*"), MASKS)):
+        begins, ends, _ = kernels.runs(inside, offsets)
+        fits = (begins > 0) & (ends - begins <= most)
+        fits[fits] &= letter[begins[fits] - 1] & letter[np.minimum(ends[fits], len(codes) - 1)]
+        at.append(begins[fits])
+    starts, stops, _ = kernels.runs(~blank, offsets)
+    first = last = np.unique(np.searchsorted(starts, np.concatenate(at), "right") - 1)
+    single = np.flatnonzero((word | _among(codes, _SINGLE_SIGNS)) & ~before(word) & ~after(word))
+    if len(single) > 2:
+        others = np.cumsum(~_among(codes, SEPARATORS))
+        near = (others[single[1:] - 1] == others[single[:-1]]) & (np.diff(single) > 1)
+        begins, ends, _ = kernels.runs(near, np.array([0, len(near)]))
+        long = ends - begins >= 2
+        token = lambda x: np.searchsorted(starts, x, "right") - 1
+        first, last = np.concatenate((first, token(single[begins[long]]))), np.concatenate((last, token(single[ends[long]])))
+    order = np.lexsort((-last, first))
+    out: list[list[str]] = [[] for _ in texts]
+    done = -1
+    for b, e, t in zip(first[order].tolist(), last[order].tolist(), (np.searchsorted(offsets, starts[first[order]], "right") - 1).tolist(), strict=True):
+        if e > done:
+            out[t].append(joined[starts[max(b, done + 1)] : stops[e]].strip(".,;:?\"'#%&*)"))
+            done = e
+    return out
 
 
 class Letters:
@@ -171,21 +206,25 @@ class Restorer:
     def __init__(self, model: Letters, gate: Gate | None = None, kept: int = 50_000) -> None:
         self.model, self.gate, self.kept, self.known = model, gate, kept, OrderedDict()
 
+    def reading(self, token: str) -> str:
+        """What a stretch is read as; itself if it can hold no feature."""
+        read = self.known.get(token)
+        if read is None:
+            wanted = sum(map(str.isalpha, token)) >= 2 and (self.gate is None or self.gate.passes(token))
+            read = restored(token, self.model) if wanted else ""
+            if len(token) <= KEPT_LENGTH:
+                if len(self.known) >= self.kept:
+                    self.known.popitem(last=False)
+                self.known[token] = read
+        return read
+
+    def of(self, texts: list[str]) -> list[str]:
+        """The readings of all disguised stretches of each text that differ from what is written, as one string a text."""
+        return [" ".join(filter(None, (r for token in found for r in [self.reading(token)] if r != token))) for found in disguised(texts)]
+
     def words(self, text: str) -> str:
-        """The readings of all disguised stretches of a text that differ from what is written, as one string."""
-        out = []
-        for token in disguised(text):
-            read = self.known.get(token)
-            if read is None:
-                wanted = sum(map(str.isalpha, token)) >= 2 and (self.gate is None or self.gate.passes(token))
-                read = restored(token, self.model) if wanted else ""
-                if len(token) <= KEPT_LENGTH:
-                    if len(self.known) >= self.kept:
-                        self.known.popitem(last=False)
-                    self.known[token] = read
-            if read != token:
-                out.append(read)
-        return " ".join(out)
+        """The readings of one text."""
+        return self.of([text])[0]
 
 
 def feature_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -201,15 +240,26 @@ def feature_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def word_counts(texts: list[str]) -> Iterator[tuple[str, int]]:
-    """Every word of the lower-case texts, and the number of texts that hold it."""
-    joined, codes, offsets = code_points([x + "\n" for x in texts])
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of the words of lower-case texts, 21 bits a character, and their counts; a word counts once for each text."""
+    _, codes, offsets = code_points([x + "\n" for x in texts])
     begins, ends, counts = kernels.runs(class_table()[codes] == LETTER, offsets)
     hashes, text_of = kernels.span_hashes(codes, begins, ends), np.repeat(np.arange(len(texts)), np.diff(counts))
     _, once = np.unique(kernels.mixed(hashes + kernels.mixed(text_of.astype(np.uint64))), return_index=True)
-    _, first, n = np.unique(hashes[once], return_index=True, return_counts=True)
-    for at, k in zip(once[first].tolist(), n.tolist(), strict=True):
-        yield joined[begins[at] : ends[at]], k
+    begins, sizes = begins[once], (ends - begins)[once]
+    place = np.arange((sizes + 1).sum()) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
+    begin, size = np.repeat(begins, sizes + 1), np.repeat(sizes, sizes + 1)
+    key = np.zeros(len(place), np.int64)
+    for back in (2, 1, 0):
+        at = place - back
+        key = (key << 21) | np.where((at >= 0) & (at < size), codes[np.clip(begin + at, 0, max(len(codes) - 1, 0))], 32)
+    return np.unique(key, return_counts=True)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of several parts, each key once."""
+    keys, where = np.unique(np.concatenate([np.zeros(0, np.int64), *[k for k, _ in parts]]), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate([np.zeros(0, np.int64), *[n for _, n in parts]]), len(keys)).astype(np.int64)
 
 
 class Model:
@@ -251,20 +301,19 @@ def letter_model(docs: DataFrame) -> Letters:
     """The character model, counted over the words of all documents, each once a text."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part in kernels.chunks(batch):
-                for w, n in word_counts([x.lower() for x in strings(part.column("text"))]):
-                    spread = "  " + w + " "
-                    for i in range(len(spread) - 2):
-                        held[spread[i : i + 3]] += n
-                if len(held) > HELD_GRAMS:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["gram", "n"])
-                    held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["gram", "n"])
+                held.append(gram_counts([x.lower() for x in strings(part.column("text"))]))
+                if sum(len(k) for k, _ in held) > HELD_GRAMS:
+                    held = [summed(held)]
+                    if len(held[0][0]) > HELD_GRAMS:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed(held)], ["gram", "n"])
 
-    table = docs.select("text").mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    return Letters(dict(zip(table["gram"], table["n"].astype(int), strict=True)))
+    table = docs.select("text").mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    spelled = ("".join(chr(k >> shift & 0x1FFFFF) for shift in (42, 21, 0)) for k in table["gram"].tolist())
+    return Letters(dict(zip(spelled, table["n"].astype(int).tolist(), strict=True)))
 
 
 def feature_counts(restored_rows: DataFrame) -> DataFrame:
@@ -306,7 +355,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             for part in kernels.chunks(batch):
                 texts = [x.lower() for x in strings(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([pa.array([x + "\n" + own.words(x) for x in texts], pa.string()), part.column("toxic"), part.column("fold")], ["text", "toxic", "fold"])
+                yield pa.RecordBatch.from_arrays([pa.array([x + "\n" + y for x, y in zip(texts, own.of(texts), strict=True)], pa.string()), part.column("toxic"), part.column("fold")], ["text", "toxic", "fold"])
 
     rows = sample(docs, labels).select("text", F.col("toxic").cast("int"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
     rows = written(rows.mapInArrow(restore, "text string, toxic int, fold int"), "toxic-sample")
@@ -358,7 +407,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in kernels.chunks(batch):
                 texts = [x.lower() for x in strings(part.column("text"))]
-                score = at.value.scores([x + "\n" + restore.words(x) for x in texts])
+                score = at.value.scores([x + "\n" + y for x, y in zip(texts, restore.of(texts), strict=True)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", held_out(5, 0).alias("held_out"), "text")
