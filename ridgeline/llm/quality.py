@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import BROADCAST_ROWS, small_side, written
+from .scratch import BROADCAST_ROWS, dropped, small_side, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
@@ -156,11 +156,12 @@ def mcd_estimates(rows: DataFrame, by: list[str]) -> DataFrame:
     keys = [*by, "_start"]
     small = rows.select(*by).distinct().count() * N_STARTS <= BROADCAST_ROWS // 4  # 25 doubles a row
     now = written(_starts(rows, by, small), "mcd")
-    settled = None
+    used, settled = [now], None
     for step in range(STEPS):
         before = now.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("logdet").alias("_was"))
         on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
         new = written(_concentrated(rows, now, by, small).join(before, on).drop(*[f"_{k}" for k in keys]), "mcd")
+        used.append(new)
         falls = F.col("_was") - F.col("logdet") >= FALL
         rests = (new if step == STEPS - 1 else new.filter(~falls)).drop("_was")
         settled = rests if settled is None else settled.unionByName(rests)
@@ -168,7 +169,9 @@ def mcd_estimates(rows: DataFrame, by: list[str]) -> DataFrame:
         if now.isEmpty():
             break
     first = F.row_number().over(Window.partitionBy(*by).orderBy("logdet", "_start"))
-    return written(settled.withColumn("_n", first).filter("_n = 1").drop("_n", "_start", "logdet"), "mcd-least")
+    least = written(settled.withColumn("_n", first).filter("_n = 1").drop("_n", "_start", "logdet"), "mcd-least")
+    dropped(*used)
+    return least
 
 
 def quality_verdicts(docs: DataFrame, *keep: str, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
