@@ -38,4 +38,16 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(leas
 FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least_ FROM reach GROUP BY a) USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_benchmark_decontamination": DECONTAMINATION, "op2_ngram_jaccard_join": JACCARD}
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = f"""
+WITH dw AS MATERIALIZED (SELECT doc_id, {_TERMS} AS w FROM documents),
+size AS (SELECT count(*)::BIGINT AS nn, sum(len(w))::BIGINT AS ll FROM dw WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+tf AS MATERIALIZED (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM dw) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+wt AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, size GROUP BY term, nn),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::BIGINT AS score FROM q JOIN tf USING (term) JOIN wt USING (term), size GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_benchmark_decontamination": DECONTAMINATION, "op2_ngram_jaccard_join": JACCARD, "op12_ranked_lexical_search": RANKED}
