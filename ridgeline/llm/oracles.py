@@ -50,4 +50,22 @@ scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8
 SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0) WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op1_benchmark_decontamination": DECONTAMINATION, "op2_ngram_jaccard_join": JACCARD, "op12_ranked_lexical_search": RANKED}
+# Checksums byte by byte; the code points of runs are below 256, so a run's UTF-8 bytes are one or two a code point.
+VARIANTS = rf"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT range, 0, range::BIGINT FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+tbl AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS MATERIALIZED (SELECT doc_id, w, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS w FROM documents) GROUP BY ALL),
+coded AS (SELECT doc_id, w, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END)) AS b FROM runs),
+hashed AS (SELECT w, n, xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM coded, tbl),
+slips AS (SELECT CASE WHEN h % 97 = 0 THEN w[: h % len(w)] || w[h % len(w) + 2 :] ELSE w END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM slips WHERE len(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS MATERIALIZED (SELECT word, n, i, word[: i - 1] || word[i + 1 :] AS less FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words)),
+longer AS MATERIALIZED (SELECT DISTINCT c.word AS a, c.n AS an, w.word AS b, w.n AS bn FROM cuts c JOIN words w ON c.less = w.word),
+near AS (SELECT x.word AS word, y.word AS near, y.n AS near_n FROM cuts x JOIN cuts y ON x.i = y.i AND x.less = y.less AND x.word <> y.word UNION ALL SELECT a, b, bn FROM longer UNION ALL SELECT b, a, an FROM longer),
+best AS (SELECT word, count(*)::BIGINT AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)),
+chain(word, root) AS (SELECT word, word FROM forms UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON chain.root = forms.word WHERE forms.form IS NOT NULL)
+SELECT word, n, n_near, form, form_n, chain.root AS root FROM forms JOIN chain USING (word) WHERE chain.root IN (SELECT word FROM forms WHERE form IS NULL)
+"""
+
+ORACLES: dict[str, str] = {"op1_benchmark_decontamination": DECONTAMINATION, "op2_ngram_jaccard_join": JACCARD, "op11_spelling_variants": VARIANTS, "op12_ranked_lexical_search": RANKED}

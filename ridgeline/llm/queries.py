@@ -19,6 +19,7 @@ from .tables import table
 from .token_files import round_trip
 from .toxicity import toxicity
 from .urls import judged
+from .variants import spelling_variants
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -73,6 +74,11 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its accepted form."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for every benchmark item."""
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -89,5 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_level_bpe": op10_byte_level_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_ranked_lexical_search": op12_ranked_lexical_search,
 }
