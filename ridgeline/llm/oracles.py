@@ -68,4 +68,13 @@ chain(word, root) AS (SELECT word, word FROM forms UNION ALL SELECT chain.word,
 SELECT word, n, n_near, form, form_n, chain.root AS root FROM forms JOIN chain USING (word) WHERE chain.root IN (SELECT word FROM forms WHERE form IS NULL)
 """
 
-ORACLES: dict[str, str] = {"op1_benchmark_decontamination": DECONTAMINATION, "op2_ngram_jaccard_join": JACCARD, "op11_spelling_variants": VARIANTS, "op12_ranked_lexical_search": RANKED}
+VECTORS = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id) LEFT JOIN (SELECT a AS vec_id, min(b) AS low FROM reach GROUP BY a) USING (vec_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_benchmark_decontamination": DECONTAMINATION, "op2_ngram_jaccard_join": JACCARD, "op11_spelling_variants": VARIANTS, "op12_ranked_lexical_search": RANKED, "op13_embedding_near_dedup": VECTORS}

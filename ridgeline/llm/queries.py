@@ -20,6 +20,7 @@ from .token_files import round_trip
 from .toxicity import toxicity
 from .urls import judged
 from .variants import spelling_variants
+from .vectors import near_vectors
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -84,6 +85,11 @@ def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every vector."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -97,4 +103,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_level_bpe": op10_byte_level_bpe,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_ranked_lexical_search": op12_ranked_lexical_search,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
