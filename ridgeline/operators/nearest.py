@@ -1,67 +1,130 @@
-"""Nearest trail node of each point, exactly, by a grid that grows coarser for the points it has not settled.
+"""Nearest trail node of each point, exactly, over cells that hold few nodes each however these are spread.
 
-A point looks into its cell and the eight around it. If the best node there is nearer than the rim of these cells, it is
-the nearest of all; the other points look again in a grid of four times the cell size, until one cell holds everything.
+The box of all nodes is cut into four times four cells, and so is every cell with more nodes than a leaf may hold. Cells
+keep the box of their own nodes. A point goes down this tree with all cells that can hold its nearest node: none whose box
+is farther than the farthest corner of another's. At the leaves it looks into the one with the nearest box first, then into
+those that are nearer than the node found there. Each point so meets a few leaves, with two crowds of nodes far apart as
+with one.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, haversine_km
 from ..functions.text import first_filled
-from ..sources.scratch import settled
+from ..sources.scratch import fits, settled
 
+#: Nodes in a leaf, steps of the grid by halves of each side, halves at a time. Nodes closer together than the box's side by 2 to the 28th share a leaf.
+LEAF, DEPTH, STRIDE = 64, 28, 2
+_BOX = ("south", "north", "west", "east")
 
-def _cells(lat: Column, lng: Column, size: float) -> tuple[Column, Column]:
-    columns = round(360 / size)
-    return F.floor((lat + 90) / size), F.pmod(F.floor((lng + 180) / size), F.lit(columns))
 
+def _place(c: str, low: float, high: float) -> Column:
+    """The finest row or column of a coordinate in the box of all nodes."""
+    share = (F.col(c) - F.lit(low)) / F.lit(max(high - low, 1e-12))
+    return F.least(F.floor(share * (1 << DEPTH)), F.lit((1 << DEPTH) - 1)).cast("long")
 
-def _rim_km(lat: Column, lng: Column, size: float) -> Column:
-    """A distance below that of anything outside the nine cells around a point."""
-    row, column = F.floor((lat + 90) / size), F.floor((lng + 180) / size)
-    up = F.least((lat + 90) - (row - 1) * size, (row + 2) * size - (lat + 90))
-    side = F.least((lng + 180) - (column - 1) * size, (column + 2) * size - (lng + 180), F.lit(90.0))
-    widest = F.least(F.abs(lat) + up, F.lit(90.0))
-    across = F.asin(F.sin(F.radians(side)) * F.cos(F.radians(widest)))
-    return EARTH_KM * F.least(F.radians(up), across)
 
+def _cell(level: int) -> list[Column]:
+    return [F.shiftright(c, DEPTH - level).alias(c) for c in ("row", "column")]
 
-def nearest(points: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
+
+def _sized(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("row", "column").agg(F.sum("n").alias("n"), F.min("south").alias("south"), F.max("north").alias("north"), F.min("west").alias("west"), F.max("east").alias("east"))
+
+
+def cell_tree(known: DataFrame, leaf: int = LEAF) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
+    """The levels of the tree from the top, as (level, cells), and the nodes (node_id, nlat, nlng, ord) with their leaf (level, row, column)."""
+    low_lat, high_lat, low_lng, high_lng, n = known.agg(F.min("nlat"), F.max("nlat"), F.min("nlng"), F.max("nlng"), F.count(F.lit(1))).first()
+    active = known.withColumns({"row": _place("nlat", low_lat, high_lat), "column": _place("nlng", low_lng, high_lng)})
+    level = 0
+    while n > leaf << 2 * (level + STRIDE) and level + STRIDE <= DEPTH:
+        level += STRIDE
+    top, levels, leaves = level, [], []
+    while True:
+        rows = active.select(*_cell(level), F.lit(1).alias("n"), F.col("nlat").alias("south"), F.col("nlat").alias("north"), F.col("nlng").alias("west"), F.col("nlng").alias("east"))
+        cells = settled(_sized(rows).withColumn("leaf", (F.col("n") <= leaf) | F.lit(level >= DEPTH)), "cells")
+        levels.append((level, cells))
+        here = active.withColumns({"fine_row": F.col("row"), "fine_column": F.col("column")}).withColumns({"row": F.shiftright("fine_row", DEPTH - level), "column": F.shiftright("fine_column", DEPTH - level)})
+        full = cells.filter("leaf").select("row", "column")
+        leaves.append(here.join(_side(full), ["row", "column"], "left_semi").select(F.lit(level).alias("level"), "row", "column", "node_id", "nlat", "nlng", "ord"))
+        crowded = cells.filter(~F.col("leaf")).select("row", "column")
+        if crowded.isEmpty():
+            break
+        rest = here.join(_side(crowded), ["row", "column"], "left_semi").select("node_id", "nlat", "nlng", "ord", F.col("fine_row").alias("row"), F.col("fine_column").alias("column"))
+        active, level = settled(rest, "crowded"), min(DEPTH, level + STRIDE)
+    for above in range(top - STRIDE, -1, -STRIDE):
+        below = levels[0][1].select(*[F.shiftright(c, STRIDE).alias(c) for c in ("row", "column")], "n", *_BOX)
+        levels.insert(0, (above, _sized(below).withColumn("leaf", F.lit(False))))
+    return levels, reduce(DataFrame.unionByName, leaves)
+
+
+def _side(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """df with a broadcast hint if a count finds it small; joined by a shuffle otherwise."""
+    return F.broadcast(df) if fits(df, row_bytes) else df
+
+
+def box_bounds_km(lat: Column, lng: Column) -> tuple[Column, Column]:
+    """Distances below and above that of any position in the box (south, north, west, east) from (lat, lng)."""
+    up = F.greatest(F.lit(0.0), F.col("south") - lat, lat - F.col("north"))
+    # around the globe, the way to the nearer side
+    over = F.pmod(lng - F.col("west"), F.lit(360.0))
+    width = F.col("east") - F.col("west")
+    side = F.when(over <= width, 0.0).otherwise(F.least(over - width, 360.0 - over))
+    across = F.when(side < 90, F.asin(F.least(F.lit(1.0), F.cos(F.radians(lat)) * F.sin(F.radians(side))))).otherwise(F.radians(90 - F.abs(lat)))
+    low = EARTH_KM * F.greatest(F.radians(up), across)
+    far_up = F.greatest(F.abs(lat - F.col("south")), F.abs(lat - F.col("north")))
+    far_side = F.least(F.lit(180.0), F.when(over <= width, F.greatest(over, width - over)).otherwise(side + width))
+    widest = F.when((F.col("south") <= 0) & (F.col("north") >= 0), 1.0).otherwise(F.cos(F.radians(F.least(F.abs(F.col("south")), F.abs(F.col("north"))))))
+    half = lambda d: F.pow(F.sin(F.radians(d) / 2), 2)
+    high = 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), half(far_up) + F.cos(F.radians(lat)) * widest * half(far_side))))
+    return F.greatest(F.lit(0.0), low * (1 - 1e-9) - 1e-9), high * (1 + 1e-9) + 1e-9
+
+
+def candidates(left: DataFrame, levels: list[tuple[int, DataFrame]], key: str) -> DataFrame:
+    """(key, lat, lng, level, row, column, low): the leaves that can hold the nearest node of each point."""
+    now, out = left.withColumns({"row": F.lit(0).cast("long"), "column": F.lit(0).cast("long")}), []
+    for level, cells in levels:
+        held = now.join(_side(cells.select("row", "column", "leaf", *_BOX)), ["row", "column"])
+        low, high = box_bounds_km(F.col("lat"), F.col("lng"))
+        seen = held.select(key, "lat", "lng", F.lit(level).alias("level"), "row", "column", "leaf", low.alias("low"), high.alias("high"))
+        # leaves from above stay in the race
+        seen = seen if not out else seen.unionByName(out.pop())
+        kept = seen.withColumn("reach", F.min("high").over(Window.partitionBy(key))).filter("low <= reach").drop("reach")
+        kept = settled(kept, "candidates")
+        out.append(kept.filter(F.col("leaf")))
+        steps = F.sequence(F.lit(0), F.lit((1 << STRIDE) - 1))
+        deeper = kept.filter(~F.col("leaf")).select(key, "lat", "lng", *[F.shiftleft(c, STRIDE).alias(c) for c in ("row", "column")])
+        now = deeper.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select(key, "lat", "lng", (F.col("row") + F.col("i")).alias("row"), (F.col("column") + F.col("j")).alias("column"))
+    return out.pop().select(key, "lat", "lng", "level", "row", "column", "low")
+
+
+def nearest(points: DataFrame, nodes: DataFrame, key: str = "id", leaf: int = LEAF) -> DataFrame:
     """(key, node_id, km): the nearest of nodes (id, lat, lng, ord) for every one of points (key, lat, lng).
 
     Ties go to the node that is first in the file; points and nodes without coordinates are skipped; without nodes node_id
     is null. ``key`` tells the points apart.
     """
-    known = settled(nodes.filter("lat is not null and lng is not null").select(F.col("id").alias("node_id"), F.col("lat").alias("nlat"), F.col("lng").alias("nlng"), "ord"), "nodes")
+    at = nodes.filter("lat is not null and lng is not null").groupBy(F.col("lat").alias("nlat"), F.col("lng").alias("nlng")).agg(F.min(F.struct("ord", F.col("id").alias("node_id"))).alias("first"))
+    known = settled(at.select("first.node_id", "nlat", "nlng", "first.ord"), "nodes")
     left = points.filter("lat is not null and lng is not null").select(key, "lat", "lng")
-    n, low, high, west, east = known.agg(F.count(F.lit(1)), F.min("nlat"), F.max("nlat"), F.min("nlng"), F.max("nlng")).first()
-    if not n:
+    if known.isEmpty():
         return left.select(key, F.lit(None).cast("string").alias("node_id"), F.lit(None).cast("double").alias("km"))
-    want = math.sqrt(max((high - low) * (east - west), 1e-9) * 4 / n)
-    size, done = 360 / 2 ** max(1, min(24, math.floor(math.log2(360 / want)))), None
-    while True:
-        row, column = _cells(F.col("lat"), F.col("lng"), size)
-        n_columns = round(360 / size)
-        around = F.array(*[F.struct((row + i).alias("row"), F.pmod(column + j, F.lit(n_columns)).alias("column")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        asked = left.select(key, "lat", "lng", F.inline(F.array_distinct(around)))
-        nrow, ncolumn = _cells(F.col("nlat"), F.col("nlng"), size)
-        near = asked.join(known.select("*", nrow.alias("row"), ncolumn.alias("column")), ["row", "column"])
-        best = near.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("nlat"), F.col("nlng")))
-        best = best.groupBy(key).agg(F.min(F.struct("km", "ord", "node_id")).alias("x")).select(F.col(key).alias("_key"), "x.node_id", "x.km")
-        judged = settled(left.join(best, F.col(key) == F.col("_key"), "left").drop("_key"), "nearest")
-        last = size >= 180
-        sure = F.lit(last) | F.coalesce(F.col("km") < _rim_km(F.col("lat"), F.col("lng"), size), F.lit(False))
-        found = judged.filter(sure).select(key, "node_id", "km")
-        done = found if done is None else done.unionByName(found)
-        left = judged.filter(~sure).select(key, "lat", "lng")
-        if last or left.isEmpty():
-            return done
-        size = min(180.0, size * 4)
+    levels, leaves = cell_tree(known, leaf)
+    found = candidates(left, levels, key)
+    leaves = _side(settled(leaves, "leaves"))
+    first = Window.partitionBy(key).orderBy("low", "level", "row", "column")
+    found = settled(found.withColumn("turn", F.row_number().over(first)), "candidates")
+    km = haversine_km(F.col("lat"), F.col("lng"), F.col("nlat"), F.col("nlng"))
+    best = lambda df: df.join(leaves, ["level", "row", "column"]).groupBy(key).agg(F.min(F.struct(km.alias("km"), "ord", "node_id")).alias("x"))
+    one = settled(best(found.filter("turn = 1")), "nearest")
+    near = found.filter("turn > 1").join(one.select(key, F.col("x.km").alias("reach")), key).filter("low <= reach").drop("reach")
+    both = one.unionByName(best(near)).groupBy(key).agg(F.min("x").alias("x"))
+    return both.select(key, "x.node_id", "x.km")
 
 
 def routing_key(points: DataFrame) -> Column:

@@ -83,6 +83,42 @@ _TRAIL_KM = _km(_lat("a"), _lng("a"), _lat("b"), _lng("b"))
 PROFILES = "pr AS (SELECT user_id, try_cast(CASE WHEN event_type = 'error' THEN NULL ELSE json_extract_string(props, '$.k') END AS INT) AS height_cm, nullif(event_type, 'view') AS experience_level, 'easy' AS route_preference FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"
 POINTS = "pt AS (SELECT (p_partkey % 1500)::VARCHAR AS id, p_name AS name, p_type AS type, p_partkey AS ord FROM part), u AS (SELECT id, name, type, first_value(ord) OVER (PARTITION BY id ORDER BY ord) AS first, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS r FROM pt)"
 
+FULL_MAP = f"""WITH {SEGMENTS}, {KNOWN}, f AS (SELECT * FROM s JOIN kn x ON x.k = a JOIN kn y ON y.k = b QUALIFY row_number() OVER (PARTITION BY least('node/' || a, 'node/' || b), greatest('node/' || a, 'node/' || b) ORDER BY way, seg) = 1),
+  g AS (SELECT *, {_TRAIL_KM} AS d FROM f)
+  SELECT 'node/' || a AS src, 'node/' || b AS dst, round_even(d, 4) AS km, round_even(greatest(d * 15, 0.1::DOUBLE), 2) AS minutes, 0 AS elevation_gain_m, CASE WHEN way % 4 = 0 OR way % 7 = 6 THEN 1 ELSE way % 7 + 1 END::INT AS difficulty,
+  'way/' || way AS osm_way_id, CASE WHEN way % 3 <> 0 THEN 'Szlak ' || (way % 100) ELSE '' END AS trail_name, 2 AS n_positions FROM g"""
+
+
+def _meets(a: str, b: str, box: tuple[float, float, float, float]) -> str:
+    """Whether the line between the positions of a and b (a_lat, ..., b_lng) meets the box, by shares of its length."""
+    one = lambda c, low, high: (f"least(({low} - {a}_{c}) / ({b}_{c} - {a}_{c}), ({high} - {a}_{c}) / ({b}_{c} - {a}_{c}))", f"greatest(({low} - {a}_{c}) / ({b}_{c} - {a}_{c}), ({high} - {a}_{c}) / ({b}_{c} - {a}_{c}))", f"{a}_{c} = {b}_{c}", f"{a}_{c} BETWEEN {low} AND {high}")
+    (in1, out1, still1, ok1), (in2, out2, still2, ok2) = one("lat", box[0], box[2]), one("lng", box[1], box[3])
+    spans = lambda s, x, d: f"CASE WHEN {s} THEN {d} ELSE {x} END"
+    return (
+        f"(NOT ({still1}) OR {ok1}) AND (NOT ({still2}) OR {ok2}) AND "
+        f"greatest(0.0::DOUBLE, {spans(still1, in1, '0.0::DOUBLE')}, {spans(still2, in2, '0.0::DOUBLE')}) <= least(1.0::DOUBLE, {spans(still1, out1, '1.0::DOUBLE')}, {spans(still2, out2, '1.0::DOUBLE')})"
+    )
+
+
+def _swept(steps: str, weight: str, x: str) -> str:
+    """A sum over consecutive positions of the list ``steps`` (structs of a and o, from the first position of all)."""
+    return f"coalesce(list_sum(list_transform(range(1, len({steps})), lambda i: ({weight.format(s=steps)}) * ({x.format(s=steps)}))), 0)"
+
+
+_CROSS, _LENGTH = "{s}[i].o * {s}[i + 1].a - {s}[i + 1].o * {s}[i].a", "sqrt(({s}[i + 1].o - {s}[i].o) ** 2 + ({s}[i + 1].a - {s}[i].a) ** 2)"
+
+
+def _middle(c: str) -> str:
+    """The centroid's lat (c = a) or lng (c = o) from the lists r1, r2 and hole, less the first position."""
+    both = "{s}[i]." + c + " + {s}[i + 1]." + c
+    area = lambda s: _swept(s, _CROSS, "1")
+    turned = lambda s, v: f"(CASE WHEN {area(s)} < 0 THEN -1 ELSE 1 END * {v})"
+    w = f"({turned('r1', area('r1'))} + {turned('r2', area('r2'))} - {turned('hole', area('hole'))})"
+    x = f"({turned('r1', _swept('r1', _CROSS, both))} + {turned('r2', _swept('r2', _CROSS, both))} - {turned('hole', _swept('hole', _CROSS, both))})"
+    size, along = _swept("r1", _LENGTH, "1"), _swept("r1", _LENGTH, f"({both}) / 2")
+    return f"CASE WHEN is_area AND {w} <> 0 THEN {x} / (3 * {w}) WHEN {size} <> 0 THEN {along} / {size} ELSE 0 END"
+
+
 ORACLES: dict[str, str] = {
     "route_batch": _batch(None, "*"),
     **{f"shortest_path_{c}": _batch(c, "req_id, status, route_weight, path") for c in ("time", "distance", "elevation", "difficulty")},
@@ -108,22 +144,24 @@ ORACLES: dict[str, str] = {
     "relinked_points": f"WITH {PLACES} SELECT id, node_id AS nearest_routing_node_id, round_even(km * 1000, 0)::BIGINT AS distance_to_trail_m FROM near",
     "way_segments": f"WITH {SEGMENTS} SELECT way, seg, a, b FROM s",
     "undirected_dedup": f"WITH {SEGMENTS} SELECT least(a::VARCHAR, b::VARCHAR) AS lo, greatest(a::VARCHAR, b::VARCHAR) AS hi, way, seg FROM s QUALIFY row_number() OVER (PARTITION BY lo, hi ORDER BY way, seg) = 1",
-    "full_map": f"""WITH {SEGMENTS}, {KNOWN}, f AS (SELECT * FROM s JOIN kn x ON x.k = a JOIN kn y ON y.k = b QUALIFY row_number() OVER (PARTITION BY least('node/' || a, 'node/' || b), greatest('node/' || a, 'node/' || b) ORDER BY way, seg) = 1),
-        g AS (SELECT *, {_TRAIL_KM} AS d FROM f)
-        SELECT 'node/' || a AS src, 'node/' || b AS dst, round_even(d, 4) AS km, round_even(greatest(d * 15, 0.1::DOUBLE), 2) AS minutes, 0 AS elevation_gain_m, CASE WHEN way % 4 = 0 OR way % 7 = 6 THEN 1 ELSE way % 7 + 1 END::INT AS difficulty,
-        'way/' || way AS osm_way_id, '' AS trail_name, 2 AS n_positions FROM g""",
+    "full_map": FULL_MAP,
+    "extract_map": FULL_MAP,
     "full_map_nodes": f"""WITH {SEGMENTS}, {KNOWN}, f AS (SELECT unnest([a, b]) AS k FROM s JOIN kn x ON x.k = a JOIN kn y ON y.k = b)
         SELECT 'node/' || k AS id, coalesce(name, 'Punkt ' || k) AS name, 'waypoint' AS type, round({_lat("k")}, 6) AS lat, 0.0::DOUBLE AS elevation FROM kn WHERE k IN (SELECT k FROM f)""",
     "walk_map": f"""WITH {SEGMENTS}, {KNOWN}, g AS (SELECT *, {_TRAIL_KM} * 1000 AS m, greatest(y.ele - x.ele, 0.0::DOUBLE) AS up FROM s JOIN kn x ON x.k = a JOIN kn y ON y.k = b WHERE way % 5 IN (0, 1, 3))
         SELECT way + 100000000 AS way, seg, 'node/' || a AS src, 'node/' || b AS dst, round_even(m / 1000, 3) AS km, round_even(m / 5000 * 60 + up / 600 * 60, 0)::BIGINT AS minutes, round_even(up, 0)::BIGINT AS elevation_gain_m, 'unknown' AS difficulty FROM g""",
     "walk_map_nodes": f"""WITH {KNOWN} SELECT 'node/' || k AS id, coalesce(nullif(name_pl, ''), nullif(name, ''), nullif(alt_name, ''), 'Punkt ' || k) AS name, coalesce(tourism, nullif("natural", ''), waterway, 'waypoint') AS type, round({_lng("k")}, 6) AS lng, ele AS elevation FROM kn""",
     "selected_elements": f"""WITH {WAYS}, {KNOWN}, t AS (SELECT DISTINCT way FROM w WHERE (way % 5 IN (0, 1, 3) AND way % 6 <> 0) OR way % 4 <> 0),
-        near AS (SELECT DISTINCT way FROM w JOIN kn USING (k) WHERE way IN (SELECT way FROM t) AND {_lat("k")} BETWEEN 49.20 AND 49.22 AND {_lng("k")} BETWEEN 19.80 AND 19.90)
+        pos AS (SELECT way, i, {_lat("k")} AS a_lat, {_lng("k")} AS a_lng FROM w JOIN kn USING (k) WHERE way IN (SELECT way FROM t)),
+        ln AS (SELECT x.way, x.a_lat, x.a_lng, coalesce(y.a_lat, x.a_lat) AS b_lat, coalesce(y.a_lng, x.a_lng) AS b_lng FROM pos x LEFT JOIN pos y ON x.way = y.way AND y.i = x.i + 1),
+        near AS (SELECT DISTINCT way FROM ln WHERE {_meets("a", "b", (49.20, 19.80, 49.22, 19.90))})
         SELECT 'way' AS type, way AS id FROM near UNION ALL SELECT 'node', k FROM kn WHERE k IN (SELECT k FROM w WHERE way IN (SELECT way FROM near))""",
-    "built_points": f"""WITH {TAGS}, {PLACES}, p3 AS (SELECT *, CASE k % 3 WHEN 0 THEN [0] WHEN 1 THEN [0, 7] ELSE [0, 7, 20] END AS steps FROM tg WHERE "natural" IN ('peak', 'saddle', 'water') OR tourism IS NOT NULL OR waterway IS NOT NULL),
-        c AS (SELECT * REPLACE (round(list_sum([{_lat("k + x")} FOR x IN steps]) / len(steps), 6) AS lat, round(list_sum([{_lng("k + x")} FOR x IN steps]) / len(steps), 6) AS lng) FROM (SELECT *, 0.0::DOUBLE AS lat, 0.0::DOUBLE AS lng FROM p3) WHERE coalesce(name_pl, name, alt_name) IS NOT NULL),
+    "built_points": f"""WITH {TAGS}, {PLACES}, p3 AS (SELECT *, CASE k % 5 WHEN 0 THEN [0] WHEN 1 THEN [0, 7, 20] WHEN 2 THEN [0, 7, 20, 0] WHEN 3 THEN [0, 3, 7, 20, 45, 0] ELSE [0, 7, 20, 0] END AS s1, CASE k % 5 WHEN 4 THEN [100, 130, 107, 100] ELSE [] END AS s2,
+        CASE k % 5 WHEN 4 THEN [2, 9, 5, 2] ELSE [] END AS s3, k % 5 IN (2, 3) AND ("natural" IS NOT NULL OR tourism IS NOT NULL) OR k % 5 = 4 AS is_area FROM tg WHERE "natural" IN ('peak', 'saddle', 'water') OR tourism IS NOT NULL OR waterway IS NOT NULL),
+        o AS (SELECT *, {", ".join(f"list_transform({s}, lambda x: {{'a': {_lat('k + x')} - {_lat('k')}, 'o': {_lng('k + x')} - {_lng('k')}}}) AS {n}" for s, n in (("s1", "r1"), ("s2", "r2"), ("s3", "hole")))} FROM p3),
+        c AS (SELECT *, round_even({_lat("k")} + {_middle("a")}, 6) AS lat, round_even({_lng("k")} + {_middle("o")}, 6) AS lng FROM o WHERE coalesce(name_pl, name, alt_name) IS NOT NULL),
         d AS (SELECT c.*, node_id, {_km("c.lat", "c.lng", "nlat", "nlng")} AS km, ord FROM c, n QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(km, 9), ord) = 1)
-        SELECT CASE WHEN k % 3 = 0 THEN 'node/' ELSE 'way/' END || k AS id, coalesce(name_pl, name, alt_name) AS name, coalesce("natural", tourism, waterway, 'poi') AS type, lat, lng, ele AS elevation, node_id AS nearest_routing_node_id, round_even(km * 1000, 0)::BIGINT AS distance_to_trail_m FROM d""",
+        SELECT CASE WHEN k % 5 = 0 THEN 'node/' WHEN k % 5 = 4 THEN 'relation/' ELSE 'way/' END || k AS id, coalesce(name_pl, name, alt_name) AS name, coalesce("natural", tourism, waterway, 'poi') AS type, lat, lng, ele AS elevation, node_id AS nearest_routing_node_id, round_even(km * 1000, 0)::BIGINT AS distance_to_trail_m FROM d""",
     "bbox_tag_filter": f"""SELECT p_partkey, {_lat("p_partkey")} + 0.05 BETWEEN 49.15 AND 49.36 AND {_lng("p_partkey")} BETWEEN 19.70 AND 20.15 AND ((p_partkey % 5 IN (0, 1, 3) AND p_size % 4 NOT IN (0, 2)) OR p_partkey % 7 = 0) AS trail,
         p_partkey % 5 IN (0, 1, 3) AND p_size % 4 <> 2 AS walk FROM part""",
     "used_nodes": f"WITH {BUYING} SELECT 'c' || c_custkey AS id FROM customer WHERE 'c' || c_custkey IN (SELECT src FROM e UNION SELECT dst FROM e)",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, numbers, text
 from ..operators import assembly, checks, graph, nearest, routing, search, store
 from ..sources import documents, osm
-from ..sources.scratch import settled
+from ..sources.scratch import scratch_path, settled
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,16 +175,28 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, order = F.col("p_partkey"), F.col("way")
     kinds = lambda k: F.element_at(F.array(*map(F.lit, ("path", "footway", "road", "track", "motorway"))), (k % 5 + 1).cast("int"))
     nodes = _table(spark, sf_dir, "part").withColumn("known", key % 10 != 3).select(F.when(F.col("known"), "node").otherwise("relation").alias("type"), key.alias("id"), _lat(key).alias("lat"), _lng(key).alias("lon"), F.lit(None).cast("array<bigint>").alias("nodes"), _tags(key).alias("tags"), key.alias("ord"))
-    tags = F.create_map(F.lit("access"), F.when(order % 6 == 0, "private"), F.lit("highway"), kinds(order), F.lit("sac_scale"), F.when(order % 4 != 0, F.element_at(F.array(*map(F.lit, (*numbers.SAC_SCALE, "x"))), (order % 7 + 1).cast("int"))))
+    tags = F.create_map(F.lit("name"), F.when(order % 3 != 0, F.concat(F.lit("Szlak "), order % 100)), F.lit("access"), F.when(order % 6 == 0, "private"), F.lit("highway"), kinds(order), F.lit("sac_scale"), F.when(order % 4 != 0, F.element_at(F.array(*map(F.lit, (*numbers.SAC_SCALE, "x"))), (order % 7 + 1).cast("int"))))
     ways = _ways(spark, sf_dir).select(F.lit("way").alias("type"), order.alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), "nodes", tags.alias("tags"), (order + 100_000_000).alias("ord"))
     return nodes.unionByName(ways)
 
 
-def full_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges = osm.full_map(_elements(spark, sf_dir))
+def _map_edges(osm_rows: DataFrame) -> DataFrame:
+    _, edges = osm.full_map(osm_rows)
     return edges.select("src", "dst", F.col("distance_km").alias("km"), F.col("time_min").alias("minutes"), "elevation_gain_m", "difficulty", "osm_way_id", "trail_name", F.size("geometry").alias("n_positions"))
 
 
+def full_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _map_edges(_elements(spark, sf_dir))
+
+
+def extract_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same map from an extract: the elements are written as files of unlike sizes and read back in splits."""
+    rows = _elements(spark, sf_dir).select("ord", F.to_json(F.struct("type", "id", "lat", "lon", "nodes", "tags")).alias("value"))
+    folder = scratch_path(spark, "extract")
+    rows.repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.text(folder)
+    return _map_edges(osm.read_extract(spark, folder, split_bytes=4 << 20))
+
+
 def full_map_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, _ = osm.full_map(_elements(spark, sf_dir))
     return nodes.select("id", "name", "type", F.round("lat", 6).alias("lat"), "elevation")
@@ -206,11 +218,14 @@ def selected_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def built_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as features of one to three positions, linked to suppliers as nodes."""
+    """Parts as points, lines, rings with and without a hole (of which waterfalls alone stay lines), linked to suppliers as nodes."""
     key = F.col("p_partkey")
     at = lambda k: F.struct(_lat(key + k).alias("lat"), _lng(key + k).alias("lng"))
-    positions = F.when(key % 3 == 0, F.array(at(0))).when(key % 3 == 1, F.array(at(0), at(7))).otherwise(F.array(at(0), at(7), at(20)))
-    features = _table(spark, sf_dir, "part").select(F.when(key % 3 == 0, "node").otherwise("way").alias("type"), key.alias("id"), positions.alias("positions"), _tags(key).alias("tags"), key.alias("ord"))
+    line = lambda *steps: F.array(*map(at, steps))
+    rings = F.when(key % 5 == 0, F.array(line(0))).when(key % 5 == 1, F.array(line(0, 7, 20))).when(key % 5 == 2, F.array(line(0, 7, 20, 0))).when(key % 5 == 3, F.array(line(0, 3, 7, 20, 45, 0))).otherwise(F.array(line(0, 7, 20, 0), line(100, 130, 107, 100)))
+    holes = F.when(key % 5 == 4, F.array(line(2, 9, 5, 2))).otherwise(F.array().cast("array<array<struct<lat:double,lng:double>>>"))
+    kind = F.when(key % 5 == 0, "node").when(key % 5 == 4, "relation").otherwise("way")
+    features = _table(spark, sf_dir, "part").select(kind.alias("type"), key.alias("id"), rings.alias("rings"), holes.alias("holes"), _tags(key).alias("tags"), key.alias("ord"))
     _, nodes = _places(spark, sf_dir)
     return osm.points_of_interest(features, nodes).select("id", "name", "type", "lat", "lng", "elevation", "nearest_routing_node_id", "distance_to_trail_m")
 
@@ -431,7 +446,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "route_batch": route_batch,
     **{f"shortest_path_{c}": _by_criterion(c) for c in numbers.CRITERIA},
     **{f.__name__: f for f in (
-        weights_by_criterion, dirty_number, scalar_expressions, folded_words, coordinates, haversine_pairs, nearest_node, resolve_node, relinked_points, way_segments, undirected_dedup, full_map, full_map_nodes, walk_map, walk_map_nodes, selected_elements, built_points,
+        weights_by_criterion, dirty_number, scalar_expressions, folded_words, coordinates, haversine_pairs, nearest_node, resolve_node, relinked_points, way_segments, undirected_dedup, full_map, extract_map, full_map_nodes, walk_map, walk_map_nodes, selected_elements, built_points,
         bbox_tag_filter, used_nodes, isolated_nodes, graph_counts, drawn_edges, adjacency_degree, route_points, route_positions, route_ends, consecutive_runs, characteristic_points, path_points, unique_points, search_points,
         route_status, route_reasons, form_checks, favourite_rows, response_positions, client_points, map_scan, unique_insert, verified_logins, favorites_by_user, profile_upsert, profile_view, orphan_rows, normalize_collection,
     )},

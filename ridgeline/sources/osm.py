@@ -1,25 +1,36 @@
 """Map extracts to graph: tag filters, ways to segments, one edge a pair, derived measures; points of interest.
 
-osm: (type, id, lat, lon, nodes, tags, ord), the elements of an extract in order.
+osm: (type, id, lat, lon, nodes, tags, ord), the elements of an extract in order, and members where there are relations.
 """
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
+from ..functions.geometry import centroid, is_ring, meets_box
 from ..functions.numbers import ascent, elevation_or_zero, flat_minutes, sac_difficulty, walking_minutes
 from ..functions.text import node_name, node_type, osm_id, poi_name, poi_type, waypoint_name
 from ..operators.graph import first_edges, used_nodes
 from ..operators.nearest import nearest, relinked
 from . import schemas
-from .documents import collection, read_points, read_text, write_json
+from .documents import read_points, write_json
+from .extract import SPLIT_BYTES, read_documents
+from .scratch import settled
+
+# Workers get the helper of relations along with its function, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: The box of the map (south, west, north, east) and the tags of trails and of points of interest.
 BOX = (49.15, 19.70, 49.36, 20.15)
 PATHS, WALKS = "path|footway|track|steps|pedestrian", "path|footway|track"
 FEATURES = {"natural": ("peak", "saddle", "water"), "tourism": ("alpine_hut", "guest_house", "viewpoint"), "waterway": ("waterfall",)}
+#: Kinds under ``natural`` that stay lines when they close.
+BARE_LINES = ("coastline", "cliff", "ridge", "arete", "tree_row")
 
 
 def in_box(lat: Column, lng: Column, box: tuple[float, float, float, float] = BOX) -> Column:
@@ -46,26 +57,37 @@ def feature_tags(tags: Column) -> Column:
 
 
 def selected(osm: DataFrame, box: tuple[float, float, float, float] = BOX) -> DataFrame:
-    """The ways of trails with a node in the box, once each, and all nodes that they go through."""
+    """The ways of trails that meet the box, with a node or between two nodes, once each, and all nodes that they go through."""
     tags = F.col("tags")
     ways = osm.filter("type = 'way'").filter(trail_tags(tags["highway"], tags["access"], tags["sac_scale"]))
     nodes = osm.filter("type = 'node'")
-    members = ways.select("id", F.explode("nodes").alias("node"))
-    inside = nodes.filter(in_box(F.col("lat"), F.col("lon"), box)).select(F.col("id").alias("node"))
-    near = members.join(inside, "node", "left_semi").select("id").distinct()
-    ways = ways.join(near, "id", "left_semi").dropDuplicates(["id"])
+    at = _last_nodes(osm).filter("lat is not null and lon is not null").select(F.col("id").alias("node"), "lat", "lon")
+    members = ways.select("id", "ord", F.posexplode("nodes").alias("place", "node")).join(at, "node")
+    on = Window.partitionBy("id", "ord").orderBy("place")
+    here, there = ("lat", "lon"), [F.when(F.lead("place").over(on) == F.col("place") + 1, F.lead(c).over(on)).otherwise(F.col(c)) for c in ("lat", "lon")]
+    met = members.select("id", *here, there[0].alias("to_lat"), there[1].alias("to_lon")).filter(meets_box(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon"), box))
+    ways = ways.join(met.select("id").distinct(), "id", "left_semi")
+    first = Window.partitionBy("id").orderBy("ord")
+    ways = ways.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*osm.columns)
     through = ways.select(F.explode("nodes").alias("id")).distinct()
-    return nodes.join(through, "id", "left_semi").unionByName(ways)
+    return nodes.join(through, "id", "left_semi").select(*osm.columns).unionByName(ways)
 
 
-def read_extract(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """The elements of an extract in order: one JSON document with a list under ``elements``, or with ``lines`` an element a line.
+def read_extract(spark: SparkSession, path: str, lines: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The elements of an extract in order, of a file or a folder: JSON documents with a list under ``elements``, or with ``lines`` an element a line.
 
-    Lines are read in parallel, whatever their number; a document is one row until its elements are taken apart.
+    ``ord`` is (file, block, place): files by name, whatever their sizes. Documents are split by bytes and read from any
+    store that pyarrow opens, lines by Spark's own reader. The elements are kept as a Parquet table, so that they are parsed
+    once and filters on type and position reach the scans.
     """
     if lines:
-        return spark.read.schema(schemas.OSM).json(path).withColumn("ord", F.monotonically_increasing_id())
-    return collection(read_text(spark, path), "value", schemas.OSM, "elements", promote=False)
+        rows = spark.read.schema(schemas.EXTRACT).json(path)
+        # a block lies in one task, which reads it in order
+        ord_ = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+        rows = rows.select("*", ord_.alias("ord"))
+    else:
+        rows = read_documents(spark, path, split_bytes)
+    return settled(rows, "extract")
 
 
 def build_map(spark: SparkSession, extract: str, map_folder: str, points: str | None = None, points_folder: str | None = None, lines: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -74,12 +96,12 @@ def build_map(spark: SparkSession, extract: str, map_folder: str, points: str |
     Without ``points`` the last step is left out. Returns the nodes and edges as written.
     """
     nodes, edges = full_map(selected(read_extract(spark, extract, lines)))
-    write_json(nodes.drop("ord").orderBy("id"), f"{map_folder}/nodes")
+    write_json(nodes.orderBy("id").drop("ord"), f"{map_folder}/nodes")
     write_json(edges.orderBy("ord").drop("ord"), f"{map_folder}/edges")
     nodes = spark.read.schema(schemas.NODES).json(f"{map_folder}/nodes")
     if points is not None and points_folder is not None:
         write_json(relinked(read_points(spark, points), nodes.withColumn("ord", F.monotonically_increasing_id())).drop("ord"), points_folder)
-    return nodes, spark.read.json(f"{map_folder}/edges")
+    return nodes, spark.read.schema(schemas.BUILT_EDGES).json(f"{map_folder}/edges")
 
 
 def way_segments(ways: DataFrame) -> DataFrame:
@@ -136,12 +158,72 @@ def walk_map(osm: DataFrame) -> tuple[DataFrame, DataFrame]:
     return points, edges
 
 
+def area_tags(tags: Column) -> Column:
+    """Whether a closed way of these tags is an area, not a line that ends where it begins."""
+    said = tags["area"]
+    kinds = (tags["natural"].isNotNull() & ~F.coalesce(tags["natural"].isin(*BARE_LINES), F.lit(False))) | tags["tourism"].isNotNull()
+    return F.coalesce(said != "no", F.lit(True)) & (kinds | F.coalesce(said == "yes", F.lit(False)))
+
+
+def _rings(members: list) -> dict[str, list]:
+    """The closed rings that the ways of a relation make up, end to end, by role; what does not close is left out."""
+    out: dict[str, list] = {"rings": [], "holes": []}
+    for role, name in (("outer", "rings"), ("inner", "holes")):
+        parts = [[tuple(p) for p in m["positions"]] for m in sorted(members, key=lambda m: m["place"]) if (m["role"] or "outer") == role and len(m["positions"] or ()) > 1]
+        while parts:
+            ring = parts.pop(0)
+            while ring[0] != ring[-1]:
+                k = next((k for k, p in enumerate(parts) if ring[-1] in (p[0], p[-1])), None)
+                if k is None:
+                    break
+                part = parts.pop(k)
+                ring += (part if part[0] == ring[-1] else part[::-1])[1:]
+            if len(ring) >= 4 and ring[0] == ring[-1]:
+                out[name].append(ring)
+    return out
+
+
+def features(osm: DataFrame) -> DataFrame:
+    """Nodes, ways and relations of areas with the tags of points of interest: type, id, rings, holes, tags, ord.
+
+    A node is one line of one position, a way one line of the positions that are known, a relation the rings that its outer
+    and inner ways make up. What has no position is left out.
+    """
+    wanted = osm.filter(feature_tags(F.col("tags")))
+    position = F.struct("lat", F.col("lon").alias("lng"))
+    at = _last_nodes(osm).filter("lat is not null and lon is not null").select(F.col("id").alias("node"), position.alias("p"))
+    lines = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("place", "p"))), lambda x: x["p"]).alias(c)
+    none = F.array().cast("array<array<struct<lat:double,lng:double>>>")
+    points = wanted.filter("type = 'node' and lat is not null and lon is not null").select("type", "id", F.array(F.array(position)).alias("rings"), none.alias("holes"), "tags", "ord")
+    ways = wanted.filter("type = 'way'")
+    drawn = ways.select("id", "ord", F.posexplode("nodes").alias("place", "node")).join(at, "node").groupBy("id", "ord").agg(lines("line"))
+    drawn = ways.select("type", "id", "tags", "ord").join(drawn, ["id", "ord"]).select("type", "id", F.array("line").alias("rings"), none.alias("holes"), "tags", "ord")
+    if "members" not in osm.columns:
+        return points.unionByName(drawn)
+    whole = wanted.filter("type = 'relation'").filter(F.coalesce(F.col("tags")["type"].isin("multipolygon", "boundary"), F.lit(False)))
+    parts = whole.select("id", "ord", F.posexplode("members").alias("place", "m")).filter("m.type = 'way'").select("id", "ord", "place", F.col("m.ref").alias("way"), F.col("m.role").alias("role"))
+    member_ways = osm.filter("type = 'way'").join(parts.select(F.col("way").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    member_lines = member_ways.select(F.col("id").alias("way"), F.posexplode("nodes").alias("place", "node")).join(at, "node").groupBy("way").agg(lines("positions"))
+    made = parts.join(member_lines, "way").groupBy("id", "ord").agg(F.collect_list(F.struct("place", "role", "positions")).alias("members"))
+    shape = "array<array<struct<lat:double,lng:double>>>"
+    made = made.withColumn("made", F.udf(_rings, f"struct<rings:{shape},holes:{shape}>")("members")).filter("size(made.rings) > 0")
+    areas = whole.select("type", "id", "tags", "ord").join(made.select("id", "ord", "made"), ["id", "ord"]).select("type", "id", "made.rings", "made.holes", "tags", "ord")
+    return points.unionByName(drawn).unionByName(areas)
+
+
 def points_of_interest(features: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Named features (type, id, positions, tags, ord) with their middle, nearest node and distance, by name in code point order."""
-    middle = lambda k: F.bround(F.aggregate("positions", F.lit(0.0), lambda a, p: a + p[k]) / F.size("positions"), 6)
-    named = features.filter(feature_tags(F.col("tags"))).select(
-        osm_id(F.col("type"), F.col("id")).alias("id"), poi_name(F.col("tags")).alias("name"), poi_type(F.col("tags")).alias("type"),
-        middle("lat").alias("lat"), middle("lng").alias("lng"), elevation_or_zero(F.col("tags")["ele"]).alias("elevation"), "ord",
+    """Named features (type, id, rings, holes, tags, ord) with their centroid, nearest node and distance, by name in code point order.
+
+    A column ``positions`` may stand for rings and holes: one line.
+    """
+    if "rings" not in features.columns:
+        features = features.withColumns({"rings": F.array("positions"), "holes": F.array().cast("array<array<struct<lat:double,lng:double>>>")})
+    tags = F.col("tags")
+    area = (F.col("type") == "relation") | (area_tags(tags) & is_ring(F.col("rings")[0]))
+    named = features.filter(feature_tags(tags)).withColumn("_at", centroid(F.col("rings"), F.col("holes"), area)).select(
+        osm_id(F.col("type"), F.col("id")).alias("id"), poi_name(tags).alias("name"), poi_type(tags).alias("type"),
+        F.bround("_at.lat", 6).alias("lat"), F.bround("_at.lng", 6).alias("lng"), elevation_or_zero(tags["ele"]).alias("elevation"), "ord",
     ).filter("name is not null")
+    named = settled(named, "features")
     found = nearest(named, nodes).select("id", F.col("node_id").alias("nearest_routing_node_id"), F.rint(F.col("km") * 1000).cast("long").alias("distance_to_trail_m"))
     return named.join(found, "id", "left").orderBy("name", "ord")

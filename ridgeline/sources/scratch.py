@@ -21,8 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or _OWN[app]).rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nobody has used."""
+    return f"{shared_dir(spark)}/trails/{name}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: a short lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/trails/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A side is broadcast up to this many rows and bytes, counted before; beyond it is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
+
+
+def fits(df: DataFrame, row_bytes: int = 64) -> bool:
+    """Whether df is within the bounds of a broadcast, counted here, a row as ``row_bytes``."""
+    n = df.limit(BROADCAST_ROWS + 1).count()
+    return n <= BROADCAST_ROWS and n * row_bytes <= BROADCAST_BYTES
