@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import edge_weights
+from ..sources.scratch import settled
 
 
 def real_edges(edges: DataFrame) -> DataFrame:
@@ -64,6 +65,30 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_nodes"), F.coalesce(F.sum("e"), F.lit(0)).alias("n_edges"))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node of every node's component.
+
+    A round gives each node the least label around it, and then the label of that label, so that long trails take few rounds.
+    """
+    rows = real_edges(edges).select("src", "dst")
+    links = settled(rows.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(rows.select(F.col("dst").alias("node"), F.col("src").alias("other"))).distinct(), "links")
+    labels = settled(links.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
+    while True:
+        around = links.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("least"))
+        best = labels.join(around, "node").select("node", "label", F.least("label", "least").alias("new"))
+        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
+        new = settled(best.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), (F.least("new", F.coalesce("far", "new")) < F.col("label")).alias("fell")), "labels")
+        labels = new.select("node", "label")
+        if new.filter("fell").isEmpty():
+            return labels
+
+
+def together(requests: DataFrame, labels: DataFrame) -> DataFrame:
+    """The requests whose start and end lie in one component."""
+    ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in ("start", "end")]
+    return requests.join(ends[0], "start").join(ends[1], "end").filter("_start = _end").select(*requests.columns)
+
+
 def drawn_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with the positions of both ends; those with an unknown end are dropped."""
     at = nodes.select("id", "lat", "lng")

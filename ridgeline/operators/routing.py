@@ -1,57 +1,109 @@
 """Shortest paths for a batch of requests, by rounds of relaxation over the whole batch.
 
-requests: (req_id, start, end, criterion). Every round joins the distances that improved with the arcs of the graph, keeps
-the least for each node, and drops what is farther than the best known distance of the request's target. Paths are read
-back from tight arcs: the predecessor of a node is the tight one with the least (distance, id); where arcs of weight 0
-leave no farther-back choice, the one with fewest hops. All rounds are written tables, so the plan stays short.
+requests: (req_id, start, end, criterion). Chains of nodes with two neighbours are arcs of their own first, so rounds follow
+the crossings of a graph, not its nodes. Every round joins the distances that improved with the arcs, keeps the least for
+each node, drops what is farther than the best known distance of the request's target, and writes what is better than
+before as one more table; tables are put together every few rounds. Paths are read back from tight arcs by doubling: the
+predecessor of a node is the tight one with the least (distance, id); where arcs of weight 0 leave no farther-back choice,
+the one with fewest hops.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import as_number, criterion_or_time, whole
-from ..sources.scratch import settled
-from .graph import edges_between, real_edges, weighted_arcs
+from ..sources.scratch import BROADCAST_ROWS, fits, settled
+from .contraction import contracted
+from .graph import edges_between, real_edges, together, weighted_arcs
+
+#: Tables of improvements between two that hold all distances; distances from which on a round looks up only those it needs.
+TABLES, MANY = 8, 10 * BROADCAST_ROWS
 
-#: Steps back along the paths between two written tables.
-STRIDE = 6
+
+def _least(rows: DataFrame) -> DataFrame:
+    """The least (d, hops) of every request and node."""
+    return rows.groupBy("req_id", "node").agg(F.min(F.struct("d", "hops")).alias("x")).select("req_id", "node", "x.d", "x.hops")
 
 
 def distances(requests: DataFrame, arcs: DataFrame) -> DataFrame:
     """(req_id, node, d, hops): the distances that the targets need, from each request's start."""
     asked = settled(requests.select("req_id", "start", "end", criterion_or_time(F.col("criterion")).alias("criterion")), "requests")
     first = asked.join(arcs.select("criterion", F.col("node").alias("start")).distinct(), ["criterion", "start"], "left_semi")
-    known = settled(first.select("req_id", F.col("start").alias("node"), F.lit(0.0).alias("d"), F.lit(0).alias("hops"), F.lit(True).alias("fresh")), "distances")
+    front = settled(first.select("req_id", F.col("start").alias("node"), F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("hops"), (F.col("start") == F.col("end")).alias("goal")), "distances")
+    tables, total = [front], front.count()
     while True:
-        goal = asked.join(known.select("req_id", F.col("node").alias("end"), F.col("d").alias("best")), ["req_id", "end"], "left").select("req_id", "criterion", "best")
-        front = known.filter("fresh").select("req_id", "node", "d", "hops").join(goal, "req_id")
-        reached = front.join(arcs, ["criterion", "node"]).select("req_id", F.col("neighbour").alias("node"), (F.col("d") + F.col("w")).alias("d"), (F.col("hops") + 1).alias("hops"), "best")
-        reached = reached.filter("best is null or d <= best").select("req_id", "node", "d", "hops", F.lit(True).alias("fresh"))
-        both = known.withColumn("fresh", F.lit(False)).unionByName(reached).groupBy("req_id", "node").agg(F.min(F.struct("d", "hops", "fresh")).alias("x"))
-        known = settled(both.select("req_id", "node", "x.d", "x.hops", "x.fresh"), "distances")
-        if known.filter("fresh").isEmpty():
-            return known.drop("fresh")
-
-
-def paths(requests: DataFrame, known: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(req_id, path) of the requests whose target was reached."""
-    asked = requests.select("req_id", "start", "end", criterion_or_time(F.col("criterion")).alias("criterion"))
-    v = known.join(asked.select("req_id", "criterion"), "req_id").withColumnsRenamed({"d": "dv", "hops": "hv"})
-    u = known.select("req_id", F.col("node").alias("neighbour"), F.col("d").alias("du"), F.col("hops").alias("hu"))
-    tight = v.join(arcs, ["criterion", "node"]).join(u, ["req_id", "neighbour"]).filter("du + w = dv and (du < dv or hu < hv)")
-    before = settled(tight.groupBy("req_id", "node").agg(F.min(F.struct("du", F.when(F.col("du") < F.col("dv"), 0).otherwise(F.col("hu")), "neighbour"))["neighbour"].alias("back")), "predecessors")
-    walk = asked.join(known.select("req_id", F.col("node").alias("end")), ["req_id", "end"], "left_semi")
-    walk = walk.select("req_id", F.col("end").alias("node"), "start", F.array("end").alias("path"))
+        known = reduce(DataFrame.unionByName, tables)
+        best = known.filter("goal").groupBy("req_id").agg(F.min("d").alias("best"))
+        start = front.select("req_id", "node", "d", "hops").join(asked.select("req_id", "criterion", "end"), "req_id").join(best, "req_id", "left")
+        reached = start.join(arcs.select("criterion", "node", "neighbour", "w", F.col("hops").alias("more")), ["criterion", "node"]).select(
+            "req_id", F.col("neighbour").alias("node"), (F.col("d") + F.col("w")).alias("d"), (F.col("hops") + F.col("more")).alias("hops"), (F.col("neighbour") == F.col("end")).alias("goal"), "best"
+        )
+        reached = reached.filter("best is null or d <= best")
+        reached = reached.groupBy("req_id", "node").agg(F.min(F.struct("d", "hops")).alias("x"), F.first("goal").alias("goal")).select("req_id", "node", "x.d", "x.hops", "goal")
+        old = known.select("req_id", "node", "d", "hops")
+        if total > MANY:
+            # of very many distances only those of the nodes met now are shuffled, if these are few
+            reached = settled(reached, "reached")
+            if fits(reached):
+                old = old.join(F.broadcast(reached.select("req_id", "node")), ["req_id", "node"], "left_semi")
+        old = _least(old).select("req_id", "node", F.struct("d", "hops").alias("old"))
+        better = reached.join(old, ["req_id", "node"], "left").filter(F.col("old").isNull() | (F.struct("d", "hops") < F.col("old")))
+        front = settled(better.select("req_id", "node", "d", "hops", "goal"), "distances")
+        n = front.count()
+        if not n:
+            return _least(known.select("req_id", "node", "d", "hops"))
+        tables, total = [*tables, front], total + n
+        if len(tables) > TABLES:
+            rows = reduce(DataFrame.unionByName, tables).groupBy("req_id", "node").agg(F.min(F.struct("d", "hops")).alias("x"), F.first("goal").alias("goal"))
+            tables = [settled(rows.select("req_id", "node", "x.d", "x.hops", "goal"), "distances")]
+
+
+def predecessors(requests: DataFrame, known: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(req_id, node, back, via): the arc by which a node is best reached, as its begin and the second node of a chain."""
+    asked = requests.select("req_id", criterion_or_time(F.col("criterion")).alias("criterion"))
+    v = known.join(asked, "req_id").select("req_id", "criterion", F.col("node").alias("neighbour"), F.col("d").alias("dv"), F.col("hops").alias("hv"))
+    u = known.select("req_id", "node", F.col("d").alias("du"), F.col("hops").alias("hu"))
+    tight = v.join(arcs, ["criterion", "neighbour"]).join(u, ["req_id", "node"]).filter("du + w = dv and (du + before < dv or hu + hops - 1 < hv)")
+    before = F.col("du") + F.col("before")
+    order = F.struct(before.alias("d"), F.when(before < F.col("dv"), 0).otherwise(F.col("hu") + F.col("hops") - 1).alias("hops"), "last", F.col("node").alias("back"), "via")
+    return tight.groupBy("req_id", F.col("neighbour").alias("node")).agg(F.min(order).alias("x")).select("req_id", "node", "x.back", "x.via")
+
+
+def paths(requests: DataFrame, known: DataFrame, arcs: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(req_id, path) of the requests whose target was reached.
+
+    Every node's ancestor 1, 2, 4, ... steps back is found by doubling; from the target, the places that these strides
+    lead to are those of the whole path. ``members`` are the chains that arcs stand for.
+    """
+    before = settled(predecessors(requests, known, arcs), "predecessors")
+    strides = [before.select("req_id", "node", F.col("back").alias("far"))]
     while True:
-        for _ in range(STRIDE):
-            step = walk.join(before, ["req_id", "node"], "left")
-            on = (F.col("node") != F.col("start")) & F.col("back").isNotNull()
-            walk = step.select("req_id", F.when(on, F.col("back")).otherwise(F.col("node")).alias("node"), "start", F.when(on, F.concat(F.array("back"), F.col("path"))).otherwise(F.col("path")).alias("path"))
-        walk = settled(walk, "walk")
-        if walk.filter("node <> start").isEmpty():
-            return walk.select("req_id", "path")
+        one = strides[-1]
+        far = settled(one.join(one.select("req_id", F.col("node").alias("far"), F.col("far").alias("farther")), ["req_id", "far"]).select("req_id", "node", F.col("farther").alias("far")), "strides")
+        if far.isEmpty():
+            break
+        strides.append(far)
+    reached = requests.select("req_id", F.col("end").alias("node")).join(known.select("req_id", "node"), ["req_id", "node"], "left_semi")
+    walk = reached.select("req_id", "node", F.lit(0).cast("long").alias("place"))
+    for k in range(len(strides) - 1, -1, -1):
+        here, there = F.struct("node", "place"), F.struct(F.col("far").alias("node"), (F.col("place") + (1 << k)).alias("place"))
+        both = F.when(F.col("far").isNull(), F.array(here)).otherwise(F.array(here, there))
+        walk = walk.join(strides[k], ["req_id", "node"], "left").select("req_id", F.inline(both))
+    # from here on along the path: the arc that leads to each place, and what it stands for
+    walk = walk.join(before, ["req_id", "node"], "left").select("req_id", "node", (-F.col("place")).alias("place"), "back", "via")
+    nodes = walk.select("req_id", "place", F.lit(None).cast("long").alias("rank"), "node")
+    if members is not None:
+        kinds = requests.select("req_id", criterion_or_time(F.col("criterion")).alias("criterion"))
+        chains = walk.filter("via is not null").join(kinds, "req_id").select("req_id", "criterion", "place", F.col("back").alias("first_t"), F.col("via").alias("first_h"))
+        inside = chains.join(members.filter("rank > 0"), ["criterion", "first_t", "first_h"]).select("req_id", "place", "rank", F.col("t").alias("node"))
+        nodes = nodes.unionByName(inside)
+    # a place's chain comes before its node
+    ordered = F.sort_array(F.collect_list(F.struct("place", F.coalesce("rank", F.lit(1 << 62)).alias("rank"), "node")))
+    return nodes.groupBy("req_id").agg(F.transform(ordered, lambda x: x["node"]).alias("path"))
 
 
 def hops_of(routes: DataFrame) -> DataFrame:
@@ -69,16 +121,19 @@ def totals(routes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("req_id", F.bround("total_distance_km", 2).alias("total_distance_km"), whole(F.col("total_time_min")).alias("total_time_min"), whole(F.col("total_elevation_gain_m")).alias("total_elevation_gain_m"), F.bround("total_difficulty", 2).alias("total_difficulty"))
 
 
-def solve(requests: DataFrame, edges: DataFrame) -> DataFrame:
+def solve(requests: DataFrame, edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The answer to every request: status, path, route_weight, totals and the criterion as it was asked for.
 
-    A request has no route when an endpoint has no edge or can't be reached.
+    A request has no route when an endpoint has no edge or can't be reached. With ``labels`` (node, label) of the graph's
+    components, as ``graph.components`` makes them once a map, requests between two components never enter the rounds.
     """
     arcs = settled(weighted_arcs(edges), "arcs")
     lone = real_edges(edges).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    known = distances(requests, arcs)
+    able = requests if labels is None else together(requests, labels)
+    arcs, members = contracted(arcs, able.select(F.explode(F.array("start", "end")).alias("node")))
+    known = settled(distances(able, arcs), "known")
     same = requests.filter("start = end").join(lone.select(F.col("node").alias("start")), "start", "left_semi")
-    found = paths(requests.filter("start <> end"), known, arcs).unionByName(same.select("req_id", F.array("end").alias("path")))
+    found = paths(able.filter("start <> end"), known, arcs, members).unionByName(same.select("req_id", F.array("end").alias("path")))
     found = settled(found, "paths")
     weight = requests.join(known.select("req_id", F.col("node").alias("end"), F.bround("d", 2).alias("route_weight")), ["req_id", "end"]).select("req_id", "route_weight")
     out = requests.join(found, "req_id", "left").join(weight, "req_id", "left").join(totals(found, edges), "req_id", "left")

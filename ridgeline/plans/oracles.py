@@ -55,14 +55,49 @@ sums AS (SELECT req_id, sum(km) AS km, sum(minutes) AS minutes, sum(gain) AS gai
 """
 
 
-def _batch(criterion: str | None, columns: str) -> str:
-    return (
-        _routes(criterion)
-        + f"""SELECT {columns} FROM (SELECT req.*, CASE WHEN path IS NULL THEN 'no route' ELSE 'ok' END AS status, path, round_even(d, 2) AS route_weight,
+ORDER_LINKS = """
+ends AS MATERIALIZED (SELECT o_custkey AS k, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY ALL),
+steps AS (SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS a, o_orderkey AS b FROM orders),
+joined AS (SELECT * FROM steps WHERE a IS NOT NULL UNION ALL SELECT p.last, c.first FROM ends c JOIN ends p ON p.k = c.k // 4 * 2 + c.k % 2 AND p.k <> c.k UNION ALL SELECT p.first, c.first FROM ends c JOIN ends p ON p.k = c.k // 6 * 2 + c.k % 2 AND p.k <> c.k),
+links AS MATERIALIZED (SELECT 'o' || a AS src, 'o' || b AS dst, (n % 17 + 1) / 2.0::DOUBLE AS km, (n % 23 + 5)::DOUBLE AS minutes, (n % 7 * 10)::DOUBLE AS gain, CASE WHEN n % 5 = 0 THEN NULL ELSE (n % 6 + 1)::DOUBLE END AS hard, a * 10000000 + b AS ord FROM (SELECT *, a * 31 + b * 17 AS n FROM joined)),
+req AS MATERIALIZED (SELECT c_nationkey::BIGINT AS req_id, 'o' || arg_min(first, c_custkey) AS "start", 'o' || arg_max(last, c_custkey) AS "end", (['time', 'distance', 'elevation', 'difficulty'])[c_nationkey % 4 + 1] AS criterion FROM customer JOIN ends ON k = c_custkey GROUP BY c_nationkey)
+"""
+
+#: Distances by recursion that keeps the least of each key, then the walk back along tight arcs.
+ORDER_ROUTES = f"""
+WITH RECURSIVE {ORDER_LINKS},
+pairs AS MATERIALIZED (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, * FROM links QUALIFY row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY ord) = 1),
+kinds AS (SELECT src, dst, unnest([{{'c': 'time', 'w': minutes}}, {{'c': 'distance', 'w': km}}, {{'c': 'elevation', 'w': gain + km * 10}}, {{'c': 'difficulty', 'w': coalesce(hard, 1) * 100 + gain + minutes + km * 10}}]) AS x FROM links),
+arcs AS MATERIALIZED (SELECT criterion, node, nb, min(w) AS w FROM (SELECT x.c AS criterion, src AS node, dst AS nb, x.w AS w FROM kinds UNION ALL SELECT x.c, dst, src, x.w FROM kinds) GROUP BY ALL),
+dist(req_id, node, d, criterion) USING KEY (req_id, node) AS (SELECT req_id, "start", 0::DOUBLE, criterion FROM req
+  UNION SELECT p.req_id, arcs.nb, min(p.d + w), any_value(p.criterion) FROM dist p JOIN arcs ON p.criterion = arcs.criterion AND p.node = arcs.node LEFT JOIN recurring.dist o ON o.req_id = p.req_id AND o.node = arcs.nb WHERE o.d IS NULL OR p.d + w < o.d GROUP BY p.req_id, arcs.nb),
+dd AS MATERIALIZED (SELECT * FROM dist),
+back AS MATERIALIZED (SELECT v.req_id, v.node, arg_min(u.node, (u.d, u.node)) AS prev FROM dd v JOIN arcs ON v.criterion = arcs.criterion AND v.node = arcs.nb JOIN dd u ON u.req_id = v.req_id AND u.node = arcs.node WHERE u.d + w = v.d AND u.d < v.d GROUP BY ALL),
+walk AS (SELECT req_id, "start", node, node AS path, d FROM req JOIN dd USING (req_id) WHERE node = "end" UNION ALL SELECT req_id, "start", prev, prev || ',' || path, d FROM walk JOIN back USING (req_id, node)),
+found AS MATERIALIZED (SELECT req_id, path, d FROM walk WHERE node = "start"),
+hops AS (SELECT req_id, unnest(list_zip(string_split(path, ',')[:-2], string_split(path, ',')[2:])) AS x FROM found),
+sums AS (SELECT req_id, sum(km) AS km, sum(minutes) AS minutes, sum(gain) AS gain, sum(coalesce(hard, 0)) AS hard FROM hops JOIN pairs ON lo = least(x[1], x[2]) AND hi = greatest(x[1], x[2]) GROUP BY req_id)
+"""
+
+
+REACHABLE = f"""
+WITH RECURSIVE {ORDER_LINKS},
+arcs AS MATERIALIZED (SELECT src AS node, dst AS nb FROM links UNION SELECT dst, src FROM links),
+seen AS (SELECT "start" AS origin, "start" AS node FROM req UNION SELECT origin, nb FROM seen JOIN arcs USING (node))
+SELECT r.req_id, r."start" AS "start", o."end" AS "end", EXISTS (SELECT 1 FROM seen WHERE origin = r."start" AND node = o."end") AS reachable FROM req r JOIN req o ON (o.req_id + 24) % 25 = r.req_id
+"""
+
+
+def _answers(columns: str) -> str:
+    """The last step of the routes: statuses, weights and totals of all requests."""
+    return f"""SELECT {columns} FROM (SELECT req.*, CASE WHEN path IS NULL THEN 'no route' ELSE 'ok' END AS status, path, round_even(d, 2) AS route_weight,
   CASE WHEN path IS NOT NULL THEN round_even(coalesce(km, 0), 2) END AS total_distance_km, CASE WHEN path IS NOT NULL THEN round_even(coalesce(minutes, 0), 0)::BIGINT END AS total_time_min,
   CASE WHEN path IS NOT NULL THEN round_even(coalesce(gain, 0), 0)::BIGINT END AS total_elevation_gain_m, CASE WHEN path IS NOT NULL THEN round_even(coalesce(hard, 0), 2) END AS total_difficulty
   FROM req LEFT JOIN found USING (req_id) LEFT JOIN sums USING (req_id))"""
-    )
+
+
+def _batch(criterion: str | None, columns: str) -> str:
+    return _routes(criterion) + _answers(columns)
 
 
 PLACES = f"""
@@ -122,6 +157,8 @@ def _middle(c: str) -> str:
 ORACLES: dict[str, str] = {
     "route_batch": _batch(None, "*"),
     **{f"shortest_path_{c}": _batch(c, "req_id, status, route_weight, path") for c in ("time", "distance", "elevation", "difficulty")},
+    "order_routes": ORDER_ROUTES + _answers("*"),
+    "reachable_requests": REACHABLE,
     "weights_by_criterion": """SELECT l_orderkey, l_linenumber, l_partkey, round((l_linenumber * 10)::DOUBLE, 6) AS w_time, round(l_quantity, 6) AS w_distance, round(l_tax * 100 + l_quantity * 10, 6) AS w_elevation,
         round((CASE WHEN l_linenumber % 4 = 0 THEN 1 ELSE l_linenumber END)::DOUBLE * 100 + l_tax * 100 + l_linenumber * 10 + l_quantity * 10, 6) AS w_difficulty FROM lineitem""",
     "dirty_number": "SELECT event_id, CASE event_type WHEN 'click' THEN k::DOUBLE WHEN 'view' THEN ('1' || k || '.5')::DOUBLE ELSE 7.0::DOUBLE END AS n FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, numbers, text
@@ -69,6 +69,55 @@ def _by_criterion(criterion: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _answers(spark, sf_dir, criterion).select("req_id", "status", "route_weight", "path")
 
 
+def _order_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as places: a customer's next order follows the one before; first and last orders of customers k, k // 4 * 2 + k % 2 and k // 6 * 2 + k % 2 are linked.
+
+    Long trails of orders with two neighbours each between crossings of three and more, in two parts: even and odd customers.
+    """
+    orders = settled(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "orders")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    steps = orders.select(before.alias("a"), F.col("o_orderkey").alias("b")).filter("a is not null")
+    ends = settled(orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")), "ends")
+    k = F.col("o_custkey")
+
+    def across(by: int, to: str) -> DataFrame:
+        other = ends.select(F.col("o_custkey").alias("p"), F.col(to).alias("a"))
+        return ends.withColumn("p", F.floor(k / by) * 2 + k % 2).filter("p <> o_custkey").join(other, "p").select("a", F.col("first").alias("b"))
+
+    links = steps.unionByName(across(4, "last")).unionByName(across(6, "first"))
+    a, b = F.col("a"), F.col("b")
+    n = a * 31 + b * 17
+    return links.select(
+        F.concat(F.lit("o"), a).alias("src"), F.concat(F.lit("o"), b).alias("dst"), ((n % 17 + 1) / 2.0).cast("string").alias("distance_km"), (n % 23 + 5).cast("string").alias("time_min"),
+        (n % 7 * 10).cast("string").alias("elevation_gain_m"), F.when(n % 5 == 0, "unknown").otherwise((n % 6 + 1).cast("string")).alias("difficulty"), (a * 10_000_000 + b).alias("ord"),
+    )
+
+
+def _order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first order of a nation's first customer to the last order of its last one."""
+    orders, customers = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    held = customers.join(orders, F.col("c_custkey") == F.col("o_custkey")).groupBy("c_nationkey", "c_custkey").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    ends = held.groupBy("c_nationkey").agg(F.min_by("first", "c_custkey").alias("a"), F.max_by("last", "c_custkey").alias("b"))
+    kind = F.element_at(F.array(*map(F.lit, numbers.CRITERIA)), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    return ends.select(F.col("c_nationkey").cast("long").alias("req_id"), F.concat(F.lit("o"), "a").alias("start"), F.concat(F.lit("o"), "b").alias("end"), kind.alias("criterion"))
+
+
+def order_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes over a graph of all orders, which grows with the data; requests that nothing connects leave before the search."""
+    edges = settled(_order_links(spark, sf_dir), "links")
+    out = routing.solve(settled(_order_requests(spark, sf_dir), "requests"), edges, graph.components(edges))
+    return out.withColumn("path", F.array_join("path", ","))
+
+
+def reachable_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pairs of consecutive nations' requests have both ends in one part of the graph of orders."""
+    requests = settled(_order_requests(spark, sf_dir), "requests")
+    other = requests.select(((F.col("req_id") + 24) % 25).alias("req_id"), F.col("end"))
+    crossed = requests.select("req_id", "start").join(other, "req_id")
+    found = graph.together(crossed, graph.components(_order_links(spark, sf_dir))).select("req_id", F.lit(True).alias("found"))
+    return crossed.join(found, "req_id", "left").select("req_id", "start", "end", F.coalesce("found", F.lit(False)).alias("reachable"))
+
+
 def weights_by_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "lineitem").withColumns({
         "distance_km": F.col("l_quantity").cast("string"), "time_min": F.concat(F.lit(" "), F.col("l_linenumber") * 10), "elevation_gain_m": (F.col("l_tax") * 100).cast("string"),
@@ -446,7 +495,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "route_batch": route_batch,
     **{f"shortest_path_{c}": _by_criterion(c) for c in numbers.CRITERIA},
     **{f.__name__: f for f in (
-        weights_by_criterion, dirty_number, scalar_expressions, folded_words, coordinates, haversine_pairs, nearest_node, resolve_node, relinked_points, way_segments, undirected_dedup, full_map, extract_map, full_map_nodes, walk_map, walk_map_nodes, selected_elements, built_points,
+        order_routes, reachable_requests, weights_by_criterion, dirty_number, scalar_expressions, folded_words, coordinates, haversine_pairs, nearest_node, resolve_node, relinked_points, way_segments, undirected_dedup, full_map, extract_map, full_map_nodes, walk_map, walk_map_nodes, selected_elements, built_points,
         bbox_tag_filter, used_nodes, isolated_nodes, graph_counts, drawn_edges, adjacency_degree, route_points, route_positions, route_ends, consecutive_runs, characteristic_points, path_points, unique_points, search_points,
         route_status, route_reasons, form_checks, favourite_rows, response_positions, client_points, map_scan, unique_insert, verified_logins, favorites_by_user, profile_upsert, profile_view, orphan_rows, normalize_collection,
     )},
