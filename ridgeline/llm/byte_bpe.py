@@ -29,10 +29,8 @@ from .pretokens import byte_level_spans, code_points, strings
 
 #: Bytes of text in a block.
 BLOCK = 8 << 20
-#: Buckets of words at most, so that a block's words go out in rows of some dozens of words on clusters of any size.
-MOST_BUCKETS = 4096
-#: Words whose ids a task keeps; beyond them it starts anew.
-KEPT_WORDS = 1 << 20
+#: Bytes of input for each bucket of words, so that buckets follow the data and a task's share of the words does not grow.
+BUCKET_BYTES = 64 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -161,16 +159,17 @@ def block_places(docs: DataFrame) -> DataFrame:
 def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
     """(block, n, numbers, sizes, tokens): the ids of the words of every block, each distinct word encoded once.
 
-    A word's bucket goes to one task, which keeps the ids of up to KEPT_WORDS words it has met.
+    A word's bucket goes to one task, which takes its buckets one after the other and keeps the ids of the words of one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = _encoder(path, pattern)._encode_single_piece
         known: dict[bytes, np.ndarray] = {}
+        bucket = None
         for batch in batches:
             for row in batch.to_pylist():
-                if len(known) > KEPT_WORDS:
-                    known.clear()
+                if row["bucket"] != bucket:
+                    known, bucket = {}, row["bucket"]
                 text, ends = pa.decompress(row["words"], row["size"], codec="zstd", asbytes=True) if row["size"] else b"", np.cumsum(unpacked(row["lengths"], row["n"]))
                 ids, at = [], 0
                 for end in ends.tolist():
@@ -184,7 +183,13 @@ def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
                 columns = [pa.array([row["block"]], pa.int64()), pa.array([row["n"]], pa.int64()), *[pa.array([x], pa.binary()) for x in (row["numbers"], packed(sizes), packed(tokens))]]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "n", "numbers", "sizes", "tokens"])
 
-    return words.repartition("bucket").mapInArrow(run, "block long, n long, numbers binary, sizes binary, tokens binary")
+    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, n long, numbers binary, sizes binary, tokens binary")
+
+
+def input_bytes(docs: DataFrame) -> int:
+    """The optimizer's figure of the input's size, which it has from the files; counted where it has none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
@@ -227,7 +232,7 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
         columns = {"doc_id": places.column("ids").combine_chunks().flatten(), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(out, pa.binary())}
         return pa.table(columns | ({"decoded": pa.array(back, pa.binary())} if decoded else {}))
 
-    buckets = min(MOST_BUCKETS, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // BUCKET_BYTES)
     words = encoded_words(block_words(rows, buckets), path, pattern)
     return block_places(rows).groupBy("block").cogroup(words.groupBy("block")).applyInArrow(together, schema)
 
