@@ -1,4 +1,4 @@
-"""Users, profiles and favourites as append logs with latest-row views."""
+"""Users, profiles and favourites: append logs with latest-row views, a table that is merged into, and inserts that replays don't repeat."""
 
 from __future__ import annotations
 
@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import height_or_null
-from ..sources.scratch import settled
+from ..sources.documents import append_once
+from ..sources.scratch import delete, exists, settled
+
+#: Parts of a merged table, by the hash of the key; a merge rewrites those that hold a key of its batch.
+BUCKETS = 64
 
 
 def admitted(users: DataFrame, batch: DataFrame) -> DataFrame:
@@ -32,6 +36,19 @@ def insert_users(users: DataFrame, batch: DataFrame) -> DataFrame:
     return numbered(admitted(users, batch).filter("ok").drop("ok"), last)
 
 
+def insert_users_once(rows: DataFrame, table: str, batch: int) -> DataFrame:
+    """Insert the users of a batch that are admitted, with ids of their own, however often the batch comes; returns its users.
+
+    An id is the batch times 2 to the 40th and a dense number, so writers of different batches share none. Emails of the
+    batch itself, from an earlier try, don't count as taken.
+    """
+    spark = rows.sparkSession
+    users = spark.table(table).filter(F.col("batch") != batch) if spark.catalog.tableExists(table) else rows.select("email").limit(0)
+    new = settled(numbered(admitted(users, rows).filter("ok").drop("ok"), batch << 40), "users")
+    append_once(new, table, batch)
+    return new
+
+
 def verified(users: DataFrame, attempts: DataFrame, matches: Column) -> DataFrame:
     """attempts (email, password) with ``ok``; an unknown email fails like a wrong password.
 
@@ -57,6 +74,46 @@ def latest(log: DataFrame, key: str, *order: str) -> DataFrame:
     return log.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def _overwrite(rows: DataFrame, path: str) -> None:
+    """Put ``rows`` in the place of the buckets they are of; the other buckets stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish a merge that was broken off after its rows were ready, and forget one that was broken off before."""
+    pending = f"{path.rstrip('/')}_pending"
+    if exists(spark, f"{pending}/_SUCCESS"):
+        _overwrite(spark.read.parquet(pending), path)
+    delete(spark, pending)
+
+
+def merge(updates: DataFrame, path: str, key: str, *order: str, buckets: int = BUCKETS) -> None:
+    """Update or insert the rows of ``updates`` by ``key``, the last by ``order`` counting, into the Parquet table at ``path``.
+
+    The table is parted by the hash of the key, and only the buckets that hold a key of the batch are read and rewritten, so
+    it holds a row a key and reads need no sorting. The new buckets are complete in a table beside it before they take the
+    place of the old ones: a merge that breaks off is finished by ``recover``, which every merge calls first. Batches may
+    come again and in any order: an older row never takes the place of a newer one. One writer at a time.
+    """
+    spark = updates.sparkSession
+    recover(spark, path)
+    columns, bucket = updates.columns, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    new = settled(latest(updates, key, *order).select(*columns, bucket), "updates")
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # no more than there are buckets
+    if not touched:
+        return
+    if exists(spark, path):
+        new = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).select(*columns, "bucket").unionByName(new)
+    pending = f"{path.rstrip('/')}_pending"
+    latest(new, key, *order).select(*columns, "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(pending)
+    recover(spark, path)
+
+
+def merged_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a merged table, one a key."""
+    return spark.read.parquet(path).drop("bucket")
+
+
 def profiles_of(users: DataFrame, log: DataFrame) -> DataFrame:
     """Every user's latest profile; empty texts where there is none."""
     found = latest(log, "user_id", "updated_at")

@@ -233,6 +233,11 @@ ORACLES: dict[str, str] = {
     "verified_logins": "SELECT o_orderkey, c_custkey AS user_id, coalesce(o_orderstatus <> 'F' AND c_custkey IS NOT NULL, false) AS ok FROM orders LEFT JOIN customer ON c_custkey = o_custkey * 2",
     "favorites_by_user": "SELECT o_orderkey AS id, o_custkey AS user_id, o_orderpriority AS route_name, o_totalprice AS distance_km, strftime(o_orderdate, '%Y-%m-%d') AS created FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate DESC, o_orderkey DESC",
     "profile_upsert": f"WITH {PROFILES} SELECT * FROM pr",
+    "profile_merge": f"WITH {PROFILES} SELECT * FROM pr",
+    "replayed_inserts": """SELECT (b::BIGINT << 40) + row_number() OVER (PARTITION BY b ORDER BY ord) AS id, email, ord
+        FROM (SELECT c_custkey AS ord, c_mktsegment || '@' || c_nationkey AS email, c_custkey % 4 AS b FROM customer QUALIFY row_number() OVER (PARTITION BY email ORDER BY b, ord) = 1)""",
+    "search_batch": f"""WITH {POINTS}, q AS (SELECT p_partkey AS q_id, strip_accents(lower(trim(substr(p_name, p_partkey % 7 + 1, p_partkey % 6 + 1)))) AS q FROM part)
+        SELECT q_id, place, id, name, type FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY name, first)::INTEGER AS place FROM q JOIN u ON r = 1 AND q <> '' AND (contains(strip_accents(lower(name)), q) OR contains(id, q) OR contains(strip_accents(lower(type)), q))) WHERE place <= 8""",
     "profile_view": f"WITH {PROFILES} SELECT c_custkey AS user_id, height_cm, coalesce(experience_level, '') AS experience_level, coalesce(route_preference, '') AS route_preference FROM customer LEFT JOIN pr ON user_id = c_custkey",
     "orphan_rows": "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT s_suppkey FROM supplier)",
     "normalize_collection": """SELECT n_nationkey, x.ord::BIGINT AS ord, x.id AS id, n_name AS name, n_nationkey::DOUBLE AS lat FROM (SELECT *, unnest(CASE n_nationkey % 5 WHEN 0 THEN [{'ord': 0, 'id': 'own'}, {'ord': 1, 'id': NULL}] WHEN 1 THEN [{'ord': 0, 'id': 'own'}]

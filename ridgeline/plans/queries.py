@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -376,6 +377,13 @@ def search_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.suggestions(_points(spark, sf_dir), " Réd ").select("id", "name", "type")
 
 
+def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions for a piece of the name of every part, one to six characters long."""
+    key = F.col("p_partkey")
+    queries = _table(spark, sf_dir, "part").select(key.alias("q_id"), F.substring("p_name", (key % 7 + 1).cast("int"), (key % 6 + 1).cast("int")).alias("query"))
+    return search.suggestions_for(_points(spark, sf_dir), queries).select("q_id", "place", "id", "name", "type")
+
+
 def route_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _buying(spark, sf_dir)
     requests = edges.select(F.col("ord").alias("req_id"), F.when(F.col("ord") % 11 == 0, "").otherwise(F.col("src")).alias("start"), F.col("dst").alias("end"))
@@ -447,6 +455,17 @@ def unique_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.insert_users(users, batch).select("id", "email", "ord")
 
 
+def replayed_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as users in four batches, of which two come again."""
+    rows = settled(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), F.concat_ws("@", "c_mktsegment", "c_nationkey").alias("email")), "batches")
+    table = f"users_{uuid.uuid4().hex}"
+    for batch in (0, 1, 1, 2, 3, 0):
+        store.insert_users_once(rows.filter(F.col("ord") % 4 == batch), table, batch)
+    out = settled(spark.table(table).select("id", "email", "ord"), "users")
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def verified_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("email"), F.sha2(F.concat("c_name", F.lit("!")), 256).alias("password_hash"))
     tries = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Customer#"), F.lpad((F.col("o_custkey") * 2).cast("string"), 9, "0")).alias("email"), F.col("o_orderstatus").alias("s"))
@@ -468,6 +487,15 @@ def profile_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(_profiles(spark, sf_dir), "user_id", "updated_at").select("user_id", "height_cm", "experience_level", "route_preference")
 
 
+def profile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same profiles, merged in batches that come out of order and of which one comes again."""
+    rows = settled(_profiles(spark, sf_dir), "profiles")
+    path = scratch_path(spark, "merged")
+    for batch in (2, 0, 3, 2, 1):
+        store.merge(rows.filter(F.pmod(F.xxhash64("updated_at"), F.lit(4)) == batch), path, "user_id", "updated_at", buckets=16)
+    return store.merged_rows(spark, path).select("user_id", "height_cm", "experience_level", "route_preference")
+
+
 def profile_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     return store.profiles_of(users, _profiles(spark, sf_dir))
@@ -496,7 +524,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"shortest_path_{c}": _by_criterion(c) for c in numbers.CRITERIA},
     **{f.__name__: f for f in (
         order_routes, reachable_requests, weights_by_criterion, dirty_number, scalar_expressions, folded_words, coordinates, haversine_pairs, nearest_node, resolve_node, relinked_points, way_segments, undirected_dedup, full_map, extract_map, full_map_nodes, walk_map, walk_map_nodes, selected_elements, built_points,
-        bbox_tag_filter, used_nodes, isolated_nodes, graph_counts, drawn_edges, adjacency_degree, route_points, route_positions, route_ends, consecutive_runs, characteristic_points, path_points, unique_points, search_points,
-        route_status, route_reasons, form_checks, favourite_rows, response_positions, client_points, map_scan, unique_insert, verified_logins, favorites_by_user, profile_upsert, profile_view, orphan_rows, normalize_collection,
+        bbox_tag_filter, used_nodes, isolated_nodes, graph_counts, drawn_edges, adjacency_degree, route_points, route_positions, route_ends, consecutive_runs, characteristic_points, path_points, unique_points, search_points, search_batch,
+        route_status, route_reasons, form_checks, favourite_rows, response_positions, client_points, map_scan, unique_insert, replayed_inserts, verified_logins, favorites_by_user, profile_upsert, profile_merge, profile_view, orphan_rows, normalize_collection,
     )},
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import schemas
 
@@ -95,11 +96,51 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
 
 
 def create_tables(spark: SparkSession, database: str = "default") -> None:
-    """The users, profiles and favourites tables, if they are missing."""
+    """The users, profiles and favourites tables: those that are missing, and in older ones the columns that are.
+
+    Old rows have nulls in new columns; what a table has beside the declared columns stays. Doing it again changes nothing.
+    """
     for name, schema in (("users", schemas.USERS), ("user_profiles", schemas.PROFILES), ("favorite_routes", schemas.FAVOURITES)):
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({schema}) USING parquet")
+        add_columns(spark, f"{database}.{name}", schema)
+
+
+def add_columns(spark: SparkSession, table: str, schema: str) -> list[str]:
+    """Add the columns of ``schema`` that a table lacks, by name, whatever the case; returns their names. A column of another type is refused."""
+    has = {f.name.lower(): f.dataType for f in spark.table(table).schema}
+    wanted = StructType.fromDDL(schema).fields
+    for f in wanted:
+        if f.name.lower() in has and has[f.name.lower()] != f.dataType:
+            raise ValueError(f"{table}.{f.name} is {has[f.name.lower()].simpleString()}, not {f.dataType.simpleString()}")
+    new = [f for f in wanted if f.name.lower() not in has]
+    if new:
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in new)})")
+    return [f.name for f in new]
 
 
 def append(df: DataFrame, table: str) -> None:
     """Append rows to a table."""
     df.write.mode("append").saveAsTable(table)
+
+
+def append_once(df: DataFrame, table: str, batch: int) -> None:
+    """Rows of a batch into a table parted by ``batch``: written again they take the place of those written before.
+
+    So a replay, or a second writer with the same batch, leaves the rows once. Writers of different batches don't meet.
+    """
+    spark = df.sparkSession
+    rows = df.drop("batch").withColumn("batch", F.lit(batch).cast("bigint"))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY (batch)")
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        rows = rows.select(*spark.table(table).columns)
+        if rows.isEmpty():
+            # nothing to write is no partition to overwrite
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (batch = {batch})")
+        else:
+            rows.write.mode("overwrite").insertInto(table)
+    finally:
+        spark.conf.set(mode, before)

@@ -33,6 +33,18 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path`` in its store."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder and all in it, if it is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 #: A side is broadcast up to this many rows and bytes, counted before; beyond it is joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
 

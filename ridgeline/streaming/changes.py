@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import latest
+from ..operators.store import latest, merge
+from ..sources.documents import append_once
 
 
 def read_changes(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -20,10 +21,19 @@ def once_only(changes: DataFrame, key: str, time: str, delay: str = "1 hour") ->
 
 
 def append_stream(changes: DataFrame, table: str, checkpoint: str, key: str, *order: str) -> StreamingQuery:
-    """Append the latest row of every key in each micro-batch to ``table``."""
+    """Append the latest row of every key in each micro-batch to ``table``, once: a batch that is replayed takes its own place."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        append_once(latest(batch, key, *order), table, number)
+
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def merge_stream(changes: DataFrame, path: str, checkpoint: str, key: str, *order: str) -> StreamingQuery:
+    """Merge every micro-batch into the table at ``path``, which holds the latest row of each key; replays change nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        latest(batch, key, *order).write.mode("append").saveAsTable(table)
+        merge(batch, path, key, *order)
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
