@@ -1,13 +1,16 @@
 """Operator 6, toxicity: noisy-channel restoration of disguised words, then a score of the restored text.
 
 Words that look disguised (figures or signs among letters, doubled letters, single letters set apart) become lattices:
-each character may stand for itself, for the letters it imitates, or for nothing where it repeats or separates; up to
-MASKS stars between letters may stand for any letter that the model knows behind the one before.
-Viterbi decoding under a character trigram model picks the likeliest reading. A text is then scored by the words and word
-beginnings that its plain and restored words share with the training texts: each known one has a precision, and the score
-is the chance that at least one of them tells the truth.
-
-The character model counts the texts of all documents. The features alone are learned from a sample of at most about
+each character may stand for itself, for the letters it imitates (as a sign, with a mark on it, or in another script), or
+for nothing where it repeats or separates; a star between letters may stand for any letter that the model knows behind the
+one before, in runs of any length.
+Viterbi decoding under a character trigram model picks the likeliest reading. A masked stretch that a known feature word
+fits, letter for letter and star for letter, is read as that word: stars are put where such words stand. A text is then
+scored by the words and word beginnings that its plain and restored words share with the training texts: each known one has
+a precision, and the score is the chance that at least one of them tells the truth.
+
+The character model counts the texts of all documents in a table of fixed size: 64 symbols (the letters of ASCII and Latin-1,
+a blank, and six for all other letters by their code points), so 262,144 trigrams of 8 bytes. The features alone are learned from a sample of at most about
 TRAIN_ROWS labelled rows, picked by a hash of doc_id. How far a feature's counts must be beyond chance is chosen by
 cross-validation over FOLDS parts of that sample, so it fits small and large samples; rows that are held out are not looked at.
 When texts are scored, only stretches in which a feature can be read at all are decoded: a reading without one adds nothing.
@@ -22,8 +25,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, OrderedDict
+import unicodedata
+from collections import OrderedDict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -38,16 +43,15 @@ from .scratch import dropped, written
 
 #: Bound of the training sample.
 TRAIN_ROWS = 20_000
-#: Trigrams that a task counts before it hands them on.
-HELD_GRAMS = 1_000_000
 #: Lengths of the word beginnings that count as features; 0 is the whole word.
 BEGINNINGS = (0, 4, 5, 6)
 LEAST_TEXTS, LEAST_PRECISION = 3, 0.9
 #: A feature's counts must be as unlikely by chance as one of these (minus the logarithm of the likelihood ratio to the base rate).
 SURPRISES = (4.0, 5.0, 6.0, 7.0, 8.0, 10.0, 12.0, 14.0, 18.0)
 FOLDS = 4
-#: Stars in a row that may mask letters; more of them are a rule or a mark.
-MASKS = 3
+#: Letters that the character model tells apart, after the blank; others share the symbols that are left.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, (*range(0xDF, 0xF7), *range(0xF8, 0x100))))
+SYMBOLS = 64
 #: Readings of stretches up to this length are remembered.
 KEPT_LENGTH = 256
 # The letters that figures and signs imitate.
@@ -55,6 +59,11 @@ IMITATES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "{": "c",
 }
+# Letters of other scripts that look like Latin ones.
+LOOKALIKES = {
+    "а": "a", "в": "b", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t",
+}
 SEPARATORS = " .-_*·~"
 #: Letters that one sign imitates alike.
 _SAME = {"l": "i"}
@@ -62,6 +71,33 @@ SIGNS = "0123456789@$!|+€£({"
 _SINGLE_SIGNS = "@$!|+"
 
 
+@lru_cache(maxsize=1)
+def bare_letters() -> np.ndarray:
+    """For every code point the Latin letter that a marked or foreign letter looks like, or 0."""
+    table = np.zeros(0x110000, np.uint32)
+    for code in range(0x80, 0x2C00):
+        base = unicodedata.normalize("NFKD", chr(code))[0]
+        if "a" <= base <= "z":
+            table[code] = ord(base)
+    for c, base in LOOKALIKES.items():
+        table[ord(c)] = ord(base)
+    return table
+
+
+def bare(c: str) -> str:
+    """The Latin letter that ``c`` looks like; empty if it is one, or looks like none."""
+    return chr(bare_letters()[ord(c)]) if c > "\x7f" and bare_letters()[ord(c)] else ""
+
+
+@lru_cache(maxsize=1)
+def symbol_table() -> np.ndarray:
+    """The symbol of every code point: 0 the blank, then the letters of ALPHABET, then those that other characters share."""
+    table = (1 + len(ALPHABET) + np.arange(0x110000) % (SYMBOLS - 1 - len(ALPHABET))).astype(np.uint8)
+    table[32] = 0
+    table[[ord(c) for c in ALPHABET]] = 1 + np.arange(len(ALPHABET))
+    return table
+
+
 def _among(codes: np.ndarray, chars: str) -> np.ndarray:
     """Which code points are among ``chars``."""
     table = np.zeros(0x2100, bool)
@@ -72,8 +108,9 @@ def _among(codes: np.ndarray, chars: str) -> np.ndarray:
 def disguised(texts: list[str]) -> list[list[str]]:
     """The stretches of lower-case texts that look disguised, each up to the blanks around it, found by arrays over all texts.
 
-    Signs or figures between letters, at the start of a word before a letter or behind its last letter; doubled letters; up to
-    MASKS stars between letters; three or more single letters or signs with nothing but separators between them.
+    Signs or figures between letters, at the start of a word before a letter or behind its last letter; doubled letters;
+    stars between letters; letters that look like a Latin one; three or more single letters or signs with nothing but
+    separators between them.
     """
     joined, codes, offsets = code_points([x + "\n" for x in texts])
     letter, sign, figure = class_table()[codes] == LETTER, _among(codes, SIGNS), _among(codes, SIGNS[:10])
@@ -85,10 +122,11 @@ def disguised(texts: list[str]) -> list[list[str]]:
         np.flatnonzero(sign & before(blank, True) & after(letter) & ~_among(codes, "({")),
         np.flatnonzero(letter & after(figure) & ~after(word | _among(codes, "_"), 2)),
         np.flatnonzero(letter & (codes == after(codes))),
+        np.flatnonzero(letter & (codes > 0x7F) & (bare_letters()[codes] > 0)),
     ]
-    for inside, most in ((sign, len(codes)), (_among(codes, "*"), MASKS)):
+    for inside in (sign, _among(codes, "*")):
         begins, ends, _ = kernels.runs(inside, offsets)
-        fits = (begins > 0) & (ends - begins <= most)
+        fits = begins > 0
         fits[fits] &= letter[begins[fits] - 1] & letter[np.minimum(ends[fits], len(codes) - 1)]
         at.append(begins[fits])
     starts, stops, _ = kernels.runs(~blank, offsets)
@@ -112,51 +150,77 @@ def disguised(texts: list[str]) -> list[list[str]]:
 
 
 class Letters:
-    """A character trigram model, smoothed by bigrams."""
-
-    def __init__(self, counts: dict[str, int]) -> None:
-        self.tri, self.bi, self.pair = dict(counts), Counter(), Counter()
-        for gram, n in counts.items():
-            self.bi[gram[:2]] += n
-            self.pair[gram[1:]] += n
-        self.after = Counter()
-        for gram, n in self.pair.items():
-            self.after[gram[0]] += n
-        self.behind: dict[str, list[str]] = {}
-        for gram in self.pair:
-            if gram[1].isalpha():
-                self.behind.setdefault(gram[0], []).append(gram[1])
+    """A character trigram model over SYMBOLS symbols, smoothed by bigrams; from counts by trigram, as a table or by spelling."""
+
+    def __init__(self, counts: np.ndarray | dict[str, int]) -> None:
+        if isinstance(counts, dict):
+            cells = np.zeros(SYMBOLS**3, np.int64)
+            np.add.at(cells, [self.cell(gram) for gram in counts], list(counts.values()))
+            counts = cells
+        self.tri = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+        pair, two = self.tri.sum(0), self.tri.sum(2)
+        low = (pair + 0.05) / (pair.sum(1) + 2.0)[:, None]
+        self.costs = -np.log((self.tri + 4 * low) / (two + 4)[:, :, None])
+        letters = np.arange(1, 1 + len(ALPHABET))
+        self.behind = [[ALPHABET[k - 1] for k in letters if pair[b, k] > 0] for b in range(SYMBOLS)]
+        # what a star costs as each letter of the alphabet, out of reach where the letter before has never led to it
+        self.star = np.where(pair[None, :, letters] > 0, self.costs[:, :, letters] + 0.4, np.inf)
+        # Every pair of symbols that stars lead to at all, they lead to by SYMBOLS + 1 letters; a letter costs 0.2 more than a star
+        # let go at least. So a reading through more letters than this is never the likeliest.
+        reach = self.star[np.isfinite(self.star)].max(initial=0.0)
+        self.most_stars = 4 + math.ceil((SYMBOLS + 1) * reach / 0.2)
+
+    @staticmethod
+    def cell(gram: str) -> int:
+        a, b, c = (int(symbol_table()[ord(x)]) for x in gram)
+        return (a * SYMBOLS + b) * SYMBOLS + c
+
+    def count(self, gram: str) -> int:
+        """How often the three symbols of ``gram`` were counted."""
+        return int(self.tri.reshape(-1)[self.cell(gram)])
 
     def cost(self, two: str, c: str) -> float:
         """Minus the log-probability of c after two characters."""
-        low = (self.pair.get(two[1] + c, 0) + 0.05) / (self.after.get(two[1], 0) + 2.0)
-        return -math.log((self.tri.get(two + c, 0) + 4 * low) / (self.bi.get(two, 0) + 4))
+        table = symbol_table()
+        return float(self.costs[table[ord(two[0])], table[ord(two[1])], table[ord(c)]])
 
 
-def restored(token: str, model: Letters) -> str:
-    """The likeliest reading of a disguised stretch; words in it are parted by a blank."""
-    paths: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}  # the reading as links, last character first
+_MASK = re.compile(r"(?<=[^\W\d_])\*+(?=[^\W\d_])")
+
+
+def readings_of(token: str) -> list[tuple[list[tuple[str, float]], bool]]:
+    """The lattice of a stretch: for every character what it may stand for at which cost, and whether it is a star for any letter."""
     spaced = sum(c in SEPARATORS for c in token) * 2 >= len(token) - 2
     runs = [len(r) for found in re.finditer(r"(?s)(.)\1*", token) for r in [found.group()] for _ in r]
-    masks = {at for found in re.finditer(r"(?<=[^\W\d_])\*{1,%d}(?=[^\W\d_])" % MASKS, token) for at in range(*found.span())}
-    before = ""
+    masks = {at for found in _MASK.finditer(token) for at in range(*found.span())}
+    out, before = [], ""
     for at, ch in enumerate(token):
-        run = runs[at]
-        options: list[tuple[str, float]] = []
         if ch in SEPARATORS:
             options = [("", 0.0), (" ", 1.0 if ch == before else 4.0)] if spaced else [("", 2.0), (" ", 0.5)]
+            options = [("", 0.2)] if at in masks and ch == before else [("", 2.0)] if at in masks else options
         elif ch.isalpha():
-            options = [(ch, 0.0)] + ([("", 0.2 if run > 2 else 5.0)] if ch == before else [])
+            options = [(ch, 0.0)] + ([(bare(ch), 1.0)] if bare(ch) else []) + ([("", 0.2 if runs[at] > 2 else 5.0)] if ch == before else [])
         else:
             options = [(c, 0.4) for c in IMITATES.get(ch, "")] + [("", 9.0), (" ", 6.0)] + ([("", 0.2)] if ch == before else [])
+        out.append((options, at in masks))
+        before = ch
+    return out
+
+
+def restored(token: str, model: Letters) -> str:
+    """The likeliest reading of a disguised stretch; words in it are parted by a blank."""
+    if "*" in token and _MASK.search(token):
+        return _unmasked(token, model)
+    paths: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}  # the reading as links, last character first
+    for options, _ in readings_of(token):
         best: dict[str, tuple[float, tuple | None]] = {}
         for two, (cost, out) in paths.items():
-            for c, extra in options + [(c, 0.4) for c in model.behind.get(two[1], ())] if at in masks else options:
+            for c, extra in options:
                 state = two if not c or (c == " " and two[1] == " ") else two[1] + c
                 price = cost + extra + (model.cost(two, c) if state is not two else 0.0)
                 if state not in best or price < best[state][0]:
                     best[state] = (price, out if state is two else (out, c))
-        paths, before = best, ch
+        paths = best
     link = min(((cost + (model.cost(two, " ") if two[1] != " " else 0), out) for two, (cost, out) in paths.items()), key=lambda x: x[0])[1]
     letters = []
     while link:
@@ -165,6 +229,60 @@ def restored(token: str, model: Letters) -> str:
     return "".join(reversed(letters)).strip()
 
 
+def _unmasked(token: str, model: Letters) -> str:
+    """``restored`` for stretches with masking stars: all pairs of last symbols at once, as there are letters for every star.
+
+    Stars of a run beyond ``most_stars`` are let go at once, as every likeliest reading lets as many go.
+    """
+    costs, table = np.full((SYMBOLS, SYMBOLS), np.inf), symbol_table()
+    costs[0, 0] = 0.0
+    trail: list[tuple[np.ndarray, np.ndarray, list[str]]] = []
+    stars = 0
+    for options, masks in readings_of(token):
+        stars = stars + 1 if masks else 0
+        if stars > model.most_stars:
+            continue
+        best, back, move = np.full_like(costs, np.inf), np.zeros(costs.shape, np.uint8), np.full(costs.shape, -1, np.int16)
+        chars: list[str] = []
+        stay = min((extra for c, extra in options if not c), default=np.inf)
+        blank = min((extra for c, extra in options if c == " "), default=np.inf)
+        best[:] = costs + stay
+        best[:, 0] = costs[:, 0] + min(stay, blank)  # a blank behind a blank is none
+
+        def reach(symbols, prices: np.ndarray, char: str | None) -> None:
+            """Steps to ``symbols``: prices by the last two symbols and the next one."""
+            total = costs[:, :, None] + prices
+            least, first = total.min(0), total.argmin(0)
+            better = least < best[:, symbols]
+            best[:, symbols] = np.where(better, least, best[:, symbols])
+            back[:, symbols] = np.where(better, first, back[:, symbols])
+            number = len(chars) + np.arange(len(symbols))
+            move[:, symbols] = np.where(better, number[None, :], move[:, symbols])
+            chars.extend([char] if char else ALPHABET)
+
+        for c, extra in options:
+            if c and not c.isspace():
+                k = np.array([table[ord(c)]])
+                reach(k, model.costs[:, :, k] + extra, c)
+            elif c:
+                prices = model.costs[:, :, :1] + extra
+                prices[:, 0] = np.inf
+                reach(np.array([0]), prices, " ")
+        if masks:
+            reach(np.arange(1, 1 + len(ALPHABET)), model.star, None)
+        trail.append((back, move, chars))
+        costs = best
+    ends = costs.copy()
+    ends[:, 1:] += model.costs[:, 1:, 0]
+    a, b = np.unravel_index(ends.argmin(), ends.shape)
+    letters = []
+    for back, move, chars in reversed(trail):
+        if move[a, b] >= 0:
+            letters.append(chars[move[a, b]])
+            a, b = back[a, b], a
+    return "".join(reversed(letters)).strip()
+
+
 def skeletons(text: str) -> list[str] | None:
     """What every reading of a stretch shares: letters without repeats, with those that one sign imitates made equal.
 
@@ -176,8 +294,8 @@ def skeletons(text: str) -> list[str] | None:
             return None
         if ch in SEPARATORS:
             continue
-        read = ch if ch.isalpha() else IMITATES.get(ch, "")
-        ways = [_SAME.get(read[0], read[0])] if read else [""]
+        read = ch + bare(ch) if ch.isalpha() else IMITATES.get(ch, "")[:1]
+        ways = [_SAME.get(x, x) for x in read] or [""]
         out = [x if w == x[-1:] else x + w for x in out for w in (ways if ch.isalpha() else [*ways, ""])]
     return out
 
@@ -200,24 +318,52 @@ class Gate:
         return forms is None or any(next(self.found.iter(x), None) is not None for x in forms)
 
 
+def fitting(token: str, words: list[str]) -> str | None:
+    """The word that a masked stretch spells with a letter for each star, or with fewest stars let go; two letters and a third of the word are seen."""
+    parts, seen = [], 0
+    for piece in re.finditer(r"(?s)(.)\1*", token):
+        ch, n = piece[1], len(piece[0])
+        if ch == "*":
+            parts.append(f"([^\\W\\d_]{{1,{n}}})")
+        elif ch.isalpha():
+            seen += 1
+            parts.append(f"[{ch}{bare(ch)}]{{1,{n}}}")
+        elif ch in IMITATES:
+            parts.append(f"[{IMITATES[ch]}]{{1,{n}}}")
+        elif ch not in SEPARATORS:
+            return None
+    pattern = re.compile("".join(parts))
+    found = [(-sum(map(len, m.groups())), w) for w in words if seen >= 2 and 3 * seen >= len(w) and (m := pattern.fullmatch(w))]
+    return min(found)[1] if found else None
+
+
 class Restorer:
     """Readings of disguised stretches, the latest ones remembered; with a gate, of those alone that pass it."""
 
-    def __init__(self, model: Letters, gate: Gate | None = None, kept: int = 50_000) -> None:
-        self.model, self.gate, self.kept, self.known = model, gate, kept, OrderedDict()
+    def __init__(self, model: Letters, gate: Gate | None = None, kept: int = 50_000, words: list[str] | None = None) -> None:
+        self.model, self.gate, self.kept, self.known, self.lexicon = model, gate, kept, OrderedDict(), words or []
 
     def reading(self, token: str) -> str:
         """What a stretch is read as; itself if it can hold no feature."""
         read = self.known.get(token)
         if read is None:
             wanted = sum(map(str.isalpha, token)) >= 2 and (self.gate is None or self.gate.passes(token))
-            read = restored(token, self.model) if wanted else ""
+            read = ""
+            if wanted:
+                read = self._spelled(token) or restored(token, self.model)
             if len(token) <= KEPT_LENGTH:
                 if len(self.known) >= self.kept:
                     self.known.popitem(last=False)
                 self.known[token] = read
         return read
 
+    def _spelled(self, token: str) -> str:
+        """A stretch with its masked pieces as the known words that fit them; empty without one."""
+        if not self.lexicon or not _MASK.search(token):
+            return ""
+        pieces = [(fitting(x, self.lexicon) if _MASK.search(x) else None, x) for x in token.split()]
+        return " ".join(w or x for w, x in pieces) if any(w for w, _ in pieces) else ""
+
     def of(self, texts: list[str]) -> list[str]:
         """The readings of all disguised stretches of each text that differ from what is written, as one string a text."""
         return [" ".join(filter(None, (r for token in found for r in [self.reading(token)] if r != token))) for found in disguised(texts)]
@@ -240,26 +386,20 @@ def feature_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The trigrams of the words of lower-case texts, 21 bits a character, and their counts; a word counts once for each text."""
+def gram_counts(texts: list[str]) -> np.ndarray:
+    """The counts of all trigrams of symbols in the words of lower-case texts; a word counts once for each text."""
     _, codes, offsets = code_points([x + "\n" for x in texts])
     begins, ends, counts = kernels.runs(class_table()[codes] == LETTER, offsets)
     hashes, text_of = kernels.span_hashes(codes, begins, ends), np.repeat(np.arange(len(texts)), np.diff(counts))
     _, once = np.unique(kernels.mixed(hashes + kernels.mixed(text_of.astype(np.uint64))), return_index=True)
-    begins, sizes = begins[once], (ends - begins)[once]
+    begins, sizes, symbols = begins[once], (ends - begins)[once], symbol_table()[codes]
     place = np.arange((sizes + 1).sum()) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
     begin, size = np.repeat(begins, sizes + 1), np.repeat(sizes, sizes + 1)
     key = np.zeros(len(place), np.int64)
     for back in (2, 1, 0):
         at = place - back
-        key = (key << 21) | np.where((at >= 0) & (at < size), codes[np.clip(begin + at, 0, max(len(codes) - 1, 0))], 32)
-    return np.unique(key, return_counts=True)
-
-
-def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of several parts, each key once."""
-    keys, where = np.unique(np.concatenate([np.zeros(0, np.int64), *[k for k, _ in parts]]), return_inverse=True)
-    return keys, np.bincount(where, np.concatenate([np.zeros(0, np.int64), *[n for _, n in parts]]), len(keys)).astype(np.int64)
+        key = key * SYMBOLS + np.where((at >= 0) & (at < size), symbols[np.clip(begin + at, 0, max(len(codes) - 1, 0))] if len(codes) else 0, 0)
+    return np.bincount(key, minlength=SYMBOLS**3)
 
 
 class Model:
@@ -268,6 +408,9 @@ class Model:
     def __init__(self, hashes: np.ndarray, precision: np.ndarray, base: float, letters: Letters, words: list[str] | None = None) -> None:
         order = np.argsort(hashes)
         self.hashes, self.precision, self.base, self.letters, self.words = hashes[order], precision[order], base, letters, words or []
+        # the features that are words themselves, not beginnings of words
+        own = {w: feature_hashes([w])[0][0] for w in self.words}
+        self.whole = [w for w in self.words if own[w] in set(hashes.tolist())]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """The score of every lower-case text with its restored words; each word counts once for each text."""
@@ -301,19 +444,17 @@ def letter_model(docs: DataFrame) -> Letters:
     """The character model, counted over the words of all documents, each once a text."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
             for part in kernels.chunks(batch):
-                held.append(gram_counts([x.lower() for x in strings(part.column("text"))]))
-                if sum(len(k) for k, _ in held) > HELD_GRAMS:
-                    held = [summed(held)]
-                    if len(held[0][0]) > HELD_GRAMS:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["gram", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed(held)], ["gram", "n"])
+                total += gram_counts([x.lower() for x in strings(part.column("text"))])
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["gram", "n"])
 
+    # no more rows than the table has cells
     table = docs.select("text").mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    spelled = ("".join(chr(k >> shift & 0x1FFFFF) for shift in (42, 21, 0)) for k in table["gram"].tolist())
-    return Letters(dict(zip(spelled, table["n"].astype(int).tolist(), strict=True)))
+    counts = np.zeros(SYMBOLS**3, np.int64)
+    counts[table["gram"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
+    return Letters(counts)
 
 
 def feature_counts(restored_rows: DataFrame) -> DataFrame:
@@ -403,7 +544,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = Restorer(at.value.letters, Gate(at.value.words))
+        restore = Restorer(at.value.letters, Gate(at.value.words), words=at.value.whole)
         for batch in batches:
             for part in kernels.chunks(batch):
                 texts = [x.lower() for x in strings(part.column("text"))]

@@ -282,8 +282,8 @@ def test_trigrams_of_all_documents(spark):
     table = spark.createDataFrame([(i, f"labelled {i}") for i in range(4)] + [(9, "Жуткий wörd жуткий"), (10, None), (11, "ЖУТКИЙ")], "doc_id bigint, text string").repartition(2)
     labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id bigint, toxic int")
     for known in (labels, labels.limit(0)):
-        found = toxicity.train(table, known).letters.tri
-        assert (found["жут"], found["wör"], found["lab"]) == (2, 1, 4)
+        found = toxicity.train(table, known).letters.count
+        assert (found("жут"), found("wör"), found("lab")) == (2, 1, 4)
 
 
 @pytest.fixture(scope="module")
