@@ -84,9 +84,15 @@ def bare_letters() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1)
+def _bare() -> dict[str, str]:
+    table = bare_letters()
+    return {chr(code): chr(table[code]) for code in np.flatnonzero(table)}
+
+
 def bare(c: str) -> str:
     """The Latin letter that ``c`` looks like; empty if it is one, or looks like none."""
-    return chr(bare_letters()[ord(c)]) if c > "\x7f" and bare_letters()[ord(c)] else ""
+    return _bare().get(c, "") if c > "\x7f" else ""
 
 
 @lru_cache(maxsize=1)
@@ -283,19 +289,32 @@ def _unmasked(token: str, model: Letters) -> str:
     return "".join(reversed(letters)).strip()
 
 
+@lru_cache(maxsize=1)
+def _plain() -> dict[int, str | None]:
+    """For str.translate: letters as the bare ones, those that one sign imitates made equal; separators away."""
+    letters = {ord(c): base for c, base in _bare().items()}
+    return {**letters, **{ord(c): same for c, same in _SAME.items()}, **{c: _SAME[base] for c, base in letters.items() if base in _SAME}, **{ord(c): None for c in SEPARATORS if c != "*"}}
+
+
+_REPEATS, _NO_LETTER = re.compile(r"(?s)(.)\1+"), re.compile(r"[\W\d_]")
+
+
 def skeletons(text: str) -> list[str] | None:
-    """What every reading of a stretch shares: letters without repeats, with those that one sign imitates made equal.
+    """What every reading of a stretch shares: bare letters without repeats, with those that one sign imitates made equal.
 
     A sign counts for its letters or for nothing, each way; None where that would be too many ways, or stars mask letters.
     """
+    if "*" in text:
+        return None
+    plain = text.translate(_plain())
+    if not _NO_LETTER.search(plain):
+        return [_REPEATS.sub(r"\1", plain)]
     out = [""]
-    for ch in text:
-        if ch == "*" or len(out) > 8:
+    for ch in plain:
+        if len(out) > 8:
             return None
-        if ch in SEPARATORS:
-            continue
-        read = ch + bare(ch) if ch.isalpha() else IMITATES.get(ch, "")[:1]
-        ways = [_SAME.get(x, x) for x in read] or [""]
+        read = ch if ch.isalpha() else IMITATES.get(ch, "")[:1]
+        ways = [_SAME.get(read, read)] if read else [""]
         out = [x if w == x[-1:] else x + w for x in out for w in (ways if ch.isalpha() else [*ways, ""])]
     return out
 
