@@ -2,11 +2,17 @@
 
 Each document becomes a vector of transformed statistics. For every (lang, source), and for all documents together, the
 minimum covariance determinant estimate is found from several starts: from each, keep the half of the documents with the
-smallest distances, estimate mean and covariance from it, and repeat until the determinant falls no more; the start that ends
-with the least determinant gives the estimate. All groups and starts go through a step together. The starts are fixed, so
-results are too: the medians with the floors as deviations, the medians with the median absolute deviations, and the means and
-covariances of the documents on either side of the median length, and of those with the fewer repeats. A document is rejected
-when its Mahalanobis distance under the estimate of its group is beyond ``cutoff``.
+smallest distances, estimate mean and covariance from it, and repeat until the determinant falls no more, however many steps
+that takes; the start that ends with the least determinant gives the estimate. All groups and starts go through a step
+together. The starts are fixed, so results are too: the medians with the floors as deviations, the medians with the median
+absolute deviations, and the means and covariances of the documents on either side of the median length, and of those with the
+fewer repeats. A document is rejected when its Mahalanobis distance under the estimate of its group is beyond ``cutoff``.
+
+The vectors of all documents are summed once into cells of CELL a side, with their numbers, sums and products; the steps run on
+cells, each as far away as its mean, so their cost follows the number of cells, not of documents. A cell is kept or left whole,
+and so are bins of equal distances. What this is and is not: variances have the squares of FLOOR added, as most texts have no
+symbols and no repeats; the estimate is that of the half, without a consistency factor and without reweighting, so distances
+are larger than chi-square would have them, and the cutoff is set for that.
 
 Edge cases: a null or empty text has no words and fails the base rule; null lang or source are groups of their own;
 repeated rows are judged alike; an empty table gives an empty result; further columns are ignored; groups of fewer than
@@ -30,9 +36,11 @@ FLOOR = (0.5, 0.08, 0.25, 0.4, 0.6)
 #: Square of the distance beyond which a document is rejected: far in the tail of chi-square with 5 degrees of freedom (1e-8).
 CUTOFF = 46.0
 N_STARTS = 5
-#: Steps at most, and the least fall of the logarithm of a determinant that counts as one.
-STEPS, FALL = 8, 0.02
+#: What a fall of the logarithm of a determinant must be beyond the noise of sums.
+NOISE = 1e-9
 MIN_GROUP = 50
+#: Sides of a cell of vectors.
+CELL = (0.1, 0.02, 0.1, 0.1, 0.1)
 #: Distances are binned by this step of their logarithm; the sums of a bin go together.
 BIN = 0.02
 
@@ -82,30 +90,28 @@ def _covariances(sums: DataFrame, by: list[str]) -> DataFrame:
     """Means and the lower triangle of the covariance of each group, with the floors of the variances added; sums: by, k, t0.."""
     d = range(len(FEATURES))
     pairs = [(i, j) for i in d for j in range(i + 1)]
-    mean = lambda i: F.col(f"t{i}") / F.col("k")
-    cov = lambda at, i, j: F.col(f"t{at}") / F.col("k") - mean(i) * mean(j)
-    lower = [(F.greatest(cov(at, i, j), F.lit(0.0)) + FLOOR[i] ** 2 if i == j else cov(at, i, j)).alias(f"c{i}{j}") for at, (i, j) in enumerate(pairs, len(FEATURES))]
-    return sums.select(*by, *[mean(i).alias(f"m{i}") for i in d], *lower)
+    cov = [f"t{at} / k - (t{i} / k) * (t{j} / k)" for at, (i, j) in enumerate(pairs, len(FEATURES))]
+    lower = [(f"greatest({c}, 0D) + {FLOOR[i] ** 2!r}D" if i == j else c) + f" AS c{i}{j}" for c, (i, j) in zip(cov, pairs, strict=True)]
+    return sums.selectExpr(*by, *[f"t{i} / k AS m{i}" for i in d], *lower)
 
 
 def _factored(moments: DataFrame, by: list[str]) -> DataFrame:
     """The Cholesky factor of every group's covariance, a column for each entry, and the logarithm of its determinant."""
-    d = range(len(FEATURES))
+    d, lower = range(len(FEATURES)), []
     for i in d:
         for j in range(i + 1):
-            rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}"))
-            moments = moments.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    logdet = reduce(lambda a, i: a + 2 * F.log(F.col(f"l{i}{i}")), d, F.lit(0.0))
-    return moments.select(*by, *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in range(i + 1)], logdet.alias("logdet"))
+            rest = f"c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            lower.append(f"sqrt(greatest({rest}, {FLOOR[i] ** 2 / 4!r}D)) AS l{i}{i}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    return moments.selectExpr(*by, *[f"m{i}" for i in d], *lower, " + ".join(f"2 * ln(l{i}{i})" for i in d) + " AS logdet")
 
 
 def _distance() -> Column:
     """The squared Mahalanobis distance of x under m and l, by forward substitution."""
-    solved: list[Column] = []
+    solved: list[str] = []
     for i in range(len(FEATURES)):
-        rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * solved[k], range(i), F.col(f"x{i}") - F.col(f"m{i}"))
-        solved.append(rest / F.col(f"l{i}{i}"))
-    return reduce(lambda a, z: a + z * z, solved, F.lit(0.0))
+        rest = f"x{i} - m{i}" + "".join(f" - l{i}{k} * {solved[k]}" for k in range(i))
+        solved.append(f"(({rest}) / l{i}{i})")
+    return F.expr(" + ".join(f"{z} * {z}" for z in solved))
 
 
 def _joined(rows: DataFrame, estimates: DataFrame, by: list[str], small: bool, how: str = "left") -> DataFrame:
@@ -115,56 +121,79 @@ def _joined(rows: DataFrame, estimates: DataFrame, by: list[str], small: bool, h
     return rows.join(F.broadcast(renamed) if small else renamed, on, how).drop(*[f"_{k}" for k in by])
 
 
-def _products() -> list[Column]:
+def _products() -> list[str]:
     d = range(len(FEATURES))
-    return [F.col(f"x{i}") for i in d] + [F.col(f"x{i}") * F.col(f"x{j}") for i in d for j in range(i + 1)]
+    return [f"x{i}" for i in d] + [f"x{i} * x{j}" for i in d for j in range(i + 1)]
+
+
+def cells_of(vectors: DataFrame, by: list[str]) -> DataFrame:
+    """(by, g0.., k, t0..): how many vectors each cell of a group holds, and the sums of their values and products."""
+    corner = [F.floor(F.col(f"x{i}") / CELL[i]).cast("int").alias(f"g{i}") for i in range(len(FEATURES))]
+    return vectors.groupBy(*by, *corner).agg(F.count(F.lit(1)).alias("k"), *[F.expr(f"sum({x}) AS {t}") for t, x in zip(_sums(), _products(), strict=True)])
+
+
+def _sums() -> list[str]:
+    return [f"t{k}" for k in range(len(_products()))]
 
 
-def _concentrated(rows: DataFrame, now: DataFrame, by: list[str], small: bool) -> DataFrame:
+def _added() -> list[Column]:
+    return [F.expr(f"sum({t}) AS {t}") for t in ("k", *_sums())]
+
+
+def _concentrated(cells: DataFrame, now: DataFrame, by: list[str], small: bool) -> DataFrame:
     """One concentration step of every start: the estimate from the half of its group with the smallest distances.
 
-    Sums are kept for each bin of the distance, so that one pass over the rows serves; the half ends with the bin that
-    completes it. A group has a few thousand bins at most.
+    Sums are kept for each bin of the distance; the half ends with the bin that completes it. A group has a few thousand bins
+    at most.
     """
-    keys, sums = [*by, "_start"], [f"t{k}" for k in range(len(_products()))]
-    rows = _joined(rows, now.drop("logdet"), by, small, "inner")
-    binned = rows.groupBy(*keys, F.floor(F.log(_distance() + 1e-9) / BIN).cast("int").alias("_bin")).agg(F.count(F.lit(1)).alias("k"), *[F.sum(x).alias(t) for x, t in zip(_products(), sums, strict=True)])
+    keys = [*by, "_start"]
+    rows = _joined(cells, now.drop("logdet"), by, small, "inner")
+    binned = rows.groupBy(*keys, F.floor(F.log(_distance() + 1e-9) / BIN).cast("int").alias("_bin")).agg(*_added())
     so_far, whole = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
     near = binned.withColumns({"_before": F.coalesce(F.sum("k").over(so_far), F.lit(0)), "_all": F.sum("k").over(whole)}).filter(2 * F.col("_before") < F.col("_all"))
-    return _factored(_covariances(near.groupBy(*keys).agg(F.sum("k").alias("k"), *[F.sum(t).alias(t) for t in sums]), keys), keys)
+    return _factored(_covariances(near.groupBy(*keys).agg(*_added()), keys), keys)
 
 
-def _starts(rows: DataFrame, by: list[str], small: bool) -> DataFrame:
-    """(by, _start, m, l): the estimates that the steps begin with."""
+def _starts(cells: DataFrame, by: list[str], small: bool) -> DataFrame:
+    """(by, _start, m, l): the estimates that the steps begin with; medians are those of the cells' middles."""
     d = range(len(FEATURES))
-    middle = written(rows.groupBy(*by).agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in d]), "medians")
-    off = _joined(rows, middle, by, small)
-    spread = off.groupBy(*by).agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i in d])
+    at = lambda i: (F.col(f"g{i}") + 0.5) * CELL[i]
+    middle = written(cells.groupBy(*by).agg(*[F.percentile(at(i), 0.5, F.col("k")).alias(f"m{i}") for i in d]), "medians")
+    off = _joined(cells, middle, by, small)
+    spread = off.groupBy(*by).agg(*[F.percentile(F.round(F.abs(at(i) - F.col(f"m{i}")), 4), 0.5, F.col("k")).alias(f"s{i}") for i in d])
     lower = lambda of: [(of(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in d for j in range(i + 1)]
     means = [f"m{i}" for i in d]
     plain = middle.select(*by, F.lit(0).alias("_start"), *means, *lower(lambda i: F.lit(FLOOR[i])))
     wide = _joined(middle, spread, by, False).select(*by, F.lit(1).alias("_start"), *means, *lower(lambda i: F.sqrt((1.4826 * F.col(f"s{i}")) ** 2 + FLOOR[i] ** 2)))
     sides = F.array(F.when(F.col("x0") <= F.col("m0"), 2).otherwise(3), F.when(F.col("x4") <= F.col("m4"), 4))
-    sided = off.select(*by, F.explode(sides).alias("_start"), *[f"x{i}" for i in d]).filter("_start is not null")
+    sided = off.select(*by, F.explode(sides).alias("_start"), "k", *_sums()).filter("_start is not null")
     keys = [*by, "_start"]
-    summed = sided.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"), *[F.sum(x).alias(f"t{k}") for k, x in enumerate(_products())])
-    return plain.unionByName(wide).unionByName(_factored(_covariances(summed, keys), keys).drop("logdet")).withColumn("logdet", F.lit(float("inf")))
+    out = plain.unionByName(wide).unionByName(_factored(_covariances(sided.groupBy(*keys).agg(*_added()), keys), keys).drop("logdet")).withColumn("logdet", F.lit(float("inf")))
+    out = written(out, "mcd")
+    dropped(middle)
+    return out
 
 
-def mcd_estimates(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The minimum covariance determinant estimate of each group: mean and Cholesky factor. A start whose determinant has settled rests."""
+def mcd_estimates(cells: DataFrame, by: list[str]) -> DataFrame:
+    """The minimum covariance determinant estimate of each group of cells: mean and Cholesky factor.
+
+    Steps go by two to a table. A start rests when these no longer lower its determinant, with the estimate before them.
+    """
     keys = [*by, "_start"]
-    small = rows.select(*by).distinct().count() * N_STARTS <= BROADCAST_ROWS // 4  # 25 doubles a row
-    now = written(_starts(rows, by, small), "mcd")
+    small = cells.select(*by).distinct().count() * N_STARTS <= BROADCAST_ROWS // 4  # 25 doubles a row
+    cells = cells.withColumns({f"x{i}": F.col(f"t{i}") / F.col("k") for i in range(len(FEATURES))})
+    now = _starts(cells, by, small)
     used, settled = [now], None
-    for step in range(STEPS):
+    while True:
         before = now.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("logdet").alias("_was"))
         on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-        new = written(_concentrated(rows, now, by, small).join(before, on).drop(*[f"_{k}" for k in keys]), "mcd")
+        twice = _concentrated(cells, _concentrated(cells, now, by, small), by, small)
+        new = written(twice.join(F.broadcast(before) if small else before, on).drop(*[f"_{k}" for k in keys]), "mcd")
         used.append(new)
-        falls = F.col("_was") - F.col("logdet") >= FALL
-        rests = (new if step == STEPS - 1 else new.filter(~falls)).drop("_was")
-        settled = rests if settled is None else settled.unionByName(rests)
+        falls = F.col("_was") - F.col("logdet") > NOISE
+        rests = new.filter(~falls).select(*keys, "_was")
+        rested = _joined(now, rests, keys, small, "inner").drop("_was") if len(used) > 2 else new.filter(~falls).drop("_was")
+        settled = rested if settled is None else settled.unionByName(rested)
         now = new.filter(falls).drop("_was")
         if now.isEmpty():
             break
@@ -186,14 +215,16 @@ def quality_verdicts(docs: DataFrame, *keep: str, cutoff: float = CUTOFF, min_gr
     stats = base_statistics(own, "_row", *by)
     stats = written(stats.select("*", *[x.alias(f"x{i}") for i, x in enumerate(statistic_vector())]), "quality")
     vectors = stats.filter(~F.col("base_failed")).select(*by, *[f"x{i}" for i in range(len(FEATURES))])
-    sizes = vectors.groupBy(*by).agg(F.count(F.lit(1)).alias("n_group"))
-    usable = _joined(vectors, small_side(sizes), by, False)
+    cells = written(cells_of(vectors, by), "cells")
+    corner = [f"g{i}" for i in range(len(FEATURES))]
+    sizes = cells.groupBy(*by).agg(F.sum("k").alias("n_group")).filter(F.col("n_group") >= min_group).drop("n_group")
+    own = _joined(cells, small_side(sizes), by, False, "inner").withColumn("_whole", F.lit(False))
     # every row counts for all documents together, and for its group if that is large enough
-    group = lambda whole, names: F.struct(F.lit(whole).alias("_whole"), *names)
     none = [F.lit(None).cast(vectors.schema[k].dataType).alias(k) for k in by]
-    either = F.array(group(True, none), F.when(F.col("n_group") >= min_group, group(False, by)))
-    values = [f"x{i}" for i in range(len(FEATURES))]
-    found = mcd_estimates(usable.select(F.explode(either).alias("_g"), *values).filter("_g is not null").select("_g.*", *values), ["_whole", *by])
+    everything = cells.groupBy(*corner).agg(*_added()).select(*none, *corner, "k", *_sums(), F.lit(True).alias("_whole"))
+    judged_by = written(own.unionByName(everything), "cells")
+    found = mcd_estimates(judged_by, ["_whole", *by])
+    dropped(cells, judged_by)
     names = [c for c in found.columns if c not in ("_whole", *by)]
     everywhere = found.filter("_whole").first() or dict.fromkeys(names)
     both = _joined(stats, small_side(found.filter("not _whole").drop("_whole"), row_bytes=256), by, False).withColumns({c: F.coalesce(F.col(c), F.lit(everywhere[c]).cast("double")) for c in names})
