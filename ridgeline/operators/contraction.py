@@ -8,6 +8,7 @@ no other trail meets, and is left out.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,14 +36,18 @@ def chain_members(arcs: DataFrame, inner: DataFrame) -> DataFrame:
         open_.cast("long").alias("rank"), F.coalesce("w_before", F.lit(0.0)).alias("before"), open_.alias("open"),
     )
     now = settled(now, "chains")
-    for _ in range(math.ceil(math.log2(max(2, now.count()))) + 1):
-        if now.filter("open").isEmpty():
+    done, n = [now.filter("not open").drop("open")], now.count()
+    for _ in range(math.ceil(math.log2(max(2, n))) + 1):
+        going = now.filter("open")
+        if going.isEmpty():
             break
-        step = now.select("criterion", F.col("t").alias("first_t"), F.col("h").alias("first_h"), F.col("first_t").alias("far_t"), F.col("first_h").alias("far_h"), F.col("rank").alias("more"), F.col("before").alias("more_w"), F.col("open").alias("goes_on"))
-        both = now.join(step, ["criterion", "first_t", "first_h"])
+        every = reduce(DataFrame.unionByName, [*[x.withColumn("open", F.lit(False)) for x in done], going])
+        step = every.select("criterion", F.col("t").alias("first_t"), F.col("h").alias("first_h"), F.col("first_t").alias("far_t"), F.col("first_h").alias("far_h"), F.col("rank").alias("more"), F.col("before").alias("more_w"), F.col("open").alias("goes_on"))
+        both = going.join(step, ["criterion", "first_t", "first_h"])
         # what is not open stands at its first arc, whose own step adds nothing
         now = settled(both.select("criterion", "t", "h", "w", F.col("far_t").alias("first_t"), F.col("far_h").alias("first_h"), (F.col("rank") + F.col("more")).alias("rank"), (F.col("before") + F.col("more_w")).alias("before"), F.col("goes_on").alias("open")), "chains")
-    return now.filter("not open").drop("open")
+        done.append(now.filter("not open").drop("open"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def contracted(arcs: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -55,9 +60,9 @@ def contracted(arcs: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame |
     inner = settled(inner_nodes(arcs, kept), "inner")
     if inner.isEmpty():
         return plain, None
-    members = chain_members(arcs, inner)
+    members = settled(chain_members(arcs, inner), "members")
     nodes = inner.select("criterion", "node")
     ends = members.join(nodes.withColumnRenamed("node", "h"), ["criterion", "h"], "left_anti").filter("rank > 0 and first_t <> h")
     chains = ends.select("criterion", F.col("first_t").alias("node"), F.col("h").alias("neighbour"), (F.col("before") + F.col("w")).alias("w"), "before", F.col("t").alias("last"), (F.col("rank") + 1).alias("hops"), F.col("first_h").alias("via"))
     left = plain.join(nodes, ["criterion", "node"], "left_anti").join(nodes.withColumnRenamed("node", "neighbour"), ["criterion", "neighbour"], "left_anti")
-    return settled(left.select(*chains.columns).unionByName(chains), "arcs"), settled(members, "members")
+    return settled(left.select(*chains.columns).unionByName(chains), "arcs"), members

@@ -68,19 +68,22 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of every node's component.
 
-    A round gives each node the least label around it, and then the label of that label, so that long trails take few rounds.
+    Every node points to a node of its component, at first to itself. In a round a node, and the node it points to, turn to
+    the least that the neighbours' targets point to, or to their own target's target if that is less. So whole trees of
+    pointers move at once, and the rounds follow the logarithm of the graph's size, not the length of its trails.
     """
     rows = real_edges(edges).select("src", "dst")
     links = settled(rows.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(rows.select(F.col("dst").alias("node"), F.col("src").alias("other"))).distinct(), "links")
-    labels = settled(links.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
+    points = settled(links.groupBy("node").agg(F.least("node", F.min("other")).alias("to")), "labels")
     while True:
-        around = links.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("least"))
-        best = labels.join(around, "node").select("node", "label", F.least("label", "least").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        new = settled(best.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), (F.least("new", F.coalesce("far", "new")) < F.col("label")).alias("fell")), "labels")
-        labels = new.select("node", "label")
-        if new.filter("fell").isEmpty():
-            return labels
+        state = points.join(points.select(F.col("node").alias("to"), F.col("to").alias("far")), "to")
+        around = links.join(state.select(F.col("node").alias("other"), "far"), "other").groupBy("node").agg(F.min("far").alias("least"))
+        turns = F.array(F.struct("node", F.least("to", "far", "least").alias("new"), F.col("to").alias("was")), F.struct(F.col("to").alias("node"), F.col("least").alias("new"), F.lit(None).cast("string").alias("was")))
+        turned = state.join(around, "node").select(F.inline(turns)).groupBy("node").agg(F.min("new").alias("to"), F.max("was").alias("was"))
+        new = settled(turned, "labels")
+        points = new.select("node", "to")
+        if new.filter("to < was").isEmpty():
+            return points.withColumnRenamed("to", "label")
 
 
 def together(requests: DataFrame, labels: DataFrame) -> DataFrame:

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, haversine_km
 from ..functions.text import first_filled
-from ..sources.scratch import fits, settled
+from ..sources.scratch import BROADCAST_BYTES, BROADCAST_ROWS, settled
 
 #: Nodes in a leaf, steps of the grid by halves of each side, halves at a time. Nodes closer together than the box's side by 2 to the 28th share a leaf.
 LEAF, DEPTH, STRIDE = 64, 28, 2
+#: What a node or a cell takes in a broadcast.
+ROW_BYTES = 80
 _BOX = ("south", "north", "west", "east")
 
 
@@ -37,12 +39,15 @@ def _sized(cells: DataFrame) -> DataFrame:
     return cells.groupBy("row", "column").agg(F.sum("n").alias("n"), F.min("south").alias("south"), F.max("north").alias("north"), F.min("west").alias("west"), F.max("east").alias("east"))
 
 
-def cell_tree(known: DataFrame, leaf: int = LEAF) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
-    """The levels of the tree from the top, as (level, cells), and the nodes (node_id, nlat, nlng, ord) with their leaf (level, row, column)."""
+def cell_tree(known: DataFrame, leaf: int = LEAF) -> tuple[list[tuple[int, DataFrame]], DataFrame, int]:
+    """The levels of the tree from the top, as (level, cells), the nodes (node_id, nlat, nlng, ord) with their leaf (level, row, column), and their number."""
     low_lat, high_lat, low_lng, high_lng, n = known.agg(F.min("nlat"), F.max("nlat"), F.min("nlng"), F.max("nlng"), F.count(F.lit(1))).first()
+    if not n:
+        return [], known, 0
+    side = sided(n)
     active = known.withColumns({"row": _place("nlat", low_lat, high_lat), "column": _place("nlng", low_lng, high_lng)})
     level = 0
-    while n > leaf << 2 * (level + STRIDE) and level + STRIDE <= DEPTH:
+    while n > leaf << 2 * level >> STRIDE and level + STRIDE <= DEPTH:
         level += STRIDE
     top, levels, leaves = level, [], []
     while True:
@@ -51,21 +56,21 @@ def cell_tree(known: DataFrame, leaf: int = LEAF) -> tuple[list[tuple[int, DataF
         levels.append((level, cells))
         here = active.withColumns({"fine_row": F.col("row"), "fine_column": F.col("column")}).withColumns({"row": F.shiftright("fine_row", DEPTH - level), "column": F.shiftright("fine_column", DEPTH - level)})
         full = cells.filter("leaf").select("row", "column")
-        leaves.append(here.join(_side(full), ["row", "column"], "left_semi").select(F.lit(level).alias("level"), "row", "column", "node_id", "nlat", "nlng", "ord"))
+        leaves.append(here.join(side(full), ["row", "column"], "left_semi").select(F.lit(level).alias("level"), "row", "column", "node_id", "nlat", "nlng", "ord"))
         crowded = cells.filter(~F.col("leaf")).select("row", "column")
         if crowded.isEmpty():
             break
-        rest = here.join(_side(crowded), ["row", "column"], "left_semi").select("node_id", "nlat", "nlng", "ord", F.col("fine_row").alias("row"), F.col("fine_column").alias("column"))
+        rest = here.join(side(crowded), ["row", "column"], "left_semi").select("node_id", "nlat", "nlng", "ord", F.col("fine_row").alias("row"), F.col("fine_column").alias("column"))
         active, level = settled(rest, "crowded"), min(DEPTH, level + STRIDE)
     for above in range(top - STRIDE, -1, -STRIDE):
         below = levels[0][1].select(*[F.shiftright(c, STRIDE).alias(c) for c in ("row", "column")], "n", *_BOX)
         levels.insert(0, (above, _sized(below).withColumn("leaf", F.lit(False))))
-    return levels, reduce(DataFrame.unionByName, leaves)
+    return levels, reduce(DataFrame.unionByName, leaves), n
 
 
-def _side(df: DataFrame, row_bytes: int = 64) -> DataFrame:
-    """df with a broadcast hint if a count finds it small; joined by a shuffle otherwise."""
-    return F.broadcast(df) if fits(df, row_bytes) else df
+def sided(n: int):
+    """How tables of nodes or cells are joined, no more of which there are than ``n`` nodes: broadcast if that is few, else shuffled."""
+    return F.broadcast if n <= BROADCAST_ROWS and n * ROW_BYTES <= BROADCAST_BYTES else lambda df: df
 
 
 def box_bounds_km(lat: Column, lng: Column) -> tuple[Column, Column]:
@@ -85,22 +90,25 @@ def box_bounds_km(lat: Column, lng: Column) -> tuple[Column, Column]:
     return F.greatest(F.lit(0.0), low * (1 - 1e-9) - 1e-9), high * (1 + 1e-9) + 1e-9
 
 
-def candidates(left: DataFrame, levels: list[tuple[int, DataFrame]], key: str) -> DataFrame:
-    """(key, lat, lng, level, row, column, low): the leaves that can hold the nearest node of each point."""
-    now, out = left.withColumns({"row": F.lit(0).cast("long"), "column": F.lit(0).cast("long")}), []
-    for level, cells in levels:
-        held = now.join(_side(cells.select("row", "column", "leaf", *_BOX)), ["row", "column"])
+def candidates(left: DataFrame, levels: list[tuple[int, DataFrame]], key: str, n: int) -> DataFrame:
+    """(key, lat, lng, level, row, column, low): the leaves of ``n`` nodes that can hold the nearest one of each point."""
+    side, few = sided(n), n <= BROADCAST_ROWS
+    now, held = left.withColumns({"row": F.lit(0).cast("long"), "column": F.lit(0).cast("long")}), None
+    steps = F.sequence(F.lit(0), F.lit((1 << STRIDE) - 1))
+    for at, (level, cells) in enumerate(levels):
+        met = now.join(side(cells.select("row", "column", "leaf", *_BOX)), ["row", "column"])
         low, high = box_bounds_km(F.col("lat"), F.col("lng"))
-        seen = held.select(key, "lat", "lng", F.lit(level).alias("level"), "row", "column", "leaf", low.alias("low"), high.alias("high"))
+        seen = met.select(key, "lat", "lng", F.lit(level).alias("level"), "row", "column", "leaf", low.alias("low"), high.alias("high"))
         # leaves from above stay in the race
-        seen = seen if not out else seen.unionByName(out.pop())
+        seen = seen if held is None else seen.unionByName(held)
         kept = seen.withColumn("reach", F.min("high").over(Window.partitionBy(key))).filter("low <= reach").drop("reach")
-        kept = settled(kept, "candidates")
-        out.append(kept.filter(F.col("leaf")))
-        steps = F.sequence(F.lit(0), F.lit((1 << STRIDE) - 1))
+        if at + 1 == len(levels):
+            return kept.select(key, "lat", "lng", "level", "row", "column", "low")
+        if level and not (few and level < 3 * STRIDE):
+            kept = settled(kept, "candidates")
+        held = kept.filter("leaf")
         deeper = kept.filter(~F.col("leaf")).select(key, "lat", "lng", *[F.shiftleft(c, STRIDE).alias(c) for c in ("row", "column")])
         now = deeper.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select(key, "lat", "lng", (F.col("row") + F.col("i")).alias("row"), (F.col("column") + F.col("j")).alias("column"))
-    return out.pop().select(key, "lat", "lng", "level", "row", "column", "low")
 
 
 def nearest(points: DataFrame, nodes: DataFrame, key: str = "id", leaf: int = LEAF) -> DataFrame:
@@ -112,13 +120,12 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str = "id", leaf: int = LE
     at = nodes.filter("lat is not null and lng is not null").groupBy(F.col("lat").alias("nlat"), F.col("lng").alias("nlng")).agg(F.min(F.struct("ord", F.col("id").alias("node_id"))).alias("first"))
     known = settled(at.select("first.node_id", "nlat", "nlng", "first.ord"), "nodes")
     left = points.filter("lat is not null and lng is not null").select(key, "lat", "lng")
-    if known.isEmpty():
+    levels, leaves, n = cell_tree(known, leaf)
+    if not n:
         return left.select(key, F.lit(None).cast("string").alias("node_id"), F.lit(None).cast("double").alias("km"))
-    levels, leaves = cell_tree(known, leaf)
-    found = candidates(left, levels, key)
-    leaves = _side(settled(leaves, "leaves"))
+    leaves = sided(n)(leaves if len(levels) == 1 or n <= BROADCAST_ROWS else settled(leaves, "leaves"))
     first = Window.partitionBy(key).orderBy("low", "level", "row", "column")
-    found = settled(found.withColumn("turn", F.row_number().over(first)), "candidates")
+    found = settled(candidates(left, levels, key, n).withColumn("turn", F.row_number().over(first)), "candidates")
     km = haversine_km(F.col("lat"), F.col("lng"), F.col("nlat"), F.col("nlng"))
     best = lambda df: df.join(leaves, ["level", "row", "column"]).groupBy(key).agg(F.min(F.struct(km.alias("km"), "ord", "node_id")).alias("x"))
     one = settled(best(found.filter("turn = 1")), "nearest")

@@ -127,7 +127,8 @@ def solve(requests: DataFrame, edges: DataFrame, labels: DataFrame | None = None
     A request has no route when an endpoint has no edge or can't be reached. With ``labels`` (node, label) of the graph's
     components, as ``graph.components`` makes them once a map, requests between two components never enter the rounds.
     """
-    arcs = settled(weighted_arcs(edges), "arcs")
+    kinds = requests.select(criterion_or_time(F.col("criterion")).alias("criterion")).distinct()
+    arcs = settled(weighted_arcs(edges).join(F.broadcast(kinds), "criterion", "left_semi"), "arcs")  # four criteria at most
     lone = real_edges(edges).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     able = requests if labels is None else together(requests, labels)
     arcs, members = contracted(arcs, able.select(F.explode(F.array("start", "end")).alias("node")))

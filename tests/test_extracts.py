@@ -168,8 +168,8 @@ def test_nearest_in_cells(spark, case):
         assert got[f"p{i}"].km == pytest.approx(best[0], abs=1e-9)
         assert got[f"p{i}"].node_id == f"n{best[1]}" or haversine(p, spots[int(got[f"p{i}"].node_id[1:])]) == pytest.approx(best[0], abs=1e-11)
     known = nodes.filter("lat is not null").select(F.col("id").alias("node_id"), F.col("lat").alias("nlat"), F.col("lng").alias("nlng"), "ord").dropDuplicates(["nlat", "nlng"])
-    levels, leaves = nearest.cell_tree(known, 16)
+    levels, leaves, n = nearest.cell_tree(known, 16)
     assert leaves.groupBy("level", "row", "column").count().agg(F.max("count")).first()[0] <= 16
     assert leaves.count() == known.count()
-    met = nearest.candidates(asked.filter("lat is not null"), levels, "id").join(leaves, ["level", "row", "column"])
+    met = nearest.candidates(asked.filter("lat is not null"), levels, "id", n).join(leaves, ["level", "row", "column"])
     assert met.count() <= 150 * len(points)
