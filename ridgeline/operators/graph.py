@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import edge_weights
-from ..sources.scratch import settled
+from ..sources.scratch import finished, mark, settled
 
 
 def real_edges(edges: DataFrame) -> DataFrame:
@@ -72,6 +72,7 @@ def components(edges: DataFrame) -> DataFrame:
     the least that the neighbours' targets point to, or to their own target's target if that is less. So whole trees of
     pointers move at once, and the rounds follow the logarithm of the graph's size, not the length of its trails.
     """
+    began = mark()
     rows = real_edges(edges).select("src", "dst")
     links = settled(rows.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(rows.select(F.col("dst").alias("node"), F.col("src").alias("other"))).distinct(), "links")
     points = settled(links.groupBy("node").agg(F.least("node", F.min("other")).alias("to")), "labels")
@@ -83,7 +84,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = settled(turned, "labels")
         points = new.select("node", "to")
         if new.filter("to < was").isEmpty():
-            return points.withColumnRenamed("to", "label")
+            return finished(points.withColumnRenamed("to", "label"), "labels", began)
 
 
 def together(requests: DataFrame, labels: DataFrame) -> DataFrame:

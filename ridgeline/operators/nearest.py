@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, haversine_km
 from ..functions.text import first_filled
-from ..sources.scratch import BROADCAST_BYTES, BROADCAST_ROWS, settled
+from ..sources.scratch import BROADCAST_BYTES, BROADCAST_ROWS, finished, mark, settled
 
 #: Nodes in a leaf, steps of the grid by halves of each side, halves at a time. Nodes closer together than the box's side by 2 to the 28th share a leaf.
 LEAF, DEPTH, STRIDE = 64, 28, 2
@@ -117,6 +117,7 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str = "id", leaf: int = LE
     Ties go to the node that is first in the file; points and nodes without coordinates are skipped; without nodes node_id
     is null. ``key`` tells the points apart.
     """
+    began = mark()
     at = nodes.filter("lat is not null and lng is not null").groupBy(F.col("lat").alias("nlat"), F.col("lng").alias("nlng")).agg(F.min(F.struct("ord", F.col("id").alias("node_id"))).alias("first"))
     known = settled(at.select("first.node_id", "nlat", "nlng", "first.ord"), "nodes")
     left = points.filter("lat is not null and lng is not null").select(key, "lat", "lng")
@@ -131,7 +132,7 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str = "id", leaf: int = LE
     one = settled(best(found.filter("turn = 1")), "nearest")
     near = found.filter("turn > 1").join(one.select(key, F.col("x.km").alias("reach")), key).filter("low <= reach").drop("reach")
     both = one.unionByName(best(near)).groupBy(key).agg(F.min("x").alias("x"))
-    return both.select(key, "x.node_id", "x.km")
+    return finished(both.select(key, "x.node_id", "x.km"), "nearest", began)
 
 
 def routing_key(points: DataFrame) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import as_number, criterion_or_time, whole
-from ..sources.scratch import BROADCAST_ROWS, fits, settled
+from ..sources.scratch import BROADCAST_ROWS, finished, fits, mark, settled
 from .contraction import contracted
 from .graph import edges_between, real_edges, together, weighted_arcs
 
@@ -127,6 +127,7 @@ def solve(requests: DataFrame, edges: DataFrame, labels: DataFrame | None = None
     A request has no route when an endpoint has no edge or can't be reached. With ``labels`` (node, label) of the graph's
     components, as ``graph.components`` makes them once a map, requests between two components never enter the rounds.
     """
+    began = mark()
     kinds = requests.select(criterion_or_time(F.col("criterion")).alias("criterion")).distinct()
     arcs = settled(weighted_arcs(edges).join(F.broadcast(kinds), "criterion", "left_semi"), "arcs")  # four criteria at most
     lone = real_edges(edges).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -139,4 +140,5 @@ def solve(requests: DataFrame, edges: DataFrame, labels: DataFrame | None = None
     weight = requests.join(known.select("req_id", F.col("node").alias("end"), F.bround("d", 2).alias("route_weight")), ["req_id", "end"]).select("req_id", "route_weight")
     out = requests.join(found, "req_id", "left").join(weight, "req_id", "left").join(totals(found, edges), "req_id", "left")
     status = F.when(F.col("path").isNotNull(), "ok").otherwise("no route")
-    return out.select("req_id", "start", "end", "criterion", status.alias("status"), "path", F.when(F.size("path") == 1, F.coalesce("route_weight", F.lit(0.0))).otherwise(F.col("route_weight")).alias("route_weight"), "total_distance_km", "total_time_min", "total_elevation_gain_m", "total_difficulty")
+    out = out.select("req_id", "start", "end", "criterion", status.alias("status"), "path", F.when(F.size("path") == 1, F.coalesce("route_weight", F.lit(0.0))).otherwise(F.col("route_weight")).alias("route_weight"), "total_distance_km", "total_time_min", "total_elevation_gain_m", "total_difficulty")
+    return finished(out, "routes", began)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_text
-from ..sources.scratch import settled
+from ..sources.scratch import finished, mark, settled
 
 LIMIT = 8
 
@@ -54,6 +54,7 @@ def suggestions_for(points: DataFrame, queries: DataFrame, limit: int = LIMIT) -
     A text of one or two characters is a gram itself: its postings are its matches. A longer one looks among the postings
     of its rarest gram, and is compared with the points there. Equal texts are looked up once.
     """
+    began = mark()
     found = settled(unique_points(points).select("id", "name", "type", "ord"), "points")
     asked = settled(queries.select("q_id", F.coalesce(fold_text(F.trim("query")), F.lit("")).alias("text")).filter("text <> ''"), "asked")
     texts = asked.select("text").distinct()
@@ -67,4 +68,4 @@ def suggestions_for(points: DataFrame, queries: DataFrame, limit: int = LIMIT) -
     met = rarest.join(postings, "gram").join(found, "id").filter((F.length("text") < 3) | F.coalesce(held[0], F.lit(False)) | F.coalesce(held[1], F.lit(False)) | F.coalesce(held[2], F.lit(False)))
     place = F.row_number().over(Window.partitionBy("text").orderBy(F.collate("name", "pl"), "ord"))
     best = met.withColumn("place", place).filter(F.col("place") <= limit)
-    return asked.join(best, "text").select("q_id", "place", "id", "name", "type")
+    return finished(asked.join(best, "text").select("q_id", "place", "id", "name", "type"), "suggestions", began)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import height_or_null
 from ..sources.documents import append_once
-from ..sources.scratch import delete, exists, settled
+from ..sources.scratch import delete, exists, mark, released, settled
 
 #: Parts of a merged table, by the hash of the key; a merge rewrites those that hold a key of its batch.
 BUCKETS = 64
@@ -98,6 +98,7 @@ def merge(updates: DataFrame, path: str, key: str, *order: str, buckets: int = B
     spark = updates.sparkSession
     recover(spark, path)
     columns, bucket = updates.columns, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    began = mark()
     new = settled(latest(updates, key, *order).select(*columns, bucket), "updates")
     touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # no more than there are buckets
     if not touched:
@@ -106,6 +107,7 @@ def merge(updates: DataFrame, path: str, key: str, *order: str, buckets: int = B
         new = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).select(*columns, "bucket").unionByName(new)
     pending = f"{path.rstrip('/')}_pending"
     latest(new, key, *order).select(*columns, "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(pending)
+    released(spark, began)
     recover(spark, path)
 
 

@@ -1,13 +1,29 @@
-"""Written tables between rounds, in the folder that the cluster shares."""
+"""Written tables between rounds, in the folder that the cluster shares.
+
+Tables that only serve a result are deleted by ``finished`` as soon as that is written; what results still read goes when the
+driver ends.
+"""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Paths of the tables that this thread has written, in order.
+_WRITTEN = threading.local()
+_LEFT: set[str] = set()
+
+
+def _paths() -> list[str]:
+    if not hasattr(_WRITTEN, "paths"):
+        _WRITTEN.paths = []
+    return _WRITTEN.paths
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,9 +46,42 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: a short lineage that survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _paths().append(path)
+    _LEFT.add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A place among the tables of this thread, for ``finished``."""
+    return len(_paths())
+
+
+def finished(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``df`` written, and all tables deleted that this thread has written since ``mark``: only ``df`` read them."""
+    out = settled(df, name)
+    kept = _paths().pop()
+    released(df.sparkSession, since)
+    _paths().append(kept)
+    return out
+
+
+def released(spark: SparkSession, since: int) -> None:
+    """Delete all tables that this thread has written since ``mark``: nothing reads them any more."""
+    for path in _paths()[since:]:
+        delete(spark, path)
+        _LEFT.discard(path)
+    del _paths()[since:]
+
+
+@atexit.register
+def _end() -> None:
+    """Delete what results have read, if the session still runs."""
+    with contextlib.suppress(Exception):
+        spark = SparkSession.getActiveSession()
+        for path in list(_LEFT) if spark is not None else ():
+            delete(spark, path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder at ``path`` in its store."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
