@@ -5,7 +5,8 @@ of what stands before and behind the @ (case makes no difference there), any oth
 surrogate from a keyed digest of its value: digits stay digits, letters stay letters of their script and case, card numbers keep
 their check digit valid or invalid as it was, addresses stay in range, given names keep the gender that title or name tells and
 their script. Equal parts get equal surrogates everywhere, so a family name and a domain stay the same in all entities that hold
-them: coreference holds, also behind a collision. Surrogates that two parts of any types share, or that occur as a part in the
+them: coreference holds, also behind a collision, and a full name found once in a text is replaced everywhere in it, in
+capitals too. Surrogates that two parts of any types share, or that occur as a part in the
 corpus, are drawn again, from a space that grows with every draw, until all are distinct; after ATTEMPTS draws what is left is
 numbered, so the rounds always end.
 
@@ -16,9 +17,10 @@ any length is read whole.
 
 from __future__ import annotations
 
-from functools import reduce
+import secrets
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import dropped, written
@@ -203,19 +205,43 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     return made.select("kind", "value", whole.alias("surrogate"))
 
 
-def replaced(docs: DataFrame, key: str = "ridgeline", counts: bool = False) -> DataFrame:
-    """docs (doc_id, text and others) with surrogates in ``text``; with ``counts`` also n_entities."""
+def secret_key(spark: SparkSession) -> str:
+    """The key in ``spark.ridgeline.surrogate.key``; where that is unset, one that is drawn for this application and kept nowhere."""
+    return spark.conf.get("spark.ridgeline.surrogate.key", None) or _drawn_key(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=8)
+def _drawn_key(app: str) -> str:
+    return secrets.token_hex(16)
+
+
+def _elsewhere(text: Column, names: Column) -> Column:
+    """The text with names of two words or more that were found in it (value, surrogate) replaced wherever else they stand, in capitals too."""
+    bare = lambda c: F.substring(c, F.length(title_of(c)) + 1, F.length(c))
+    whole = lambda v: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), v, F.lit(r"\E(?![\p{L}\p{N}])"))
+    pairs = F.filter(F.transform(names, lambda x: F.struct(bare(x["value"]).alias("value"), bare(x["surrogate"]).alias("surrogate"))), lambda x: F.contains(x["value"], F.lit(" ")))
+    once = lambda t, v, s: F.when(F.contains(t, v), F.regexp_replace(t, whole(v), s)).otherwise(t)
+    return F.aggregate(F.array_distinct(pairs), text, lambda t, x: once(once(t, x["value"], x["surrogate"]), F.upper(x["value"]), F.upper(x["surrogate"])))
+
+
+def replaced(docs: DataFrame, key: str, counts: bool = False) -> DataFrame:
+    """docs (doc_id, text and others) with surrogates in ``text``; with ``counts`` also n_entities.
+
+    ``key`` is a secret: who has it can make the surrogates of any value. A full name that a pattern finds once in a text is
+    replaced everywhere in that text, also where no pattern finds it.
+    """
     ids = [F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id")]
     whole = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(ids[0].alias("k1"), ids[1].alias("k2"), F.posexplode(F.regexp_extract_all(whole, F.lit(ANY), 0)).alias("pos", "value"))
     mentions = written(found.distinct().withColumn("kind", entity_type(F.col("value"))), "mentions")
     table = written(surrogates(mentions.select("kind", "value").distinct(), key), "entities")
-    per_doc = mentions.join(table, ["kind", "value"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("pos", "surrogate"))).alias("found"))
-    per_doc = per_doc.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("found.surrogate").alias("_new"))
+    per_doc = mentions.join(table, ["kind", "value"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("pos", "surrogate", "kind", "value"))).alias("found"))
+    per_doc = per_doc.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("found.surrogate").alias("_new"), F.filter("found", lambda x: x["kind"] == "name").alias("_names"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), ids[0].alias("_a"), ids[1].alias("_b"))
     both = rows.join(per_doc, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left")
     pieces = F.split(F.col("_row.text"), ANY, -1)
     text = F.when(F.col("_new").isNull(), F.col("_row.text")).otherwise(F.array_join(F.zip_with(pieces, F.col("_new"), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), ""))
+    text = F.when(F.size("_names") > 0, _elsewhere(text, F.col("_names"))).otherwise(text)
     columns = [text.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
     return both.select(*columns, *([F.coalesce(F.size("_new"), F.lit(0)).cast("long").alias("n_entities")] if counts else []))
 

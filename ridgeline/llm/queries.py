@@ -11,7 +11,7 @@ from .decontaminate import contamination
 from .language import identified
 from .neardup import near_duplicates
 from .oracles import ORACLES
-from .pii import replaced
+from .pii import replaced, secret_key
 from .quality import quality_verdicts
 from .ranking import ranked
 from .repeats import repeats
@@ -57,7 +57,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with surrogates for its entities, and how many there were."""
-    return replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), secret_key(spark), counts=True)
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

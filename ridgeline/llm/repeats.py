@@ -34,6 +34,8 @@ DEPTH = LEAST - WINDOW + 1
 GRAM = 8
 #: Words behind the key, and before the position, that order the suffixes, by a byte of hash for each.
 AROUND = LEAST - DEPTH
+#: Makes the second hash of a window.
+SECOND = np.uint64(0xA5A5F00D12345677)
 _INDEX = 24
 
 
@@ -130,7 +132,9 @@ def shared_windows(docs: DataFrame, suffixes: DataFrame) -> DataFrame:
                 begin = np.repeat(start - (np.cumsum(stands) - stands), stands) + np.arange(stands.sum())
                 text = np.repeat(text, stands)
                 c = part.column("c").to_numpy(zero_copy_only=False)[text]
-                yield pa.RecordBatch.from_arrays([pa.array(kernels.span_hashes(words, begin, begin + LEAST).view(np.int64)), pa.array(c), pa.array(begin - texts[:-1][text])], ["h", "c", "begin"])
+                # two hashes of 64 bits: one would be shared by some unlike windows among very many
+                hashes = [kernels.span_hashes(w, begin, begin + LEAST).view(np.int64) for w in (words, kernels.mixed(words ^ SECOND))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), pa.array(c), pa.array(begin - texts[:-1][text])], ["h", "g", "c", "begin"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,10 +145,10 @@ def shared_windows(docs: DataFrame, suffixes: DataFrame) -> DataFrame:
             last = np.concatenate((first[1:], [True]))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[first], begin[first], begin[last] - begin[first] + LEAST, other[first])], ["c", "begin", "words", "other"])
 
-    rows = written(docs.mapInArrow(run, "h long, c long, begin long"), "windows")
+    rows = written(docs.mapInArrow(run, "h long, g long, c long, begin long"), "windows")
     bits.destroy()
-    shared = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
-    met = rows.join(shared, "h").select("c", "begin", F.when(F.col("c") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
+    shared = rows.groupBy("h", "g").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    met = rows.join(shared, ["h", "g"]).select("c", "begin", F.when(F.col("c") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
     return met.repartition("c").sortWithinPartitions("c", "other", "begin").mapInArrow(joined, "c long, begin long, words long, other long")
 
 

@@ -109,3 +109,22 @@ def test_costs_are_a_distribution(letters):
     total = np.exp(-letters.costs).sum(2)
     assert (total < 2.5).all() and letters.count("idi") == 20
     assert all(len(set(p)) == 3 for p in itertools.permutations("abc"))
+
+
+def test_names_found_once_are_gone(spark):
+    """A full name behind one phrase leaves no trace in its text, in capitals neither; other words and texts stay."""
+    from ridgeline.llm import pii
+
+    texts = [
+        "My name is Jane Doe. Later Jane Doe signed; Ms Doe left. JANE DOE was here, and Jane Doer.", "Nothing about May or Doe here.", None, "",
+        "Mr John Smith met JOHN SMITH; then John Smith and Mr Smith spoke.", "Mr May came in May.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in pii.replaced(docs, "secret").collect()}
+    assert "Jane Doe " not in got[0] and "Jane Doe." not in got[0] and "JANE DOE" not in got[0] and "Ms Doe" not in got[0] and got[0].endswith("and Jane Doer.")
+    assert got[1] == texts[1] and got[2] is None and got[3] == "" and got[5].endswith("came in May.") and not got[5].startswith("Mr May")
+    assert "smith" not in got[4].lower()
+    first = got[4].split(" met ")[0].removeprefix("Mr ")
+    assert got[4].split(" met ")[1].split(";")[0] == first.upper() and f"then {first} and" in got[4]
+    other = {r.doc_id: r.text for r in pii.replaced(docs, "another").collect()}
+    assert other[0] != got[0] and pii.secret_key(spark) == pii.secret_key(spark) != "ridgeline"

@@ -311,8 +311,8 @@ def test_long_stretch_is_read_whole(letters, between, apart):
 
 
 def test_pii(docs, empty):
-    out = {r.doc_id: r for r in pii.replaced(docs, counts=True).collect()}
-    assert pii.replaced(docs).columns == docs.columns
+    out = {r.doc_id: r for r in pii.replaced(docs, "secret", counts=True).collect()}
+    assert pii.replaced(docs, "secret").columns == docs.columns
     assert out[7].text is None
     for i, t in DOCS:
         if i not in (16, 17):
@@ -331,7 +331,7 @@ def test_pii(docs, empty):
     assert given in pii.GIVEN["f"]
     assert family != "Smith"
     assert f"Mr {family};" in out[17].text
-    assert pii.replaced(empty).count() == 0
+    assert pii.replaced(empty, "secret").count() == 0
 
 
 def test_pii_collisions(spark, monkeypatch):
@@ -364,7 +364,7 @@ def test_pii_coreference_and_distinctness(spark, monkeypatch):
         "From 2001:db8::ff00:42:8329 and fe80:0:0:0:1:2:3:4 at 12:30:45 to 10.0.0.7; Mr Иванов met Мария Иванов"
     )
     docs_ = spark.createDataFrame([(1, text), (2, "Dr Doe, bob@corp.com. " * 300), (3, text)], "doc_id bigint, text string").repartition(2)
-    out = {r.doc_id: r for r in pii.replaced(docs_, counts=True).collect()}
+    out = {r.doc_id: r for r in pii.replaced(docs_, "secret", counts=True).collect()}
     assert out[1].text == out[3].text
     assert out[1].n_entities == 14
     assert "12:30:45" in out[1].text
@@ -514,7 +514,7 @@ def test_very_long_texts(spark, tmp_path):
     assert (found.lang_pred, found.score) == ("en", 1.0)
     labels = spark.createDataFrame([(i, int(3 <= i < 15), "x") for i in range(3, len(texts))], "doc_id bigint, toxic int, text string")
     assert {r.doc_id for r in toxicity.toxicity(docs_, labels).filter("predicted = 1").collect()} == {0, 1, *range(3, 15)}
-    masked = {r.doc_id: r.text for r in pii.replaced(docs_).collect()}
+    masked = {r.doc_id: r.text for r in pii.replaced(docs_, "secret").collect()}
     assert masked[0].startswith(head)
     assert "corp.com" not in masked[0]
     covered = {}

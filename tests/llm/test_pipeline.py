@@ -85,7 +85,7 @@ def test_run(spark):
     path, pattern = byte_bpe.vocabulary()
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    texts = {r.doc_id: r.text for r in pii.replaced(docs).collect()}
+    texts = {r.doc_id: r.text for r in pii.replaced(docs, pii.secret_key(spark)).collect()}
     assert 0 < len(out) < docs.count()
     encode = byte_bpe._encoder(path, pattern).encode_ordinary
     for i, r in list(out.items())[::7]:
