@@ -1,4 +1,4 @@
-"""Array helpers for texts inside tasks: runs of characters as words, and 64-bit hashes of spans, a few MB of text at a time."""
+"""Array helpers for texts inside tasks: runs of characters as words, and 64-bit hashes of spans, some hundred KB of text at a time."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are taken at once; a longer text is taken alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 SEED = 0x9E3779B97F4A7C15
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _INV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
