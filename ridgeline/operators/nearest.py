@@ -93,8 +93,12 @@ def box_bounds_km(lat: Column, lng: Column) -> tuple[Column, Column]:
 def candidates(left: DataFrame, levels: list[tuple[int, DataFrame]], key: str, n: int) -> DataFrame:
     """(key, lat, lng, level, row, column, low): the leaves of ``n`` nodes that can hold the nearest one of each point."""
     side, few = sided(n), n <= BROADCAST_ROWS
-    now, held = left.withColumns({"row": F.lit(0).cast("long"), "column": F.lit(0).cast("long")}), None
-    steps = F.sequence(F.lit(0), F.lit((1 << STRIDE) - 1))
+    steps = F.sequence(F.lit(0).cast("long"), F.lit((1 << STRIDE) - 1).cast("long"))
+    if len(levels) == 1:
+        now = left.withColumns({"row": F.lit(0).cast("long"), "column": F.lit(0).cast("long")})
+    else:  # all cells below the top one, which every point meets
+        levels, now = levels[1:], left.withColumn("row", F.explode(steps)).withColumn("column", F.explode(steps))
+    held = None
     for at, (level, cells) in enumerate(levels):
         met = now.join(side(cells.select("row", "column", "leaf", *_BOX)), ["row", "column"])
         low, high = box_bounds_km(F.col("lat"), F.col("lng"))
@@ -104,7 +108,7 @@ def candidates(left: DataFrame, levels: list[tuple[int, DataFrame]], key: str, n
         kept = seen.withColumn("reach", F.min("high").over(Window.partitionBy(key))).filter("low <= reach").drop("reach")
         if at + 1 == len(levels):
             return kept.select(key, "lat", "lng", "level", "row", "column", "low")
-        if level and not (few and level < 3 * STRIDE):
+        if not (few and level < 3 * STRIDE):
             kept = settled(kept, "candidates")
         held = kept.filter("leaf")
         deeper = kept.filter(~F.col("leaf")).select(key, "lat", "lng", *[F.shiftleft(c, STRIDE).alias(c) for c in ("row", "column")])
@@ -129,7 +133,7 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str = "id", leaf: int = LE
     found = settled(candidates(left, levels, key, n).withColumn("turn", F.row_number().over(first)), "candidates")
     km = haversine_km(F.col("lat"), F.col("lng"), F.col("nlat"), F.col("nlng"))
     best = lambda df: df.join(leaves, ["level", "row", "column"]).groupBy(key).agg(F.min(F.struct(km.alias("km"), "ord", "node_id")).alias("x"))
-    one = settled(best(found.filter("turn = 1")), "nearest")
+    one = best(found.filter("turn = 1"))
     near = found.filter("turn > 1").join(one.select(key, F.col("x.km").alias("reach")), key).filter("low <= reach").drop("reach")
     both = one.unionByName(best(near)).groupBy(key).agg(F.min("x").alias("x"))
     return finished(both.select(key, "x.node_id", "x.km"), "nearest", began)
