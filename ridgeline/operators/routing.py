@@ -1,11 +1,11 @@
 """Shortest paths for a batch of requests, by rounds of relaxation over the whole batch.
 
 requests: (req_id, start, end, criterion). Chains of nodes with two neighbours are arcs of their own first, so rounds follow
-the crossings of a graph, not its nodes. Every round joins the distances that improved with the arcs, keeps the least for
-each node, drops what is farther than the best known distance of the request's target, and writes what is better than
-before as one more table; tables are put together every few rounds. Paths are read back from tight arcs by doubling: the
-predecessor of a node is the tight one with the least (distance, id); where arcs of weight 0 leave no farther-back choice,
-the one with fewest hops.
+the crossings of a graph, not its nodes. Every round, of two steps, joins the distances that improved with the arcs, keeps the
+least for each node, drops what is farther than the best known distance of the request's target, and writes what is better
+than before as one more table; tables are put together every few rounds. Paths are read back from tight arcs by doubling:
+the predecessor of a node is the tight one with the least (distance, id); where arcs of weight 0 leave no farther-back
+choice, the one with fewest hops.
 """
 
 from __future__ import annotations
@@ -29,6 +29,14 @@ def _least(rows: DataFrame) -> DataFrame:
     return rows.groupBy("req_id", "node").agg(F.min(F.struct("d", "hops")).alias("x")).select("req_id", "node", "x.d", "x.hops")
 
 
+def _relaxed(start: DataFrame, arcs: DataFrame) -> DataFrame:
+    """The least distances one arc on from ``start`` (req_id, node, d, hops, criterion, end, best), but for those beyond the best of the target."""
+    met = start.join(arcs.select("criterion", "node", "neighbour", "w", F.col("hops").alias("more")), ["criterion", "node"])
+    met = met.select("req_id", F.col("neighbour").alias("node"), (F.col("d") + F.col("w")).alias("d"), (F.col("hops") + F.col("more")).alias("hops"), "criterion", "end", "best").filter("best is null or d <= best")
+    same = [F.first(c).alias(c) for c in ("criterion", "end", "best")]
+    return met.groupBy("req_id", "node").agg(F.min(F.struct("d", "hops")).alias("x"), *same).select("req_id", "node", "x.d", "x.hops", "criterion", "end", "best")
+
+
 def distances(requests: DataFrame, arcs: DataFrame) -> DataFrame:
     """(req_id, node, d, hops): the distances that the targets need, from each request's start."""
     asked = settled(requests.select("req_id", "start", "end", criterion_or_time(F.col("criterion")).alias("criterion")), "requests")
@@ -39,11 +47,9 @@ def distances(requests: DataFrame, arcs: DataFrame) -> DataFrame:
         known = reduce(DataFrame.unionByName, tables)
         best = known.filter("goal").groupBy("req_id").agg(F.min("d").alias("best"))
         start = front.select("req_id", "node", "d", "hops").join(asked.select("req_id", "criterion", "end"), "req_id").join(best, "req_id", "left")
-        reached = start.join(arcs.select("criterion", "node", "neighbour", "w", F.col("hops").alias("more")), ["criterion", "node"]).select(
-            "req_id", F.col("neighbour").alias("node"), (F.col("d") + F.col("w")).alias("d"), (F.col("hops") + F.col("more")).alias("hops"), (F.col("neighbour") == F.col("end")).alias("goal"), "best"
-        )
-        reached = reached.filter("best is null or d <= best")
-        reached = reached.groupBy("req_id", "node").agg(F.min(F.struct("d", "hops")).alias("x"), F.first("goal").alias("goal")).select("req_id", "node", "x.d", "x.hops", "goal")
+        one = _relaxed(start, arcs)
+        both = one.unionByName(_relaxed(one, arcs)).groupBy("req_id", "node").agg(F.min(F.struct("d", "hops")).alias("x"), F.first("end").alias("end"))
+        reached = both.select("req_id", "node", "x.d", "x.hops", (F.col("node") == F.col("end")).alias("goal"))
         old = known.select("req_id", "node", "d", "hops")
         if total > MANY:
             # of very many distances only those of the nodes met now are shuffled, if these are few
