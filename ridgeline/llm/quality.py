@@ -121,6 +121,11 @@ def _joined(rows: DataFrame, estimates: DataFrame, by: list[str], small: bool, h
     return rows.join(F.broadcast(renamed) if small else renamed, on, how).drop(*[f"_{k}" for k in by])
 
 
+def _held(estimates: DataFrame, name: str, small: bool) -> DataFrame:
+    """The estimates, computed once: rows of the driver's if they were found to be few, else a written table."""
+    return estimates.sparkSession.createDataFrame(estimates.toArrow(), estimates.schema) if small else written(estimates, name)
+
+
 def _products() -> list[str]:
     d = range(len(FEATURES))
     return [f"x{i}" for i in d] + [f"x{i} * x{j}" for i in d for j in range(i + 1)]
@@ -158,7 +163,7 @@ def _starts(cells: DataFrame, by: list[str], small: bool) -> DataFrame:
     """(by, _start, m, l): the estimates that the steps begin with; medians are those of the cells' middles."""
     d = range(len(FEATURES))
     at = lambda i: (F.col(f"g{i}") + 0.5) * CELL[i]
-    middle = written(cells.groupBy(*by).agg(*[F.percentile(at(i), 0.5, F.col("k")).alias(f"m{i}") for i in d]), "medians")
+    middle = _held(cells.groupBy(*by).agg(*[F.percentile(at(i), 0.5, F.col("k")).alias(f"m{i}") for i in d]), "medians", small)
     off = _joined(cells, middle, by, small)
     spread = off.groupBy(*by).agg(*[F.percentile(F.round(F.abs(at(i) - F.col(f"m{i}")), 4), 0.5, F.col("k")).alias(f"s{i}") for i in d])
     lower = lambda of: [(of(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in d for j in range(i + 1)]
@@ -169,37 +174,41 @@ def _starts(cells: DataFrame, by: list[str], small: bool) -> DataFrame:
     sided = off.select(*by, F.explode(sides).alias("_start"), "k", *_sums()).filter("_start is not null")
     keys = [*by, "_start"]
     out = plain.unionByName(wide).unionByName(_factored(_covariances(sided.groupBy(*keys).agg(*_added()), keys), keys).drop("logdet")).withColumn("logdet", F.lit(float("inf")))
-    out = written(out, "mcd")
-    dropped(middle)
+    out = _held(out, "mcd", small)
+    if not small:
+        dropped(middle)
     return out
 
 
 def mcd_estimates(cells: DataFrame, by: list[str]) -> DataFrame:
     """The minimum covariance determinant estimate of each group of cells: mean and Cholesky factor.
 
-    Steps go by two to a table. A start rests when these no longer lower its determinant, with the estimate before them.
+    A start rests when two steps no longer lower its determinant, with the estimate before them. Few estimates, those that a
+    broadcast may hold, stay with the driver between steps: a table each would cost several jobs more; many go by two steps to
+    a table.
     """
     keys = [*by, "_start"]
     small = cells.select(*by).distinct().count() * N_STARTS <= BROADCAST_ROWS // 4  # 25 doubles a row
     cells = cells.withColumns({f"x{i}": F.col(f"t{i}") / F.col("k") for i in range(len(FEATURES))})
     now = _starts(cells, by, small)
-    used, settled = [now], None
+    used, settled, names = [now], None, now.columns
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     while True:
-        before = now.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("logdet").alias("_was"))
-        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-        twice = _concentrated(cells, _concentrated(cells, now, by, small), by, small)
-        new = written(twice.join(F.broadcast(before) if small else before, on).drop(*[f"_{k}" for k in keys]), "mcd")
+        before = now.select(*[F.col(c).alias(f"_{c}") for c in names])
+        once = _concentrated(cells, now, by, small)
+        twice = _concentrated(cells, _held(once, "mcd", True) if small else once, by, small)
+        new = _held(twice.join(F.broadcast(before) if small else before, on), "mcd", small)
         used.append(new)
-        falls = F.col("_was") - F.col("logdet") > NOISE
-        rests = new.filter(~falls).select(*keys, "_was")
-        rested = _joined(now, rests, keys, small, "inner").drop("_was") if len(used) > 2 else new.filter(~falls).drop("_was")
+        falls = F.col("_logdet") - F.col("logdet") > NOISE
+        rested = new.filter(~falls).select(*[F.col(f"_{c}").alias(c) for c in names] if len(used) > 2 else names)
         settled = rested if settled is None else settled.unionByName(rested)
-        now = new.filter(falls).drop("_was")
+        now = new.filter(falls).select(*names)
         if now.isEmpty():
             break
     first = F.row_number().over(Window.partitionBy(*by).orderBy("logdet", "_start"))
-    least = written(settled.withColumn("_n", first).filter("_n = 1").drop("_n", "_start", "logdet"), "mcd-least")
-    dropped(*used)
+    least = _held(settled.withColumn("_n", first).filter("_n = 1").drop("_n", "_start", "logdet"), "mcd-least", small)
+    if not small:
+        dropped(*used)
     return least
 
 

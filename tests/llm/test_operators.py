@@ -447,6 +447,21 @@ def test_repeats_of_texts_that_meet(spark, monkeypatch):
     assert covered == brute.repeated(data)
 
 
+def test_few_estimates_need_no_tables(spark, monkeypatch):
+    """The steps of few groups write nothing; many groups go by tables to the same verdicts."""
+    rng = random.Random(11)
+    data = [(i, " ".join("w" * rng.randint(1, 9) + str(rng.randint(0, 999)) for _ in range(rng.randint(12, 200))), "en" if i % 2 else None, "s") for i in range(240)]
+    docs_, made, write = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string"), [], quality.written
+    monkeypatch.setattr(quality, "written", lambda df, name: made.append(name) or write(df, name))
+    few = rows(quality.quality_verdicts(docs_, "doc_id"), "doc_id", "kept", "distance")
+    assert not {"medians", "mcd", "mcd-least"} & set(made)
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    many = rows(quality.quality_verdicts(docs_, "doc_id"), "doc_id", "kept", "distance")
+    assert {"medians", "mcd", "mcd-least"} <= set(made)
+    assert [r[:2] for r in few] == [r[:2] for r in many]
+    assert np.allclose([r[2] for r in few], [r[2] for r in many])
+
+
 def test_quality(docs, empty):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     got = sorted((repr(r[0]), *r[1:]) for r in rows(quality.quality_verdicts(docs, "doc_id"), "doc_id", *names))
