@@ -8,8 +8,8 @@ and lengths, then a footer. Files are written under a temporary name and renamed
 the same one. They go to the shared folder, on any store that pyarrow opens by its address (file, hdfs, s3, gs, abfs), and are
 read back through their indexes, a few blocks at a time; ``ids_between`` seeks to the blocks of any stretch of ids.
 
-Word ids are looked up word by word: each task keeps the ids of words it has met, up to a bound, and encodes the words
-that are new to a batch together. Texts that hold one of the vocabulary's added tokens are encoded whole by the library.
+Word ids are looked up word by word: each task keeps the ids of words it has met in arrays, by 128 bits of each word and up
+to a bound, and encodes the words that are new to a batch together. Texts that hold one of the vocabulary's added tokens are encoded whole by the library.
 
 Edge cases: null and empty texts have the end id alone; repeated rows are written each, in the order of a hash of their texts; a row
 without an id comes first; an empty table writes no ids; further columns are ignored; very long texts run over blocks.
@@ -22,6 +22,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,10 @@ FILE_IDS, READ_BLOCKS = 1 << 25, 256
 END = 1
 #: Words whose ids a task keeps.
 KEPT_WORDS = 400_000
+#: Words that are encoded as one text.
+JOINED = 64
+#: Makes other code points of a text's, so that their hashes add 64 bits.
+OTHER_BITS = 0x2A5A5A5A
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -181,22 +186,74 @@ def _added(path: str) -> tuple[str, ...]:
     return tuple({x for t in held for x in (t, normalized(t)) if x})
 
 
-_KNOWN: dict[str, dict[str, tuple[int, ...]]] = {}
-
-
-def _word_ids(words: list[str], path: str) -> list[tuple[int, ...]]:
-    """The ids of distinct words, new ones encoded together; the oldest are forgotten beyond KEPT_WORDS."""
-    known = _KNOWN.setdefault(path, {})
-    new = [w for w in words if w not in known]
-    if len(known) + len(new) > KEPT_WORDS:
-        for w in list(known)[: len(known) // 2 + 1]:
-            del known[w]
-        new = [w for w in words if w not in known]
-    for begin in range(0, len(new), 4096):
-        part = new[begin : begin + 4096]
-        for w, e in zip(part, _tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = tuple(e.ids)
-    return [known[w] for w in words]
+@lru_cache(maxsize=2)
+def _endings(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of every id: whether its token ends a word, and how many bytes of the word it stands for."""
+    held = _tokenizer(path).get_vocab()
+    ends, sizes = np.zeros(max(held.values()) + 1, bool), np.zeros(max(held.values()) + 1, np.int64)
+    for token, i in held.items():
+        ends[i], sizes[i] = token.endswith("</w>"), len(token.removesuffix("</w>"))
+    return ends, sizes
+
+
+def encoded_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words on end, and how many each has.
+
+    JOINED words go to the library as one text with blanks between, which is faster; where its words don't end just where
+    these do, in bytes, each goes alone.
+    """
+    ends, sizes = _endings(path)
+    parts = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+    flat, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for k in range(0, len(parts), 64):
+        for part, e in zip(parts[k : k + 64], _tokenizer(path).encode_batch_fast([" ".join(x) for x in parts[k : k + 64]], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            stops = np.flatnonzero(ends[ids]) + 1
+            n = np.diff(stops, prepend=0)
+            if len(stops) != len(part) or stops[-1] != len(ids) or not np.array_equal(np.cumsum(sizes[ids])[stops - 1], np.cumsum([len(w.encode()) for w in part])):
+                each = [x.ids for x in _tokenizer(path).encode_batch_fast(part, add_special_tokens=False)]
+                ids, n = np.fromiter(chain.from_iterable(each), np.uint32), np.array([len(x) for x in each])
+            flat.append(ids)
+            counts.append(n)
+    return np.concatenate(flat), np.concatenate(counts)
+
+
+class KeptWords:
+    """The ids of words that a task has met, by 128 bits of each word; slot 0 is the end of a text."""
+
+    def __init__(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.second, self.edges, self.flat = np.zeros(1, np.uint64), np.array([0, 1]), np.array([END], np.uint32)
+
+    def forget(self) -> None:
+        """Forget the older half."""
+        cut = (len(self.second) + 1) // 2
+        self.slots = {h: s - cut for h, s in self.slots.items() if s > cut}
+        self.second = np.concatenate((self.second[:1], self.second[cut + 1 :]))
+        begin = self.edges[min(cut + 1, len(self.edges) - 1)]
+        self.flat = np.concatenate((self.flat[:1], self.flat[begin:]))
+        self.edges = np.concatenate(([0, 1], self.edges[cut + 2 :] - begin + 1))
+
+    def of(self, joined: str, begins: np.ndarray, ends: np.ndarray, first: np.ndarray, second: np.ndarray, path: str) -> np.ndarray:
+        """The slots of distinct words, joined[begin:end] with the hashes ``first`` and ``second``; new ones are encoded together."""
+        keys = first.tolist()
+        while True:
+            at = np.fromiter(map(self.slots.get, keys, repeat(0)), np.int64, len(keys))
+            new = np.flatnonzero((at == 0) | (self.second[at] != second))
+            if not self.slots or len(self.second) + len(new) <= KEPT_WORDS:
+                break
+            self.forget()
+        if len(new):
+            flat, counts = encoded_words([joined[b:e] for b, e in zip(begins[new].tolist(), ends[new].tolist(), strict=True)], path)
+            at[new] = np.arange(len(self.second), len(self.second) + len(new))
+            self.slots.update(zip(first[new].tolist(), at[new].tolist(), strict=True))
+            self.second = np.concatenate((self.second, second[new]))
+            self.edges = np.concatenate((self.edges, self.edges[-1] + np.cumsum(counts)))
+            self.flat = np.concatenate((self.flat, flat))
+        return at
+
+
+_KNOWN: dict[str, KeptWords] = {}
 
 
 def normalized(text: str) -> str:
@@ -219,17 +276,14 @@ def text_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     joined, codes, offsets = code_points(plain)
     begins, ends = word_end_spans(codes, offsets)
     found, first, inverse = np.unique(kernels.span_hashes(codes, begins, ends), return_index=True, return_inverse=True)
-    ids = _word_ids([joined[b:e] for b, e in zip(begins[first].tolist(), ends[first].tolist(), strict=True)], path)
-    table = np.fromiter((i for w in ids for i in w), np.uint32)
-    edges = np.concatenate(([0], np.cumsum([len(w) for w in ids], dtype=np.int64)))
-    # the end id is one more word, put behind the words of every text
-    table, edges = np.append(table, np.uint32(END)), np.append(edges, len(table) + 1)
+    known, begin, end = _KNOWN.setdefault(path, KeptWords()), begins[first], ends[first]
+    slots = known.of(joined, begin, end, found, kernels.span_hashes(codes ^ np.uint32(OTHER_BITS), begin, end), path)
     behind = np.searchsorted(begins, offsets[1:])
-    which = np.insert(inverse, behind, len(found))
-    sizes = np.diff(edges)[which]
+    which = np.insert(slots[inverse], behind, 0)  # the end id is one more word, put behind the words of every text
+    sizes = np.diff(known.edges)[which]
     sums = np.concatenate(([0], np.cumsum(sizes)))
     stops = behind + np.arange(1, len(texts) + 1)
-    return gathered(table, edges, which), np.diff(np.concatenate(([0], sums[stops])))
+    return gathered(known.flat, known.edges, which), np.diff(np.concatenate(([0], sums[stops])))
 
 
 def write_files(docs: DataFrame, path: str, folder: str, file_ids: int = FILE_IDS) -> DataFrame:

@@ -153,6 +153,38 @@ def test_best_path_is_best():
         assert value(got[b:e], scores[b:e]) == pytest.approx(max(value(p, scores[b:e]) for p in every), abs=1e-4)
 
 
+def test_words_encoded_together(monkeypatch):
+    """Words go to the library as few texts, are kept, forgotten and cut as by themselves, whatever they hold."""
+    path, sent = token_files.vocabulary(), []
+    tok = token_files._tokenizer(path)
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(tok, name)
+
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(texts)
+            return tok.encode_batch_fast(texts, **kw)
+
+    monkeypatch.setattr(token_files, "_tokenizer", lambda _: Counted())
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeéßñжя中", k=rng.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(60)] + ["", "it's 12 </w> x", "a\u0085b \u0301e \x00 \u200b", "Σίσυφος İı ﬁ"]
+    want = [[*tok.encode(t, add_special_tokens=False).ids, token_files.END] for t in texts]
+    for kept in (400_000, 700, 1):
+        monkeypatch.setattr(token_files, "KEPT_WORDS", kept)
+        token_files._KNOWN.clear()
+        for i in range(0, len(texts), 8):
+            ids, sizes = token_files.text_ids(texts[i : i + 8], path)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want[i : i + 8]
+        if kept == 400_000:
+            assert len(sent) < len(words) // 10
+    token_files._KNOWN.clear()
+    odd = ["two words", "\u00a0", "x", "don't", "一", ""]
+    ids, sizes = token_files.encoded_words(odd, path)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [tok.encode(w, add_special_tokens=False).ids for w in odd]
+
+
 def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 
