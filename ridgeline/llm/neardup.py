@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .components import components
-from .scratch import dropped, written
+from .scratch import arrow_batches, dropped, written
 
 SHINGLE = 4
 PERCENT = 85
@@ -46,6 +46,8 @@ LEAF = 64
 STEP = 1.02
 #: Bits of the filters that say which tokens are shared and which documents are wanted.
 FILTER_BITS = 1 << 26
+#: Rows with texts or signatures that a Python worker gets at once.
+BATCH_ROWS = 1000
 BITS = [f"b{i}" for i in range(LONGS)]
 
 
@@ -409,7 +411,12 @@ def walked(trees: DataFrame, labels: DataFrame, classes: DataFrame, percent: int
 
 
 def similarity_classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(_id, k1, k2, n, c) of all documents, and (node, comp) of the classes that have links."""
+    """(_id, k1, k2, n, c) of all documents, and (node, comp) of the classes that have links; all is written within."""
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return _similarity_classes(docs, width, percent)
+
+
+def _similarity_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     signed = written(signatures(docs, width, percent), "signatures")
     classes = classes_of(signed)
     rows = written(signed.select("_id", "k1", "k2", "n", "digest").join(classes.select("digest", "c"), "digest", "left").drop("digest"), "rows")

@@ -10,6 +10,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,18 @@ def _end() -> None:
             _delete(spark, path)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within this, Python workers get at most so many rows at once; for rows that hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: A side is broadcast up to this many rows and bytes, counted before; beyond it is joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 

@@ -185,6 +185,19 @@ def test_words_encoded_together(monkeypatch):
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [tok.encode(w, add_special_tokens=False).ids for w in odd]
 
 
+def test_near_duplicates_hand_over_few_rows_at_once(spark, monkeypatch):
+    """Workers get small batches of texts; afterwards the session is as before."""
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], neardup.written
+    before = spark.conf.get(name)
+    monkeypatch.setattr(neardup, "written", lambda df, x: seen.append(int(spark.conf.get(name))) or write(df, x))
+    text = " ".join(f"w{i}" for i in range(60))
+    data = [(i, text + " end" * (i % 2)) for i in range(6)] + [(9, "other words of another text")]
+    got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: 0 if i < 6 else 9 for i, _ in data}
+    assert max(seen) <= 1000
+    assert spark.conf.get(name) == before
+
+
 def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 
