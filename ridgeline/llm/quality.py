@@ -41,6 +41,8 @@ NOISE = 1e-9
 MIN_GROUP = 50
 #: Sides of a cell of vectors.
 CELL = (0.1, 0.02, 0.1, 0.1, 0.1)
+#: So many estimates, with some hundred bins each, go to a task.
+TASK_ESTIMATES = 50
 #: Distances are binned by this step of their logarithm; the sums of a bin go together.
 BIN = 0.02
 
@@ -105,13 +107,14 @@ def _factored(moments: DataFrame, by: list[str]) -> DataFrame:
     return moments.selectExpr(*by, *[f"m{i}" for i in d], *lower, " + ".join(f"2 * ln(l{i}{i})" for i in d) + " AS logdet")
 
 
-def _distance() -> Column:
-    """The squared Mahalanobis distance of x under m and l, by forward substitution."""
-    solved: list[str] = []
-    for i in range(len(FEATURES)):
-        rest = f"x{i} - m{i}" + "".join(f" - l{i}{k} * {solved[k]}" for k in range(i))
-        solved.append(f"(({rest}) / l{i}{i})")
-    return F.expr(" + ".join(f"{z} * {z}" for z in solved))
+def _distances(rows: DataFrame) -> DataFrame:
+    """rows with ``distance``, the squared Mahalanobis distance of x under m and l, by forward substitution.
+
+    Each z is a column that the next ones name: written out, the expression doubles with every statistic.
+    """
+    d = range(len(FEATURES))
+    solved = [f"(x{i} - m{i}" + "".join(f" - l{i}{k} * z{k}" for k in range(i)) + f") / l{i}{i} AS z{i}" for i in d]
+    return rows.selectExpr("*", *solved, " + ".join(f"z{i} * z{i}" for i in d) + " AS distance").drop(*[f"z{i}" for i in d])
 
 
 def _joined(rows: DataFrame, estimates: DataFrame, by: list[str], small: bool, how: str = "left") -> DataFrame:
@@ -121,9 +124,9 @@ def _joined(rows: DataFrame, estimates: DataFrame, by: list[str], small: bool, h
     return rows.join(F.broadcast(renamed) if small else renamed, on, how).drop(*[f"_{k}" for k in by])
 
 
-def _held(estimates: DataFrame, name: str, small: bool) -> DataFrame:
-    """The estimates, computed once: rows of the driver's if they were found to be few, else a written table."""
-    return estimates.sparkSession.createDataFrame(estimates.toArrow(), estimates.schema) if small else written(estimates, name)
+def _held(estimates: DataFrame, name: str, tasks: int) -> DataFrame:
+    """The estimates, computed once: if they were found to be few, by so many tasks into rows of the driver's, else as a written table."""
+    return estimates.sparkSession.createDataFrame(estimates.coalesce(tasks).toArrow(), estimates.schema) if tasks else written(estimates, name)
 
 
 def _products() -> list[str]:
@@ -145,26 +148,27 @@ def _added() -> list[Column]:
     return [F.expr(f"sum({t}) AS {t}") for t in ("k", *_sums())]
 
 
-def _concentrated(cells: DataFrame, now: DataFrame, by: list[str], small: bool) -> DataFrame:
+def _concentrated(cells: DataFrame, now: DataFrame, by: list[str], tasks: int) -> DataFrame:
     """One concentration step of every start: the estimate from the half of its group with the smallest distances.
 
     Sums are kept for each bin of the distance; the half ends with the bin that completes it. A group has a few thousand bins
-    at most.
+    at most, so the bins of few estimates need few tasks, however many partitions a shuffle has.
     """
     keys = [*by, "_start"]
-    rows = _joined(cells, now.drop("logdet"), by, small, "inner")
-    binned = rows.groupBy(*keys, F.floor(F.log(_distance() + 1e-9) / BIN).cast("int").alias("_bin")).agg(*_added())
+    rows = _distances(_joined(cells, now.drop("logdet"), by, bool(tasks), "inner"))
+    binned = rows.groupBy(*keys, F.floor(F.log(F.col("distance") + 1e-9) / BIN).cast("int").alias("_bin")).agg(*_added())
+    binned = binned.coalesce(tasks) if tasks else binned
     so_far, whole = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
     near = binned.withColumns({"_before": F.coalesce(F.sum("k").over(so_far), F.lit(0)), "_all": F.sum("k").over(whole)}).filter(2 * F.col("_before") < F.col("_all"))
     return _factored(_covariances(near.groupBy(*keys).agg(*_added()), keys), keys)
 
 
-def _starts(cells: DataFrame, by: list[str], small: bool) -> DataFrame:
+def _starts(cells: DataFrame, by: list[str], tasks: int) -> DataFrame:
     """(by, _start, m, l): the estimates that the steps begin with; medians are those of the cells' middles."""
     d = range(len(FEATURES))
     at = lambda i: (F.col(f"g{i}") + 0.5) * CELL[i]
-    middle = _held(cells.groupBy(*by).agg(*[F.percentile(at(i), 0.5, F.col("k")).alias(f"m{i}") for i in d]), "medians", small)
-    off = _joined(cells, middle, by, small)
+    middle = _held(cells.groupBy(*by).agg(*[F.percentile(at(i), 0.5, F.col("k")).alias(f"m{i}") for i in d]), "medians", tasks)
+    off = _joined(cells, middle, by, bool(tasks))
     spread = off.groupBy(*by).agg(*[F.percentile(F.round(F.abs(at(i) - F.col(f"m{i}")), 4), 0.5, F.col("k")).alias(f"s{i}") for i in d])
     lower = lambda of: [(of(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in d for j in range(i + 1)]
     means = [f"m{i}" for i in d]
@@ -174,8 +178,8 @@ def _starts(cells: DataFrame, by: list[str], small: bool) -> DataFrame:
     sided = off.select(*by, F.explode(sides).alias("_start"), "k", *_sums()).filter("_start is not null")
     keys = [*by, "_start"]
     out = plain.unionByName(wide).unionByName(_factored(_covariances(sided.groupBy(*keys).agg(*_added()), keys), keys).drop("logdet")).withColumn("logdet", F.lit(float("inf")))
-    out = _held(out, "mcd", small)
-    if not small:
+    out = _held(out, "mcd", tasks)
+    if not tasks:
         dropped(middle)
     return out
 
@@ -185,19 +189,20 @@ def mcd_estimates(cells: DataFrame, by: list[str]) -> DataFrame:
 
     A start rests when two steps no longer lower its determinant, with the estimate before them. Few estimates, those that a
     broadcast may hold, stay with the driver between steps: a table each would cost several jobs more; many go by two steps to
-    a table.
+    a table. The tasks of a step on few estimates follow their number: the driver keeps an account of every task.
     """
     keys = [*by, "_start"]
-    small = cells.select(*by).distinct().count() * N_STARTS <= BROADCAST_ROWS // 4  # 25 doubles a row
+    n = cells.select(*by).distinct().count() * N_STARTS
+    tasks = n // TASK_ESTIMATES + 1 if n <= BROADCAST_ROWS // 4 else 0  # 25 doubles a row; 0: many
     cells = cells.withColumns({f"x{i}": F.col(f"t{i}") / F.col("k") for i in range(len(FEATURES))})
-    now = _starts(cells, by, small)
+    now = _starts(cells, by, tasks)
     used, settled, names = [now], None, now.columns
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     while True:
         before = now.select(*[F.col(c).alias(f"_{c}") for c in names])
-        once = _concentrated(cells, now, by, small)
-        twice = _concentrated(cells, _held(once, "mcd", True) if small else once, by, small)
-        new = _held(twice.join(F.broadcast(before) if small else before, on), "mcd", small)
+        once = _concentrated(cells, now, by, tasks)
+        twice = _concentrated(cells, _held(once, "mcd", tasks) if tasks else once, by, tasks)
+        new = _held(twice.join(F.broadcast(before) if tasks else before, on), "mcd", tasks)
         used.append(new)
         falls = F.col("_logdet") - F.col("logdet") > NOISE
         rested = new.filter(~falls).select(*[F.col(f"_{c}").alias(c) for c in names] if len(used) > 2 else names)
@@ -206,8 +211,8 @@ def mcd_estimates(cells: DataFrame, by: list[str]) -> DataFrame:
         if now.isEmpty():
             break
     first = F.row_number().over(Window.partitionBy(*by).orderBy("logdet", "_start"))
-    least = _held(settled.withColumn("_n", first).filter("_n = 1").drop("_n", "_start", "logdet"), "mcd-least", small)
-    if not small:
+    least = _held(settled.withColumn("_n", first).filter("_n = 1").drop("_n", "_start", "logdet"), "mcd-least", tasks)
+    if not tasks:
         dropped(*used)
     return least
 
@@ -237,7 +242,7 @@ def quality_verdicts(docs: DataFrame, *keep: str, cutoff: float = CUTOFF, min_gr
     names = [c for c in found.columns if c not in ("_whole", *by)]
     everywhere = found.filter("_whole").first() or dict.fromkeys(names)
     both = _joined(stats, small_side(found.filter("not _whole").drop("_whole"), row_bytes=256), by, False).withColumns({c: F.coalesce(F.col(c), F.lit(everywhere[c]).cast("double")) for c in names})
-    judged = both.withColumn("distance", _distance())
+    judged = _distances(both)
     return judged.select(
         "_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"), "distance",

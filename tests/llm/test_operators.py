@@ -507,6 +507,40 @@ def test_few_estimates_need_no_tables(spark, monkeypatch):
     assert np.allclose([r[2] for r in few], [r[2] for r in many])
 
 
+def test_steps_on_few_estimates_take_few_tasks(spark, monkeypatch):
+    """However many partitions a shuffle has, and the expression of a distance doesn't double with every statistic."""
+    rng = random.Random(12)
+    vectors = [("en" if i % 2 else None, *(rng.gauss(m, s) for m, s in ((5.0, 0.8), (1.7, 0.1), (0.5, 0.3), (0.3, 0.3), (0.4, 0.5)))) for i in range(400)]
+    cells = quality.cells_of(spark.createDataFrame(vectors, "_lang string, " + ", ".join(f"x{i} double" for i in range(5))), ["_lang"])
+    cells = spark.createDataFrame(cells.toArrow(), cells.schema)
+    fixed = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.debug.maxToStringFields": "1000"}
+    before = {k: spark.conf.get(k) for k in fixed}
+    d = range(5)
+    one = spark.range(1).selectExpr(*[f"rand() AS {c}" for c in [*(f"x{i}" for i in d), *(f"m{i}" for i in d), *(f"l{i}{j}" for i in d for j in range(i + 1))]])
+    taken, held = [], quality._held
+    few = quality.mcd_estimates(cells, ["_lang"])
+
+    def counted(estimates, name, tasks):
+        spark.sparkContext.setJobGroup(group := f"{name}-{len(taken)}", name)
+        out, tracker = held(estimates, name, tasks), spark.sparkContext.statusTracker()
+        taken.append(max(tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)))
+        return out
+
+    monkeypatch.setattr(quality, "_held", counted)
+    try:
+        for k, v in fixed.items():
+            spark.conf.set(k, v)
+        assert quality._distances(one)._jdf.queryExecution().optimizedPlan().toString().count("/ l00") <= 1
+        same = quality.mcd_estimates(cells, ["_lang"])
+        assert np.allclose([r[1:] for r in sorted(map(tuple, few.collect()), key=repr)], [r[1:] for r in sorted(map(tuple, same.collect()), key=repr)])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(taken) > 4
+    assert max(taken[2:]) < 40  # after the medians and the starts
+
+
 def test_quality(docs, empty):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     got = sorted((repr(r[0]), *r[1:]) for r in rows(quality.quality_verdicts(docs, "doc_id"), "doc_id", *names))
