@@ -31,6 +31,8 @@ from .pretokens import byte_level_spans, code_points, strings
 BLOCK = 8 << 20
 #: Bytes of input for each bucket of words, so that buckets follow the data and a task's share of the words does not grow.
 BUCKET_BYTES = 64 << 20
+#: Rows whose ids are put together or decoded at once.
+ROWS = 500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -98,7 +100,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
     done, block = 0, Block()
     place = np.uint64(TaskContext.get().partitionId() << 24)
     for batch in batches:
-        for part in kernels.chunks(batch, limit=1 << 20):
+        for part in kernels.chunks(batch):
             block.add(part)
             if block.size >= BLOCK:
                 yield int(kernels.mixed((block.key + place + np.uint64(done)).reshape(1)).view(np.int64)[0]), block
@@ -138,6 +140,8 @@ def block_words(docs: DataFrame, buckets: int) -> DataFrame:
                 rows.append((bucket, key, len(own), gaps, packed(np.array([len(w) for w in words])), len(text), pa.compress(text, codec="zstd", asbytes=True)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["bucket", "block", "n", "numbers", "lengths", "size", "words"])
+            del block  # not beside the next one
+        kernels.released()
 
     return docs.mapInArrow(run, "bucket long, block long, n long, numbers binary, lengths binary, size long, words binary")
 
@@ -152,6 +156,8 @@ def block_places(docs: DataFrame) -> DataFrame:
             places = np.concatenate(block.places).astype(np.uint32)
             row = [pa.array([key], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([np.concatenate(block.counts)], pa.list_(pa.int64())), pa.array([packed(places)], pa.binary())]
             yield pa.RecordBatch.from_arrays(row, ["block", "ids", "counts", "places"])
+            del block, row, places, rows
+        kernels.released()
 
     return docs.mapInArrow(run, f"block long, ids array<{kind}>, counts array<long>, places binary")
 
@@ -192,6 +198,43 @@ def input_bytes(docs: DataFrame) -> int:
     return size if size < 1 << 60 else docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
+def put_together(places: pa.Table, words: pa.Table, path: str, decoded: bool) -> pa.Table:
+    """(doc_id, n_tokens, ids) of the rows of one block, with ``decoded`` the bytes too; a batch of the table for every ROWS rows."""
+    if places.num_rows != 1:
+        raise ValueError("the two passes over the input saw different rows")
+    rows, counts = (places.column(c).combine_chunks().flatten() for c in ("ids", "counts"))
+    counts = counts.to_numpy()
+    which = unpacked(places.column("places")[0].as_py(), int(counts.sum()))
+    numbers, sizes, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for i in range(words.num_rows):
+        n, gaps, size, token = (words.column(c)[i].as_py() for c in ("n", "numbers", "sizes", "tokens"))
+        numbers.append(np.cumsum(unpacked(gaps, n), dtype=np.int64))
+        sizes.append(unpacked(size, n).astype(np.int64))
+        tokens.append(unpacked(token, int(sizes[-1].sum())))
+    numbers, sizes, tokens = np.concatenate(numbers), np.concatenate(sizes), np.concatenate(tokens)
+    if len(numbers) != (int(which.max()) + 1 if len(which) else 0):
+        raise ValueError("the two passes over the input saw different words")
+    order = np.argsort(numbers)
+    begins = np.concatenate(([0], np.cumsum(sizes)))
+    size_of = sizes[order]
+    flat = gathered(tokens, begins, order)
+    offsets = np.concatenate(([0], np.cumsum(size_of)))
+    edges = np.concatenate(([0], np.cumsum(counts)))
+    parts = []
+    for first in range(0, len(counts), ROWS):
+        out, n_tokens, back = [], [], []
+        last = min(first + ROWS, len(counts))
+        for begin, end in zip(edges[first:last].tolist(), edges[first + 1 : last + 1].tolist(), strict=True):
+            ids = gathered(flat, offsets, which[begin:end])
+            n_tokens.append(len(ids))
+            out.append(ids.astype("<u4").tobytes())
+            if decoded:
+                back.append(gathered(*_token_bytes(path), np.frombuffer(out[-1], "<u4")).tobytes())
+        columns = {"doc_id": rows[first:last], "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(out, pa.binary())}
+        parts.append(pa.RecordBatch.from_pydict(columns | ({"decoded": pa.array(back, pa.binary())} if decoded else {})))
+    return pa.Table.from_batches(parts)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids): the ids of every text of docs (doc_id, text), as little-endian unsigned 32-bit integers.
 
@@ -203,34 +246,9 @@ def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> D
     schema = f"doc_id {kind}, n_tokens long, ids binary" + (", decoded binary" if decoded else "")
 
     def together(places: pa.Table, words: pa.Table) -> pa.Table:
-        if places.num_rows != 1:
-            raise ValueError("the two passes over the input saw different rows")
-        counts = places.column("counts").combine_chunks().flatten().to_numpy()
-        which = unpacked(places.column("places")[0].as_py(), int(counts.sum()))
-        numbers, sizes, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-        for i in range(words.num_rows):
-            n, gaps, size, token = (words.column(c)[i].as_py() for c in ("n", "numbers", "sizes", "tokens"))
-            numbers.append(np.cumsum(unpacked(gaps, n), dtype=np.int64))
-            sizes.append(unpacked(size, n).astype(np.int64))
-            tokens.append(unpacked(token, int(sizes[-1].sum())))
-        numbers, sizes, tokens = np.concatenate(numbers), np.concatenate(sizes), np.concatenate(tokens)
-        if len(numbers) != (int(which.max()) + 1 if len(which) else 0):
-            raise ValueError("the two passes over the input saw different words")
-        order = np.argsort(numbers)
-        begins = np.concatenate(([0], np.cumsum(sizes)))
-        size_of = sizes[order]
-        flat = gathered(tokens, begins, order)
-        offsets = np.concatenate(([0], np.cumsum(size_of)))
-        edges = np.concatenate(([0], np.cumsum(counts)))
-        out, n_tokens, back = [], [], []
-        for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            ids = gathered(flat, offsets, which[begin:end])
-            n_tokens.append(len(ids))
-            out.append(ids.astype("<u4").tobytes())
-            if decoded:
-                back.append(gathered(*_token_bytes(path), np.frombuffer(out[-1], "<u4")).tobytes())
-        columns = {"doc_id": places.column("ids").combine_chunks().flatten(), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(out, pa.binary())}
-        return pa.table(columns | ({"decoded": pa.array(back, pa.binary())} if decoded else {}))
+        out = put_together(places, words, path, decoded)
+        kernels.released()
+        return out
 
     buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // BUCKET_BYTES)
     words = encoded_words(block_words(rows, buckets), path, pattern)
@@ -246,8 +264,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, offsets = _token_bytes(path)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
+            for begin in range(0, batch.num_rows, ROWS):
+                part = batch.slice(begin, ROWS)
                 out = [gathered(flat, offsets, np.frombuffer(x or b"", "<u4")).tobytes() for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,13 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> I
         yield batch.slice(begin)
 
 
+def released() -> None:
+    """Give what this process has freed back to the system: a Python worker stays after its tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps it otherwise
+        trim(0)
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts on end, and the n + 1 offsets of the texts in them; a null is empty."""
     whole = pc.fill_null(texts, "").cast(pa.large_string())

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -569,6 +571,56 @@ def test_byte_bpe(docs, empty):
     assert sorted(bytes(r.decoded).decode() for r in back.collect()) == sorted(t or "" for _, t in DOCS)
 
 
+def test_byte_bpe_holds_little(monkeypatch):
+    """A worker never holds a million characters for the class table, nor two blocks, nor the ids of a whole block twice."""
+    tracemalloc.start()
+    table = pretokens.class_table.__wrapped__()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (table == pretokens.class_table()).all()
+    assert [table[ord(x)] for x in "aé7 !\u2028\U0001f600\U00020000"] == [pretokens.LETTER] * 2 + [pretokens.NUMBER, pretokens.BLANK, pretokens.OTHER, pretokens.BLANK, pretokens.OTHER, pretokens.LETTER]
+    assert peak < 16 << 20
+
+    alive, most, cuts = weakref.WeakSet(), [], []
+
+    class Counted(byte_bpe.Block):
+        def add(self, part):
+            alive.add(self)
+            most.append(len(alive))
+            cuts.append(part.num_rows)
+            super().add(part)
+
+    class Docs:
+        schema = {"_id": type("Field", (), {"dataType": type("Kind", (), {"simpleString": staticmethod(lambda: "bigint")})})}
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+        def __getattr__(self, name):
+            return lambda *a: self
+
+    monkeypatch.setattr(byte_bpe, "Block", Counted)
+    monkeypatch.setattr(byte_bpe, "BLOCK", 1 << 19)
+    monkeypatch.setattr(byte_bpe, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})())}))
+    texts = [f"word{i} and {i % 7} more" * 60 for i in range(2500)]
+    batch = pa.record_batch({"_id": pa.array(range(2500)), "_k": pa.array(range(2500)), "text": pa.array(texts)})
+    places = list(byte_bpe.block_places(Docs())(iter([batch])))
+    words = list(byte_bpe.block_words(Docs(), 5)(iter([batch])))
+    assert len(places) == len(words) > 2
+    assert max(most) == 1
+    assert max(cuts) < 900  # half a MB at a time
+    path, pattern = byte_bpe.vocabulary()
+    encode = byte_bpe._encoder(path, pattern).encode_ordinary
+    seen = 0
+    for place, own in zip(places, words, strict=True):
+        ids = list(byte_bpe.encoded_words(Docs(), path, pattern)(iter([own])))
+        got = byte_bpe.put_together(pa.Table.from_batches([place]), pa.Table.from_batches(ids), path, True)
+        assert all(len(x) <= byte_bpe.ROWS for x in got.to_batches())
+        assert all(np.frombuffer(x, "<u4").tolist() == encode(texts[i]) and back.decode() == texts[i] for i, x, back in zip(*[got.column(c).to_pylist() for c in ("doc_id", "ids", "decoded")], strict=True))
+        seen += got.num_rows
+    assert seen == 2500
+
+
 def test_pretokens():
     import public_tokenizers
     import regex
