@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .components import components
-from .scratch import arrow_batches, dropped, written
+from .scratch import arrow_batches, dropped, gathered, written
 
 SHINGLE = 4
 PERCENT = 85
@@ -48,6 +48,8 @@ STEP = 1.02
 FILTER_BITS = 1 << 26
 #: Rows with texts or signatures that a Python worker gets at once.
 BATCH_ROWS = 1000
+#: Bytes of a table of pairs, several hundred of them, whose texts are compared in one task.
+PAIR_BYTES = 1 << 12
 BITS = [f"b{i}" for i in range(LONGS)]
 
 
@@ -114,7 +116,7 @@ def signatures(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
 def classes_of(signed: DataFrame) -> DataFrame:
     """One row for each set that is not empty, numbered by ``c``, with the key of a document that has it."""
     first = signed.filter("n > 0").select("digest", "k1", "k2", "n", "front", *BITS).dropDuplicates(["digest"])
-    return written(first.withColumn("c", F.monotonically_increasing_id()), "classes")
+    return written(gathered(first, signed).withColumn("c", F.monotonically_increasing_id()), "classes")
 
 
 def shared_tokens(classes: DataFrame) -> DataFrame:
@@ -127,7 +129,7 @@ def shared_tokens(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int32))], ["token", "n"])
 
     counted = classes.select("front").mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n"))
-    return written(counted.filter("n > 1"), "shared-tokens")
+    return written(gathered(counted.filter("n > 1"), classes), "shared-tokens")
 
 
 def bit_filter(values: DataFrame, column: str) -> np.ndarray:
@@ -189,7 +191,7 @@ def beyond_front(classes: DataFrame, late, percent: int) -> DataFrame:
     return written(classes.select("c", "k1", "k2", "n", "front").mapInArrow(run, "c long, k1 long, k2 long"), "beyond")
 
 
-def whole_first_tokens(docs: DataFrame, wanted: DataFrame, late, width: int, percent: int) -> DataFrame:
+def whole_first_tokens(docs: DataFrame, wanted: DataFrame, classes: DataFrame, late, width: int, percent: int) -> DataFrame:
     """(c, n, tokens, places): the first tokens of the classes ``wanted`` (c, k1, k2), from their whole texts."""
     chosen = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "k1"))
 
@@ -204,7 +206,7 @@ def whole_first_tokens(docs: DataFrame, wanted: DataFrame, late, width: int, per
                 yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(n), *[pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (0, 1)]], ["k1", "k2", "n", "tokens", "places"])
 
     rows = docs.select(*row_keys(), "text").mapInArrow(run, "k1 long, k2 long, n long, tokens array<long>, places array<long>")
-    out = written(rows.join(wanted, ["k1", "k2"]).dropDuplicates(["c"]).select("c", "n", "tokens", "places"), "whole-first-tokens")
+    out = written(gathered(rows.join(wanted, ["k1", "k2"]).dropDuplicates(["c"]).select("c", "n", "tokens", "places"), classes), "whole-first-tokens")
     chosen.destroy()
     return out
 
@@ -219,7 +221,7 @@ def forest(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     shared = shared_tokens(classes)
     late = spark.sparkContext.broadcast(ordered_last(shared))
     beyond = beyond_front(classes, late, percent)
-    far = whole_first_tokens(docs, beyond, late, width, percent)
+    far = whole_first_tokens(docs, beyond, classes, late, width, percent)
     far_rows = far.select("c", "n", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select(F.col("x.tokens").alias("token"), "c", "n", (F.col("n") - F.col("x.places")).alias("room"))
     bits = spark.sparkContext.broadcast(bit_filter(shared.select("token").unionByName(far_rows.select("token")), "token"))
 
@@ -238,7 +240,7 @@ def forest(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     roots = written(within.unionByName(far_rows), "first-tokens")
     late.destroy()
     bits.destroy()
-    trees = written(grown(roots), "trees")
+    trees = written(gathered(grown(roots), roots), "trees")
     dropped(shared, beyond, far, roots)
     return trees
 
@@ -285,7 +287,7 @@ def leaf_pairs(trees: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("x.a", "x.b")
 
 
-def packed_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+def packed_texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(c, packed, size): the compressed text of one document of each of the classes ``wanted`` (c, k1, k2)."""
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "k1"))
 
@@ -297,7 +299,7 @@ def packed_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([own.column("k1"), own.column("k2"), pa.array(packed, pa.binary()), sizes], ["k1", "k2", "packed", "size"])
 
     texts = docs.filter("text is not null").select(*row_keys(), "text").mapInArrow(carried, "k1 long, k2 long, packed binary, size long")
-    out = written(texts.join(wanted, ["k1", "k2"]).dropDuplicates(["c"]).select("c", "packed", "size"), "texts")
+    out = written(gathered(texts.join(wanted, ["k1", "k2"]).dropDuplicates(["c"]).select("c", "packed", "size"), classes), "texts")
     bits.destroy()
     return out
 
@@ -332,7 +334,8 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     own = texts.mapInArrow(asked, texts.schema)  # of the texts only those of the pairs are shuffled
     one = pairs.join(own.select(F.col("c").alias("b"), F.col("packed").alias("pb"), F.col("size").alias("sb")), "b")
     both = one.join(own.select(F.col("c").alias("a"), F.col("packed").alias("pa"), F.col("size").alias("sa")), "a")
-    out = written(both.select("a", "b", "pa", "pb", "sa", "sb").mapInArrow(compared, "a long, b long"), "class-links")
+    both = gathered(both.select("a", "b", "pa", "pb", "sa", "sb"), pairs, file_bytes=PAIR_BYTES)
+    out = written(both.mapInArrow(compared, "a long, b long"), "class-links")
     bits.destroy()
     return out
 
@@ -356,8 +359,9 @@ def second_forest(texts: DataFrame, crowded: DataFrame, width: int, percent: int
     shared = shared.withColumn("prefix", F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1)
     first = F.slice("held", F.lit(1), F.greatest(F.col("prefix") - alone, F.lit(0)).cast("int"))
     rows = shared.select("c", "n", alone.alias("alone"), (F.size("held") / F.col("n")).alias("share"), F.posexplode(first).alias("at", "x"))
-    rows = written(rows.select("x.token", "c", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("room"), "share"), "crowded-first-tokens")
-    trees = written(grown(rows), "crowded-trees")
+    rows = rows.select("x.token", "c", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("room"), "share")
+    rows = written(gathered(rows, tokens), "crowded-first-tokens")
+    trees = written(gathered(grown(rows), rows), "crowded-trees")
     dropped(tokens, rows)
     return trees
 
@@ -395,11 +399,11 @@ def walked(trees: DataFrame, labels: DataFrame, classes: DataFrame, percent: int
         "token", "c", *BITS, "low", "high", "slack", "room", F.col("comp").alias("comp0"), F.col("comp").alias("comp1"), "own",
         step(F.col("n"), 100.0 / percent).alias("cell"), step(F.col("n"), STEP).alias("fine"), step(F.greatest("room", F.lit(1)), STEP).alias("left"),
     )
-    held = written(held.withColumn("node", F.xxhash64("token", "cell", "fine", "left", "own")), "tree-leaves")
+    held = written(gathered(held.withColumn("node", F.xxhash64("token", "cell", "fine", "left", "own")), trees), "tree-leaves")
     cells = nodes_of(held, "token", "cell").alias("x")
     upper = cells.join(cells.alias("y"), [F.col("x.token") == F.col("y.token"), F.col("y.cell").isin(F.col("x.cell"), F.col("x.cell") + 1), *may_link(percent)])
     upper = upper.select("x.token", F.col("x.cell").alias("cell"), F.col("y.cell").alias("next"))
-    groups = written(nodes_of(held, "token", "cell", "node"), "tree-nodes")
+    groups = written(gathered(nodes_of(held, "token", "cell", "node"), held), "tree-nodes")
     x, y = groups.join(upper, ["token", "cell"]).alias("x"), groups.alias("y")
     on = [F.col("x.token") == F.col("y.token"), F.col("x.next") == F.col("y.cell"), (F.col("x.cell") < F.col("y.cell")) | (F.col("x.node") <= F.col("y.node")), *may_link(percent)]
     middle = x.join(y, on).select("x.token", F.col("x.node").alias("from"), F.col("y.node").alias("to"))
@@ -419,22 +423,23 @@ def similarity_classes(docs: DataFrame, width: int = SHINGLE, percent: int = PER
 def _similarity_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     signed = written(signatures(docs, width, percent), "signatures")
     classes = classes_of(signed)
-    rows = written(signed.select("_id", "k1", "k2", "n", "digest").join(classes.select("digest", "c"), "digest", "left").drop("digest"), "rows")
+    rows = signed.select("_id", "k1", "k2", "n", "digest").join(classes.select("digest", "c"), "digest", "left").drop("digest")
+    rows = written(gathered(rows, signed), "rows")
     dropped(signed)
     trees = forest(docs, classes, width, percent)
     near = written(leaf_pairs(trees, classes, percent), "leaf-pairs")
-    crowded = written(trees.filter(F.col("size") > LEAF).select("c").distinct(), "crowded")
+    crowded = written(gathered(trees.filter(F.col("size") > LEAF).select("c").distinct(), trees), "crowded")
     wanted = near.select(F.explode(F.array("a", "b")).alias("c")).unionByName(crowded).distinct()
-    wanted = written(classes.select("c", "k1", "k2").join(wanted, "c"), "wanted")
-    texts = packed_texts(wanted, docs)
+    wanted = written(gathered(classes.select("c", "k1", "k2").join(wanted, "c"), classes), "wanted")
+    texts = packed_texts(wanted, classes, docs)
     deep = second_forest(texts, crowded, width, percent)
-    tried = written(near.unionByName(spokes(deep, percent)).distinct(), "tried")
+    tried = written(gathered(near.unionByName(spokes(deep, percent)).distinct(), near, deep), "tried")
     links = linked(tried, texts, width, percent)
-    labels = components(links)
+    labels = components(links, made_from=(links,))
     dropped(trees, near, crowded, wanted, tried)
     rest = walked(deep, labels, classes, percent)
     more = linked(rest, texts, width, percent)
-    found = components(links.unionByName(more), labels)
+    found = components(links.unionByName(more), labels, (links, more))
     dropped(deep, texts, classes, rest, links, more, labels)
     return rows, found
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 #: Paths of tables that were not dropped yet, by application.
 _KEPT: dict[str, set[str]] = {}
+#: Bytes of the tables that it is made from, for which a table gets a file.
+FILE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,9 +51,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def gathered(df: DataFrame, *tables: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """``df`` in one partition for so many bytes of the written ``tables`` that it is made from, and as many as there are cores at least.
+
+    It never has more partitions than before. For tables that a shuffle deals over more partitions than their rows need:
+    every file costs the executor processes of its own where the shared folder is a local one (Hadoop starts ``chmod``).
+    """
+    spark = df.sparkSession
+    size = 0
+    for table in tables:
+        place, files = _place(spark, table.scratch_path)
+        size += files.getContentSummary(place).getLength()
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // file_bytes)))
+
+
+def _place(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place, files = _place(spark, path)
+    files.delete(place, True)
     _KEPT.get(spark.sparkContext.applicationId, set()).discard(path)
 
 

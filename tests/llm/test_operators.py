@@ -200,6 +200,38 @@ def test_near_duplicates_hand_over_few_rows_at_once(spark, monkeypatch):
     assert spark.conf.get(name) == before
 
 
+def test_near_duplicates_write_few_files(spark, monkeypatch):
+    """Tables of few rows have few files over many shuffle partitions: each file costs an executor processes of its own."""
+    from pathlib import Path
+
+    from ridgeline.llm import components, scratch
+
+    files, cores = {}, spark.sparkContext.defaultParallelism
+
+    def write(df, name):
+        table = scratch.written(df, name)
+        files.setdefault(name, []).append(len(list(Path(table.scratch_path.removeprefix("file://")).glob("part-*"))))
+        return table
+
+    monkeypatch.setattr(neardup, "written", write)
+    monkeypatch.setattr(components, "written", write)
+    text = [[f"w{g}x{i}" for i in range(60)] for g in range(150)]
+    data = [(2 * g + k, " ".join(t[:30] + [f"new{g}"] * k + t[30:])) for g, t in enumerate(text) for k in (0, 1)]
+    data += [(1000 + g, " ".join(["many"] + [f"y{i}" for i in range(80)] + [f"z{g}"])) for g in range(80)]
+    options = {"spark.sql.shuffle.partitions": str(cores + 30), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string").coalesce(2))
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == sorted(brute.near_duplicates(data))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"classes", "trees", "texts", "class-links", "crowded-trees", "labels"} <= files.keys()
+    assert {k: v for k, v in files.items() if max(v) > 2 * cores and k not in ("leaf-pairs", "pairs")} == {}
+
+
 def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 
