@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import edge_weights
-from ..sources.scratch import finished, mark, settled
+from ..functions.numbers import CRITERIA, edge_weights
+from ..sources.scratch import finished, fits, mark, settled
 
 
 def real_edges(edges: DataFrame) -> DataFrame:
@@ -21,11 +24,23 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return there.unionByName(rows.select(F.col("dst").alias("node"), F.col("src").alias("neighbour"), *rest))
 
 
+def pair_weights(edges: DataFrame, kinds: Sequence[str] = CRITERIA) -> DataFrame:
+    """(lo, hi, w_time, ...): the lightest edge of each pair of nodes under every criterion of ``kinds``, null where none is usable."""
+    usable = {f"w_{k}": F.when(~F.isnan(w) & (w >= 0) & (w < float("inf")), w) for k, w in edge_weights().items() if k in kinds}
+    rows = canonical(real_edges(edges)).filter("lo <> hi").select("lo", "hi", *[w.alias(c) for c, w in usable.items()])
+    return rows.groupBy("lo", "hi").agg(*[F.min(c).alias(c) for c in usable]).filter(reduce(Column.__or__, [F.col(c).isNotNull() for c in usable]))
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """pairs (lo, hi, ...) as arcs (node, neighbour, ...) in both directions."""
+    ends = F.array(F.struct(F.col("lo").alias("node"), F.col("hi").alias("neighbour")), F.struct(F.col("hi").alias("node"), F.col("lo").alias("neighbour")))
+    return pairs.select(F.inline(ends), *[c for c in pairs.columns if c not in ("lo", "hi")])
+
+
 def weighted_arcs(edges: DataFrame) -> DataFrame:
     """(criterion, node, neighbour, w): the lightest arc of each pair under every criterion; unusable weights are dropped."""
-    kinds = F.array(*[F.struct(F.lit(k).alias("criterion"), w.alias("w")) for k, w in edge_weights().items()])
-    rows = adjacency(edges).select("node", "neighbour", F.inline(kinds)).filter("node <> neighbour and not isnan(w) and w >= 0 and w < double('infinity')")
-    return rows.groupBy("criterion", "node", "neighbour").agg(F.min("w").alias("w"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("criterion"), F.col(f"w_{k}").alias("w")) for k in CRITERIA])
+    return both_ways(pair_weights(edges)).select("node", "neighbour", F.inline(kinds)).filter("w is not null").select("criterion", "node", "neighbour", "w")
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -93,6 +108,31 @@ def together(requests: DataFrame, labels: DataFrame) -> DataFrame:
     return requests.join(ends[0], "start").join(ends[1], "end").filter("_start = _end").select(*requests.columns)
 
 
+def linked(requests: DataFrame, arcs: DataFrame) -> DataFrame:
+    """The requests whose start and end lie in one component of arcs (node, neighbour, in both directions), found for these ends only.
+
+    In a round every node turns to the first of its neighbours by a hash, and on to what that one turns to, if they come
+    before it; what turns to one node is one node then, so the graph shrinks to nothing in rounds that follow the logarithm
+    of its size.
+    """
+    links, rounds = arcs.select(F.col("node").alias("a"), F.col("neighbour").alias("b")), []
+    while not links.isEmpty():
+        a, b = (F.struct(F.xxhash64(F.col(c), F.lit(len(rounds))).alias("hash"), F.col(c).alias("node")) for c in "ab")
+        first = links.groupBy("a").agg(F.min(b).alias("b"))
+        turns = settled(first.select("a", F.when(F.col("b") < a, F.col("b.node")).otherwise(F.col("a")).alias("to")), "turns")
+        few = fits(turns)
+        near = F.broadcast(turns) if few else turns
+        far = near.join(near.select(F.col("a").alias("to"), F.col("to").alias("far")), "to").select("a", F.col("far").alias("to"))
+        turns = F.broadcast(far) if few else settled(far, "turns")
+        both = links.join(turns, "a").select(F.col("to").alias("a"), "b").join(turns.select(F.col("a").alias("b"), "to"), "b").select("a", F.col("to").alias("b"))
+        links = settled(both.filter("a <> b").distinct(), "links")
+        rounds.append(turns)
+    now = requests.select(F.explode(F.array("start", "end")).alias("node")).distinct().withColumn("a", F.col("node"))
+    for turns in rounds:
+        now = now.join(turns, "a", "left").select("node", F.coalesce("to", "a").alias("a"))
+    return together(requests, settled(now.withColumnRenamed("a", "label"), "ends"))
+
+
 def drawn_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with the positions of both ends; those with an unknown end are dropped."""
     at = nodes.select("id", "lat", "lng")

@@ -106,7 +106,7 @@ def _order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes over a graph of all orders, which grows with the data; requests that nothing connects leave before the search."""
     edges = settled(_order_links(spark, sf_dir), "links")
-    out = routing.solve(settled(_order_requests(spark, sf_dir), "requests"), edges, graph.components(edges))
+    out = routing.solve(settled(_order_requests(spark, sf_dir), "requests"), edges, parts=True)
     return out.withColumn("path", F.array_join("path", ","))
 
 

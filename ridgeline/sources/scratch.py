@@ -13,6 +13,7 @@ import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 #: Paths of the tables that this thread has written, in order.
@@ -102,3 +103,8 @@ def fits(df: DataFrame, row_bytes: int = 64) -> bool:
     """Whether df is within the bounds of a broadcast, counted here, a row as ``row_bytes``."""
     n = df.limit(BROADCAST_ROWS + 1).count()
     return n <= BROADCAST_ROWS and n * row_bytes <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast in a join if it is within the bounds."""
+    return F.broadcast(df) if fits(df) else df

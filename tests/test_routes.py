@@ -134,3 +134,44 @@ def test_components(spark):
     frame = spark.createDataFrame(edges, EDGES)
     assert {r.node: r.label for r in graph.components(frame).collect()} == {x: root(x) for x in parent}
     assert graph.components(frame.limit(0)).count() == 0
+
+
+def test_search_from_both_ends(spark, monkeypatch):
+    """A route across a large graph needs few of its nodes, and none is looked for on when one end has nothing more to reach."""
+    rng, size = random.Random(4), 1500
+    pairs = sorted({(k // by, k) for k in range(1, size) for by in (2, 3)} | {("z", "y"), ("y", "v"), ("v", "z")}, key=str)
+    edges = [(f"t{a}", f"t{b}", "1", str(rng.randint(5, 27)), "0", "1", i) for i, (a, b) in enumerate(pairs)]
+    frame = spark.createDataFrame(edges, EDGES)
+    written, settle = [], routing.settled
+
+    def kept(df, name):
+        out = settle(df, name)
+        written.append(out.count() if name in ("distances", "known") else 0)
+        return out
+
+    monkeypatch.setattr(routing, "settled", kept)
+    asked = [(1, "t1", "t1499", "time"), (2, "t3", "t1498", "time"), (3, "t0", "tz", "time"), (4, "ty", "t700", "time")]
+    got = {r.req_id: r for r in routing.solve(spark.createDataFrame(asked, "req_id bigint, start string, end string, criterion string"), frame).collect()}
+    for i, start, end, _ in asked[:2]:
+        path, weight = plain_route(edges, start, end, lambda e: float(e[3]))
+        assert (got[i].path, got[i].route_weight) == (path, weight)
+    assert got[3].status == got[4].status == "no route"
+    assert sum(written) < size
+
+
+def test_parts_of_requests(spark):
+    """Requests between two components leave the search, as with labels of the whole graph; chains may have arcs that one criterion can't use."""
+    edges = random_edges(7)
+    asked = [(1, "y0", "y1", "time"), (2, "x00", "y1", "time"), (3, "x00", "x05", "distance"), (4, "r0", "r0", "time"), (5, "x02", "none", "time"), (6, "c0000", "c0003", "time")]
+    frame, requests = spark.createDataFrame(edges, EDGES), spark.createDataFrame(asked, "req_id bigint, start string, end string, criterion string")
+    arcs = graph.both_ways(graph.pair_weights(frame))
+    labels = graph.components(frame)
+    assert {r.req_id for r in graph.linked(requests, arcs).collect()} == {r.req_id for r in graph.together(requests, labels).collect()}
+    assert graph.linked(requests, arcs.limit(0)).filter("start <> end").isEmpty()
+    columns = ["req_id", "status", "path", "route_weight", "total_time_min"]
+    one, two = (sorted(map(tuple, x.select(columns).collect())) for x in (routing.solve(requests, frame, labels), routing.solve(requests, frame, parts=True)))
+    assert one == two
+    rows = [("a", "b", "1"), ("b", "c", "-1"), ("c", "d", "1"), ("a", "d", "9"), ("a", "q", "1"), ("d", "p", "1")]
+    broken = spark.createDataFrame([(a, b, "1" if b != "d" or a == "c" else "7", t, "0", "1", i) for i, (a, b, t) in enumerate(rows)], EDGES)
+    got = routing.solve(spark.createDataFrame([(1, "q", "p", "time"), (2, "q", "p", "distance")], "req_id bigint, start string, end string, criterion string"), broken, parts=True)
+    assert {r.req_id: r.path for r in got.collect()} == {1: ["q", "a", "d", "p"], 2: ["q", "a", "b", "c", "d", "p"]}
